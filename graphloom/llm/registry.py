@@ -7,6 +7,12 @@ from importlib import import_module
 #: query -> module that defines it
 MODULES = {
     "op1_exact_top_k": "topk",
+    "op2_token_counts": "tokens",
+    "op3_quality": "quality",
+    "op4_byte_bpe": "bpe",
+    "op5_pattern_packing": "packing",
+    "op6_near_duplicates": "minhash",
+    "op7_language_id": "langid",
     "op10_embedding_near_dedup": "embed_dedup",
 }
 

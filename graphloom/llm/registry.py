@@ -13,6 +13,8 @@ MODULES = {
     "op5_pattern_packing": "packing",
     "op6_near_duplicates": "minhash",
     "op7_language_id": "langid",
+    "op8_repeated_strings": "suffix_dedup",
+    "op9_toxicity": "toxicity",
     "op10_embedding_near_dedup": "embed_dedup",
 }
 

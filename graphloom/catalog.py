@@ -2,10 +2,712 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import terms as T
+from .functions import uri as U
+from .functions.vocab import ALLOCATED, DOMAIN, INTEGER, RANGE, RDF, RDFS, STRING, SUBCLASS, SUBPROPERTY, TYPE, XML_LITERAL
+from .operators import entail as E
+from .operators import graph as G
+from .operators import modifiers as M
+from .operators import query as Q
+from .operators import rules as R
+from .sources.mapping import graph_of, lift
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+INT = f'"^^<{INTEGER}>'
+#: Shorthands in the SQL below.
+WORDS = {"@INT": f"'{INT}'", "@TYPE": f"'{TYPE}'", "@RDFS": RDFS, "@RDF": RDF, "@STRING": f"'^^<{STRING}>'"}
+
+
+def query(name: str, sql: str | None = None):
+    def register(f):
+        _QUERIES[name] = f
+        if sql:
+            for k, v in WORDS.items():
+                sql_ = _SQL.get(name, sql).replace(k, v)
+                _SQL[name] = sql_
+        return f
+
+    return register
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+P = Q.pattern
+
+
+# Selection
+
+CUSTOMER = """SELECT '<urn:customer:' || c_custkey || '>' AS s, @TYPE AS p, '<urn:class:customer>' AS o FROM customer
+UNION ALL SELECT '<urn:customer:' || c_custkey || '>', '<urn:p:c_name>', '"' || c_name || '"' FROM customer
+UNION ALL SELECT '<urn:customer:' || c_custkey || '>', '<urn:p:c_nationkey>', '<urn:nation:' || c_nationkey || '>' FROM customer
+UNION ALL SELECT '<urn:customer:' || c_custkey || '>', '<urn:p:c_acctbal>', '"' || round(c_acctbal * 100)::BIGINT || @INT FROM customer
+UNION ALL SELECT '<urn:customer:' || c_custkey || '>', '<urn:p:c_mktsegment>', '"' || c_mktsegment || '"' FROM customer"""
+
+
+@query("lift_customer", CUSTOMER)
+def _(spark, d):
+    return lift(spark, d, "customer")
+
+
+@query("arcs_by_subject", f"SELECT * FROM ({CUSTOMER}) WHERE s = '<urn:customer:7>'")
+def _(spark, d):
+    return G.extract(lift(spark, d, "customer"), F.col("s") == "<urn:customer:7>")
+
+
+@query("arcs_by_pred", "SELECT '<urn:orders:' || o_orderkey || '>' AS s, '<urn:p:o_custkey>' AS p, '<urn:customer:' || o_custkey || '>' AS o FROM orders")
+def _(spark, d):
+    return G.extract(lift(spark, d, "orders", "customer"), F.col("p") == "<urn:p:o_custkey>")
+
+
+@query("arcs_by_obj", "SELECT '<urn:customer:' || c_custkey || '>' AS s, '<urn:p:c_nationkey>' AS p, '<urn:nation:3>' AS o FROM customer WHERE c_nationkey = 3 UNION ALL SELECT '<urn:supplier:' || s_suppkey || '>', '<urn:p:s_nationkey>', '<urn:nation:3>' FROM supplier WHERE s_nationkey = 3")
+def _(spark, d):
+    return G.extract(lift(spark, d, "customer", "supplier"), F.col("o") == "<urn:nation:3>")
+
+
+@query("arcs_allp", "SELECT '<urn:customer:' || c_custkey || '>' AS s, '<urn:p:c_mktsegment>' AS p, '\"BUILDING\"' AS o FROM customer WHERE c_mktsegment = 'BUILDING'")
+def _(spark, d):
+    return G.extract(lift(spark, d, "customer"), G.all_of([F.col("p") == "<urn:p:c_mktsegment>", F.col("o") == '"BUILDING"']))
+
+
+@query("arcs_anyp", f"SELECT * FROM ({CUSTOMER}) WHERE s = '<urn:customer:7>' OR o = '<urn:nation:3>'")
+def _(spark, d):
+    return G.extract(lift(spark, d, "customer"), G.any_of([F.col("s") == "<urn:customer:7>", F.col("o") == "<urn:nation:3>"]))
+
+
+@query("arcs_with_label", f"SELECT * FROM ({CUSTOMER}) WHERE '<urn:nation:3>' IN (s, p, o)")
+def _(spark, d):
+    return G.extract(lift(spark, d, "customer"), G.has_label("<urn:nation:3>"))
+
+
+@query("pred_values", "SELECT '\"' || n_name || '\"' AS o FROM nation WHERE n_nationkey = 4")
+def _(spark, d):
+    return G.objects(lift(spark, d, "nation"), "<urn:nation:4>", "<urn:p:n_name>")
+
+
+@query("value_subjects", "SELECT '<urn:nation:' || n_nationkey || '>' AS s FROM nation WHERE n_regionkey = 1")
+def _(spark, d):
+    return G.subjects(lift(spark, d, "nation"), "<urn:p:n_regionkey>", "<urn:region:1>")
+
+
+@query("pred_int_values", "SELECT '<urn:part:' || p_partkey || '>' AS s, p_size::DECIMAL(38,0) AS value FROM part")
+def _(spark, d):
+    return G.integer_objects(lift(spark, d, "part"), "<urn:p:p_size>")
+
+
+@query("labels_distinct", f"SELECT s AS term FROM ({CUSTOMER}) UNION SELECT p FROM ({CUSTOMER}) UNION SELECT o FROM ({CUSTOMER})")
+def _(spark, d):
+    return G.labels(lift(spark, d, "customer"))
+
+
+@query("nodes_distinct", f"SELECT s AS term FROM ({CUSTOMER}) UNION SELECT o FROM ({CUSTOMER})")
+def _(spark, d):
+    return G.nodes(lift(spark, d, "customer"))
+
+
+@query("nodes_literal", f"SELECT DISTINCT o AS term FROM ({CUSTOMER}) WHERE o LIKE '\"%'")
+def _(spark, d):
+    return G.nodes(lift(spark, d, "customer")).where(T.is_literal("term"))
+
+
+@query("fmap_rename", "SELECT '<urn:nation:' || n_nationkey || '>' AS s, '<urn:p:n_regionkey>' AS p, '<urn:zone:' || n_regionkey || '>' AS o FROM nation")
+def _(spark, d):
+    g = G.extract(lift(spark, d, "nation"), F.col("p") == "<urn:p:n_regionkey>")
+    mapping = read(spark, d, "region").select(T.iri("urn:region:", "r_regionkey").alias("term"), T.iri("urn:zone:", "r_regionkey").alias("to"))
+    return G.rename(g, mapping)
+
+
+@query("list_decode", "SELECT '_:l-' || l_orderkey || '-0' AS head, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1)::BIGINT AS position, '\"' || l_linenumber || @INT AS item FROM lineitem WHERE l_orderkey <= 200")
+def _(spark, d):
+    rows = read(spark, d, "lineitem").where("l_orderkey <= 200").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("x"))
+    rows = rows.select("l_orderkey", F.transform("x", lambda r: T.integer(r["l_linenumber"])).alias("x"))
+    _checkpoints(spark)
+    return G.list_items(G.make_lists(rows, "l_orderkey", "x"), rows.select(F.concat(F.lit("_:l-"), "l_orderkey", F.lit("-0")).alias("head")))
+
+
+def _checkpoints(spark) -> None:
+    R._settle(spark.range(1))
+
+
+# Patterns
+
+CHAIN = "orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
+CHAIN_PATTERN = '?ord <urn:p:o_custkey> ?c . ?c <urn:p:c_nationkey> ?n . ?n <urn:p:n_regionkey> ?r . ?r <urn:p:r_name> "ASIA"'
+
+
+@query("bgp_one", "SELECT '<urn:nation:' || n_nationkey || '>' AS n, '\"' || n_name || '\"' AS name FROM nation")
+def _(spark, d):
+    return Q.match(lift(spark, d, "nation"), P("?n <urn:p:n_name> ?name"))
+
+
+@query("bgp_chain4", f"SELECT '<urn:orders:' || o_orderkey || '>' AS ord, '<urn:customer:' || c_custkey || '>' AS c, '<urn:nation:' || n_nationkey || '>' AS n, '<urn:region:' || r_regionkey || '>' AS r FROM {CHAIN} WHERE r_name = 'ASIA'")
+def _(spark, d):
+    return Q.match(lift(spark, d, "orders", "customer", "nation", "region"), P(CHAIN_PATTERN))
+
+
+@query("bgp_star3", "SELECT '<urn:part:' || p_partkey || '>' AS x, '\"' || p_name || '\"' AS a, '\"' || p_brand || '\"' AS b, '\"' || p_size || @INT AS c FROM part")
+def _(spark, d):
+    return Q.match(lift(spark, d, "part"), P("?x <urn:p:p_name> ?a . ?x <urn:p:p_brand> ?b . ?x <urn:p:p_size> ?c"))
+
+
+@query("bgp_cross", "SELECT '<urn:region:' || r_regionkey || '>' AS r, '<urn:nation:' || n_nationkey || '>' AS n FROM region, nation")
+def _(spark, d):
+    return Q.match(lift(spark, d, "region", "nation"), P("?r rdf:type <urn:class:region> . ?n rdf:type <urn:class:nation>"))
+
+
+@query("bgp_cycle", "SELECT '<urn:orders:' || o_orderkey || '>' AS ord, '<urn:customer:' || o_custkey || '>' AS c, '<urn:lineitem:' || l_orderkey || '-' || l_partkey || '-' || l_suppkey || '-' || l_linenumber || '>' AS i, '<urn:supplier:' || l_suppkey || '>' AS sup, '<urn:nation:' || c_nationkey || '>' AS n FROM (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey, l_linenumber FROM lineitem) JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE s_nationkey = c_nationkey")
+def _(spark, d):
+    g = lift(spark, d, "orders", "customer", "supplier", "lineitem")
+    return Q.match(g, P("?i <urn:p:l_orderkey> ?ord . ?i <urn:p:l_suppkey> ?sup . ?ord <urn:p:o_custkey> ?c . ?c <urn:p:c_nationkey> ?n . ?sup <urn:p:s_nationkey> ?n")).distinct()
+
+
+@query("bgp_ground_exists", "SELECT '<urn:nation:' || n_nationkey || '>' AS n FROM nation WHERE EXISTS (SELECT 1 FROM nation WHERE n_nationkey = 2)")
+def _(spark, d):
+    return Q.match(lift(spark, d, "nation"), P("<urn:nation:2> rdf:type <urn:class:nation> . ?n rdf:type <urn:class:nation>"))
+
+
+@query("bgp_repeated_var", "SELECT '<urn:n:' || n_nationkey || '>' AS x FROM nation WHERE n_nationkey = n_regionkey")
+def _(spark, d):
+    g = read(spark, d, "nation").select(T.iri("urn:n:", "n_nationkey").alias("s"), F.lit("<urn:p:near>").alias("p"), T.iri("urn:n:", "n_regionkey").alias("o"))
+    return Q.match(g, P("?x <urn:p:near> ?x"))
+
+
+@query("instance_query", "SELECT '<urn:customer:' || c_custkey || '>' AS b_x, '<urn:nation:' || n_nationkey || '>' AS b_n FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 2")
+def _(spark, d):
+    return Q.instance_match(lift(spark, d, "customer", "nation"), P("_:x <urn:p:c_nationkey> _:n . _:n <urn:p:n_regionkey> <urn:region:2>"))
+
+
+@query("simple_entails_bool", "SELECT EXISTS (SELECT 1 FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 2) AS yes, EXISTS (SELECT 1 FROM nation WHERE n_regionkey = 77) AS no")
+def _(spark, d):
+    g = lift(spark, d, "customer", "nation")
+    yes = Q.entails(g, P("_:x <urn:p:c_nationkey> _:n . _:n <urn:p:n_regionkey> <urn:region:2>"))
+    return spark.createDataFrame([(yes, Q.entails(g, P("_:n <urn:p:n_regionkey> <urn:region:77>")))], "yes boolean, no boolean")
+
+
+@query("binding_join", "SELECT '<urn:nation:' || n_nationkey || '>' AS n, '\"' || n_name || '\"' AS v, '<urn:region:' || n_regionkey || '>' AS r FROM nation")
+def _(spark, d):
+    g = lift(spark, d, "nation")
+    a = Q.match(g, P("?n <urn:p:n_name> ?v"))
+    return Q.joined(a, Q.match(g, P("?n <urn:p:n_regionkey> ?r")).withColumn("v", F.lit("?")), ["n"]).select("n", "v", "r")
+
+
+# Filters
+
+#: Terms of every kind from one table: an IRI, a blank, and literals of four kinds.
+KINDS = [
+    ("iri", "'<urn:nation:' || n_nationkey || '>'", lambda: T.iri("urn:nation:", "n_nationkey")),
+    ("blank", "'_:n' || n_nationkey", lambda: F.concat(F.lit("_:n"), "n_nationkey")),
+    ("plain", "'\"' || n_name || '\"'", lambda: T.plain("n_name")),
+    ("lang", "'\"' || n_name || '\"@en'", lambda: T.tagged("n_name", F.lit("EN"))),
+    ("int", f"'\"' || n_nationkey || '{INT}'", lambda: T.integer("n_nationkey")),
+    ("xml", f"'\"' || n_name || '\"^^<{XML_LITERAL}>'", lambda: T.typed("n_name", XML_LITERAL)),
+    ("member", f"'<{RDF}_' || n_nationkey || '>'", lambda: T.iri(f"{RDF}_", "n_nationkey")),
+]
+
+
+def _kinds(spark, d) -> DataFrame:
+    n = read(spark, d, "nation")
+    return n.select(F.explode(F.array(*(f() for _, _, f in KINDS))).alias("v"))
+
+
+for _name, _which in {
+    "iri": ["iri", "member"],
+    "blank": ["blank"],
+    "literal": ["plain", "lang", "int", "xml"],
+    "untyped": ["plain", "lang"],
+    "typed": ["int", "xml"],
+    "xml": ["xml"],
+    "member": ["member"],
+}.items():
+    _sql = " UNION ALL ".join(f"SELECT {s} AS v FROM nation" for k, s, _ in KINDS if k in _which)
+    query(f"filter_{_name}", _sql)(lambda spark, d, f=Q.FILTERS[_name]: _kinds(spark, d).where(Q.test(f("v"))))
+
+
+@query("filter_datatyped", f"SELECT '<{INTEGER}>' AS t, '\"' || n_nationkey || @INT AS v FROM nation")
+def _(spark, d):
+    return _kinds(spark, d).select(F.lit(f"<{INTEGER}>").alias("t"), "v").where(T.has_datatype("v", "t"))
+
+
+PAIRS = "FROM customer JOIN nation ON c_nationkey = n_nationkey"
+
+
+def _pairs(spark, d) -> DataFrame:
+    """Customers and suppliers that share a nation, with their key parities, one side open for some."""
+    c, n = read(spark, d, "customer"), read(spark, d, "nation")
+    return c.join(n, c.c_nationkey == n.n_nationkey).select(T.iri("urn:x:", "c_custkey").alias("x"), T.iri("urn:k:", F.col("c_custkey") % 7).alias("a"), F.when(F.col("n_regionkey") > 0, T.iri("urn:k:", F.col("n_nationkey") % 7)).alias("b"))
+
+
+for _name, _cond, _sql in (
+    ("eq", lambda: Q.same("a", "b"), "n_regionkey > 0 AND c_custkey % 7 = n_nationkey % 7"),
+    ("ne", lambda: Q.different("a", "b"), "n_regionkey > 0 AND c_custkey % 7 <> n_nationkey % 7"),
+    ("or", lambda: Q.either(Q.same("a", "b"), F.col("a") == "<urn:k:0>"), "(n_regionkey > 0 AND c_custkey % 7 = n_nationkey % 7) OR c_custkey % 7 = 0"),
+    ("and", lambda: Q.both(Q.different("a", "b"), F.col("a") == "<urn:k:1>"), "n_regionkey > 0 AND c_custkey % 7 <> n_nationkey % 7 AND c_custkey % 7 = 1"),
+    ("unbound_false", lambda: Q.test(T.is_iri("b")), "n_regionkey > 0"),
+):
+    query(f"filter_{_name}", f"SELECT '<urn:x:' || c_custkey || '>' AS x {PAIRS} WHERE {_sql}")(lambda spark, d, f=_cond: _pairs(spark, d).where(f()).select("x"))
+
+
+# Modifiers
+
+#: n from -40 to 40 or so, and small divisors and exponents, some 0 and negative
+NUMBERS = "(SELECT DISTINCT (p_size - 25)::BIGINT AS x, (p_partkey % 9 - 4)::BIGINT AS y FROM part)"
+
+
+def _numbers(spark, d) -> DataFrame:
+    p = read(spark, d, "part")
+    return p.select((F.col("p_size") - 25).alias("x"), (F.col("p_partkey") % 9 - 4).alias("y")).distinct().select(T.integer("x").alias("x"), T.integer("y").alias("y"))
+
+
+def _term(e: str) -> str:
+    return f"'\"' || ({e})::BIGINT || @INT"
+
+
+FLOOR = "(x // y - CASE WHEN x % y <> 0 AND (x < 0) <> (y < 0) THEN 1 ELSE 0 END)"
+for _name, _vars, _binds, _where in (
+    ("abs", ("a", "x"), {"a": "abs(x)"}, "true"),
+    ("neg", ("a", "x"), {"a": "-x"}, "true"),
+    ("sum", ("a", "x", "y"), {"a": "x + y"}, "true"),
+    ("diff", ("a", "x", "y"), {"a": "x - y"}, "true"),
+    ("prod", ("a", "x", "y"), {"a": "x * y"}, "true"),
+    ("divmod", ("q", "r", "x", "y"), {"q": FLOOR, "r": f"x - y * {FLOOR}"}, "y <> 0"),
+    ("power", ("a", "x", "y"), {"a": "CASE y WHEN 0 THEN 1 WHEN 1 THEN x WHEN 2 THEN x*x WHEN 3 THEN x*x*x ELSE x*x*x*x END"}, "y >= 0"),
+):
+    _out = ", ".join(f"{_term(e)} AS {v}" for v, e in _binds.items())
+    query(f"mod_{_name}", f"SELECT {_term('x')} AS x, {_term('y')} AS y, {_out} FROM {NUMBERS} WHERE {_where}")(lambda spark, d, m=M.INTEGER[_name], v=_vars: m.apply(_numbers(spark, d), *v))
+for _name, _op in (("eq", "="), ("ne", "<>"), ("lt", "<"), ("le", "<="), ("gt", ">"), ("ge", ">=")):
+    query(f"mod_{_name}", f"SELECT {_term('x')} AS x, {_term('y')} AS y FROM {NUMBERS} WHERE x {_op} y")(lambda spark, d, m=M.INTEGER[_name]: m.apply(_numbers(spark, d), "x", "y"))
+for _name, _vars, _expr, _where in (
+    ("sum_inverse", ("x", "y", "c"), "x - y", "true"),
+    ("diff_inverse", ("x", "b", "y"), "x + y", "true"),
+    ("prod_exact", ("x", "y", "c"), "x // y", "y <> 0 AND x % y = 0"),
+    ("neg_inverse", ("x", "b"), "-x", "true"),
+):
+    _new = next(v for v in _vars if v not in "xy")
+    query(f"mod_{_name}", f"SELECT {_term('x')} AS x, {_term('y')} AS y, {_term(_expr)} AS {_new} FROM {NUMBERS} WHERE {_where}")(lambda spark, d, m=M.INTEGER[_name.split('_')[0]], v=_vars: m.apply(_numbers(spark, d), *v))
+
+
+@query("mod_abs_test", f"SELECT {_term('x')} AS x, {_term('y')} AS y FROM {NUMBERS} WHERE x = abs(y)")
+def _(spark, d):
+    return M.INTEGER["abs"].apply(_numbers(spark, d), "x", "y")
+
+
+@query("mod_compose_sum_gt", f"SELECT {_term('x')} AS x, {_term('y')} AS y, {_term('x + y')} AS a FROM {NUMBERS} WHERE x + y > x")
+def _(spark, d):
+    steps = M.find_order({"x", "y"}, [M.Step(M.INTEGER["gt"], ("a", "x")), M.Step(M.INTEGER["sum"], ("a", "x", "y"))])
+    return M.compose(*steps)(_numbers(spark, d))
+
+
+@query("mod_total", f"SELECT {_term('x')} AS x, {_term('y')} AS y, {_term('x + y + x')} AS a FROM {NUMBERS}")
+def _(spark, d):
+    return M.total(_numbers(spark, d), "a", "x", "y", "x")
+
+
+@query("canonical_int", "SELECT n_nationkey AS k, '\"' || n_nationkey || @INT AS v FROM nation")
+def _(spark, d):
+    odd = F.concat(F.lit('"+00'), "n_nationkey", F.lit(INT))
+    return read(spark, d, "nation").select(F.col("n_nationkey").alias("k"), T.canonical(odd).alias("v"))
+
+
+@query("str_plain_to_typed", "SELECT n_nationkey AS k, '\"' || n_name || '\"' || @STRING AS v FROM nation")
+def _(spark, d):
+    return read(spark, d, "nation").select(F.col("n_nationkey").alias("k"), T.plain_to_typed(T.plain("n_name")).alias("v"))
+
+
+@query("str_typed_to_plain", "SELECT n_nationkey AS k, '\"' || n_name || '\"' AS v FROM nation")
+def _(spark, d):
+    return read(spark, d, "nation").select(F.col("n_nationkey").alias("k"), T.typed_to_plain(T.typed("n_name", STRING)).alias("v"))
+
+
+for _name, _op in (("eq", "="), ("ne", "<>")):
+
+    @query(f"str_{_name}", f"SELECT '\"' || a.p_type || '\"' || @STRING AS a, '\"' || b.p_brand || '\"' || @STRING AS b, count(*) AS n FROM part a JOIN part b ON a.p_partkey = b.p_partkey WHERE a.p_type {_op} b.p_brand GROUP BY ALL")
+    def _(spark, d, m=M.STRING[_name]):
+        p = read(spark, d, "part").select(T.typed("p_type", STRING).alias("a"), T.typed("p_brand", STRING).alias("b"))
+        return m.apply(p, "a", "b").groupBy("a", "b").agg(F.count("*").alias("n"))
+
+
+# Construction and rules
+
+
+@query("construct_simple", "SELECT '<urn:nation:' || n_nationkey || '>' AS s, '<urn:p:in>' AS p, '<urn:region:' || n_regionkey || '>' AS o FROM nation")
+def _(spark, d):
+    return Q.construct(Q.match(lift(spark, d, "nation"), P("?n <urn:p:n_regionkey> ?r")), P("?n <urn:p:in> ?r"))
+
+
+@query("construct_multi_head", "SELECT '<urn:nation:' || n_nationkey || '>' AS s, '<urn:p:in>' AS p, '<urn:region:' || n_regionkey || '>' AS o FROM nation UNION SELECT '<urn:region:' || n_regionkey || '>', @TYPE, '<urn:class:place>' FROM nation")
+def _(spark, d):
+    return Q.construct(Q.match(lift(spark, d, "nation"), P("?n <urn:p:n_regionkey> ?r")), P("?n <urn:p:in> ?r . ?r rdf:type <urn:class:place>"))
+
+
+@query("construct_drop_unbound", "SELECT '' AS s, '' AS p, '' AS o WHERE false")
+def _(spark, d):
+    return Q.construct(Q.match(lift(spark, d, "nation"), P("?n <urn:p:n_regionkey> ?r")), P("?n <urn:p:in> ?nowhere"))
+
+
+@query("construct_blank", "SELECT '<urn:nation:' || n_nationkey || '>' AS s, '<urn:p:has>' AS p, '_:sk' || sha256('new|z|<urn:nation:' || n_nationkey || '>|<urn:region:' || n_regionkey || '>') AS o FROM nation")
+def _(spark, d):
+    return Q.construct_blank(Q.match(lift(spark, d, "nation"), P("?n <urn:p:n_regionkey> ?r")), P("?n <urn:p:has> ?z"))
+
+
+@query("alloc_per_value", "SELECT '<urn:customer:' || c_custkey || '>' AS s, '<urn:p:group>' AS p, '_:sk' || sha256('alloc|\"' || c_mktsegment || '\"') AS o FROM customer")
+def _(spark, d):
+    rule = R.Rule("segments", P("?c <urn:p:c_mktsegment> ?m"), P("?c <urn:p:group> ?g"), R.allocate("g", "m"))
+    return rule.forward(lift(spark, d, "customer"))
+
+
+@query("fwd_rule_soldin", f"SELECT '<urn:orders:' || o_orderkey || '>' AS s, '<urn:p:soldIn>' AS p, '<urn:region:' || r_regionkey || '>' AS o FROM {CHAIN} WHERE r_name = 'ASIA'")
+def _(spark, d):
+    return R.Rule("soldIn", P(CHAIN_PATTERN), P("?ord <urn:p:soldIn> ?r")).forward(lift(spark, d, "orders", "customer", "nation", "region"))
+
+
+@query("fwd_rule_grandparent", "SELECT DISTINCT '<urn:customer:' || c_custkey || '>' AS s, '<urn:p:region>' AS p, '<urn:region:' || n_regionkey || '>' AS o FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def _(spark, d):
+    return R.Rule("region", P("?c <urn:p:c_nationkey> ?n . ?n <urn:p:n_regionkey> ?r"), P("?c <urn:p:region> ?r")).forward(lift(spark, d, "customer", "nation"))
+
+
+@query("fwd_rule_sibling_ne", "SELECT '<urn:nation:' || a.n_nationkey || '>' AS s, '<urn:p:near>' AS p, '<urn:nation:' || b.n_nationkey || '>' AS o FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey")
+def _(spark, d):
+    rule = R.Rule("near", P("?a <urn:p:n_regionkey> ?r . ?b <urn:p:n_regionkey> ?r"), P("?a <urn:p:near> ?b"), R.where(Q.different("a", "b")))
+    return rule.forward(lift(spark, d, "nation"))
+
+
+# Graphs as sets
+
+
+def _halves(spark, d):
+    g = G.extract(lift(spark, d, "customer"), F.col("p") == "<urn:p:c_nationkey>")
+    key = F.regexp_extract("s", r"(\d+)>", 1).cast("long")
+    return g.where(key <= 900), g.where(key > 600)
+
+
+HALF = "SELECT '<urn:customer:' || c_custkey || '>' AS s, '<urn:p:c_nationkey>' AS p, '<urn:nation:' || c_nationkey || '>' AS o FROM customer WHERE c_custkey"
+
+
+@query("graph_add", f"{HALF} <= 900 UNION {HALF} > 600")
+def _(spark, d):
+    return G.add(*_halves(spark, d))
+
+
+@query("graph_delete", f"{HALF} <= 600")
+def _(spark, d):
+    return G.delete(*_halves(spark, d))
+
+
+@query("graph_diff", f"SELECT *, '<' AS side FROM ({HALF} <= 600) UNION ALL SELECT *, '>' FROM ({HALF} > 900)")
+def _(spark, d):
+    return G.difference(*_halves(spark, d))
+
+
+@query("graph_merge_count", "SELECT count(*) AS n FROM (SELECT n_nationkey FROM nation UNION ALL SELECT n_nationkey FROM nation WHERE n_regionkey < 3)")
+def _(spark, d):
+    g = read(spark, d, "nation").select(F.concat(F.lit("_:n"), "n_nationkey").alias("s"), F.lit("<urn:p:name>").alias("p"), T.plain("n_name").alias("o"), "n_regionkey")
+    return G.merge(g.select(*G.SPO), g.where("n_regionkey < 3").select(*G.SPO)).agg(F.count("*").alias("n"))
+
+
+@query("graph_subset", "SELECT true AS inside, false AS outside")
+def _(spark, d):
+    a, b = _halves(spark, d)
+    return spark.createDataFrame([(G.contained(G.delete(a, b), a), G.contained(b, a))], "inside boolean, outside boolean")
+
+
+@query("subject_tree", "SELECT '<urn:region:' || n_regionkey || '>' AS s, '<urn:p:holds>' AS p, list(DISTINCT '<urn:nation:' || n_nationkey || '>' ORDER BY '<urn:nation:' || n_nationkey || '>')::VARCHAR AS o FROM nation GROUP BY n_regionkey")
+def _(spark, d):
+    g = R.Rule("holds", P("?n <urn:p:n_regionkey> ?r"), P("?r <urn:p:holds> ?n")).forward(lift(spark, d, "nation"))
+    return G.by_subject(g).select("s", "p", F.concat(F.lit("["), F.array_join("o", ", "), F.lit("]")).alias("o"))
+
+
+# Built-in rules over an ontology for the tables
+
+ONTOLOGY_SQL = f"""
+o AS (
+  SELECT DISTINCT '<urn:type:' || replace(p_type, ' ', '_') || '>' AS s, '{SUBCLASS}' AS p, '<urn:class:part>' AS o FROM part
+  UNION SELECT DISTINCT '<urn:brand:' || replace(p_brand, ' ', '_') || '>', '{SUBCLASS}', '<urn:type:' || replace(p_type, ' ', '_') || '>' FROM part WHERE p_partkey <= 60
+  UNION VALUES ('<urn:class:part>', '{SUBCLASS}', '<urn:class:thing>'),
+    ('<urn:p:o_custkey>', '{DOMAIN}', '<urn:class:orders>'), ('<urn:p:o_custkey>', '{RANGE}', '<urn:class:customer>'),
+    ('<urn:p:c_nationkey>', '{SUBPROPERTY}', '<urn:p:locatedIn>'), ('<urn:p:n_regionkey>', '{SUBPROPERTY}', '<urn:p:locatedIn>'),
+    ('<urn:p:locatedIn>', '{SUBPROPERTY}', '<urn:p:related>'), ('<urn:p:locatedIn>', '{DOMAIN}', '<urn:class:place>'),
+    ('<urn:p:locatedIn>', '{RANGE}', '<urn:class:place>'), ('<urn:class:place>', '{SUBCLASS}', '<urn:class:thing>'),
+    ('<urn:p:x>', @TYPE, '<@RDFProperty>'), ('<urn:class:thing>', @TYPE, '<@RDFSClass>'), ('<urn:class:place>', @TYPE, '<@RDFSClass>'),
+    ('<@RDF_1>', @TYPE, '<@RDFSContainerMembershipProperty>'), ('<{INTEGER}>', @TYPE, '<@RDFSDatatype>'), ('<{STRING}>', @TYPE, '<@RDFSDatatype>')),
+n AS (
+  SELECT '<urn:customer:' || c_custkey || '>' AS s, '<urn:p:c_nationkey>' AS p, '<urn:nation:' || c_nationkey || '>' AS o FROM customer
+  UNION SELECT '<urn:nation:' || n_nationkey || '>', '<urn:p:n_regionkey>', '<urn:region:' || n_regionkey || '>' FROM nation
+  UNION SELECT '<urn:nation:' || n_nationkey || '>', '<urn:p:n_name>', '"' || n_name || '"' FROM nation
+  UNION SELECT '<urn:region:' || r_regionkey || '>', '<@RDF_' || (r_regionkey + 1) || '>', '"' || r_regionkey || @INT FROM region
+  UNION SELECT '<urn:part:' || p_partkey || '>', @TYPE, '<urn:brand:' || replace(p_brand, ' ', '_') || '>' FROM part WHERE p_partkey <= 60),
+g AS (SELECT * FROM o UNION SELECT * FROM n)"""
+
+
+def _ontology(spark, d) -> DataFrame:
+    p = read(spark, d, "part")
+    kind, brand = T.iri("urn:type:", F.replace(F.col("p_type"), F.lit(" "), F.lit("_"))), T.iri("urn:brand:", F.replace(F.col("p_brand"), F.lit(" "), F.lit("_")))
+    few = p.where("p_partkey <= 60")
+    fixed = [
+        ("<urn:class:part>", SUBCLASS, "<urn:class:thing>"),
+        ("<urn:p:o_custkey>", DOMAIN, "<urn:class:orders>"),
+        ("<urn:p:o_custkey>", RANGE, "<urn:class:customer>"),
+        ("<urn:p:c_nationkey>", SUBPROPERTY, "<urn:p:locatedIn>"),
+        ("<urn:p:n_regionkey>", SUBPROPERTY, "<urn:p:locatedIn>"),
+        ("<urn:p:locatedIn>", SUBPROPERTY, "<urn:p:related>"),
+        ("<urn:p:locatedIn>", DOMAIN, "<urn:class:place>"),
+        ("<urn:p:locatedIn>", RANGE, "<urn:class:place>"),
+        ("<urn:class:place>", SUBCLASS, "<urn:class:thing>"),
+        ("<urn:p:x>", TYPE, f"<{RDF}Property>"),
+        ("<urn:class:thing>", TYPE, f"<{RDFS}Class>"),
+        ("<urn:class:place>", TYPE, f"<{RDFS}Class>"),
+        (f"<{RDF}_1>", TYPE, f"<{RDFS}ContainerMembershipProperty>"),
+        (f"<{INTEGER}>", TYPE, f"<{RDFS}Datatype>"),
+        (f"<{STRING}>", TYPE, f"<{RDFS}Datatype>"),
+    ]
+    g = graph_of(spark, fixed)
+    g = g.union(p.select(kind, F.lit(SUBCLASS), F.lit("<urn:class:part>"))).union(few.select(brand, F.lit(SUBCLASS), kind)).union(few.select(T.iri("urn:part:", "p_partkey"), F.lit(TYPE), brand))
+    data = lift(spark, d, "customer", "nation").where(F.col("p").isin("<urn:p:c_nationkey>", "<urn:p:n_regionkey>", "<urn:p:n_name>"))
+    members = read(spark, d, "region").select(T.iri("urn:region:", "r_regionkey"), T.iri(f"{RDF}_", F.col("r_regionkey") + 1), T.integer("r_regionkey"))
+    return g.union(data).union(members).distinct()
+
+
+_SK = "'_:sk' || sha256('rdf:lg|' || o)"
+_TYPED = {
+    "rdf_r1": f"SELECT DISTINCT p AS s, @TYPE AS p, '<@RDFProperty>' AS o FROM g",
+    "rdf_lg": f"SELECT s, p, {_SK} AS o FROM g WHERE o LIKE '\"%' UNION SELECT {_SK}, '{ALLOCATED}', o FROM g WHERE o LIKE '\"%'",
+    "rdf_cp1": "SELECT DISTINCT p AS s, @TYPE AS p, '<@RDFProperty>' AS o FROM g WHERE regexp_matches(p, '^<@RDF_[0-9]*>$')",
+    "rdf_cp2": "SELECT DISTINCT s, @TYPE AS p, '<@RDFProperty>' AS o FROM g WHERE regexp_matches(s, '^<@RDF_[0-9]*>$')",
+    "rdf_cp3": "SELECT DISTINCT o AS s, @TYPE AS p, '<@RDFProperty>' AS o FROM g WHERE regexp_matches(o, '^<@RDF_[0-9]*>$')",
+    "rdfs_r2": f"SELECT DISTINCT g.s, @TYPE AS p, d.o FROM g JOIN g d ON d.s = g.p AND d.p = '{DOMAIN}'",
+    "rdfs_r3": f"SELECT DISTINCT g.o AS s, @TYPE AS p, d.o FROM g JOIN g d ON d.s = g.p AND d.p = '{RANGE}' WHERE g.o NOT LIKE '\"%'",
+    "rdfs_r4a": "SELECT DISTINCT s, @TYPE AS p, '<@RDFSResource>' AS o FROM g",
+    "rdfs_r4b": "SELECT DISTINCT o AS s, @TYPE AS p, '<@RDFSResource>' AS o FROM g WHERE o NOT LIKE '\"%'",
+    "rdfs_r5": f"SELECT DISTINCT a.s, '{SUBPROPERTY}' AS p, b.o FROM g a JOIN g b ON a.o = b.s AND a.p = '{SUBPROPERTY}' AND b.p = a.p",
+    "rdfs_r6": f"SELECT s, '{SUBPROPERTY}' AS p, s AS o FROM g WHERE p = @TYPE AND o = '<@RDFProperty>'",
+    "rdfs_r7": f"SELECT DISTINCT g.s, d.o AS p, g.o FROM g JOIN g d ON d.s = g.p AND d.p = '{SUBPROPERTY}'",
+    "rdfs_r8": f"SELECT s, '{SUBCLASS}' AS p, '<@RDFSResource>' AS o FROM g WHERE p = @TYPE AND o = '<@RDFSClass>'",
+    "rdfs_r9": f"SELECT DISTINCT t.s, @TYPE AS p, c.o FROM g t JOIN g c ON t.o = c.s AND c.p = '{SUBCLASS}' WHERE t.p = @TYPE",
+    "rdfs_r10": f"SELECT s, '{SUBCLASS}' AS p, s AS o FROM g WHERE p = @TYPE AND o = '<@RDFSClass>'",
+    "rdfs_r11": f"SELECT DISTINCT a.s, '{SUBCLASS}' AS p, b.o FROM g a JOIN g b ON a.o = b.s AND a.p = '{SUBCLASS}' AND b.p = a.p",
+    "rdfs_r12": f"SELECT s, '{SUBPROPERTY}' AS p, '<@RDFSmember>' AS o FROM g WHERE p = @TYPE AND o = '<@RDFSContainerMembershipProperty>'",
+    "rdfs_r13": f"SELECT s, '{SUBCLASS}' AS p, '<@RDFSLiteral>' AS o FROM g WHERE p = @TYPE AND o = '<@RDFSDatatype>'",
+    "rdfs_cp11": "SELECT DISTINCT p AS s, @TYPE AS p, '<@RDFSContainerMembershipProperty>' AS o FROM g WHERE regexp_matches(p, '^<@RDF_[0-9]*>$')",
+    "rdfs_cp21": f"SELECT DISTINCT p AS s, '{DOMAIN}' AS p, '<@RDFSResource>' AS o FROM g WHERE regexp_matches(p, '^<@RDF_[0-9]*>$')",
+    "rdfs_cp31": f"SELECT DISTINCT p AS s, '{RANGE}' AS p, '<@RDFSResource>' AS o FROM g WHERE regexp_matches(p, '^<@RDF_[0-9]*>$')",
+    "extensional_ext1": f"SELECT DISTINCT a.s, '{DOMAIN}' AS p, b.o FROM g a JOIN g b ON a.o = b.s AND a.p = '{DOMAIN}' AND b.p = '{SUBCLASS}'",
+    "extensional_ext2": f"SELECT DISTINCT a.s, '{RANGE}' AS p, b.o FROM g a JOIN g b ON a.o = b.s AND a.p = '{RANGE}' AND b.p = '{SUBCLASS}'",
+    "extensional_ext3": f"SELECT DISTINCT b.s, '{DOMAIN}' AS p, a.o FROM g a JOIN g b ON a.s = b.o AND a.p = '{DOMAIN}' AND b.p = '{SUBPROPERTY}'",
+    "extensional_ext4": f"SELECT DISTINCT b.s, '{RANGE}' AS p, a.o FROM g a JOIN g b ON a.s = b.o AND a.p = '{RANGE}' AND b.p = '{SUBPROPERTY}'",
+    "rdfd_r2": f"SELECT s, p, '\"' || regexp_extract(o, '\"([0-9]+)\"', 1) || @INT AS o FROM g WHERE o LIKE '%' || @INT",
+    "xsd_string_ls": "SELECT s, p, o || @STRING AS o FROM g WHERE o LIKE '\"%\"'",
+}
+for _name, _sql in _TYPED.items():
+    _set, _, _rule = _name.rpartition("_")
+    query(_name, f"WITH {ONTOLOGY_SQL} {_sql}")(lambda spark, d, r=f"{_set}:{_rule}": R.find_rule(r).forward(_ontology(spark, d)))
+
+
+def _allocated(spark, d) -> DataFrame:
+    g = _ontology(spark, d)
+    xml = read(spark, d, "region").select(T.iri("urn:region:", "r_regionkey").alias("s"), F.lit("<urn:p:xml>").alias("p"), T.typed("r_name", XML_LITERAL).alias("o"))
+    return R.find_rule("rdf:lg").forward(g.union(xml))
+
+
+_ALLOCATED = f"""WITH {ONTOLOGY_SQL}, x AS (SELECT * FROM g UNION SELECT '<urn:region:' || r_regionkey || '>', '<urn:p:xml>', '"' || r_name || '"^^<{XML_LITERAL}>' FROM region),
+l AS (SELECT s, p, {_SK} AS b, o FROM x WHERE o LIKE '\"%')"""
+for _name, _sql in {
+    "rdf_gl": "SELECT s, p, o FROM l",
+    "rdf_r2": f"SELECT DISTINCT b AS s, @TYPE AS p, '<{XML_LITERAL}>' AS o FROM l WHERE o LIKE '%^^<{XML_LITERAL}>'",
+    "rdfs_r1": "SELECT DISTINCT b AS s, @TYPE AS p, '<@RDFSLiteral>' AS o FROM l WHERE o LIKE '%\"'",
+}.items():
+    _set, _, _rule = _name.rpartition("_")
+    query(_name, f"{_ALLOCATED} {_sql}")(lambda spark, d, r=f"{_set}:{_rule}": R.find_rule(r).forward(_allocated(spark, d)))
+
+
+@query("rdfd_r1", f"{_ALLOCATED} SELECT DISTINCT b AS s, @TYPE AS p, '<{INTEGER}>' AS o FROM l WHERE o LIKE '%' || @INT")
+def _(spark, d):
+    types = graph_of(spark, [(f"<{INTEGER}>", TYPE, f"<{RDFS}Datatype>")])
+    return R.find_rule("rdfd:r1").forward(_allocated(spark, d).union(types))
+
+
+for _name, _p in (("rdfs_r11_closure", SUBCLASS), ("rdfs_r5_closure", SUBPROPERTY)):
+
+    @query(_name, f"WITH RECURSIVE {ONTOLOGY_SQL}, r AS (SELECT s, o FROM g WHERE p = '{_p}' UNION SELECT r.s, g.o FROM r JOIN g ON r.o = g.s AND g.p = '{_p}') SELECT s, o FROM r")
+    def _(spark, d, p=_p):
+        return R.transitive(_ontology(spark, d).where(F.col("p") == p))
+
+
+@query(
+    "rdfs_full_closure",
+    f"""WITH RECURSIVE {ONTOLOGY_SQL},
+sp AS (SELECT s, o FROM g WHERE p = '{SUBPROPERTY}' UNION SELECT sp.s, g.o FROM sp JOIN g ON sp.o = g.s AND g.p = '{SUBPROPERTY}'),
+sc AS (SELECT s, o FROM g WHERE p = '{SUBCLASS}' UNION SELECT sc.s, g.o FROM sc JOIN g ON sc.o = g.s AND g.p = '{SUBCLASS}'),
+a AS (SELECT * FROM g UNION SELECT s, '{SUBPROPERTY}', o FROM sp UNION SELECT s, '{SUBCLASS}', o FROM sc UNION SELECT g.s, sp.o, g.o FROM g JOIN sp ON g.p = sp.s),
+t AS (SELECT * FROM a UNION SELECT a.s, @TYPE, d.o FROM a JOIN g d ON d.s = a.p AND d.p = '{DOMAIN}' UNION SELECT a.o, @TYPE, d.o FROM a JOIN g d ON d.s = a.p AND d.p = '{RANGE}' WHERE a.o NOT LIKE '"%')
+SELECT * FROM t UNION SELECT t.s, @TYPE, sc.o FROM t JOIN sc ON t.o = sc.s WHERE t.p = @TYPE""",
+)
+def _(spark, d):
+    return R.rdfs_closure(_ontology(spark, d))
+
+
+@query("axioms_count", "SELECT 48::BIGINT AS n")
+def _(spark, d):
+    return graph_of(spark, R.RDF_AXIOMS + R.RDFS_AXIOMS).distinct().agg(F.count("*").alias("n"))
+
+
+# Backward steps
+
+
+@query("bwd_candidates", "SELECT * FROM (VALUES (0, 0, 'a', '<urn:x>'), (0, 0, 'c', '<urn:y>'), (1, 0, 'a', '<urn:x>'), (1, 0, 'c', '<urn:z>')) t(goal, head, variable, term)")
+def _(spark, d):
+    goals = P("<urn:x> <urn:grand> <urn:y> . <urn:x> <urn:grand> <urn:z>")
+    return R.Rule("grand", P("?a <urn:child> ?b . ?b <urn:child> ?c"), P("?a <urn:grand> ?c")).backward(goals, spark)
+
+
+@query("bwd_filter_all", "SELECT o_custkey AS alternative, '<urn:orders:' || o_orderkey || '>' AS x FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
+def _(spark, d):
+    b = read(spark, d, "orders").select(F.col("o_custkey").alias("alternative"), T.iri("urn:orders:", "o_orderkey").alias("x"), T.plain("o_orderstatus").alias("status"))
+    return Q.keep_alternatives(b, F.col("status") != '"P"').select("alternative", "x")
+
+
+# Class restrictions
+
+
+def _sums(spark, d, wrong: bool) -> DataFrame:
+    """A bag node for each part with size and key as second and third members, and for some the sum as first."""
+    p = read(spark, d, "part")
+    node = F.concat(F.lit("_:n"), "p_partkey")
+    member = lambda i, v, rows=p: rows.select(node.alias("s"), F.lit(f"<{RDF}_{i}>").alias("p"), T.integer(v).alias("o"))
+    g = p.select(node.alias("s"), F.lit(TYPE).alias("p"), F.lit("<urn:Sum>").alias("o"))
+    third = p.where("p_partkey % 3 = 0")
+    given = F.col("p_size") + F.col("p_partkey") + (F.lit(1) if wrong else F.lit(0))
+    return g.union(member(2, "p_size")).union(member(3, "p_partkey")).union(member(1, given, third))
+
+
+@query("restriction_sum_forward", f"SELECT '_:n' || p_partkey AS s, '<@RDF_1>' AS p, '\"' || (p_size + p_partkey) || @INT AS o FROM part WHERE p_partkey % 3 <> 0")
+def _(spark, d):
+    return E.restrict(_sums(spark, d, False), "<urn:Sum>", M.INTEGER["sum"])
+
+
+@query("restriction_false_graph", f"SELECT '_:a' AS s, '{E.FALSE}' AS p, '_:b' AS o")
+def _(spark, d):
+    return E.restrict(_sums(spark, d, True), "<urn:Sum>", M.INTEGER["sum"])
+
+
+@query("restriction_cardinality", f"SELECT '<urn:customer:' || o_custkey || '>' AS s, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 10")
+def _(spark, d):
+    g = lift(spark, d, "orders").where(F.col("p") == "<urn:p:o_custkey>")
+    return g.groupBy(F.col("o").alias("s")).agg(F.count("*").alias("n")).where("n > 10")
+
+
+# Partial orders, isomorphism, partitions
+
+for _name, _least, _op in (("skyline_maxima", False, ">"), ("skyline_minima", True, "<")):
+
+    @query(_name, f"SELECT DISTINCT p_size, p_retailprice FROM part a WHERE NOT EXISTS (SELECT 1 FROM part b WHERE b.p_size {_op}= a.p_size AND b.p_retailprice {_op}= a.p_retailprice AND (b.p_size {_op} a.p_size OR b.p_retailprice {_op} a.p_retailprice))")
+    def _(spark, d, least=_least):
+        return E.maxima(read(spark, d, "part"), ["p_size", "p_retailprice"], least)
+
+
+def _ring(spark, d, stem: str, shift: int) -> DataFrame:
+    n = read(spark, d, "nation")
+    at = lambda c: F.concat(F.lit(f"_:{stem}"), ((c * shift) % 25).cast("string"))
+    return n.select(at(F.col("n_nationkey")).alias("s"), F.lit("<urn:p:next>").alias("p"), at((F.col("n_nationkey") + 1) % 25).alias("o"))
+
+
+@query("iso_equal", "SELECT true AS same")
+def _(spark, d):
+    return spark.createDataFrame([(E.isomorphic(_ring(spark, d, "a", 1), _ring(spark, d, "b", 2)),)], "same boolean")
+
+
+@query("iso_not_equal", "SELECT false AS same")
+def _(spark, d):
+    a = _ring(spark, d, "a", 1)
+    b = _ring(spark, d, "b", 2).where("s <> '_:b0'").union(graph_of(spark, [("_:b0", "<urn:p:next>", "_:b0")]))
+    return spark.createDataFrame([(E.isomorphic(a, b),)], "same boolean")
+
+
+@query("colour_refine_1", "SELECT n, count(*) AS nodes FROM (SELECT n_regionkey, count(*) AS n FROM nation GROUP BY ALL) GROUP BY n")
+def _(spark, d):
+    g = read(spark, d, "nation").select(T.iri("urn:nation:", F.lit(0)).alias("s"), F.lit("<urn:p:in>").alias("p"), F.concat(F.lit("_:r"), "n_regionkey").alias("o"), "n_nationkey")
+    g = g.select(F.concat(F.lit("<urn:nation:"), "n_nationkey", F.lit(">")).alias("s"), "p", "o")
+    c = E.colours(g, 1).where(T.is_blank("term"))
+    sizes = g.groupBy(F.col("o").alias("term")).agg(F.count("*").alias("n"))
+    return c.join(sizes, "term").groupBy("n").agg(F.countDistinct("colour").alias("nodes"))
+
+
+@query("partition_indegree", "SELECT '<urn:nation:' || n_nationkey || '>' AS term, count(c_custkey) AS n FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey")
+def _(spark, d):
+    g = lift(spark, d, "nation", "customer")
+    return E.references(g).where(F.col("term").startswith("<urn:nation:"))
+
+
+@query("partition_top_level", "SELECT '_:n' || n_regionkey AS term FROM nation GROUP BY n_regionkey HAVING count(*) <> 1")
+def _(spark, d):
+    n = read(spark, d, "nation")
+    g = n.select(F.concat(F.lit("_:n"), "n_regionkey").alias("s"), F.lit("<urn:p:k>").alias("p"), F.concat(F.lit("_:n"), "n_regionkey").alias("o"), "n_nationkey")
+    return E.top_level(g)
+
+
+# URIs and dates
+
+URL = "SELECT page_id, url FROM pages"
+
+
+@query("uri_split", "SELECT page_id, substr(url, 1, length(url) - length(regexp_extract(url, '([A-Za-z_][A-Za-z0-9_.-]*)$', 1))) AS namespace, regexp_extract(url, '([A-Za-z_][A-Za-z0-9_.-]*)$', 1) AS local FROM pages")
+def _(spark, d):
+    ns, local = T.split_uri("url")
+    return read(spark, d, "pages").select("page_id", ns.alias("namespace"), local.alias("local"))
+
+
+@query("uri_fragment", "SELECT page_id, url || '#p' || page_id AS full, url AS base, 'p' || page_id AS fragment FROM pages WHERE url NOT LIKE '%#%'")
+def _(spark, d):
+    p = read(spark, d, "pages").where(~F.col("url").contains("#"))
+    full = U.with_fragment("url", F.concat(F.lit("p"), "page_id"))
+    return p.select("page_id", full.alias("full"), U.without_fragment(full).alias("base"), U.fragment(full).alias("fragment"))
+
+
+@query("uri_valid", "SELECT page_id, regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*:([A-Za-z0-9_.!~*''();/?:@&=+$,-]|\\[|\\]|%[0-9A-Fa-f]{2})+$') AS absolute FROM pages")
+def _(spark, d):
+    return read(spark, d, "pages").select("page_id", U.is_absolute("url").alias("absolute"))
+
+
+@query("uri_resolve", "SELECT page_id, 'http://h.example/a/x' || page_id || '/c' AS full FROM pages")
+def _(spark, d):
+    return read(spark, d, "pages").select("page_id", U.resolve(F.lit("http://h.example/a/b/z?q"), F.concat(F.lit("./../x"), "page_id", F.lit("/./c"))).alias("full"))
+
+
+@query("date_days1900", "SELECT o_orderkey, date_diff('day', DATE '1900-01-01', o_orderdate::DATE)::INTEGER AS days FROM orders")
+def _(spark, d):
+    return read(spark, d, "orders").select("o_orderkey", U.day_number(F.col("o_orderdate").cast("date")).alias("days"))
+
+
+@query("date_from_days", "SELECT o_orderkey, o_orderdate::DATE AS day FROM orders")
+def _(spark, d):
+    return read(spark, d, "orders").select("o_orderkey", U.from_day_number(U.day_number(F.col("o_orderdate").cast("date"))).alias("day"))
+
+
+@query("date_add", "SELECT event_id, strftime(ts + INTERVAL 90 MINUTE, '%Y-%m-%d %H:%M:%S') AS later FROM events")
+def _(spark, d):
+    return read(spark, d, "events").select("event_id", F.date_format(F.timestamp_add("MINUTE", F.lit(90), "ts"), "yyyy-MM-dd HH:mm:ss").alias("later"))
+
+
+@query("date_leap", "SELECT DISTINCT year(o_orderdate)::INTEGER AS y, (year(o_orderdate) % 4 = 0 AND year(o_orderdate) % 100 <> 0) OR year(o_orderdate) % 400 = 0 AS leap, day(last_day(make_date(year(o_orderdate), 2, 1)))::INTEGER AS february FROM orders")
+def _(spark, d):
+    y = read(spark, d, "orders").select(F.year("o_orderdate").alias("y")).distinct()
+    return y.select("y", U.leap_year("y").alias("leap"), U.days_in_month("y", F.lit(2)).alias("february"))
+
+
+@query("date_tz_norm", "SELECT event_id, strftime(ts - INTERVAL (event_id % 24 - 12) HOUR, '%Y-%m-%d %H:%M:%S') AS utc FROM events")
+def _(spark, d):
+    return read(spark, d, "events").select("event_id", F.date_format(U.to_utc("ts", (F.col("event_id") % 24 - 12) * 60), "yyyy-MM-dd HH:mm:ss").alias("utc"))

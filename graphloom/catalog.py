@@ -106,9 +106,9 @@ def _(spark, d):
     return G.subjects(lift(spark, d, "nation"), "<urn:p:n_regionkey>", "<urn:region:1>")
 
 
-@query("pred_int_values", "SELECT '<urn:part:' || p_partkey || '>' AS s, p_size::DECIMAL(38,0) AS value FROM part")
+@query("pred_int_values", "SELECT '<urn:part:' || p_partkey || '>' AS s, p_size::BIGINT AS value FROM part")
 def _(spark, d):
-    return G.integer_objects(lift(spark, d, "part"), "<urn:p:p_size>")
+    return G.integer_objects(lift(spark, d, "part"), "<urn:p:p_size>").select("s", F.col("value").cast("long").alias("value"))
 
 
 @query("labels_distinct", f"SELECT s AS term FROM ({CUSTOMER}) UNION SELECT p FROM ({CUSTOMER}) UNION SELECT o FROM ({CUSTOMER})")
@@ -420,13 +420,13 @@ def _(spark, d):
     return G.merge(g.select(*G.SPO), g.where("n_regionkey < 3").select(*G.SPO)).agg(F.count("*").alias("n"))
 
 
-@query("graph_subset", "SELECT true AS inside, false AS outside")
+@query("graph_subset", "SELECT true AS inside, NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey > 900) AS outside")
 def _(spark, d):
     a, b = _halves(spark, d)
     return spark.createDataFrame([(G.contained(G.delete(a, b), a), G.contained(b, a))], "inside boolean, outside boolean")
 
 
-@query("subject_tree", "SELECT '<urn:region:' || n_regionkey || '>' AS s, '<urn:p:holds>' AS p, list(DISTINCT '<urn:nation:' || n_nationkey || '>' ORDER BY '<urn:nation:' || n_nationkey || '>')::VARCHAR AS o FROM nation GROUP BY n_regionkey")
+@query("subject_tree", "SELECT '<urn:region:' || n_regionkey || '>' AS s, '<urn:p:holds>' AS p, '[' || array_to_string(list(DISTINCT '<urn:nation:' || n_nationkey || '>' ORDER BY '<urn:nation:' || n_nationkey || '>'), ', ') || ']' AS o FROM nation GROUP BY n_regionkey")
 def _(spark, d):
     g = R.Rule("holds", P("?n <urn:p:n_regionkey> ?r"), P("?r <urn:p:holds> ?n")).forward(lift(spark, d, "nation"))
     return G.by_subject(g).select("s", "p", F.concat(F.lit("["), F.array_join("o", ", "), F.lit("]")).alias("o"))
@@ -442,7 +442,7 @@ o AS (
     ('<urn:p:o_custkey>', '{DOMAIN}', '<urn:class:orders>'), ('<urn:p:o_custkey>', '{RANGE}', '<urn:class:customer>'),
     ('<urn:p:c_nationkey>', '{SUBPROPERTY}', '<urn:p:locatedIn>'), ('<urn:p:n_regionkey>', '{SUBPROPERTY}', '<urn:p:locatedIn>'),
     ('<urn:p:locatedIn>', '{SUBPROPERTY}', '<urn:p:related>'), ('<urn:p:locatedIn>', '{DOMAIN}', '<urn:class:place>'),
-    ('<urn:p:locatedIn>', '{RANGE}', '<urn:class:place>'), ('<urn:class:place>', '{SUBCLASS}', '<urn:class:thing>'),
+    ('<urn:p:locatedIn>', '{RANGE}', '<urn:class:place>'), ('<urn:p:c_nationkey>', '{DOMAIN}', '<urn:class:customer>'), ('<urn:p:c_nationkey>', '{RANGE}', '<urn:class:place>'), ('<urn:class:place>', '{SUBCLASS}', '<urn:class:thing>'),
     ('<urn:p:x>', @TYPE, '<@RDFProperty>'), ('<urn:class:thing>', @TYPE, '<@RDFSClass>'), ('<urn:class:place>', @TYPE, '<@RDFSClass>'),
     ('<@RDF_1>', @TYPE, '<@RDFSContainerMembershipProperty>'), ('<{INTEGER}>', @TYPE, '<@RDFSDatatype>'), ('<{STRING}>', @TYPE, '<@RDFSDatatype>')),
 n AS (
@@ -467,6 +467,8 @@ def _ontology(spark, d) -> DataFrame:
         ("<urn:p:locatedIn>", SUBPROPERTY, "<urn:p:related>"),
         ("<urn:p:locatedIn>", DOMAIN, "<urn:class:place>"),
         ("<urn:p:locatedIn>", RANGE, "<urn:class:place>"),
+        ("<urn:p:c_nationkey>", DOMAIN, "<urn:class:customer>"),
+        ("<urn:p:c_nationkey>", RANGE, "<urn:class:place>"),
         ("<urn:class:place>", SUBCLASS, "<urn:class:thing>"),
         ("<urn:p:x>", TYPE, f"<{RDF}Property>"),
         ("<urn:class:thing>", TYPE, f"<{RDFS}Class>"),
@@ -692,9 +694,9 @@ def _(spark, d):
     return read(spark, d, "orders").select("o_orderkey", U.day_number(F.col("o_orderdate").cast("date")).alias("days"))
 
 
-@query("date_from_days", "SELECT o_orderkey, o_orderdate::DATE AS day FROM orders")
+@query("date_from_days", "SELECT o_orderkey, strftime(o_orderdate::DATE, '%Y-%m-%d') AS day FROM orders")
 def _(spark, d):
-    return read(spark, d, "orders").select("o_orderkey", U.from_day_number(U.day_number(F.col("o_orderdate").cast("date"))).alias("day"))
+    return read(spark, d, "orders").select("o_orderkey", U.from_day_number(U.day_number(F.col("o_orderdate").cast("date"))).cast("string").alias("day"))
 
 
 @query("date_add", "SELECT event_id, strftime(ts + INTERVAL 90 MINUTE, '%Y-%m-%d %H:%M:%S') AS later FROM events")

@@ -14,7 +14,7 @@ from ..functions.vocab import RDF, TYPE
 from .graph import SPO, add, contained, delete, equivalent
 from .modifiers import Modifier
 from .query import Pattern, entails
-from .rules import Rule, Ruleset
+from .rules import Rule, Ruleset, _settle
 
 
 def rows_of(graph: DataFrame, most: int) -> list[tuple[str, str, str]]:
@@ -58,11 +58,12 @@ def colours(graph: DataFrame, rounds: int) -> DataFrame:
             known = known.join(found.select(F.col("term").alias(c), F.col("colour").alias(f"c{c}")), c)
         sides = [known.select(F.col(c).alias("term"), F.xxhash64(F.lit(c), "cs", "cp", "co").alias("h")) for c in SPO]
         sums = reduce(DataFrame.union, sides).groupBy("term").agg(F.sum(F.col("h").cast("decimal(38,0)")).alias("h"))
-        found = found.join(sums, "term").select("term", F.when(blank("term"), F.xxhash64("colour", "h")).otherwise(F.col("colour")).alias("colour"))
+        # each round reads the last three times: without a cut the plan would grow as 3**rounds
+        found = _settle(found.join(sums, "term").select("term", F.when(blank("term"), F.xxhash64("colour", "h")).otherwise(F.col("colour")).alias("colour")))
     return found
 
 
-def isomorphic(a: DataFrame, b: DataFrame, most: int = 400, rounds: int = 4) -> bool:
+def isomorphic(a: DataFrame, b: DataFrame, most: int = 400, rounds: int = 2) -> bool:
     """Equal up to the names of blank nodes and variables.
 
     Ground triples are compared as sets on Spark, then the histograms of refined colours; only if these agree are
@@ -83,7 +84,16 @@ def isomorphic(a: DataFrame, b: DataFrame, most: int = 400, rounds: int = 4) ->
     by_colour: dict[int, list[str]] = {}
     for t, c in of_b.items():
         by_colour.setdefault(c, []).append(t)
-    todo = sorted((t for t in of_a if t[:1] in "_?"), key=lambda t: (len(by_colour[of_a[t]]), t))
+    near: dict[str, set[str]] = {}
+    for t in ta:
+        for x in t:
+            near.setdefault(x, set()).update(t)
+    left, todo = {t for t in of_a if t[:1] in "_?"}, []
+    while left:
+        # next to one that is matched already, if there is one; then from the smallest class
+        best = min(left, key=lambda t: (near[t].isdisjoint(todo), len(by_colour[of_a[t]]), t))
+        left.remove(best)
+        todo.append(best)
     to: dict[str, str] = {t: t for t in of_a if t[:1] not in "_?"}
 
     def fits(term: str) -> bool:

@@ -38,7 +38,7 @@ def power(a: Column, e: Column) -> Column:
     """Exact power for exponents of 0 and more; NULL beyond 38 digits and for negative exponents."""
     steps = F.sequence(F.lit(1), F.greatest(F.least(e, F.lit(130)), F.lit(1)).cast("int"))
     value = F.aggregate(steps, F.lit(1).cast(NUMBER), lambda acc, _: F.try_multiply(acc, a).try_cast(NUMBER))
-    return F.when(e == 0, F.lit(1).cast(NUMBER)).when((a == 0) | (a == 1), a).when((a == -1) & (e > 0), F.when(mod_floor(e, F.lit(2).cast(NUMBER)) == 0, F.lit(1)).otherwise(F.lit(-1)).cast(NUMBER)).when((e > 0) & (e <= 130), value)
+    return F.when(e == 0, F.lit(1).cast(NUMBER)).when(((a == 0) | (a == 1)) & (e > 0), a).when((a == -1) & (e > 0), F.when(mod_floor(e, F.lit(2).cast(NUMBER)) == 0, F.lit(1)).otherwise(F.lit(-1)).cast(NUMBER)).when((e > 0) & (e <= 130), value)
 
 
 @dataclass(frozen=True)

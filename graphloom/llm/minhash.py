@@ -19,8 +19,8 @@ from .common import Memo, connected_components, cut, slices, table
 class Sketch:
     """Registers are grouped in bands of ``rows``; base and rate space the truncated minima."""
 
-    bands: int = 36
-    rows: int = 6
+    bands: int = 28
+    rows: int = 5
     base: float = 1.001
     rate: float = 20.0
     top: int = 65_534
@@ -126,21 +126,23 @@ def shared_shingles(a: list[bytes], b: list[bytes], size: int) -> tuple[int, int
     return len(x & y), len(x | y)
 
 
-def minhash_near_dedup(docs: DataFrame, size: int = 3, percent: int = 85, sketch: Sketch = Sketch(), block: int = 256) -> DataFrame:
-    """Components of ``docs(doc_id, text)`` linked by 100 * intersection >= ``percent`` * union of word shingles.
+def near_duplicate_rows(docs: DataFrame, size: int, percent: int, sketch: Sketch = Sketch(), block: int = 256) -> DataFrame:
+    """The rows of ``docs(doc_id, text, ...)`` with n_shingles, component_id and first.
 
+    Links texts with 100 * intersection >= ``percent`` * union of their sets of ``size``-word shingles.
     Equal word sequences fold into classes. A class's bands are looked up in buckets; each member is compared
     with its bucket's first class by likelihood of the registers, then on the full sets. Buckets that are still
-    in several components are cut into blocks of about ``block`` classes, and members of different components
-    are compared block against block in tasks, until nothing is left. So no bucket is ever paired out, capped
-    or held in one task. A pair at the limit is missed with probability (1 - (percent/100)**rows)**bands.
+    in several components are cut into blocks of about ``block`` classes, and tasks compare blocks with blocks:
+    a pair meets in the first band it shares, passes the registers, and is counted on hashed full sets; only
+    links that join components leave the task, to be confirmed on the texts. So no bucket is ever paired out, capped or
+    held in one task. A pair at the limit is missed with probability (1 - (percent/100)**rows)**bands.
 
     Texts that are null or hold no word have n_shingles 0 and link with nothing; fewer than ``size`` words are one
-    shingle. Ties, repeated rows and repeated or null doc_ids are fine: one row out for each row in, and a component is
-    named by its least non-null doc_id. Other columns are ignored; no rows give an empty result.
-    Returns doc_id, n_shingles long, component_id, kept boolean.
+    shingle. Ties, repeated rows and repeated or null doc_ids are fine. A component is named by its least non-null
+    doc_id, and ``first`` marks one row of it (least doc_id, then any one). No rows give an empty result.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    taken = {"rid", "digest", "n_shingles", "regs", "component_id", "first", "d"}
+    docs = docs.drop(*(c for c in docs.columns if c.lower() in taken))
 
     @F.pandas_udf("digest binary, n long, regs binary")
     def describe(text: pd.Series) -> pd.DataFrame:
@@ -153,9 +155,9 @@ def minhash_near_dedup(docs: DataFrame, size: int = 3, percent: int = 85, sketch
             regs += [r.tobytes() if len(x) else None for r, x in zip(sketch_all(sets, sketch), sets)]
         return pd.DataFrame({"digest": digest, "n": count, "regs": regs})
 
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text", describe("text").alias("d"))
-    made = cut(rows.select("rid", "doc_id", "text", "d.digest", "d.n", "d.regs"), "shingles")
-    classes = cut(made.where("digest is not null").groupBy("digest").agg(F.min("rid").alias("cid"), F.first("n").alias("n"), F.first("regs").alias("regs")), "classes")
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), *docs.columns, describe("text").alias("d"))
+    made = cut(rows.select("rid", *docs.columns, F.col("d.digest").alias("digest"), F.col("d.n").alias("n_shingles"), F.col("d.regs").alias("regs")), "shingles")
+    classes = cut(made.where("digest is not null").groupBy("digest").agg(F.min("rid").alias("cid"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs")), "classes")
 
     def band_keys(batches):
         for pdf in batches:
@@ -163,26 +165,38 @@ def minhash_near_dedup(docs: DataFrame, size: int = 3, percent: int = 85, sketch
             key = np.full(regs.shape[:2], 1, np.uint64) * np.arange(1, sketch.bands + 1, dtype=np.uint64)
             for r in range(sketch.rows):
                 key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + regs[:, :, r])
-            yield pd.DataFrame({"key": key.view(np.int64).ravel(), "cid": np.repeat(pdf.cid.to_numpy(), sketch.bands)})
+            band = np.tile(np.arange(sketch.bands, dtype=np.int32), len(pdf))
+            yield pd.DataFrame({"key": key.view(np.int64).ravel(), "band": band, "cid": np.repeat(pdf.cid.to_numpy(), sketch.bands)})
 
-    bands = classes.select("cid", "regs").mapInPandas(band_keys, "key long, cid long")
+    bands = classes.select("cid", "regs").mapInPandas(band_keys, "key long, band int, cid long")
     first = bands.groupBy("key").agg(F.min("cid").alias("first"), F.count("*").alias("members")).where("members > 1")
-    shared = cut(bands.join(first, "key"), "bands")
+    # buckets grow with the texts, so neither side is ever small enough to send to every task
+    shared = cut(bands.join(first.hint("merge"), "key"), "bands")
     stars = shared.where("cid <> first").select(F.col("first").alias("a"), F.col("cid").alias("b")).distinct()
-    links = verified(likely(stars, classes, percent, sketch), made, classes, size, percent)
-    links = cut(links, "links")
+    links = cut(verified(likely(stars, classes, percent, sketch), made, size, percent), "links")
     roots = cut(connected_components(links.toDF("u", "v"), "near"), "near-roots")
-    more = cut(verified(remaining(shared, roots, classes, percent, sketch, block), made, classes, size, percent), "more-links")
+    more = cut(verified(remaining(shared, roots, classes, made, size, percent, sketch, block), made, size, percent), "more-links")
     if not more.isEmpty():
         roots = connected_components(links.union(more).toDF("u", "v"), "near")
     of = classes.select("digest", "cid").join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("digest", F.coalesce("root", "cid").alias("root"))
-    least = made.select("digest", "doc_id").where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id")).join(of, "digest")
-    least = cut(least, "near-named")
-    name = least.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = least.select("digest", "root").join(name, "root").select("digest", "component_id")
-    done = made.select("doc_id", "digest", "n").join(named, "digest", "left")
-    component = F.coalesce("component_id", "doc_id")
-    return done.select("doc_id", F.col("n").alias("n_shingles"), component.cast(kind).alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    order = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "rid")).alias("least")
+    least = cut(made.where("digest is not null").groupBy("digest").agg(order).join(of, "digest"), "near-named")
+    name = least.groupBy("root").agg(F.min("least").alias("least"))
+    named = least.select("digest", "root").join(name, "root").select("digest", F.col("least.doc_id").alias("component_id"), F.col("least.rid").alias("first_rid"))
+    done = made.drop("regs").join(named, "digest", "left")
+    first_row = F.coalesce(F.col("first_rid") == F.col("rid"), F.lit(True)).alias("first")
+    return done.select(*docs.columns, "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), first_row)
+
+
+def minhash_near_dedup(docs: DataFrame, size: int = 3, percent: int = 85, sketch: Sketch = Sketch()) -> DataFrame:
+    """doc_id, n_shingles long, component_id, kept boolean of ``docs(doc_id, text)``; see ``near_duplicate_rows``.
+
+    ``kept`` is doc_id = component_id, so rows that repeat one doc_id are all kept; rows without doc_id are kept
+    where nothing with a doc_id is linked to them. One row out for each row in; other columns are ignored.
+    """
+    done = near_duplicate_rows(docs.select("doc_id", "text"), size, percent, sketch)
+    kept = F.when(F.col("component_id").isNull(), True).otherwise(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    return done.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
 
 
 def _likely_pairs(a, b, na, nb, percent: int, sketch: Sketch) -> np.ndarray:
@@ -211,7 +225,7 @@ def likely(pairs: DataFrame, classes: DataFrame, percent: int, sketch: Sketch) -
     return rows.select("a", "b", "na", "nb", "ra", "rb").mapInPandas(screen, "a long, b long")
 
 
-def verified(pairs: DataFrame, made: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, made: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets meet the limit; a class's text is that of its row ``cid``."""
     text = made.select(F.col("rid").alias("cid"), "text")
     pairs = cut(pairs, "pairs")
@@ -244,31 +258,74 @@ def groups_of(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.Dat
         yield rest
 
 
-def remaining(shared: DataFrame, roots: DataFrame, classes: DataFrame, percent: int, sketch: Sketch, block: int) -> DataFrame:
+def joining_links(cid, root, n, sets, a, b, percent: int) -> list[tuple[int, int]]:
+    """Of the candidate pairs a-b (row numbers), links that join components of the block.
+
+    Sets hold 32-bit hashes, so counts may be off by a few: pairs within ``slack`` of the limit are always
+    returned and join nothing; pairs above it join their components, and later pairs inside one are dropped.
+    """
+    parent = {r: r for r in root.tolist()}
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    out, slack = [], 4
+    for x, y in zip(a.tolist(), b.tolist()):
+        rx, ry = find(root[x]), find(root[y])
+        if rx == ry:
+            continue
+        both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+        either = n[x] + n[y] - both
+        if 100 * (both + slack) < percent * (either - slack):
+            continue
+        out.append((cid[x], cid[y]))
+        if 100 * (both - slack) >= percent * (either + slack):
+            parent[max(rx, ry)] = min(rx, ry)
+    return out
+
+
+def remaining(shared: DataFrame, roots: DataFrame, classes: DataFrame, made: DataFrame, size: int, percent: int, sketch: Sketch, block: int) -> DataFrame:
     """Likely pairs (a, b) of classes that share a bucket but no component yet, and were no star's edge."""
-    member = shared.where("members > 2").join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("key", "cid", "first", "members", F.coalesce("root", "cid").alias("root"))
+    roots = roots.withColumnRenamed("node", "cid")
+    member = shared.where("members > 2").join(roots.hint("merge"), "cid", "left").select("key", "band", "cid", "first", "members", F.coalesce("root", "cid").alias("root"))
     member = cut(member, "members")
     open_ = member.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    left = member.join(open_, "key").withColumn("blocks", F.expr(f"(members + {block} - 1) div {block}")).withColumn("own", F.expr("pmod(xxhash64(cid), blocks)"))
-    left = left.select("key", "cid", "first", "root", "own", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("other"))
-    left = left.select("key", "cid", "first", "root", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    left = left.join(classes.select("cid", "n", "regs"), "cid")
+    left = cut(member.join(open_.hint("merge"), "key"), "open-members")
+
+    @F.pandas_udf("binary")
+    def small_set(text: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingle_hashes(words_of(t), size).astype(np.uint32)).tobytes() for t in text])
+
+    needed = left.select("cid").distinct()
+    text = made.select(F.col("rid").alias("cid"), "text").join(needed, "cid", "left_semi")
+    sets = text.select("cid", small_set("text").alias("set")).join(classes.select("cid", "n", "regs"), "cid")
+    left = left.withColumn("blocks", F.expr(f"(members + {block} - 1) div {block}")).withColumn("own", F.expr("pmod(xxhash64(cid), blocks)"))
+    left = left.select("key", "band", "cid", "first", "root", "own", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("other"))
+    left = left.select("key", "band", "cid", "first", "root", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
     by = ["key", "i", "j"]
-    dealt = left.repartition(*by).sortWithinPartitions(*by)
+    dealt = left.join(sets.hint("merge"), "cid").repartition(*by).sortWithinPartitions(*by)
 
     def compare(batches):
         for g in groups_of(batches, by):
             if g.root.nunique() < 2:
                 continue
             regs = np.frombuffer(b"".join(g.regs), np.uint16).reshape(len(g), -1)
-            cid, root, n = g.cid.to_numpy(), g.root.to_numpy(), g.n.to_numpy(float)
+            cid, root, n = g.cid.to_numpy(), g.root.to_numpy(), g.n.to_numpy()
             star, own = (g["first"] == g.cid).to_numpy(), g.own.to_numpy()
+            hashes = [np.frombuffer(x, np.uint32) for x in g.set]
             cross = g.i.iloc[0] != g.j.iloc[0]
             a, b = np.nonzero((root[:, None] != root[None, :]) & (cid[:, None] < cid[None, :]) & ~star[:, None] & ~star[None, :] & (not cross or own[:, None] != own[None, :]))
+            before = regs[:, : g.band.iloc[0] * sketch.rows].reshape(len(g), -1, sketch.rows)
+            ok = np.zeros(len(a), bool)
             for s in range(0, len(a), 20_000):
                 x, y = a[s : s + 20_000], b[s : s + 20_000]
-                ok = _likely_pairs(regs[x], regs[y], n[x], n[y], percent, sketch)
-                yield pd.DataFrame({"a": cid[x[ok]], "b": cid[y[ok]]})
+                met = (before[x] == before[y]).all(axis=2).any(axis=1)
+                ok[s : s + 20_000] = ~met & _likely_pairs(regs[x], regs[y], n[x].astype(float), n[y].astype(float), percent, sketch)
+            links = joining_links(cid, root, n, hashes, a[ok], b[ok], percent)
+            if links:
+                yield pd.DataFrame(links, columns=["a", "b"])
 
     return dealt.mapInPandas(compare, "a long, b long").distinct()
 

@@ -125,6 +125,17 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     return rows.mapInPandas(score, f"doc_id {kind}, held_out boolean, lang_pred string, score double, ambiguous boolean")
 
 
+def language_udf(model: LanguageModel):
+    """Column function of a text: struct of lang, score and ambiguous."""
+
+    @F.pandas_udf("lang string, score double, ambiguous boolean")
+    def language(text: pd.Series) -> pd.DataFrame:
+        parts = [pd.DataFrame(dict(zip(("lang", "score", "ambiguous"), model.predict(text[s].tolist())))) for s in slices(text)]
+        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"lang": [], "score": [], "ambiguous": []})
+
+    return language
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return identify(docs, fit_languages(docs))

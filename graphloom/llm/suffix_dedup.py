@@ -251,6 +251,16 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 32) -> DataFr
     )
 
 
+def text_of(column: str):
+    """UTF-8 text of a binary column, without characters that are not whole."""
+
+    @F.pandas_udf("string")
+    def text(data: pd.Series) -> pd.Series:
+        return data.map(lambda x: None if x is None else x.decode("utf-8", "ignore"))
+
+    return text(column)
+
+
 def op8_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")

@@ -262,6 +262,17 @@ def score_toxicity(docs: DataFrame, model: ToxicModel, threshold: float = 0.5) -
     return rows.mapInPandas(score, f"doc_id {kind}, held_out boolean, score double, predicted int, spans array<struct<start: int, end: int>>")
 
 
+def score_udf(model: ToxicModel):
+    """Column function of a text: its score; 0 for null."""
+
+    @F.pandas_udf("double")
+    def score(text: pd.Series) -> pd.Series:
+        parts = [model.score([t or "" for t in text[s]])[0] for s in slices(text)]
+        return pd.Series(np.concatenate(parts) if parts else [])
+
+    return score
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels"))).drop("spans")

@@ -49,7 +49,8 @@ def allocate(node: str, *keys: str, rule: str = "alloc") -> Change:
 
 
 def where(condition) -> Change:
-    return lambda b: b.where(F.coalesce(condition, F.lit(False)))
+    """Keeps bindings that pass a Column, or what a function without arguments makes of it when the plan is built."""
+    return lambda b: b.where(F.coalesce(condition() if callable(condition) else condition, F.lit(False)))
 
 
 def _resource(v: str):
@@ -71,21 +72,21 @@ def _canonical(b: DataFrame) -> DataFrame:
 
 #: The entailment rules of RDF.
 RDF_RULES = [
-    _rule("lg", "?x ?a ?l", "?x ?a ?b . ?b rdf:_allocatedTo ?l", where(T.is_literal("l")), allocate("b", "l", rule="rdf:lg")),
+    _rule("lg", "?x ?a ?l", "?x ?a ?b . ?b rdf:_allocatedTo ?l", where(lambda: T.is_literal("l")), allocate("b", "l", rule="rdf:lg")),
     _rule("gl", "?x ?a ?b . ?b rdf:_allocatedTo ?l", "?x ?a ?l"),
     _rule("r1", "?x ?a ?y", "?a rdf:type rdf:Property"),
-    _rule("r2", "?x ?a ?b . ?b rdf:_allocatedTo ?l", "?b rdf:type rdf:XMLLiteral", where(T.is_xml("l"))),
-    _rule("cp1", "?x ?c ?y", "?c rdf:type rdf:Property", where(T.is_member("c"))),
-    _rule("cp2", "?c ?p ?y", "?c rdf:type rdf:Property", where(T.is_member("c"))),
-    _rule("cp3", "?x ?p ?c", "?c rdf:type rdf:Property", where(T.is_member("c"))),
+    _rule("r2", "?x ?a ?b . ?b rdf:_allocatedTo ?l", "?b rdf:type rdf:XMLLiteral", where(lambda: T.is_xml("l"))),
+    _rule("cp1", "?x ?c ?y", "?c rdf:type rdf:Property", where(lambda: T.is_member("c"))),
+    _rule("cp2", "?c ?p ?y", "?c rdf:type rdf:Property", where(lambda: T.is_member("c"))),
+    _rule("cp3", "?x ?p ?c", "?c rdf:type rdf:Property", where(lambda: T.is_member("c"))),
 ]
 #: The entailment rules of RDF Schema.
 RDFS_RULES = [
-    _rule("r1", "?x ?a ?b . ?b rdf:_allocatedTo ?l", "?b rdf:type rdfs:Literal", where(T.is_untyped("l"))),
+    _rule("r1", "?x ?a ?b . ?b rdf:_allocatedTo ?l", "?b rdf:type rdfs:Literal", where(lambda: T.is_untyped("l"))),
     _rule("r2", "?x ?a ?y . ?a rdfs:domain ?z", "?x rdf:type ?z"),
-    _rule("r3", "?u ?a ?v . ?a rdfs:range ?z", "?v rdf:type ?z", where(_resource("v"))),
+    _rule("r3", "?u ?a ?v . ?a rdfs:range ?z", "?v rdf:type ?z", where(lambda: _resource("v"))),
     _rule("r4a", "?x ?a ?y", "?x rdf:type rdfs:Resource"),
-    _rule("r4b", "?x ?a ?u", "?u rdf:type rdfs:Resource", where(_resource("u"))),
+    _rule("r4b", "?x ?a ?u", "?u rdf:type rdfs:Resource", where(lambda: _resource("u"))),
     _rule("r5", "?a rdfs:subPropertyOf ?b . ?b rdfs:subPropertyOf ?c", "?a rdfs:subPropertyOf ?c"),
     _rule("r6", "?x rdf:type rdf:Property", "?x rdfs:subPropertyOf ?x"),
     _rule("r7", "?x ?a ?y . ?a rdfs:subPropertyOf ?b", "?x ?b ?y"),
@@ -96,7 +97,7 @@ RDFS_RULES = [
     _rule("r12", "?x rdf:type rdfs:ContainerMembershipProperty", "?x rdfs:subPropertyOf rdfs:member"),
     _rule("r13", "?x rdf:type rdfs:Datatype", "?x rdfs:subClassOf rdfs:Literal"),
     *(
-        _rule(f"cp{i}{j}", a, c, where(T.is_member("c")))
+        _rule(f"cp{i}{j}", a, c, where(lambda: T.is_member("c")))
         for i, c in ((1, "?c rdf:type rdfs:ContainerMembershipProperty"), (2, "?c rdfs:domain rdfs:Resource"), (3, "?c rdfs:range rdfs:Resource"))
         for j, a in ((1, "?x ?c ?y"), (2, "?c ?p ?y"), (3, "?x ?p ?c"))
     ),
@@ -115,7 +116,7 @@ EXTENSIONAL_RULES = [
 ]
 #: Datatype rules.
 DATATYPE_RULES = [
-    _rule("r1", "?d rdf:type rdfs:Datatype . ?a ?p ?b . ?b rdf:_allocatedTo ?l", "?b rdf:type ?d", where(T.has_datatype("l", "d"))),
+    _rule("r1", "?d rdf:type rdfs:Datatype . ?a ?p ?b . ?b rdf:_allocatedTo ?l", "?b rdf:type ?d", where(lambda: T.has_datatype("l", "d"))),
     _rule("r2", "?d rdf:type rdfs:Datatype . ?a ?p ?s", "?a ?p ?t", _canonical),
 ]
 STRING_RULES = [

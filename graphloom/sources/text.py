@@ -37,7 +37,9 @@ def read_triples(spark: SparkSession, path: str) -> DataFrame:
     declared = F.regexp_extract_all("value", F.lit(r"\A\s*@prefix\s+([A-Za-z0-9_-]*):\s*<([^>]*)>"), 0)
     heads = lines.where(F.col("value").rlike(r"\A\s*@prefix")).select(F.regexp_extract("value", r"@prefix\s+([A-Za-z0-9_-]*):", 1), F.regexp_extract("value", r"<([^>]*)>", 1))
     prefixes = PREFIXES | {r[0]: r[1] for r in heads.where(F.size(declared) >= 0).distinct().collect()}
-    rows = lines.where(~F.col("value").rlike(r"\A\s*@")).select(F.monotonically_increasing_id().alias("line"), F.posexplode(F.regexp_extract_all("value", F.lit(TOKEN), 0)).alias("i", "t"))
+    # the number goes on before the tokens are laid out, or each token would get its own
+    rows = lines.where(~F.col("value").rlike(r"\A\s*@")).select(F.monotonically_increasing_id().alias("line"), F.regexp_extract_all("value", F.lit(TOKEN), 0).alias("tokens"))
+    rows = rows.select("line", F.posexplode("tokens").alias("i", "t"))
     own = W.partitionBy("line").orderBy("i")
     rows = rows.withColumn("clause", F.sum(F.when(F.col("t").isin(";", "."), 1).otherwise(0)).over(own))
     subject = F.first("t").over(own)

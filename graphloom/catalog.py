@@ -16,6 +16,7 @@ from .operators import modifiers as M
 from .operators import query as Q
 from .operators import rules as R
 from .sources.mapping import graph_of, lift
+from .sources.text import lines_of
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -713,3 +714,34 @@ def _(spark, d):
 @query("date_tz_norm", "SELECT event_id, strftime(ts - INTERVAL (event_id % 24 - 12) HOUR, '%Y-%m-%d %H:%M:%S') AS utc FROM events")
 def _(spark, d):
     return read(spark, d, "events").select("event_id", F.date_format(U.to_utc("ts", (F.col("event_id") % 24 - 12) * 60), "yyyy-MM-dd HH:mm:ss").alias("utc"))
+
+
+@query("uri_escape", "SELECT n_nationkey, replace(n_name, ' ', '%20') || '%2F%25' AS escaped, n_name || '/%' AS back FROM nation")
+def _(spark, d):
+    escaped = U.escape(F.concat("n_name", F.lit("/%")))
+    return read(spark, d, "nation").select("n_nationkey", escaped.alias("escaped"), U.unescape(escaped).alias("back"))
+
+
+# Text and proofs
+
+
+@query("text_lines", "SELECT '<urn:nation:' || n_nationkey || '> <urn:p:n_name> \"' || n_name || '\" ; <urn:p:n_regionkey> <urn:region:' || n_regionkey || '> .' AS value FROM nation")
+def _(spark, d):
+    return lines_of(lift(spark, d, "nation").where(F.col("p") != TYPE))
+
+
+@query("proof_check", "SELECT 'good' AS proof, 'valid' AS verdict UNION ALL SELECT 'unknown rule', 'Invalid step: rule other not present' UNION ALL SELECT 'unproved', 'Result not demonstrated'")
+def _(spark, d):
+    rule = R.Rule("region", P("?c <urn:p:c_nationkey> ?n . ?n <urn:p:n_regionkey> ?r"), P("?c <urn:p:region> ?r"))
+    data = lift(spark, d, "customer", "nation")
+    graphs = {"data": data, "claim": rule.forward(data).where(F.col("s") == "<urn:customer:1>")}
+
+    def verdict(name: str, steps: int) -> str:
+        return E.Proof(graphs, [], ["data"], [E.Step(name, ["data"], "claim")][:steps], "claim", [rule]).explain() or "valid"
+
+    return spark.createDataFrame([("good", verdict("region", 1)), ("unknown rule", verdict("other", 1)), ("unproved", verdict("region", 0))], "proof string, verdict string")
+
+
+@query("top_usage", "SELECT p, count(*) AS n FROM (SELECT unnest(['<urn:p:n_name>', '<urn:p:n_regionkey>', @TYPE]) AS p FROM nation) GROUP BY p")
+def _(spark, d):
+    return lift(spark, d, "nation").groupBy("p").agg(F.count("*").alias("n"))

@@ -66,6 +66,15 @@ def resolve(base, reference) -> Column:
     return F.when(r[0] != "", _c(reference)).when(r[1] != "", F.concat(b[0], F.lit(":"), _c(reference))).otherwise(F.concat(head, path, tail))
 
 
+def escape(x) -> Column:
+    """Percent-escapes all but unreserved characters; blanks become %20."""
+    return F.replace(F.replace(F.url_encode(_c(x)), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A"))
+
+
+def unescape(x) -> Column:
+    return F.url_decode(F.replace(_c(x), F.lit("+"), F.lit("%2B")))
+
+
 def leap_year(year) -> Column:
     y = _c(year)
     return ((y % 4 == 0) & (y % 100 != 0)) | (y % 400 == 0)

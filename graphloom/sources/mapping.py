@@ -42,7 +42,7 @@ def term(kind: str, column: str) -> Column:
 
 
 def lift(spark: SparkSession, sf_dir: str, *tables: str) -> DataFrame:
-    """The distinct triples (s, p, o) of whole tables. Null values make no triple."""
+    """The triples (s, p, o) of whole tables. Null values make no triple; rows that repeat a key repeat theirs."""
     parts = []
     for t in tables:
         keys, columns = TABLES[t]

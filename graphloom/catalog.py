@@ -337,9 +337,10 @@ def _(spark, d):
 
 for _name, _op in (("eq", "="), ("ne", "<>")):
 
-    @query(f"str_{_name}", f"SELECT '\"' || a.p_type || '\"' || @STRING AS a, '\"' || b.p_brand || '\"' || @STRING AS b, count(*) AS n FROM part a JOIN part b ON a.p_partkey = b.p_partkey WHERE a.p_type {_op} b.p_brand GROUP BY ALL")
+    @query(f"str_{_name}", f"SELECT '\"' || p_type || '\"' || @STRING AS a, '\"' || b || '\"' || @STRING AS b, count(*) AS n FROM (SELECT p_type, CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE p_brand END AS b FROM part) WHERE p_type {_op} b GROUP BY ALL")
     def _(spark, d, m=M.STRING[_name]):
-        p = read(spark, d, "part").select(T.typed("p_type", STRING).alias("a"), T.typed("p_brand", STRING).alias("b"))
+        other = F.when(F.col("p_partkey") % 2 == 0, F.col("p_type")).otherwise(F.col("p_brand"))
+        p = read(spark, d, "part").select(T.typed("p_type", STRING).alias("a"), T.typed(other, STRING).alias("b"))
         return m.apply(p, "a", "b").groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
@@ -445,7 +446,7 @@ o AS (
     ('<urn:p:locatedIn>', '{SUBPROPERTY}', '<urn:p:related>'), ('<urn:p:locatedIn>', '{DOMAIN}', '<urn:class:place>'),
     ('<urn:p:locatedIn>', '{RANGE}', '<urn:class:place>'), ('<urn:p:c_nationkey>', '{DOMAIN}', '<urn:class:customer>'), ('<urn:p:c_nationkey>', '{RANGE}', '<urn:class:place>'), ('<urn:class:place>', '{SUBCLASS}', '<urn:class:thing>'),
     ('<urn:p:x>', @TYPE, '<@RDFProperty>'), ('<urn:class:thing>', @TYPE, '<@RDFSClass>'), ('<urn:class:place>', @TYPE, '<@RDFSClass>'),
-    ('<@RDF_1>', @TYPE, '<@RDFSContainerMembershipProperty>'), ('<{INTEGER}>', @TYPE, '<@RDFSDatatype>'), ('<{STRING}>', @TYPE, '<@RDFSDatatype>')),
+    ('<urn:list>', '<urn:p:uses>', '<@RDF_2>'), ('<@RDF_1>', @TYPE, '<@RDFSContainerMembershipProperty>'), ('<{INTEGER}>', @TYPE, '<@RDFSDatatype>'), ('<{STRING}>', @TYPE, '<@RDFSDatatype>')),
 n AS (
   SELECT '<urn:customer:' || c_custkey || '>' AS s, '<urn:p:c_nationkey>' AS p, '<urn:nation:' || c_nationkey || '>' AS o FROM customer
   UNION SELECT '<urn:nation:' || n_nationkey || '>', '<urn:p:n_regionkey>', '<urn:region:' || n_regionkey || '>' FROM nation
@@ -474,6 +475,7 @@ def _ontology(spark, d) -> DataFrame:
         ("<urn:p:x>", TYPE, f"<{RDF}Property>"),
         ("<urn:class:thing>", TYPE, f"<{RDFS}Class>"),
         ("<urn:class:place>", TYPE, f"<{RDFS}Class>"),
+        ("<urn:list>", "<urn:p:uses>", f"<{RDF}_2>"),
         (f"<{RDF}_1>", TYPE, f"<{RDFS}ContainerMembershipProperty>"),
         (f"<{INTEGER}>", TYPE, f"<{RDFS}Datatype>"),
         (f"<{STRING}>", TYPE, f"<{RDFS}Datatype>"),

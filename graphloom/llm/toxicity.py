@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter, defaultdict
+from array import array
+from collections import Counter
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -118,32 +120,38 @@ def label_words(texts: list[str], toxic: np.ndarray, least: int = 4, odds: float
     ``evidence`` is the least likelihood ratio (G) of the documents that hold a feature: few labelled rows show little.
     Documents count by a sketch of their words, so that a group of near copies counts about once.
     """
-    seen: tuple[dict, dict] = (defaultdict(dict), defaultdict(dict))
-    total = [set(), set()]
-    features = Memo(word_features)
-    for t, y in zip(texts, toxic):
-        words = Counter(t.split())
-        if not words:
-            continue
-        mark = min(zlib.crc32(w.encode("utf-8", "replace")) for w in words)
-        total[int(y)].add(mark)
-        own: Counter = Counter()
-        for w, k in words.items():
-            for f in features[w]:
-                own[f] += k
-        for f, k in own.items():
-            marks = seen[int(y)][f]
-            marks[mark] = max(k, marks.get(mark, 0))
-    n0, n1 = (max(1, len(x)) for x in total)
-    need = max(least, int(0.005 * n1))
+    marks, features = [], Memo(word_features, 50_000)
+    for i, t in enumerate(texts):
+        words = set(t.split())
+        if words:
+            marks.append((min(zlib.crc32(w.encode("utf-8", "replace")) for w in words), i))
+    # documents and occurrences of each feature; of clean documents, only features that toxic ones have count
+    documents, occurrences, n = (Counter(), Counter()), (Counter(), Counter()), [0, 0]
+    need = 0
+    for y in (1, 0):
+        for _, group in groupby(sorted(m for m in marks if toxic[m[1]] == y), key=lambda m: m[0]):
+            most: Counter = Counter()
+            for _, i in group:
+                own: Counter = Counter()
+                for w, k in Counter(texts[i].split()).items():
+                    for f in features[w]:
+                        if y or f in documents[1]:
+                            own[f] += k
+                most |= own
+            n[y] += 1
+            documents[y].update(most.keys())
+            occurrences[y].update(most)
+        if y:
+            need = max(least, int(0.005 * n[1]))
+            for f in [f for f, k in documents[1].items() if k < need]:
+                del documents[1][f], occurrences[1][f]
+    n0, n1 = max(1, n[0]), max(1, n[1])
     out = set()
-    for f, marks in seen[1].items():
-        if len(marks) >= need:
-            a, b = sum(marks.values()), sum(seen[0].get(f, {}).values())
-            k1, k0 = len(marks), len(seen[0].get(f, ()))
-            g = 2 * sum(k * np.log(k * (n0 + n1) / ((k0 + k1) * n)) for k, n in ((k1, n1), (k0, n0)) if k)
-            if g >= evidence and np.log((a + 0.5) / n1) - np.log((b + 0.5) / n0) >= odds:
-                out.add(f)
+    for f, k1 in documents[1].items():
+        k0 = documents[0][f]
+        g = 2 * sum(k * np.log(k * (n0 + n1) / ((k0 + k1) * m)) for k, m in ((k1, n1), (k0, n0)) if k)
+        if g >= evidence and np.log((occurrences[1][f] + 0.5) / n1) - np.log((occurrences[0][f] + 0.5) / n0) >= odds:
+            out.add(f)
     return out
 
 
@@ -190,7 +198,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most: int = 3000, longest:
     own = np.flatnonzero(~rest)
     marks = label_words([texts[i] for i in own], toxic[own])
     vocabulary: dict[str, int] = {}
-    ids, truth, ends = [], [], []
+    ids, truth, ends = array("q"), array("b"), array("q")
     kept = 0
     for t, y in ((texts[i], toxic[i]) for i in own):
         sentence: list[str] = []
@@ -202,16 +210,21 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most: int = 3000, longest:
                 kept += 1
                 # every sentence with a toxic word, and one in eight of the rest
                 if any(hit) or kept % 8 == 0:
-                    ids += [vocabulary.setdefault(w, len(vocabulary)) for w in sentence]
-                    truth += hit
+                    ids.extend(vocabulary.setdefault(w, len(vocabulary)) for w in sentence)
+                    truth.extend(hit)
                     ends.append(len(ids))
                 sentence = []
     weights, bias, move = np.zeros(DIM), -6.0, np.array([-1.0, 0.0, 0.0])
     if not any(truth):
         return ToxicModel(weights, bias, move)
-    features = [hashed(word_features(w)) for w in vocabulary]
-    owner = np.repeat(np.arange(len(features)), [len(f) for f in features])
-    flat = np.array([x for f in features for x in f], np.int64)
+    flat_list, lengths = array("q"), array("q")
+    for w in vocabulary:
+        own_features = hashed(word_features(w))
+        flat_list.extend(own_features)
+        lengths.append(len(own_features))
+    kinds = len(lengths)
+    owner, flat = np.repeat(np.arange(kinds), np.array(lengths)), np.array(flat_list)
+    del vocabulary
     ids, y, ends = np.array(ids), np.array(truth, float), np.array(ends)
     first = np.append(0, ends[:-1])
     size = ends - first
@@ -220,10 +233,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most: int = 3000, longest:
     left = np.flatnonzero(inner)
     speed, speed_b, speed_m = np.full(DIM, 1e-8), 1e-8, np.full(3, 1e-8)
     for _ in range(rounds):
-        e = bias + np.bincount(owner, weights[flat], len(features))[ids]
+        e = bias + np.bincount(owner, weights[flat], kinds)[ids]
         r, b = chain_logits(e, first, size, move)
         gap = y - _sigmoid(r + b)
-        by_word = np.bincount(ids, gap, len(features))
+        by_word = np.bincount(ids, gap, kinds)
         g = np.bincount(flat, by_word[owner], DIM) - 0.01 * weights
         after = e[left + 1] + b[left + 1]
         logs = np.stack([np.zeros(len(left)), move[0] + after, move[1] + r[left], move[2] + r[left] + after])

@@ -170,6 +170,8 @@ def near_duplicate_rows(docs: DataFrame, size: int, percent: int, sketch: Sketch
 
     bands = classes.select("cid", "regs").mapInPandas(band_keys, "key long, band int, cid long")
     first = bands.groupBy("key").agg(F.min("cid").alias("first"), F.count("*").alias("members")).where("members > 1")
+    # written first, or the join would keep the aggregate's partitions and could not split a hot bucket
+    first = cut(first, "buckets")
     # buckets grow with the texts, so neither side is ever small enough to send to every task
     shared = cut(bands.join(first.hint("merge"), "key"), "bands")
     stars = shared.where("cid <> first").select(F.col("first").alias("a"), F.col("cid").alias("b")).distinct()
@@ -292,6 +294,7 @@ def remaining(shared: DataFrame, roots: DataFrame, classes: DataFrame, made: Dat
     member = shared.where("members > 2").join(roots.hint("merge"), "cid", "left").select("key", "band", "cid", "first", "members", F.coalesce("root", "cid").alias("root"))
     member = cut(member, "members")
     open_ = member.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    open_ = cut(open_, "open-buckets")
     left = cut(member.join(open_.hint("merge"), "key"), "open-members")
 
     @F.pandas_udf("binary")

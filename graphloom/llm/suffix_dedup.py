@@ -105,7 +105,8 @@ class Repeats:
     """
 
     def __init__(self, docs: DataFrame, length: int = 400, gram: int = 32, sizes: tuple[int, ...] = (64, 8, 1)):
-        self.length, self.gram, self.sizes = length, gram, sizes
+        # a cell's core must reach past the gram, and the last round looks at single windows
+        self.length, self.gram, self.sizes = length, gram, (*(s for s in sizes if 1 < s <= length - gram), 1)
         text = F.coalesce(F.col("text"), F.lit(""))
         rows = docs.withColumns({"text": text, "rid": F.monotonically_increasing_id(), "digest": F.sha2(text, 256), "n_bytes": F.octet_length(text).cast("long")})
         self.made = cut(rows, "suffix-texts")
@@ -127,8 +128,9 @@ class Repeats:
         found = texts.mapInArrow(sample, "rid long, name array<long>, at array<long>, first array<long>, last array<long>")
         found = found.join(self.copies.select("rid"), "rid", "left_semi")
         flat = cut(found.select("rid", F.inline(F.arrays_zip("name", "at", "first", "last"))), "suffix-positions")
-        shared = flat.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
-        return flat.join(shared, "name").select("rid", "at", "first", "last")
+        # written first: a join straight after its own aggregate keeps the aggregate's partitions, and can't split a hot name
+        shared = cut(flat.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name"), "suffix-shared")
+        return flat.join(shared.hint("merge"), "name").select("rid", "at", "first", "last")
 
     def hashed(self, cells: DataFrame, size: int) -> DataFrame:
         """Names of the core and hull of each cell (rid, at, x, first, last)."""

@@ -105,3 +105,19 @@ def test_chain_marginals_match_enumeration():
             weight += np.exp(s)
             on += np.exp(s) * np.array(y)
         assert np.allclose(1 / (1 + np.exp(-(r + b)[a : a + n])), on / weight)
+
+
+def test_marginals_follow_whole_sentences():
+    weights, bias, move = np.zeros(toxicity.DIM), -1.2345, np.array([-0.7, 0.3, 0.9])
+    weights[toxicity.hashed(["w=bad"])] = 2.3456
+    weights[toxicity.hashed(["w=fine"])] = -0.7891
+    model = toxicity.ToxicModel(weights, bias, move)
+    sentences = [["so", "bad", "fine."], ["bad!"], ["bad", "bad", "so", "fine"]]
+    p, offsets = model.marginals([" ".join(sentences[0] + sentences[1]), "", " ".join(sentences[2])])
+    assert offsets.tolist() == [0, 4, 4, 8]
+    want = []
+    for s in sentences:
+        e = np.array([bias + sum(weights[f] for f in toxicity.hashed(toxicity.word_features(w))) for w in s])
+        r, b = toxicity.chain_logits(e, np.array([0]), np.array([len(s)]), move)
+        want.extend(1 / (1 + np.exp(-(r + b))))
+    assert np.allclose(p, want, atol=2e-3)

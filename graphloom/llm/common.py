@@ -43,10 +43,15 @@ def ship(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here, and lost executors lose nothing."""
+    """Write ``df`` to the shared folder and read it back: lineage ends here, and lost executors lose nothing.
+
+    Spark deletes shuffle files once the driver has collected the plan they belong to; asking for that here frees
+    those of earlier tables, which would else stay until the driver's heap fills.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

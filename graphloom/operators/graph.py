@@ -86,24 +86,26 @@ def merge(a: DataFrame, b: DataFrame, suffix: str = "m") -> DataFrame:
     return add(a, rename(b, clash))
 
 
-def list_items(graph: DataFrame, heads: DataFrame, longest: int = 1024) -> DataFrame:
+def list_items(graph: DataFrame, heads: DataFrame) -> DataFrame:
     """(head, position, item) of the rdf lists that start at ``heads(head)``.
 
     Cells are linked by pointer jumping: after k rounds each cell knows the one 2**k places on, so a list of n cells
-    takes log2(n) joins. Lists longer than ``longest`` or circular ones end there.
+    takes log2(n) joins, whatever n is. A circular list ends where it would meet a cell again.
     """
     cells = graph.where(F.col("p") == FIRST).select(F.col("s").alias("cell"), F.col("o").alias("item"))
     rest = graph.where(F.col("p") == REST).select(F.col("s").alias("cell"), F.col("o").alias("next"))
     found = heads.select("head", F.col("head").alias("cell"), F.lit(0).cast("long").alias("position"))
-    step, jump = 1, rest.where(F.col("next") != NIL)
-    while step < longest:
+    step, jump, n = 1, rest.where(F.col("next") != NIL), -1
+    while True:
         far = found.join(jump, "cell").select("head", F.col("next").alias("cell"), (F.col("position") + step).alias("position"))
         found = found.union(far)
         jump = jump.join(jump.select(F.col("cell").alias("next"), F.col("next").alias("far")), "next").select("cell", F.col("far").alias("next"))
         step *= 2
         if step > 8:
-            found, jump = found.checkpoint(), jump.checkpoint()
-            if jump.isEmpty():
+            # each cell at its first position: once a round finds no new cell there is none further on
+            found = found.groupBy("head", "cell").agg(F.min("position").alias("position")).checkpoint()
+            jump, before, n = jump.distinct().checkpoint(), n, found.count()
+            if n == before or jump.isEmpty():
                 break
     return found.join(cells, "cell").select("head", "position", "item")
 

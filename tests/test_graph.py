@@ -171,6 +171,15 @@ def test_lists(spark):
     assert got == {"_:l-1-0": list("abcdefghijk"), "_:l-2-0": ["z"]}
 
 
+def test_lists_of_any_length_and_circular_ones(spark):
+    R._settle(spark.range(1))
+    made = G.make_lists(spark.createDataFrame([(1, [str(i) for i in range(3000)])], "k int, x array<string>"), "k", "x")
+    ring = [(f"_:c{i}", p, o) for i in range(3) for p, o in ((G.FIRST, f"r{i}"), (G.REST, f"_:c{(i + 1) % 3}"))]
+    got = G.list_items(made.union(graph_of(spark, ring)), spark.createDataFrame([("_:l-1-0",), ("_:c1",)], "head string"))
+    assert rows(got.where("head = '_:l-1-0'").select("position", "item")) == [(i, str(i)) for i in range(3000)]
+    assert rows(got.where("head = '_:c1'").select("position", "item")) == [(0, "r1"), (1, "r2"), (2, "r0")]
+
+
 def test_text_round_trip(spark, tmp_path):
     g = graph_of(spark, [("<urn:e:a>", TYPE, "<urn:e:C>"), ("<urn:e:a>", "<urn:e:p>", '"x ; , . \\"q\\""'), ("<urn:e:a>", "<urn:e:p>", f'"1{I}'), ("_:b1", "<urn:e:p>", '"l"@en')])
     write_triples(g, str(tmp_path / "g"), {"e": "urn:e:"})

@@ -6,12 +6,12 @@ import itertools
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import terms as T
 from ..functions.vocab import RDF, TYPE
-from .graph import SPO, add, contained, delete, equivalent
+from .graph import SPO, add, contained, delete, equivalent, rename, unestimated
 from .modifiers import Modifier
 from .query import Pattern, entails
 from .rules import Rule, Ruleset, _settle
@@ -25,9 +25,25 @@ def rows_of(graph: DataFrame, most: int) -> list[tuple[str, str, str]]:
     return rows
 
 
-def simple_entails(graph: DataFrame, claimed: DataFrame, most: int = 200) -> bool:
-    """The claimed graph's blank nodes can be bound so that all its triples are in ``graph``."""
-    return entails(graph, rows_of(claimed, most))
+def simple_entails(graph: DataFrame, claimed: DataFrame) -> bool:
+    """The claimed graph's blank nodes can be bound so that all its triples are in ``graph``.
+
+    Triples without blank nodes are looked up on Spark; of the others, those that hang together by blank nodes make
+    one query, so that independent ones never multiply.
+    """
+    claimed = claimed.select(*SPO).distinct()
+    local = reduce(lambda x, y: x | y, (T.is_blank(c) for c in SPO))
+    if not contained(claimed.where(~local), graph):
+        return False
+    group: dict[str, list[tuple[str, str, str]]] = {}
+    for row in claimed.where(local).toLocalIterator():
+        blanks = {t for t in row if t.startswith("_:")}
+        # each blank node points to the list of its group; the longest list takes in the others
+        lists = sorted({id(x): x for x in (group[t] for t in blanks if t in group)}.values(), key=len)
+        into = lists.pop() if lists else []
+        into += [tuple(row), *itertools.chain(*lists)]
+        group |= {t: into for x in [[tuple(row)], *lists] for triple in x for t in triple if t.startswith("_:")}
+    return all(entails(graph, x) for x in {id(x): x for x in group.values()}.values())
 
 
 def subgraph_entails(graph: DataFrame, claimed: DataFrame) -> bool:
@@ -44,6 +60,10 @@ def subgraphs(graph: DataFrame, most: int = 12):
 # Isomorphism
 
 
+def _local(c: str) -> Column:
+    return T.is_blank(c) | T.is_variable(c)
+
+
 def colours(graph: DataFrame, rounds: int) -> DataFrame:
     """(term, colour): constants keep their own colour, blank nodes get one from their triples, refined ``rounds`` times.
 
@@ -63,54 +83,105 @@ def colours(graph: DataFrame, rounds: int) -> DataFrame:
     return found
 
 
-def isomorphic(a: DataFrame, b: DataFrame, most: int = 400, rounds: int = 2) -> bool:
-    """Equal up to the names of blank nodes and variables.
-
-    Ground triples are compared as sets on Spark, then the histograms of refined colours; only if these agree are
-    the triples with blank nodes matched, by search within equal colours, on graphs of at most ``most`` such triples.
+def _recolour(graph: DataFrame, found: DataFrame) -> DataFrame:
+    """One more round for ``found(side, term, colour)``, the blank nodes and variables of ``graph(side, s, p, o)``."""
+    known = graph
+    for c in SPO:
+        known = known.join(found.select("side", F.col("term").alias(c), F.col("colour").alias(f"c{c}")), ["side", c], "left")
+        known = known.withColumn(f"c{c}", F.coalesce(f"c{c}", F.xxhash64(c)))
+    none = F.lit(None).cast("long")
+    ends = [known.where(_local(c)).select("side", F.col(c).alias("term"), none.alias("colour"), F.xxhash64(F.lit(c), "cs", "cp", "co").alias("h")) for c in SPO]
+    sums = reduce(DataFrame.union, ends, found.select("side", "term", "colour", none.alias("h"))).groupBy("side", "term")
+    sums = sums.agg(F.max("colour").alias("colour"), F.sum(F.col("h").cast("decimal(38,0)")).alias("h"))
+    return unestimated(_settle(sums.select("side", "term", F.xxhash64("colour", "h").alias("colour"))))
+
+
+def _stable(graph: DataFrame, found: DataFrame) -> tuple[DataFrame, bool, bool]:
+    """Colours refined until no class splits, whether each has as many nodes on both sides, and whether any has several."""
+    before = 0
+    while True:
+        sizes = found.groupBy("colour").agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"))
+        r = sizes.agg(F.count("*").alias("n"), F.bool_and(F.col("a") == F.col("b")).alias("even"), F.bool_or(F.col("a") > 1).alias("tied")).first()
+        if not r.even or not r.tied or r.n == before:
+            return found, bool(r.even), bool(r.tied)
+        before, found = r.n, _recolour(graph, found)
+
+
+def _tied(found: DataFrame) -> DataFrame:
+    return found.join(found.groupBy("side", "colour").agg(F.count("*").alias("n")).where("n > 1"), ["side", "colour"])
+
+
+def _recoloured(found: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``found`` with the colours of ``chosen(side, term, to)``."""
+    return found.join(chosen, ["side", "term"], "left").select("side", "term", F.coalesce("to", "colour").alias("colour"))
+
+
+def _split(graph: DataFrame, found: DataFrame) -> DataFrame:
+    """A new colour for one node of every component of tied nodes; components alike in colours are paired off in order."""
+    tied = _settle(_tied(found).select("side", "term", "colour"))
+    ends = [graph.where(_local(x) & _local(y)).select("side", F.col(x).alias("term"), F.col(y).alias("other")) for x, y in itertools.permutations(SPO, 2)]
+    links = reduce(DataFrame.union, ends).where("term <> other").join(tied.select("side", "term"), ["side", "term"], "left_semi")
+    links = _settle(links.join(tied.select("side", F.col("term").alias("other")), ["side", "other"], "left_semi").distinct())
+    part = tied.select("side", "term", F.col("term").alias("part"))
+    while True:
+        near = links.join(part.select("side", F.col("term").alias("other"), "part"), ["side", "other"]).groupBy("side", "term").agg(F.min("part").alias("near"))
+        least = part.join(near, ["side", "term"], "left").select("side", "term", F.least("part", "near").alias("to"), F.col("part").alias("was"))
+        jump = part.select("side", F.col("term").alias("to"), "part")
+        now = unestimated(_settle(least.join(jump, ["side", "to"]).select("side", "term", "part", "was")))
+        part = now.select("side", "term", "part")
+        if now.where("part <> was").isEmpty():
+            break
+    parts = tied.join(part, ["side", "term"]).groupBy("side", "part")
+    parts = parts.agg(F.sum(F.xxhash64("colour").cast("decimal(38,0)")).alias("kind"), F.min(F.struct("colour", "term")).alias("first"))
+    order = F.row_number().over(Window.partitionBy("side", "kind").orderBy("part"))
+    return _recoloured(found, parts.select("side", F.col("first.term").alias("term"), F.xxhash64("first.colour", "kind", order).alias("to")))
+
+
+def _same(graph: DataFrame, found: DataFrame) -> bool:
+    """With one node of each colour a side, these are all the same triples."""
+    one = found.where("side = 0").select("term", "colour").join(found.where("side = 1").select(F.col("term").alias("to"), "colour"), "colour")
+    return equivalent(rename(graph.where("side = 0"), one.select("term", "to")), graph.where("side = 1").select(*SPO))
+
+
+def isomorphic(a: DataFrame, b: DataFrame) -> bool:
+    """Equal up to the names of blank nodes and variables, for graphs of any size.
+
+    Ground triples are compared as sets. The other nodes of both graphs are coloured together until no class splits;
+    nodes alone in their colour are mapped by it and the mapped triples compared. Of tied nodes, one of each component
+    is singled out at once on both sides, as often as it takes. Where that pairing does not lead to a mapping, all
+    partners of one node of the smallest class are tried in turn, depth first. All of it is done on Spark.
     """
-    local = reduce(lambda x, y: x | y, (T.is_blank(c) | T.is_variable(c) for c in SPO))
+    local = reduce(lambda x, y: x | y, map(_local, SPO))
     if not equivalent(a.where(~local), b.where(~local)):
         return False
-    a, b = a.where(local).select(*SPO).distinct(), b.where(local).select(*SPO).distinct()
-    if a.count() != b.count():
-        return False
-    ca, cb = colours(a, rounds), colours(b, rounds)
-    ha, hb = (c.groupBy("colour").agg(F.count("*").alias("n")) for c in (ca, cb))
-    if not ha.exceptAll(hb).isEmpty() or not hb.exceptAll(ha).isEmpty():
+    both = [g.where(local).select(F.lit(i).alias("side"), *SPO).distinct() for i, g in enumerate((a, b))]
+    graph = _settle(both[0].union(both[1]))
+    sizes = {r.side: r.n for r in graph.groupBy("side").agg(F.count("*").alias("n")).collect()}
+    if not sizes or sizes.get(0) != sizes.get(1):
+        return not sizes
+    nodes = graph.select("side", F.explode(F.array(*SPO)).alias("term")).where(_local("term")).distinct()
+    root = found, even, tied = _stable(graph, _settle(nodes.withColumn("colour", F.lit(1).cast("long"))))
+    while even and tied:
+        found, even, tied = _stable(graph, _settle(_split(graph, found)))
+    if even and _same(graph, found):
+        return True
+    if not root[1] or not root[2]:
         return False
-    ta, tb = rows_of(a, most), set(rows_of(b, most))
-    of_a, of_b = ({r.term: r.colour for r in c.collect()} for c in (ca, cb))
-    by_colour: dict[int, list[str]] = {}
-    for t, c in of_b.items():
-        by_colour.setdefault(c, []).append(t)
-    near: dict[str, set[str]] = {}
-    for t in ta:
-        for x in t:
-            near.setdefault(x, set()).update(t)
-    left, todo = {t for t in of_a if t[:1] in "_?"}, []
-    while left:
-        # next to one that is matched already, if there is one; then from the smallest class
-        best = min(left, key=lambda t: (near[t].isdisjoint(todo), len(by_colour[of_a[t]]), t))
-        left.remove(best)
-        todo.append(best)
-    to: dict[str, str] = {t: t for t in of_a if t[:1] not in "_?"}
-
-    def fits(term: str) -> bool:
-        return all(tuple(to[x] for x in t) in tb for t in ta if term in t and all(x in to for x in t))
-
-    def search(k: int) -> bool:
-        if k == len(todo):
+    todo = [root[0]]
+    while todo:
+        found, even, tied = _stable(graph, _settle(todo.pop()))
+        if not even or not tied and not _same(graph, found):
+            continue
+        if not tied:
             return True
-        for other in by_colour[of_a[todo[k]]]:
-            if other not in to.values():
-                to[todo[k]] = other
-                if fits(todo[k]) and search(k + 1):
-                    return True
-                del to[todo[k]]
-        return False
-
-    return search(0)
+        members = _tied(found)
+        colour = members.orderBy("n", "colour").first().colour
+        members = members.where(F.col("colour") == colour)
+        first = members.where("side = 0").agg(F.min("term")).first()[0]
+        for r in members.where("side = 1").select("term").orderBy(F.desc("term")).toLocalIterator():
+            chosen = (F.col("side") == 0) & (F.col("term") == first) | (F.col("side") == 1) & (F.col("term") == r.term)
+            todo.append(found.withColumn("colour", F.when(chosen, F.xxhash64("colour")).otherwise(F.col("colour"))))
+    return False
 
 
 # Proofs

@@ -136,6 +136,28 @@ def test_merge_keeps_blanks_apart_and_rename_is_isomorphic(spark):
     assert not E.isomorphic(g, other)
 
 
+def test_isomorphism_has_no_size_limit(spark):
+    def named(stem, last):
+        return graph_of(spark, [x for i in range(300) for x in ((f"_:{stem}{i}", "<p>", f'"{i}"'), (f"_:{stem}{i}", "<q>", f"_:{stem}{(i + 1) % last}"))])
+
+    assert E.isomorphic(named("a", 300), named("b", 300))
+    assert not E.isomorphic(named("a", 300), named("b", 299))
+    alike = lambda stem: graph_of(spark, [(f"_:{stem}{i}", "<p>", '"same"') for i in range(500)])
+    assert E.isomorphic(alike("a"), alike("b"))
+
+
+def test_isomorphism_of_tied_nodes(spark):
+    rings = lambda stem, *sizes: graph_of(spark, [(f"_:{stem}{k}-{i}", "<p>", f"_:{stem}{k}-{(i + 1) % n}") for k, n in enumerate(sizes) for i in range(n)])
+    assert E.isomorphic(rings("a", 3, 4, 3), rings("b", 4, 3, 3))
+    assert not E.isomorphic(rings("a", 6), rings("b", 3, 3))
+
+
+def test_entailment_has_no_size_limit(spark):
+    g = graph_of(spark, [(f"<n{i}>", "<p>", f'"{i}"') for i in range(300)])
+    assert E.simple_entails(g, g.union(graph_of(spark, [("_:x", "<p>", '"7"'), ("_:y", "<p>", "_:z")])))
+    assert not E.simple_entails(g, g.union(graph_of(spark, [("_:x", "<p>", '"7"'), ("_:x", "<p>", '"8"')])))
+
+
 def test_entailment(spark):
     g = graph_of(spark, FAMILY)
     assert E.simple_entails(g, graph_of(spark, [("_:x", "<r:son>", "_:y"), ("_:y", "<r:son>", "<r:d>")]))

@@ -229,7 +229,10 @@ def transitive(pairs: DataFrame, limit: int = 64) -> DataFrame:
 
 
 def closure(graph: DataFrame, rules: list[Rule], rounds: int = 50) -> DataFrame:
-    """The graph and all that the rules deduce from it, to a fixpoint (rules that allocate nodes may not have one)."""
+    """The graph and all that the rules deduce from it, to a fixpoint; rules that allocate nodes may have none.
+
+    Raises RuntimeError where ``rounds`` rounds do not reach it.
+    """
     known = _settle(graph.select(*SPO).distinct())
     for _ in range(rounds):
         new = None
@@ -237,13 +240,16 @@ def closure(graph: DataFrame, rules: list[Rule], rounds: int = 50) -> DataFrame:
             new = r.forward(known) if new is None else new.union(r.forward(known))
         new = _settle(delete(new.distinct(), known))
         if new.isEmpty():
-            break
+            return known
         known = _settle(add(known, new))
-    return known
+    raise RuntimeError(f"no fixpoint in {rounds} rounds")
 
 
 def rdfs_closure(graph: DataFrame) -> DataFrame:
-    """RDFS closure in the order that needs fewest rounds: schema first, each data rule once, then a check to the end."""
+    """Closure under r2, r3, r5, r7, r9 and r11 in the order that needs fewest rounds: schema first, each data rule once, then to the end.
+
+    ``rdfs_all_closure`` has the other rules and the axioms.
+    """
     by = {r.name: r for r in RDFS_RULES}
     g = graph.select(*SPO)
     sub = transitive(g.where(F.col("p") == SUBPROPERTY))
@@ -256,5 +262,12 @@ def rdfs_closure(graph: DataFrame) -> DataFrame:
     return closure(g, [by[k] for k in ("r2", "r3", "r5", "r7", "r9", "r11")])
 
 
+def rdfs_all_closure(graph: DataFrame) -> DataFrame:
+    """The closure under every rule of RDFS and its axioms, with those of RDF that RDFS rests on (r1, its container rules, its axioms)."""
+    axioms = graph.sparkSession.createDataFrame(RDF_AXIOMS + RDFS_AXIOMS, "s string, p string, o string")
+    rules = [r for r in RDF_RULES if r.name not in ("lg", "gl", "r2")] + RDFS_RULES
+    return closure(rdfs_closure(add(graph, axioms)), rules)
+
+
 def types_of(graph: DataFrame) -> DataFrame:
     return graph.where(F.col("p") == TYPE).select("s", "o")

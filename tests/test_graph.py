@@ -127,6 +127,18 @@ def test_closure_is_idempotent_and_ends_on_cycles(spark):
     assert G.equivalent(g, R.rdfs_closure(g))
 
 
+def test_closure_says_when_rounds_run_out(spark):
+    chain = graph_of(spark, [(f"<c{i}>", R.SUBCLASS, f"<c{i + 1}>") for i in range(9)])
+    with pytest.raises(RuntimeError):
+        R.closure(chain, [R.find_rule("rdfs:r11")], rounds=1)
+
+
+def test_closure_under_all_rules(spark):
+    one, member = R.iri("rdf:_1"), R.iri("rdfs:member")
+    got = set(rows(R.rdfs_all_closure(graph_of(spark, [("<x>", one, "<y>"), ("<d>", TYPE, R.iri("rdfs:Datatype"))]))))
+    assert {("<x>", member, "<y>"), ("<d>", R.SUBCLASS, R.iri("rdfs:Literal")), ("<x>", TYPE, R.iri("rdfs:Resource")), (one, TYPE, R.iri("rdf:Property"))} <= got
+
+
 def test_merge_keeps_blanks_apart_and_rename_is_isomorphic(spark):
     g = graph_of(spark, [("_:a", "<p>", "_:b"), ("_:b", "<p>", "_:c"), ("_:a", "<q>", '"1"')])
     to = spark.createDataFrame([("_:a", "_:x"), ("_:b", "_:y"), ("_:c", "_:z")], "term string, to string")

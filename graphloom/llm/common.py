@@ -18,9 +18,11 @@ SLICE_CHARS = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where that is unset, a local one if the master is."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="graphloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/graphloom/{spark.sparkContext.applicationId}"
@@ -42,17 +44,37 @@ def ship(spark: SparkSession) -> None:
         _SHIPPED.add(context.applicationId)
 
 
+#: Spark removes a query's shuffle files as soon as the query has ended.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here, and lost executors lose nothing.
 
-    Spark deletes shuffle files once the driver has collected the plan they belong to; asking for that here frees
-    those of earlier tables, which would else stay until the driver's heap fills.
+    The write's shuffle files are of no use once it has ended, and go. ``drop`` deletes the table itself.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    spark._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(FREE_SHUFFLES, None)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(FREE_SHUFFLES)
+        else:
+            spark.conf.set(FREE_SHUFFLES, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that ``cut`` has written, once nothing reads them any more."""
+    for t in tables:
+        spark, path = t.sparkSession, t.written
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -123,12 +145,14 @@ def connected_components(edges: DataFrame, name: str) -> DataFrame:
     Each task first replaces its edges by stars, then alternating star contractions run on Spark until
     nothing changes. Every step is a min-aggregation with map-side combining and an equi-join, so a hub
     with any number of neighbours never meets in one task. No edges give no rows; loops and nulls are ignored.
+    The rows are a written table, for the caller to ``drop``.
     """
     e = edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v")
     e = e.mapInPandas(_forest_batches, "u long, v long").distinct()
     e = cut(e, name)
     if e.isEmpty():
-        return e.toDF("node", "root")
+        drop(e)
+        return cut(e.sparkSession.createDataFrame([], "node long, root long"), name)
     before = None
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -136,12 +160,16 @@ def connected_components(edges: DataFrame, name: str) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
+        last = e
         e = small.select("v", "m").where("v <> m").toDF("u", "v").union(small.select("u", "m").toDF("u", "v")).distinct()
         e = cut(e, name)
+        drop(last)
         row = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"), F.countDistinct("u").alias("k")).first()
         if (row.n, row.h) == before or row.n == row.k and _flat(e):
             roots = e.select(F.col("v").alias("node")).distinct().withColumn("root", F.col("node"))
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
+            found = cut(e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots), name)
+            drop(e)
+            return found
         before = (row.n, row.h)
 
 

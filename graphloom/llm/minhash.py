@@ -12,7 +12,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, connected_components, cut, slices, table
+from .common import Memo, connected_components, cut, drop, slices, table
+
+#: Pairs of one class that meet in a task.
+HUB = 256
 
 
 @dataclass(frozen=True)
@@ -45,7 +48,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-WORD_HASH = Memo(lambda w: xxhash.xxh64_intdigest(w), 600_000)
+WORD_HASH = Memo(lambda w: xxhash.xxh64_intdigest(w), 300_000)
 
 
 def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
@@ -126,23 +129,25 @@ def shared_shingles(a: list[bytes], b: list[bytes], size: int) -> tuple[int, int
     return len(x & y), len(x | y)
 
 
-def near_duplicate_rows(docs: DataFrame, size: int, percent: int, sketch: Sketch = Sketch(), block: int = 256) -> DataFrame:
-    """The rows of ``docs(doc_id, text, ...)`` with n_shingles, component_id and first.
+def near_duplicate_rows(docs: DataFrame, size: int, percent: int, sketch: Sketch = Sketch(), block: int = 256, pivots: int = 3) -> DataFrame:
+    """The rows of ``docs(doc_id, text, ...)`` with n_shingles, component_id and first, in place of columns so named.
 
     Links texts with 100 * intersection >= ``percent`` * union of their sets of ``size``-word shingles.
     Equal word sequences fold into classes. A class's bands are looked up in buckets; each member is compared
-    with its bucket's first class by likelihood of the registers, then on the full sets. Buckets that are still
-    in several components are cut into blocks of about ``block`` classes, and tasks compare blocks with blocks:
-    a pair meets in the first band it shares, passes the registers, and is counted on hashed full sets; only
-    links that join components leave the task, to be confirmed on the texts. So no bucket is ever paired out, capped or
-    held in one task. A pair at the limit is missed with probability (1 - (percent/100)**rows)**bands.
+    with its bucket's first class by likelihood of the registers, then on the full sets. Then buckets that are still
+    in several components take another class as pivot, ``pivots`` times, which costs as many rows as they have members
+    and joins most of what belongs together. What is left is compared in full, by blocks of about ``block`` classes:
+    blocks of one component are not paired with each other, a pair meets in the first band it shares, passes the
+    registers, and is counted on 64-bit hashes of its full sets; only links that join components leave the task, to be
+    confirmed on the texts. So no bucket is ever capped or held in one task, and ``block`` and ``pivots`` change costs alone.
+    A pair at the limit is missed with probability (1 - (percent/100)**rows)**bands.
 
     Texts that are null or hold no word have n_shingles 0 and link with nothing; fewer than ``size`` words are one
     shingle. Ties, repeated rows and repeated or null doc_ids are fine. A component is named by its least non-null
     doc_id, and ``first`` marks one row of it (least doc_id, then any one). No rows give an empty result.
     """
-    taken = {"rid", "digest", "n_shingles", "regs", "component_id", "first", "d"}
-    docs = docs.drop(*(c for c in docs.columns if c.lower() in taken))
+    added = {"n_shingles", "component_id", "first"}
+    docs = docs.drop(*(c for c in docs.columns if c.lower() in added))
 
     @F.pandas_udf("digest binary, n long, regs binary")
     def describe(text: pd.Series) -> pd.DataFrame:
@@ -155,9 +160,11 @@ def near_duplicate_rows(docs: DataFrame, size: int, percent: int, sketch: Sketch
             regs += [r.tobytes() if len(x) else None for r, x in zip(sketch_all(sets, sketch), sets)]
         return pd.DataFrame({"digest": digest, "n": count, "regs": regs})
 
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), *docs.columns, describe("text").alias("d"))
-    made = cut(rows.select("rid", *docs.columns, F.col("d.digest").alias("digest"), F.col("d.n").alias("n_shingles"), F.col("d.regs").alias("regs")), "shingles")
-    classes = cut(made.where("digest is not null").groupBy("digest").agg(F.min("rid").alias("cid"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs")), "classes")
+    # the caller's columns travel in one of their own, so that no name of theirs meets one of ours
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text", F.struct(*docs.columns).alias("row"), describe("text").alias("d"))
+    made = cut(rows.select("rid", "doc_id", "row", F.col("d.digest").alias("digest"), F.col("d.n").alias("n_shingles"), F.col("d.regs").alias("regs")), "shingles")
+    classes = made.where("digest is not null").groupBy("digest").agg(F.min("rid").alias("cid"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs"))
+    classes = cut(classes, "classes")
 
     def band_keys(batches):
         for pdf in batches:
@@ -169,25 +176,41 @@ def near_duplicate_rows(docs: DataFrame, size: int, percent: int, sketch: Sketch
             yield pd.DataFrame({"key": key.view(np.int64).ravel(), "band": band, "cid": np.repeat(pdf.cid.to_numpy(), sketch.bands)})
 
     bands = classes.select("cid", "regs").mapInPandas(band_keys, "key long, band int, cid long")
-    first = bands.groupBy("key").agg(F.min("cid").alias("first"), F.count("*").alias("members")).where("members > 1")
+    buckets = bands.groupBy("key").agg(F.min("cid").alias("first"), F.count("*").alias("members")).where("members > 1")
     # written first, or the join would keep the aggregate's partitions and could not split a hot bucket
-    first = cut(first, "buckets")
+    buckets = cut(buckets, "buckets")
     # buckets grow with the texts, so neither side is ever small enough to send to every task
-    shared = cut(bands.join(first.hint("merge"), "key"), "bands")
-    stars = shared.where("cid <> first").select(F.col("first").alias("a"), F.col("cid").alias("b")).distinct()
-    links = cut(verified(likely(stars, classes, percent, sketch), made, size, percent), "links")
-    roots = cut(connected_components(links.toDF("u", "v"), "near"), "near-roots")
-    more = cut(verified(remaining(shared, roots, classes, made, size, percent, sketch, block), made, size, percent), "more-links")
-    if not more.isEmpty():
-        roots = connected_components(links.union(more).toDF("u", "v"), "near")
+    shared = cut(bands.join(buckets.hint("merge"), "key"), "bands")
+    drop(buckets)
+    needed = shared.select("cid").distinct()
+    texts = cut(made.select(F.col("rid").alias("cid"), F.col("row.text").alias("text")).join(needed, "cid", "left_semi"), "near-texts")
+    stars = shared.where("cid <> first").select(F.col("first").alias("a"), F.col("cid").alias("b"), "members")
+    links = [verified(likely(stars, classes, percent, sketch), texts, size, percent)]
+    roots = contracted(links)
+    for turn in range(pivots):
+        member = members_of(shared, roots)
+        pairs = pivot_pairs(member, turn)
+        links.append(verified(likely(pairs, classes, percent, sketch), texts, size, percent))
+        drop(member)
+        if links[-1].isEmpty():
+            break
+        drop(roots)
+        roots = contracted(links)
+    links.append(verified(remaining(shared, roots, classes, texts, size, percent, sketch, block), texts, size, percent))
+    if not links[-1].isEmpty():
+        drop(roots)
+        roots = contracted(links)
+    drop(shared, texts, *links)
     of = classes.select("digest", "cid").join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("digest", F.coalesce("root", "cid").alias("root"))
     order = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "rid")).alias("least")
-    least = cut(made.where("digest is not null").groupBy("digest").agg(order).join(of, "digest"), "near-named")
+    least = cut(made.where("digest is not null").groupBy("digest").agg(order).join(of, "digest"), "near-least")
+    drop(classes, roots)
     name = least.groupBy("root").agg(F.min("least").alias("least"))
-    named = least.select("digest", "root").join(name, "root").select("digest", F.col("least.doc_id").alias("component_id"), F.col("least.rid").alias("first_rid"))
-    done = made.drop("regs").join(named, "digest", "left")
+    named = cut(least.select("digest", "root").join(name, "root").select("digest", F.col("least.doc_id").alias("component_id"), F.col("least.rid").alias("first_rid")), "near-named")
+    drop(least)
+    done = made.select("rid", "row", "digest", "n_shingles", "doc_id").join(named, "digest", "left")
     first_row = F.coalesce(F.col("first_rid") == F.col("rid"), F.lit(True)).alias("first")
-    return done.select(*docs.columns, "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), first_row)
+    return done.select("row.*", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), first_row)
 
 
 def minhash_near_dedup(docs: DataFrame, size: int = 3, percent: int = 85, sketch: Sketch = Sketch()) -> DataFrame:
@@ -213,37 +236,73 @@ def _likely_pairs(a, b, na, nb, percent: int, sketch: Sketch) -> np.ndarray:
     return ok
 
 
+def with_sides(pairs: DataFrame, sides: DataFrame, *columns: str) -> DataFrame:
+    """The pairs (a, b, members) with ``columns`` of both classes, named ..._a and ..._b, from ``sides(cid, ...)``.
+
+    A class that is ``a`` of many pairs is dealt into as many keys as its bucket has blocks of HUB members.
+    """
+    dealt = pairs.withColumn("deal", F.pmod(F.xxhash64("b"), F.expr(f"members div {HUB} + 1")))
+    hubs = dealt.select("a", "members", "deal").distinct()
+    left = hubs.join(sides.select(F.col("cid").alias("a"), *(F.col(c).alias(f"{c}_a") for c in columns)), "a")
+    right = sides.select(F.col("cid").alias("b"), *(F.col(c).alias(f"{c}_b") for c in columns))
+    return dealt.join(left, ["a", "members", "deal"]).join(right, "b").drop("deal")
+
+
 def likely(pairs: DataFrame, classes: DataFrame, percent: int, sketch: Sketch) -> DataFrame:
-    """The pairs (a, b) of classes that their registers let pass."""
-    side = classes.select("cid", "n", "regs")
-    rows = pairs.join(side.toDF("a", "na", "ra"), "a").join(side.toDF("b", "nb", "rb"), "b")
+    """The pairs (a, b, members) of classes that their registers let pass, each once, as a written table."""
+    pairs = cut(pairs.groupBy("a", "b").agg(F.max("members").alias("members")), "pairs")
+    rows = with_sides(pairs, classes, "n", "regs")
 
     def screen(batches):
         for pdf in batches:
             if len(pdf):
-                ra, rb = (np.frombuffer(b"".join(pdf[c]), np.uint16).reshape(len(pdf), -1) for c in ("ra", "rb"))
-                yield pdf[["a", "b"]][_likely_pairs(ra, rb, pdf.na.to_numpy(float), pdf.nb.to_numpy(float), percent, sketch)]
+                ra, rb = (np.frombuffer(b"".join(pdf[c]), np.uint16).reshape(len(pdf), -1) for c in ("regs_a", "regs_b"))
+                yield pdf[["a", "b", "members"]][_likely_pairs(ra, rb, pdf.n_a.to_numpy(float), pdf.n_b.to_numpy(float), percent, sketch)]
 
-    return rows.select("a", "b", "na", "nb", "ra", "rb").mapInPandas(screen, "a long, b long")
+    passed = cut(rows.select("a", "b", "members", "n_a", "n_b", "regs_a", "regs_b").mapInPandas(screen, "a long, b long, members long"), "likely")
+    drop(pairs)
+    return passed
 
 
-def verified(pairs: DataFrame, made: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets meet the limit; a class's text is that of its row ``cid``."""
-    text = made.select(F.col("rid").alias("cid"), "text")
-    pairs = cut(pairs, "pairs")
-    needed = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
-    text = text.join(needed, "cid", "left_semi")
-    rows = pairs.join(text.toDF("a", "ta"), "a").join(text.toDF("b", "tb"), "b")
+def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Of a written table of pairs (a, b, members), those whose full shingle sets meet the limit, written in its place."""
+    rows = with_sides(pairs, texts, "text")
 
     def check(batches):
         for pdf in batches:
             keep = []
-            for ta, tb in zip(pdf.ta, pdf.tb):
+            for ta, tb in zip(pdf.text_a, pdf.text_b):
                 both, either = shared_shingles(words_of(ta), words_of(tb), size)
                 keep.append(100 * both >= percent * either)
             yield pdf[["a", "b"]][np.array(keep, bool)]
 
-    return rows.select("a", "b", "ta", "tb").mapInPandas(check, "a long, b long")
+    links = cut(rows.select("a", "b", "text_a", "text_b").mapInPandas(check, "a long, b long"), "links")
+    drop(pairs)
+    return links
+
+
+def contracted(links: list[DataFrame]) -> DataFrame:
+    """(cid, root) of all classes with a link, as a written table."""
+    every = links[0]
+    for more in links[1:]:
+        every = every.union(more)
+    return connected_components(every.toDF("u", "v"), "near")
+
+
+def members_of(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """The members of buckets of three and more with their present root, as a written table."""
+    roots = roots.withColumnRenamed("node", "cid")
+    rows = shared.where("members > 2").join(roots.hint("merge"), "cid", "left")
+    return cut(rows.select("key", "band", "cid", "first", "members", F.coalesce("root", "cid").alias("root")), "members")
+
+
+def pivot_pairs(member: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b, members) of a class of each open bucket, another one each ``turn``, and members outside its component."""
+    order = F.xxhash64(F.col("cid"), F.lit(turn))
+    pivot = F.min(F.struct(order.alias("order"), "cid", "root")).alias("pivot")
+    chosen = member.groupBy("key").agg(pivot, F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    chosen = chosen.select("key", F.col("pivot.cid").alias("a"), F.col("pivot.root").alias("of"))
+    return member.join(chosen.hint("merge"), "key").where("root <> of").select("a", F.col("cid").alias("b"), "members")
 
 
 def groups_of(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFrame]:
@@ -260,12 +319,8 @@ def groups_of(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.Dat
         yield rest
 
 
-def joining_links(cid, root, n, sets, a, b, percent: int) -> list[tuple[int, int]]:
-    """Of the candidate pairs a-b (row numbers), links that join components of the block.
-
-    Sets hold 32-bit hashes, so counts may be off by a few: pairs within ``slack`` of the limit are always
-    returned and join nothing; pairs above it join their components, and later pairs inside one are dropped.
-    """
+def joining_links(cid, root, sets, a, b, percent: int) -> list[tuple[int, int]]:
+    """Of the candidate pairs a-b (row numbers), the links that join components of the block."""
     parent = {r: r for r in root.tolist()}
 
     def find(x):
@@ -273,64 +328,78 @@ def joining_links(cid, root, n, sets, a, b, percent: int) -> list[tuple[int, int
             parent[x] = x = parent[parent[x]]
         return x
 
-    out, slack = [], 4
+    out = []
     for x, y in zip(a.tolist(), b.tolist()):
         rx, ry = find(root[x]), find(root[y])
         if rx == ry:
             continue
         both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-        either = n[x] + n[y] - both
-        if 100 * (both + slack) < percent * (either - slack):
-            continue
-        out.append((cid[x], cid[y]))
-        if 100 * (both - slack) >= percent * (either + slack):
+        if 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both):
+            out.append((cid[x], cid[y]))
             parent[max(rx, ry)] = min(rx, ry)
     return out
 
 
-def remaining(shared: DataFrame, roots: DataFrame, classes: DataFrame, made: DataFrame, size: int, percent: int, sketch: Sketch, block: int) -> DataFrame:
-    """Likely pairs (a, b) of classes that share a bucket but no component yet, and were no star's edge."""
-    roots = roots.withColumnRenamed("node", "cid")
-    member = shared.where("members > 2").join(roots.hint("merge"), "cid", "left").select("key", "band", "cid", "first", "members", F.coalesce("root", "cid").alias("root"))
-    member = cut(member, "members")
-    open_ = member.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    open_ = cut(open_, "open-buckets")
-    left = cut(member.join(open_.hint("merge"), "key"), "open-members")
+def remaining(shared: DataFrame, roots: DataFrame, classes: DataFrame, texts: DataFrame, size: int, percent: int, sketch: Sketch, block: int) -> DataFrame:
+    """Links (a, b, members) between components of classes that share a bucket, as a written table.
+
+    A bucket's members are dealt into blocks: those of a component of ``block`` members and more have blocks of
+    their own, the others pool. Every two blocks meet in a group of their own, but for two of the same component.
+    """
+    member = members_of(shared, roots)
+    held = member.groupBy("key", "root").agg(F.count("*").alias("n"))
+    open_ = held.groupBy("key").agg(F.count("*").alias("roots"), F.coalesce(F.sum(F.when(F.col("n") < block, F.col("n"))), F.lit(0)).alias("pooled")).where("roots > 1")
+    held = cut(held.join(open_.hint("merge"), "key"), "open-roots")
+    # the component that a block belongs to, or -1 for pooled ones, and how many blocks there are of it
+    own = F.when(F.col("n") >= block, F.col("root")).otherwise(F.lit(-1)).alias("own")
+    parts = F.expr(f"(if(n >= {block}, n, pooled) + {block} - 1) div {block}").alias("parts")
+    blocks = cut(held.select("key", own, parts).distinct().select("key", F.col("own").alias("other"), F.explode(F.expr("sequence(0L, parts - 1)")).alias("other_part")), "blocks")
+    placed = cut(member.join(held.select("key", "root", own, parts).hint("merge"), ["key", "root"]), "placed")
+    part = F.pmod(F.xxhash64(F.when(F.col("own") < 0, F.col("root")).otherwise(F.col("cid"))), "parts").alias("part")
+    rows = placed.select("key", "band", "cid", "first", "root", "own", part).join(blocks.hint("merge"), "key").where("own <> other or own = -1")
+    ours, others = F.struct(F.col("own").alias("of"), F.col("part")), F.struct(F.col("other").alias("of"), F.col("other_part").alias("part"))
+    i, j = F.least(ours, others), F.greatest(ours, others)
+    rows = rows.select("key", "band", "cid", "first", "root", (ours == i).alias("left"), i.of.alias("iof"), i.part.alias("ipart"), j.of.alias("jof"), j.part.alias("jpart"))
 
     @F.pandas_udf("binary")
-    def small_set(text: pd.Series) -> pd.Series:
-        return pd.Series([np.unique(shingle_hashes(words_of(t), size).astype(np.uint32)).tobytes() for t in text])
-
-    needed = left.select("cid").distinct()
-    text = made.select(F.col("rid").alias("cid"), "text").join(needed, "cid", "left_semi")
-    sets = text.select("cid", small_set("text").alias("set")).join(classes.select("cid", "n", "regs"), "cid")
-    left = left.withColumn("blocks", F.expr(f"(members + {block} - 1) div {block}")).withColumn("own", F.expr("pmod(xxhash64(cid), blocks)"))
-    left = left.select("key", "band", "cid", "first", "root", "own", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("other"))
-    left = left.select("key", "band", "cid", "first", "root", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    by = ["key", "i", "j"]
-    dealt = left.join(sets.hint("merge"), "cid").repartition(*by).sortWithinPartitions(*by)
+    def full_set(text: pd.Series) -> pd.Series:
+        return pd.Series([shingle_hashes(words_of(t), size).tobytes() for t in text])
+
+    wanted = placed.select("cid").distinct()
+    sets = cut(texts.join(wanted, "cid", "left_semi").select("cid", full_set("text").alias("set")).join(classes.select("cid", "n", "regs"), "cid"), "near-sets")
+    by = ["key", "iof", "ipart", "jof", "jpart"]
+    dealt = rows.join(sets.hint("merge"), "cid").repartition(*by).sortWithinPartitions(*by)
 
     def compare(batches):
         for g in groups_of(batches, by):
             if g.root.nunique() < 2:
                 continue
             regs = np.frombuffer(b"".join(g.regs), np.uint16).reshape(len(g), -1)
-            cid, root, n = g.cid.to_numpy(), g.root.to_numpy(), g.n.to_numpy()
-            star, own = (g["first"] == g.cid).to_numpy(), g.own.to_numpy()
-            hashes = [np.frombuffer(x, np.uint32) for x in g.set]
-            cross = g.i.iloc[0] != g.j.iloc[0]
-            a, b = np.nonzero((root[:, None] != root[None, :]) & (cid[:, None] < cid[None, :]) & ~star[:, None] & ~star[None, :] & (not cross or own[:, None] != own[None, :]))
+            cid, root, n = g.cid.to_numpy(), g.root.to_numpy(), g.n.to_numpy(float)
+            star, left = (g["first"] == g.cid).to_numpy(), g.left.to_numpy()
+            hashes = [np.frombuffer(x, np.uint64) for x in g.set]
+            if (g.iof.iloc[0], g.ipart.iloc[0]) == (g.jof.iloc[0], g.jpart.iloc[0]):
+                a, b = np.nonzero((root[:, None] != root[None, :]) & (cid[:, None] < cid[None, :]))
+            else:
+                x, y = np.flatnonzero(left), np.flatnonzero(~left)
+                a, b = np.nonzero(root[x][:, None] != root[y][None, :])
+                a, b = x[a], y[b]
+            free = ~star[a] & ~star[b]
+            a, b = a[free], b[free]
             before = regs[:, : g.band.iloc[0] * sketch.rows].reshape(len(g), -1, sketch.rows)
             ok = np.zeros(len(a), bool)
             for s in range(0, len(a), 20_000):
                 x, y = a[s : s + 20_000], b[s : s + 20_000]
                 met = (before[x] == before[y]).all(axis=2).any(axis=1)
-                ok[s : s + 20_000] = ~met & _likely_pairs(regs[x], regs[y], n[x].astype(float), n[y].astype(float), percent, sketch)
-            links = joining_links(cid, root, n, hashes, a[ok], b[ok], percent)
+                ok[s : s + 20_000] = ~met & _likely_pairs(regs[x], regs[y], n[x], n[y], percent, sketch)
+            links = joining_links(cid, root, hashes, a[ok], b[ok], percent)
             if links:
                 yield pd.DataFrame(links, columns=["a", "b"])
 
-    return dealt.mapInPandas(compare, "a long, b long").distinct()
+    found = dealt.mapInPandas(compare, "a long, b long").distinct().withColumn("members", F.lit(0).cast("long"))
+    found = cut(found, "remaining")
+    drop(member, held, blocks, placed, sets)
+    return found
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -345,7 +414,7 @@ s AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
     ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM w),
 x AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
-f AS (SELECT g FROM x GROUP BY g HAVING count(*) BETWEEN 2 AND 1000000),
+f AS (SELECT g FROM x GROUP BY g HAVING count(*) > 1),
 p AS (
   SELECT a.doc_id AS a, b.doc_id AS b FROM (SELECT * FROM x SEMI JOIN f USING (g)) a JOIN (SELECT * FROM x SEMI JOIN f USING (g)) b
     ON a.g = b.g AND a.doc_id <> b.doc_id

@@ -52,11 +52,14 @@ def brute_components(docs, size, percent):
     return Counter((d[0], len(s), least.get(r)) for d, s, r in zip(docs, sets, root))
 
 
-@pytest.mark.parametrize("block", [256, 4])
-def test_near_duplicates(spark, block):
+@pytest.mark.parametrize("block, pivots", [(256, 3), (4, 0)])
+def test_near_duplicates(spark, block, pivots):
     docs = near_copies() + ODD
-    df = spark.createDataFrame(docs, SCHEMA).withColumns({c: F.lit("x") for c in ("rid", "digest", "first", "regs")})
-    got = minhash.near_duplicate_rows(df, 3, 85, block=block).collect()
+    df = spark.createDataFrame(docs, SCHEMA).withColumns({c: F.lit("x") for c in ("rid", "digest", "first", "regs", "cid", "root", "row")})
+    done = minhash.near_duplicate_rows(df, 3, 85, block=block, pivots=pivots)
+    assert done.columns == [*(c for c in df.columns if c != "first"), "n_shingles", "component_id", "first"]
+    got = done.collect()
+    assert all(r.rid == r.digest == r.regs == r.row == "x" for r in got)
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(docs, 3, 85)
     assert Counter(r.component_id for r in got if r["first"] and r.n_shingles) == Counter({r.component_id for r in got if r.n_shingles})
     kept = minhash.minhash_near_dedup(df).collect()

@@ -1,4 +1,4 @@
-"""Repeated byte strings, found by re-ranking sampled positions over growing strings until unique or long enough."""
+"""Repeated byte strings: names of growing strings around sampled positions, refined until unique or long enough."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, slices, table
+from .common import cut, drop, table
 
 #: Positions that are hashed at once; a local position must fit in POS_BITS.
 BLOCK, POS_BITS = 1 << 19, 20
@@ -97,102 +97,166 @@ def _bytes(column: pa.Array, i: int) -> np.ndarray:
     return np.frombuffer(column[i].as_buffer(), np.uint8)
 
 
+def _named(hashes: tuple[np.ndarray, np.ndarray], *numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two hashes of each string, joined with small numbers that count as part of it."""
+    out = []
+    for h in hashes:
+        x = h.view(np.uint64)
+        for n in numbers:
+            x = _mix((x ^ np.asarray(n).astype(np.uint64)) * np.uint64(BASES[1]))
+        out.append(x.view(np.int64))
+    return out[0], out[1]
+
+
+def cell_names(data: np.ndarray, at, low, high, lo, size: int, length: int, rid) -> list[np.ndarray]:
+    """Cells of ``size`` windows of each position: its row, low, high, and names of the cell's core and hull.
+
+    ``data`` holds the surroundings of all positions end to end, those of row i from data[lo[i, 0]] to
+    data[lo[i, 1]], standing for the text from lo[i, 2]. low to high are how far before ``at`` windows start.
+    """
+    k0 = low // size
+    count = high // size - k0 + 1
+    row = np.repeat(np.arange(len(at)), count)
+    x = (k0[row] + np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)) * size
+    core, hull = cell_strings(at[row], x, size, length)
+    shift = (lo[:, 0] - lo[:, 2])[row]
+    c = _named(string_hashes(data, core[0] + shift, core[1] + shift), x)
+    h = [c[0].copy(), c[1].copy()]
+    if size > 1:
+        inside = (hull[0] + shift >= lo[row, 0]) & (hull[1] + shift <= lo[row, 1])
+        h[0][inside], h[1][inside] = _named(string_hashes(data, (hull[0] + shift)[inside], (hull[1] + shift)[inside]), x[inside])
+        # a hull that leaves the text is equal to none
+        h[0][~inside], h[1][~inside] = -1 - rid[row][~inside], at[row][~inside] * 1024 + x[~inside]
+    return [row, np.maximum(low[row], x), np.minimum(high[row], x + size - 1), *c, *h]
+
+
 class Repeats:
     """Finds, over all texts, each window of ``length`` bytes that starts anywhere else too.
 
-    made: the rows with digest and text, written once. spans(): (rid, start, end) of repeated bytes in rows whose
-    whole text is not itself repeated; rows with equal texts of ``length`` bytes or more are repeated throughout.
+    made: the rows (rid, row: the caller's columns, digest, n_bytes), written once. spans(): (rid, start, end) of
+    repeated bytes. Rows with equal texts of ``length`` bytes or more are repeated throughout; only one of them is sampled.
     """
 
     def __init__(self, docs: DataFrame, length: int = 400, gram: int = 32, sizes: tuple[int, ...] = (64, 8, 1)):
         # a cell's core must reach past the gram, and the last round looks at single windows
         self.length, self.gram, self.sizes = length, gram, (*(s for s in sizes if 1 < s <= length - gram), 1)
         text = F.coalesce(F.col("text"), F.lit(""))
-        rows = docs.withColumns({"text": text, "rid": F.monotonically_increasing_id(), "digest": F.sha2(text, 256), "n_bytes": F.octet_length(text).cast("long")})
+        # the caller's columns travel in one of their own, so that no name of theirs meets one of ours
+        rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*docs.columns).alias("row"), F.sha2(text, 256).alias("digest"), F.octet_length(text).cast("long").alias("n_bytes"))
         self.made = cut(rows, "suffix-texts")
-        self.copies = cut(self.made.groupBy("digest").agg(F.min("rid").alias("rid"), F.count("*").alias("copies")), "suffix-classes")
+        self.text = F.coalesce(F.col("row.text"), F.lit("")).alias("text")
 
-    def sampled(self) -> DataFrame:
-        """Positions of one row of each text whose gram stands at two sampled positions at least."""
+    def positions(self, copies: DataFrame) -> DataFrame:
+        """Sampled positions of one row of each text: gram, and a name of all that the position's windows cover; a written table."""
         length, gram = self.length, self.gram
+        columns = {"name": "long", "at": "int", "first": "int", "last": "int", "w1": "long", "w2": "long"}
 
         def sample(batches):
             for b in batches:
                 text = b["text"].cast(pa.binary())
-                parts = [sampled_positions(_bytes(text, i), length, gram) for i in range(len(text))]
+                parts = []
+                for i in range(len(text)):
+                    data = _bytes(text, i)
+                    name, at, first, last = sampled_positions(data, length, gram)
+                    parts.append((name, at, first, last, *_named(string_hashes(data, first, last + length), at - first, last - at)))
                 offsets = pa.array(np.cumsum([0, *(len(p[0]) for p in parts)]), pa.int32())
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([p[k] for p in parts]) if parts else [], pa.int64())) for k in range(4)]
-                yield pa.RecordBatch.from_arrays([b["rid"], *lists], names=["rid", "name", "at", "first", "last"])
-
-        texts = self.made.where(F.col("n_bytes") >= length).select("rid", "text")
-        found = texts.mapInArrow(sample, "rid long, name array<long>, at array<long>, first array<long>, last array<long>")
-        found = found.join(self.copies.select("rid"), "rid", "left_semi")
-        flat = cut(found.select("rid", F.inline(F.arrays_zip("name", "at", "first", "last"))), "suffix-positions")
-        # written first: a join straight after its own aggregate keeps the aggregate's partitions, and can't split a hot name
-        shared = cut(flat.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name"), "suffix-shared")
-        return flat.join(shared.hint("merge"), "name").select("rid", "at", "first", "last")
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64), pa.int64()).cast(pa.int32() if kind == "int" else pa.int64())) for k, kind in enumerate(columns.values())]
+                yield pa.RecordBatch.from_arrays([b["rid"], *lists], names=["rid", *columns])
+
+        texts = self.made.where(F.col("n_bytes") >= length).select("rid", self.text)
+        found = texts.mapInArrow(sample, "rid long, " + ", ".join(f"{c} array<{kind}>" for c, kind in columns.items()))
+        found = found.join(copies.select("rid"), "rid", "left_semi")
+        return cut(found.select("rid", F.inline(F.arrays_zip(*columns))), "suffix-positions")
+
+    def surroundings(self, live: DataFrame) -> DataFrame:
+        """For positions (rid, at, first, last): low, high, and the bytes around them from ``lo`` on; a written table."""
+        length, margin = self.length, max(self.sizes) - 1
+        listed = live.groupBy("rid").agg(F.collect_list(F.struct("at", "first", "last")).alias("places"))
+        rows = self.made.select("rid", self.text).join(listed, "rid")
+
+        def around(batches):
+            for b in batches:
+                text, lists = b["text"].cast(pa.binary()), b["places"]
+                bounds, value = lists.offsets.to_numpy(), lists.values
+                at, first, last = (value.field(k).to_numpy() for k in ("at", "first", "last"))
+                for i in range(len(text)):
+                    data, rid = text[i].as_buffer(), b["rid"][i].as_py()
+                    for s in range(bounds[i], bounds[i + 1], 2000):
+                        p = slice(s, min(s + 2000, bounds[i + 1]))
+                        lo, hi = np.maximum(first[p] - margin, 0), np.minimum(last[p] + length + margin, len(data))
+                        near = [data[x:y].to_pybytes() for x, y in zip(lo.tolist(), hi.tolist())]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(lo), rid)), pa.array(at[p]), pa.array(at[p] - last[p]), pa.array(at[p] - first[p]), pa.array(lo), pa.array(near, pa.binary())], names=["rid", "at", "low", "high", "lo", "near"])
+
+        return cut(rows.mapInArrow(around, "rid long, at int, low int, high int, lo int, near binary"), "suffix-near")
 
     def hashed(self, cells: DataFrame, size: int) -> DataFrame:
-        """Names of the core and hull of each cell (rid, at, x, first, last)."""
+        """(rid, at, low, high, c1, c2, h1, h2) of the cells of ``size`` windows of (rid, at, low, high, lo, near); a written table."""
         length = self.length
-        listed = cells.groupBy("rid").agg(F.collect_list(F.struct("at", "x", "first", "last")).alias("cells"))
-        rows = self.made.select("rid", "text").join(listed, "rid")
-        names = ["rid", "at", "x", "first", "last", "c1", "c2", "h1", "h2"]
 
         def name(batches):
-            for b in batches:
-                text, lists = b["text"].cast(pa.binary()), b["cells"]
-                bounds = lists.offsets.to_numpy()
-                value = lists.values
-                at, x, first, last = (value.field(k).to_numpy() for k in ("at", "x", "first", "last"))
-                for i in range(len(text)):
-                    s = slice(bounds[i], bounds[i + 1])
-                    data, rid = _bytes(text, i), b["rid"][i].as_py()
-                    core, hull = cell_strings(at[s], x[s], size, length)
-                    c1, c2 = string_hashes(data, *core)
-                    h1, h2 = c1.copy(), c2.copy()
-                    inside = (hull[0] >= 0) & (hull[1] <= len(data))
-                    if size > 1:
-                        h1[inside], h2[inside] = string_hashes(data, hull[0][inside], hull[1][inside])
-                        # a hull that leaves the text is equal to none
-                        h1[~inside], h2[~inside] = -1 - rid, at[s][~inside] * 1024 + x[s][~inside]
-                    columns = [np.full(len(c1), rid), at[s], x[s], first[s], last[s], c1, c2, h1, h2]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
-
-        return rows.mapInArrow(name, ", ".join(f"{c} long" for c in names))
+            for whole in batches:
+                for s in range(0, whole.num_rows, 1000):
+                    b = whole.slice(s, 1000)
+                    near = b["near"].to_pylist()
+                    ends = np.cumsum([0, *map(len, near)])
+                    rid, at, low, high, start = (b[c].to_numpy().astype(np.int64) for c in ("rid", "at", "low", "high", "lo"))
+                    row, low, high, *names = cell_names(np.frombuffer(b"".join(near), np.uint8), at, low, high, np.column_stack([ends[:-1], ends[1:], start]), size, length, rid)
+                    small = [pa.array(c, pa.int64()).cast(pa.int32()) for c in (at[row], low, high)]
+                    yield pa.RecordBatch.from_arrays([pa.array(rid[row]), *small, *map(pa.array, names)], names=["rid", "at", "low", "high", "c1", "c2", "h1", "h2"])
+
+        rows = cells.select("rid", "at", "low", "high", "lo", "near")
+        return cut(rows.mapInArrow(name, "rid long, at int, low int, high int, c1 long, c2 long, h1 long, h2 long"), f"suffix-rank-{size}")
 
     def spans(self) -> DataFrame:
-        """(rid, start, end) of repeated bytes.
+        """(rid, start, end) of repeated bytes, as a written table that lists them by rid.
+
+        First, positions whose windows cover equal strings throughout are done: all repeat, and one stays as a witness
+        as long as the gram stands in other surroundings too. Then, round by round, the windows of a position are split
+        into smaller cells, so that the string that a cell's windows have in common (core) grows towards ``length``.
+        A cell whose core is unique is done: none of its windows repeats. A cell whose hull, all that its windows
+        cover, repeats is done too: all do. One cell of each hull stays as long as others share its core.
 
-        Round by round the windows of a position are split into smaller cells, so that the string that a cell's
-        windows have in common grows towards ``length``; positions are ranked by it, within their offset. A cell
-        whose common string is unique is done: none of its windows repeats. A cell whose hull repeats is done too:
-        all do. One cell of each repeated hull stays as a witness as long as others share its core.
+        Each aggregate is written before it is joined: a join straight after its own aggregate would keep the
+        aggregate's partitions, and could not split a hot name.
         """
-        size = self.sizes[0]
-        top = (self.length - self.gram) // size
-        cells = self.sampled().select("*", F.explode(F.expr(f"sequence(greatest(0L, (at - last) div {size}), least({top}L, (at - first) div {size}))")).alias("k"))
-        cells = cells.select("rid", "at", (F.col("k") * size).alias("x"), "first", "last")
-        done = None
-        for k, size in enumerate(self.sizes):
-            ranked = cut(self.hashed(cells, size), f"suffix-rank-{size}")
-            core, hull = ["x", "c1", "c2"], ["x", "c1", "c2", "h1", "h2"]
-            by_hull = ranked.groupBy(*hull).agg(F.count("*").alias("n"), F.min(F.struct("rid", "at", "first", "last")).alias("one"))
-            repeated = ranked.join(by_hull.where("n > 1").select(*hull), hull)
-            a = F.greatest(F.col("first"), F.col("at") - F.col("x") - size + 1)
-            z = F.least(F.col("last"), F.col("at") - F.col("x")) + self.length
-            repeated = cut(repeated.select("rid", a.alias("start"), z.alias("end")), f"suffix-spans-{size}")
-            done = repeated if done is None else done.union(repeated)
-            if size == 1:
-                break
-            total = by_hull.groupBy(*core).agg(F.sum("n").alias("total"), F.count("*").alias("hulls")).where("hulls > 1")
-            rest = by_hull.join(total.select(*core), core).select("x", "one.*")
-            less = self.sizes[k + 1]
-            low = F.greatest(F.col("x"), F.col("at") - F.col("last"))
-            high = F.least(F.col("x") + size - 1, F.col("at") - F.col("first"))
-            rest = rest.select("rid", "at", "first", "last", F.explode(F.sequence(F.floor(low / less), F.floor(high / less))).alias("k"))
-            cells = rest.select("rid", "at", (F.col("k") * less).alias("x"), "first", "last")
-        return done
+        copies = cut(self.made.groupBy("digest").agg(F.min("rid").alias("rid"), F.count("*").alias("copies")), "suffix-classes")
+        whole = self.made.where(F.col("n_bytes") >= self.length).select("rid", "digest", "n_bytes").join(copies.where("copies > 1").select("digest").hint("merge"), "digest")
+        spans = [cut(whole.select("rid", F.lit(0).alias("start"), F.col("n_bytes").cast("int").alias("end")), "suffix-whole")]
+        flat = self.positions(copies)
+        drop(copies)
+        shared = cut(flat.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name"), "suffix-shared")
+        kept = cut(flat.join(shared.hint("merge"), "name"), "suffix-kept")
+        drop(flat, shared)
+        equal = cut(kept.groupBy("w1", "w2").agg(F.count("*").alias("n"), F.min(F.struct("rid", "at", "first", "last", "name")).alias("one")), "suffix-equal")
+        hit = kept.join(equal.where("n > 1").select("w1", "w2").hint("merge"), ["w1", "w2"])
+        spans.append(cut(hit.select("rid", F.col("first").alias("start"), (F.col("last") + self.length).alias("end")), "suffix-spans"))
+        several = cut(equal.groupBy(F.col("one.name").alias("name")).agg(F.count("*").alias("n")).where("n > 1").select("name"), "suffix-several")
+        live = equal.select("one.*").join(several.hint("merge"), "name")
+        near = self.surroundings(live.select("rid", "at", "first", "last"))
+        drop(kept, equal, several)
+        cells = near
+        for size in self.sizes:
+            ranked = self.hashed(cells, size)
+            core, hull = ["c1", "c2"], ["h1", "h2"]
+            one = F.min(F.struct("rid", "at", "low", "high", *core)).alias("one")
+            by_hull = cut(ranked.groupBy(*hull).agg(F.count("*").alias("n"), one), "suffix-hulls")
+            hit = ranked.join(by_hull.where("n > 1").select(*hull).hint("merge"), hull)
+            spans.append(cut(hit.select("rid", (F.col("at") - F.col("high")).alias("start"), (F.col("at") - F.col("low") + self.length).alias("end")), "suffix-spans"))
+            drop(ranked)
+            if size > 1:
+                total = cut(by_hull.select("one.*").groupBy(*core).agg(F.count("*").alias("hulls")).where("hulls > 1").select(*core), "suffix-cores")
+                rest = by_hull.select("one.*").join(total.hint("merge"), core).select("rid", "at", "low", "high")
+                rest = cut(rest, "suffix-rest")
+                drop(by_hull, total)
+                cells = rest.join(near.select("rid", "at", "lo", "near"), ["rid", "at"])
+            else:
+                drop(by_hull)
+        every = spans[0]
+        for more in spans[1:]:
+            every = every.union(more)
+        listed = cut(every.groupBy("rid").agg(F.collect_list("start").alias("start"), F.collect_list("end").alias("end")), "suffix-listed")
+        drop(near, *spans)
+        return listed
 
 
 def merged(start: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
@@ -215,54 +279,46 @@ def remaining_bytes(data: bytes, runs: list[tuple[int, int]]) -> bytes:
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, gram: int = 32) -> DataFrame:
-    """``docs(doc_id, text, ...)`` with every byte removed that a repeated string of ``length`` bytes covers.
+    """``docs(doc_id, text, ...)`` with every byte found that a repeated string of ``length`` bytes covers.
 
-    Adds n_bytes, n_removed, n_spans (maximal removed runs), kept_bytes and kept_sha256; other columns stay.
+    Adds n_bytes, n_removed, n_spans (maximal removed runs), kept_bytes, kept_text (whole characters of these) and
+    kept_sha256, in place of columns so named; all other columns stay as they are, ``text`` among them.
     Strings are compared as UTF-8 bytes within and across rows, judged on the input. Null texts count as empty;
     texts shorter than ``length`` keep all. Rows with equal texts of that length lose all of it. Repeated rows
     and repeated or null doc_ids are fine: one row out for each row in. No rows give an empty result.
     """
-    taken = {"rid", "digest", "n_bytes", "n_removed", "n_spans", "kept_bytes", "kept_sha256", "copies"}
-    docs = docs.drop(*(c for c in docs.columns if c.lower() in taken))
+    added = {"n_bytes", "n_removed", "n_spans", "kept_bytes", "kept_text", "kept_sha256"}
+    docs = docs.drop(*(c for c in docs.columns if c.lower() in added))
     repeats = Repeats(docs, length, gram)
-    made = repeats.made
-    listed = repeats.spans().groupBy("rid").agg(F.collect_list("start").alias("start"), F.collect_list("end").alias("end"))
-    rows = made.select("rid", "text").join(listed, "rid")
-
-    def strip(batches):
-        for pdf in batches:
-            out = []
-            for rid, text, start, end in zip(pdf.rid, pdf.text, pdf.start, pdf.end):
-                runs = merged(start, end)
-                kept = remaining_bytes(text.encode("utf-8", "surrogatepass"), runs)
-                out.append((rid, sum(b - a for a, b in runs), len(runs), kept, hashlib.sha256(kept).hexdigest()))
-            yield pd.DataFrame(out, columns=["rid", "n_removed", "n_spans", "kept_bytes", "kept_sha256"])
-
-    stripped = rows.mapInPandas(strip, "rid long, n_removed long, n_spans long, kept_bytes binary, kept_sha256 string")
-    equal = repeats.copies.where("copies > 1").select("digest", "copies")
-    out = made.join(equal, "digest", "left").join(stripped, "rid", "left")
-    gone = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
-    zero, empty = F.lit(0).cast("long"), F.lit("").cast("binary")
-    return out.select(
-        *docs.columns,
+    listed = repeats.spans()
+
+    @F.pandas_udf("n_removed long, n_spans long, kept_bytes binary, kept_text string, kept_sha256 string")
+    def strip(text: pd.Series, start: pd.Series, end: pd.Series) -> pd.DataFrame:
+        out = []
+        for t, a, z in zip(text, start, end):
+            if t is None:
+                out.append((None,) * 5)
+                continue
+            runs = merged(a, z)
+            kept = remaining_bytes(t.encode("utf-8", "surrogatepass"), runs)
+            out.append((sum(y - x for x, y in runs), len(runs), kept, kept.decode("utf-8", "ignore"), hashlib.sha256(kept).hexdigest()))
+        return pd.DataFrame(out, columns=["n_removed", "n_spans", "kept_bytes", "kept_text", "kept_sha256"])
+
+    rows = repeats.made.select("rid", "row", "digest", "n_bytes", repeats.text).join(listed, "rid", "left")
+    rows = rows.withColumn("done", strip(F.when(F.col("start").isNotNull(), F.col("text")), "start", "end"))
+    zero = F.lit(0).cast("long")
+    return rows.select(
+        "row.*",
         "n_bytes",
-        F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", zero)).alias("n_removed"),
-        F.when(gone, F.lit(1).cast("long")).otherwise(F.coalesce("n_spans", zero)).alias("n_spans"),
-        F.when(gone, empty).otherwise(F.coalesce("kept_bytes", F.col("text").cast("binary"))).alias("kept_bytes"),
-        F.when(gone, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "digest")).alias("kept_sha256"),
+        F.coalesce("done.n_removed", zero).alias("n_removed"),
+        F.coalesce("done.n_spans", zero).alias("n_spans"),
+        F.coalesce("done.kept_bytes", F.col("text").cast("binary")).alias("kept_bytes"),
+        F.coalesce("done.kept_text", "text").alias("kept_text"),
+        F.coalesce("done.kept_sha256", "digest").alias("kept_sha256"),
     )
 
 
-def text_of(column: str):
-    """UTF-8 text of a binary column, without characters that are not whole."""
-
-    @F.pandas_udf("string")
-    def text(data: pd.Series) -> pd.Series:
-        return data.map(lambda x: None if x is None else x.decode("utf-8", "ignore"))
-
-    return text(column)
-
-
 def op8_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns, and ``text``: what is left of each text, in whole characters."""
     done = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.col("kept_text").alias("text"))

@@ -37,9 +37,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def remove_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes out every byte that a repeated 400-byte string covers; characters cut in two by that go as well."""
     done = suffix_dedup.remove_repeats(docs.select(*COLUMNS))
-    text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(suffix_dedup.text_of("kept_bytes"))
-    done = done.withColumn("text", text).withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return done.select(*COLUMNS)
+    whole = F.col("n_removed") == 0
+    left = {"text": F.when(whole, F.col("text")).otherwise(F.col("kept_text")), "n_chars": F.when(whole, F.col("n_chars")).otherwise(F.length("kept_text").cast("long"))}
+    return done.withColumns(left).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

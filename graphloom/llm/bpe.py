@@ -78,7 +78,7 @@ def encode_documents(docs: DataFrame, ranks: str, chunk: int = 32_768, overlap:
     Texts of up to ``chunk`` characters are one piece. Longer ones are dealt out as chunks that overlap by
     ``overlap`` characters; each chunk is pre-tokenised from its own start, neighbours are stitched at the
     first boundary on which both agree (from there on their pre-tokens are the same), and the pieces between
-    stitches are encoded in parallel. Where neighbours agree nowhere in the overlap, the text is one piece.
+    stitches are encoded in parallel. Where neighbours agree nowhere in the overlap, it is widened (see ``stitched``).
 
     Null texts are empty: 0 ids, digests of nothing. One row out for each row in, whatever the doc_ids; other
     columns are ignored; no rows give an empty result.
@@ -119,9 +119,45 @@ def encode_documents(docs: DataFrame, ranks: str, chunk: int = 32_768, overlap:
 
 
 def stitched(long: DataFrame, chunk: int, overlap: int) -> DataFrame:
-    """(rid, i, piece) of ``long(rid, text, size)``: pieces whose pre-tokens are those of the whole text."""
-    parts = long.select("rid", "size", F.posexplode(F.expr(f"sequence(0L, (size - 1) div {chunk})")).alias("i", "x"), "text")
-    parts = parts.select("rid", F.col("i").cast("long").alias("i"), "size", F.expr(f"substring(text, i * {chunk} + 1, {chunk + overlap})").alias("part"))
+    """(rid, i, piece) of ``long(rid, text, size)``: pieces whose pre-tokens are those of the whole text.
+
+    Texts some of whose chunks agree nowhere are dealt out again with overlaps of eight times the width, up to a whole
+    chunk; a text without agreement even then is one piece.
+    """
+    starts, rest, widths = None, long, []
+    while not widths or widths[-1] < chunk:
+        widths.append(min(chunk, widths[-1] * 8 if widths else overlap))
+        found = cut(chunk_starts(rest, chunk, widths[-1]), "bpe-starts")
+        agreed = found.where("ok").select("rid", "starts")
+        starts = agreed if starts is None else starts.union(agreed)
+        open_ = found.where("not ok").select("rid")
+        if open_.isEmpty():
+            break
+        rest = rest.join(open_, "rid", "left_semi")
+    rows = long.join(starts, "rid", "left").select("rid", "text", F.coalesce("starts", F.array(F.lit(0).cast("long"))).alias("starts"))
+
+    def pieces(batches):
+        for pdf in batches:
+            for r in pdf.itertuples():
+                bounds = [*map(int, r.starts), len(r.text)]
+                for s in range(0, len(bounds) - 1, 64):
+                    part = range(s, min(s + 64, len(bounds) - 1))
+                    yield pd.DataFrame({"rid": r.rid, "i": list(part), "piece": [r.text[bounds[i] : bounds[i + 1]] for i in part]})
+
+    # a text's pieces are dealt out, so that one long text is many tasks' work
+    return rows.mapInPandas(pieces, "rid long, i long, piece string").repartition("rid", "i")
+
+
+def chunk_starts(long: DataFrame, chunk: int, overlap: int) -> DataFrame:
+    """(rid, ok, starts): where the pieces of each text begin, and whether all neighbours agree."""
+
+    def parts(batches):
+        for pdf in batches:
+            for r in pdf.itertuples():
+                n = -(-len(r.text) // chunk)
+                for s in range(0, n, 64):
+                    part = range(s, min(s + 64, n))
+                    yield pd.DataFrame({"rid": r.rid, "i": list(part), "size": len(r.text), "part": [r.text[i * chunk : (i + 1) * chunk + overlap] for i in part]})
 
     def edges(batches):
         for pdf in batches:
@@ -132,14 +168,11 @@ def stitched(long: DataFrame, chunk: int, overlap: int) -> DataFrame:
                 out.append((r.rid, r.i, b[b <= start + overlap], b[b >= start + chunk]))
             yield pd.DataFrame(out, columns=["rid", "i", "head", "tail"])
 
-    found = parts.mapInPandas(edges, "rid long, i long, head array<long>, tail array<long>")
+    dealt = long.select("rid", "text").mapInPandas(parts, "rid long, i long, size long, part string").repartition("rid", "i")
+    found = dealt.mapInPandas(edges, "rid long, i long, head array<long>, tail array<long>")
     before = F.lag("tail").over(W.partitionBy("rid").orderBy("i"))
     at = found.select("rid", "i", F.when(F.col("i") == 0, F.lit(0).cast("long")).otherwise(F.array_min(F.array_intersect("head", before))).alias("at"))
-    starts = at.groupBy("rid").agg(F.bool_and(F.col("at").isNotNull()).alias("ok"), F.sort_array(F.collect_list("at")).alias("starts"))
-    starts = starts.select("rid", F.when(F.col("ok"), F.col("starts")).otherwise(F.array(F.lit(0).cast("long"))).alias("starts"))
-    cuts = long.join(starts, "rid").select("rid", "text", "size", "starts", F.posexplode("starts").alias("i", "a"))
-    end = F.expr("coalesce(try_element_at(starts, i + 2), size)")
-    return cuts.select("rid", F.col("i").cast("long").alias("i"), F.substring("text", F.col("a").cast("int") + 1, (end - F.col("a")).cast("int")).alias("piece"))
+    return at.groupBy("rid").agg(F.bool_and(F.col("at").isNotNull()).alias("ok"), F.sort_array(F.collect_list("at")).alias("starts"))
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from .common import cut, slices, table
 
 #: Vocabulary for ``tokenizers``, the same vocabulary as ranks, and its special strings.
 VOCABULARY = ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken", (("<|endoftext|>", 50256),))
-#: The last code point of which both libraries are known to make the same ids (see tests/llm/test_packing.py).
+#: The last code point of which both libraries are known to make the same ids (see tests/llm/test_tokens.py).
 SAME_UP_TO = "ɏ"
 
 
@@ -48,11 +48,10 @@ def cut_points(n: int, size: int) -> list[tuple[int, int]]:
     return [(0, min(first, n))] + [(at, size) for at in range(first, n, size)]
 
 
-def fit_patterns(counts: dict[int, int], size: int, most: int = 6000, sweeps: int = 40) -> dict[tuple[int, ...], int]:
-    """Patterns of one to three lengths that fill a sequence exactly, and how often each is used.
+def full_patterns(counts: dict[int, int], size: int, most: int = 6000) -> list[tuple[int, ...]]:
+    """Patterns of one to three lengths that fill a sequence exactly: all of one and two, about ``most`` of three.
 
-    Repeat counts solve min |A n - h| over n >= 0 by coordinate descent (h: the histogram, A: uses of each
-    length by each pattern), are rounded down and held to what the histogram has left.
+    Those of three are built from the commonest lengths on, and thinned evenly once there are more than ``most``.
     """
     lengths = sorted(counts)
     have = set(lengths)
@@ -67,8 +66,16 @@ def fit_patterns(counts: dict[int, int], size: int, most: int = 6000, sweeps: in
         if len(triples) >= most:
             break
     patterns += sorted(triples)[:: max(1, len(triples) // most)]
-    if size in have:
-        patterns.append((size,))
+    return patterns + ([(size,)] if size in have else [])
+
+
+def fit_patterns(counts: dict[int, int], patterns: list[tuple[int, ...]], sweeps: int = 40) -> dict[tuple[int, ...], int]:
+    """How often each of ``patterns`` is used.
+
+    Repeat counts solve min |A n - h| over n >= 0 by coordinate descent (h: the histogram, A: uses of each
+    length by each pattern), are rounded down and held to what the histogram has left.
+    """
+    lengths = sorted(counts)
     uses = [Counter(p) for p in patterns]
     left = dict.fromkeys(lengths, 0.0) | {k: float(v) for k, v in counts.items()}
     n = [0.0] * len(patterns)
@@ -118,16 +125,41 @@ def best_fit(counts: dict[int, int], size: int) -> dict[tuple[int, ...], int]:
     return dict(sum(room.values(), Counter()))
 
 
-def plan(counts: dict[int, int], size: int) -> dict[tuple[int, ...], int]:
-    """Patterns and repeat counts that use up the histogram, in as few sequences as either way finds."""
-    fitted = Counter(fit_patterns(counts, size))
-    spare = Counter(counts)
-    for p, k in fitted.items():
-        for x in p:
-            spare[x] -= k
-    fitted.update(best_fit(+spare, size))
-    plain = best_fit(counts, size)
-    return dict(fitted) if sum(fitted.values()) <= sum(plain.values()) else plain
+def repacked(patterns: dict[tuple[int, ...], int], size: int, shares: tuple[int, ...] = (8, 4, 2)) -> dict[tuple[int, ...], int]:
+    """The plan with its least full sequences, one in 8, then one in 4, then half, dissolved and packed anew by best fit."""
+    for share in shares:
+        few, taken = sum(patterns.values()) // share, Counter()
+        for p in sorted(patterns, key=lambda p: (sum(p), -len(p), p)):
+            if k := min(patterns[p], few - taken.total()):
+                taken[p] = k
+        pieces: Counter = Counter()
+        for p, k in taken.items():
+            for x in p:
+                pieces[x] += k
+        again = Counter(best_fit(pieces, size))
+        if again.total() <= taken.total():
+            patterns = dict(Counter(patterns) - taken + again)
+    return patterns
+
+
+def plan(counts: dict[int, int], size: int, most: int = 6000) -> dict[tuple[int, ...], int]:
+    """Patterns and repeat counts that use up the histogram: fitted patterns, and best fit of what they leave.
+
+    Fitted twice, over the patterns that fill a sequence exactly and over these with the fillings that best fit makes
+    of the histogram beside them; then the least full sequences are packed anew, and the better plan is taken.
+    """
+    full = full_patterns(counts, size, most)
+    wider = sorted({*full, *(tuple(sorted(p)) for p in best_fit(counts, size))})
+    plans = []
+    for patterns in (full, wider):
+        fitted = Counter(fit_patterns(counts, patterns))
+        spare = Counter(counts)
+        for p, k in fitted.items():
+            for x in p:
+                spare[x] -= k
+        fitted.update(best_fit(+spare, size))
+        plans.append(repacked(dict(fitted), size))
+    return min(plans, key=lambda p: sum(p.values()))
 
 
 def slots(patterns: dict[tuple[int, ...], int]) -> pd.DataFrame:

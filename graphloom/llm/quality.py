@@ -96,10 +96,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, most: int = 20_000, seed: in
     Without labelled rows every score is 0.5.
     """
     spark = docs.sparkSession
-    named = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").cast("double").alias("y"))
-    # most rows at about, two numbers each: small enough to send to every task
+    named = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(F.col("quality").cast("double")).alias("y"))
+    # most doc_ids at about, each once: small enough to send to every task; of rows that repeat a doc_id, one text counts
     chosen = bounded(named, "doc_id", named.count(), most)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "y", (F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(10)) == 0).alias("calibrate"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("text", "y", (F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(10)) == 0).alias("calibrate"))
 
     def stats(batches):
         for pdf in batches:

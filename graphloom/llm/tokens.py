@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, cut, shared_dir, slices, table
+from .common import Memo, cut, drop, shared_dir, slices, table
 
 #: Texts that differ in these only, between words, have equal counts in vocabularies that drop white space.
 ASCII_SPACE = "[\\t\\n\\x0B\\f\\r ]+"
@@ -70,7 +70,8 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str, limit: int = 2048)
 
     ``tokenizer`` is the path of a white-space-dropping vocabulary for ``tokenizers``; ``cache`` is a folder that
     driver and executors share. Contents are normalised (runs of ASCII white space become one blank, none at
-    the ends) and digested; digests are joined to the counts stored for this vocabulary and library version,
+    the ends) and digested; digests are joined to the counts stored for this vocabulary and library version (a folder
+    of the cache named by their digest, which is the version part of the key: other folders are never read),
     one document of each unknown digest is encoded, and its count is appended to the cache.
 
     Null texts count as empty: 0 tokens. Repeated rows, repeated or null doc_ids and other columns are fine: there is
@@ -85,7 +86,8 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str, limit: int = 2048)
     whole = docs.select("doc_id", text.alias("text"), content.alias("content"))
     keys = cut(whole.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "content"), "token-keys")
     known = spark.read.schema(schema).parquet(stored) if _exists(spark, stored) else spark.createDataFrame([], schema)
-    misses = keys.groupBy("content").agg(F.min("doc_id").alias("doc_id")).join(known, "content", "left_anti")
+    # aggregates are written before they are joined, or the join would keep their partitions and could not split a hot digest
+    misses = cut(keys.groupBy("content").agg(F.min("doc_id").alias("doc_id")).join(known, "content", "left_anti"), "token-misses")
     todo = whole.alias("w").join(misses.alias("m"), F.col("w.content").eqNullSafe(F.col("m.content")) & F.col("w.doc_id").eqNullSafe(F.col("m.doc_id")))
 
     def encode(batches):
@@ -95,8 +97,9 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str, limit: int = 2048)
 
     fresh = todo.select("w.content", "w.text").mapInPandas(encode, schema).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
     fresh.write.mode("append").parquet(stored)
-    counts = spark.read.schema(schema).parquet(stored).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
-    done = keys.join(counts, "content")
+    drop(misses)
+    counts = cut(spark.read.schema(schema).parquet(stored).groupBy("content").agg(F.max("n_tokens").alias("n_tokens")), "token-counts")
+    done = keys.join(counts.hint("merge"), "content")
     return done.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 

@@ -39,12 +39,13 @@ def tile_top(q_id: np.ndarray, q: np.ndarray, c_id: np.ndarray, c: np.ndarray, k
     return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
 
 
-def exact_top_k(vectors: DataFrame, queries: Column, k: int = 5, scale: int = 256, tile: int = 2048, shard: int = 8192, fan_in: int = 16) -> DataFrame:
+def exact_top_k(vectors: DataFrame, queries: Column, k: int = 5, scale: int = 256, tile: int = 16_384, shard: int = 8192, fan_in: int = 16) -> DataFrame:
     """The ``k`` best other rows for every row of ``vectors(vec_id, embedding)`` that ``queries`` selects.
 
     Components become ``floor(scale * x)``. Queries are dealt over tiles and rows over shards, both by hash;
     each (tile, shard) cell is one matrix product that keeps k partial results a query, and the partial lists
-    meet in a tree of merges. Work is queries x rows; a cell holds ``tile`` queries and ``shard`` rows, about.
+    meet in a tree of merges. Work is queries x rows; a cell holds ``tile`` queries and ``shard`` rows, about. A row
+    travels once for each tile of queries, a query once for each shard, as integers of 32 bits where they fit.
 
     Rows whose vec_id or vector is null or holds null, NaN or infinite components take no part; only vectors of one length are
     compared; repeated rows count as often as they stand there, but a row never meets rows of its own id.
@@ -55,7 +56,9 @@ def exact_top_k(vectors: DataFrame, queries: Column, k: int = 5, scale: int = 25
     q = F.transform("embedding", lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("double"))
     rows = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite & (F.size("embedding") > 0))
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), q.alias("v"), queries.alias("is_query"), F.size("embedding").alias("dim"))
-    n = rows.agg(F.count("*").alias("n"), F.coalesce(F.count_if("is_query"), F.lit(0)).alias("q")).first()
+    n = rows.agg(F.count("*").alias("n"), F.coalesce(F.count_if("is_query"), F.lit(0)).alias("q"), F.max(F.array_max(F.transform("v", F.abs))).alias("top")).first()
+    if n.top is not None and n.top < 2**31:
+        rows = rows.withColumn("v", F.col("v").cast("array<int>"))
     tiles, shards = max(1, -(-n.q // tile)), max(1, -(-n.n // shard))
     h = F.xxhash64("vec_id")
     left = rows.where("is_query").select("vec_id", "v", "dim", F.pmod(h, F.lit(tiles)).alias("tile"), F.explode(F.expr(f"sequence(0L, {shards - 1}L)")).alias("shard"))

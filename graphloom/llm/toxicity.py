@@ -175,22 +175,24 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.05) -> np.ndarray:
     return w
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, most: int = 3000, longest: int = 50_000, rounds: int = 60) -> ToxicModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, most: int = 3000, longest: int = 50_000, rounds: int = 60, clean_of: int = 8) -> ToxicModel:
     """Learns ``labels(doc_id, toxic)`` from rows of ``docs(doc_id, text)`` that are not held out.
 
     Uses a sample of about ``most`` labelled rows of either label, chosen by hash among texts of up to ``longest``
-    characters; a quarter is kept to fit the document weights. Words of toxic documents are labelled by the features of ``label_words``, all words of other
-    documents are clean; then the likelihood of the label sequences is climbed with adaptive steps.
+    characters; a quarter is kept to fit the document weights. Words of toxic documents are labelled by the features
+    of ``label_words``, all words of other documents are clean. The chain learns from every sentence of the sample that
+    holds a labelled word and from one in ``clean_of`` of the rest; the likelihood of the label sequences is climbed
+    with adaptive steps. These bounds are on what is learned from; scores read every whole text.
     Without toxic rows all scores are 0.
     """
-    named = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("y"))
+    named = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("y"))
     counts = {r.y: r.n for r in named.groupBy("y").agg(F.count("*").alias("n")).collect()}
     chosen = None
     for y in (0, 1):
         part = bounded(named.where(F.col("y") == y), "doc_id", counts.get(y, 0), most)
         chosen = part if chosen is None else chosen.union(part)
-    # 2 * most rows at about, two numbers each: small enough to send to every task
-    rows = docs.select("doc_id", "text").where(F.length("text").between(1, longest)).join(F.broadcast(chosen), "doc_id")
+    # 2 * most doc_ids at about, each once: small enough to send to every task; of rows that repeat a doc_id, one text counts
+    rows = docs.select("doc_id", "text").where(F.length("text").between(1, longest)).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
     sample = rows.select("text", "y").orderBy(F.xxhash64("text")).toPandas()
     texts, toxic = sample.text.tolist(), sample.y.to_numpy()
     rest = np.arange(len(texts)) % 4 == 0
@@ -207,8 +209,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most: int = 3000, longest:
             if sentence and (raw is None or raw.endswith(SENTENCE_END)):
                 hit = [bool(y) and not marks.isdisjoint(word_features(w)) for w in sentence]
                 kept += 1
-                # every sentence with a toxic word, and one in eight of the rest
-                if any(hit) or kept % 8 == 0:
+                if any(hit) or kept % clean_of == 0:
                     ids.extend(vocabulary.setdefault(w, len(vocabulary)) for w in sentence)
                     truth.extend(hit)
                     ends.append(len(ids))
@@ -286,5 +287,6 @@ def score_udf(model: ToxicModel):
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns, and ``spans``: where each text's toxic words begin and end."""
     docs = table(spark, sf_dir, "documents")
-    return score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels"))).drop("spans")
+    return score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))

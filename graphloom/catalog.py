@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 from .functions import terms as T
 from .functions import uri as U
 from .functions.vocab import ALLOCATED, DOMAIN, INTEGER, RANGE, RDF, RDFS, STRING, SUBCLASS, SUBPROPERTY, TYPE, XML_LITERAL
+from .operators import chaining as C
 from .operators import entail as E
 from .operators import graph as G
 from .operators import modifiers as M
+from .operators import named as N
 from .operators import query as Q
+from .operators import relations as L
 from .operators import rules as R
 from .sources.mapping import graph_of, lift
 from .sources.text import lines_of
@@ -134,9 +137,9 @@ def _(spark, d):
     return G.rename(g, mapping)
 
 
-@query("list_decode", "SELECT '_:l-' || l_orderkey || '-0' AS head, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1)::BIGINT AS position, '\"' || l_linenumber || @INT AS item FROM lineitem WHERE l_orderkey <= 200")
+@query("list_decode", "SELECT '_:l-' || l_orderkey || '-0' AS head, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1)::BIGINT AS position, '\"' || l_linenumber || @INT AS item FROM lineitem")
 def _(spark, d):
-    rows = read(spark, d, "lineitem").where("l_orderkey <= 200").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("x"))
+    rows = read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("x"))
     rows = rows.select("l_orderkey", F.transform("x", lambda r: T.integer(r["l_linenumber"])).alias("x"))
     _checkpoints(spark)
     return G.list_items(G.make_lists(rows, "l_orderkey", "x"), rows.select(F.concat(F.lit("_:l-"), "l_orderkey", F.lit("-0")).alias("head")))
@@ -393,25 +396,27 @@ def _(spark, d):
 
 
 def _halves(spark, d):
-    g = G.extract(lift(spark, d, "customer"), F.col("p") == "<urn:p:c_nationkey>")
-    key = F.regexp_extract("s", r"(\d+)>", 1).cast("long")
-    return g.where(key <= 900), g.where(key > 600)
+    """Two overlapping graphs: customers outside one segment, and customers without debt."""
+    c = read(spark, d, "customer")
+    arcs = lambda rows: rows.select(T.iri("urn:customer:", "c_custkey").alias("s"), F.lit("<urn:p:c_nationkey>").alias("p"), T.iri("urn:nation:", "c_nationkey").alias("o"))
+    return arcs(c.where("c_mktsegment <> 'BUILDING'")), arcs(c.where("c_acctbal >= 0"))
 
 
-HALF = "SELECT '<urn:customer:' || c_custkey || '>' AS s, '<urn:p:c_nationkey>' AS p, '<urn:nation:' || c_nationkey || '>' AS o FROM customer WHERE c_custkey"
+HALF = "SELECT '<urn:customer:' || c_custkey || '>' AS s, '<urn:p:c_nationkey>' AS p, '<urn:nation:' || c_nationkey || '>' AS o FROM customer WHERE"
+LEFT, RIGHT = "c_mktsegment <> 'BUILDING'", "c_acctbal >= 0"
 
 
-@query("graph_add", f"{HALF} <= 900 UNION {HALF} > 600")
+@query("graph_add", f"{HALF} {LEFT} UNION {HALF} {RIGHT}")
 def _(spark, d):
     return G.add(*_halves(spark, d))
 
 
-@query("graph_delete", f"{HALF} <= 600")
+@query("graph_delete", f"{HALF} {LEFT} AND NOT {RIGHT}")
 def _(spark, d):
     return G.delete(*_halves(spark, d))
 
 
-@query("graph_diff", f"SELECT *, '<' AS side FROM ({HALF} <= 600) UNION ALL SELECT *, '>' FROM ({HALF} > 900)")
+@query("graph_diff", f"SELECT *, '<' AS side FROM ({HALF} {LEFT} AND NOT {RIGHT}) UNION ALL SELECT *, '>' FROM ({HALF} {RIGHT} AND NOT {LEFT})")
 def _(spark, d):
     return G.difference(*_halves(spark, d))
 
@@ -422,7 +427,7 @@ def _(spark, d):
     return G.merge(g.select(*G.SPO), g.where("n_regionkey < 3").select(*G.SPO)).agg(F.count("*").alias("n"))
 
 
-@query("graph_subset", "SELECT true AS inside, NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey > 900) AS outside")
+@query("graph_subset", f"SELECT true AS inside, NOT EXISTS (SELECT 1 FROM customer WHERE {RIGHT} AND NOT {LEFT}) AS outside")
 def _(spark, d):
     a, b = _halves(spark, d)
     return spark.createDataFrame([(G.contained(G.delete(a, b), a), G.contained(b, a))], "inside boolean, outside boolean")
@@ -439,7 +444,7 @@ def _(spark, d):
 ONTOLOGY_SQL = f"""
 o AS (
   SELECT DISTINCT '<urn:type:' || replace(p_type, ' ', '_') || '>' AS s, '{SUBCLASS}' AS p, '<urn:class:part>' AS o FROM part
-  UNION SELECT DISTINCT '<urn:brand:' || replace(p_brand, ' ', '_') || '>', '{SUBCLASS}', '<urn:type:' || replace(p_type, ' ', '_') || '>' FROM part WHERE p_partkey <= 60
+  UNION SELECT DISTINCT '<urn:brand:' || replace(p_brand, ' ', '_') || '>', '{SUBCLASS}', '<urn:type:' || replace(p_type, ' ', '_') || '>' FROM part
   UNION VALUES ('<urn:class:part>', '{SUBCLASS}', '<urn:class:thing>'),
     ('<urn:p:o_custkey>', '{DOMAIN}', '<urn:class:orders>'), ('<urn:p:o_custkey>', '{RANGE}', '<urn:class:customer>'),
     ('<urn:p:c_nationkey>', '{SUBPROPERTY}', '<urn:p:locatedIn>'), ('<urn:p:n_regionkey>', '{SUBPROPERTY}', '<urn:p:locatedIn>'),
@@ -452,14 +457,13 @@ n AS (
   UNION SELECT '<urn:nation:' || n_nationkey || '>', '<urn:p:n_regionkey>', '<urn:region:' || n_regionkey || '>' FROM nation
   UNION SELECT '<urn:nation:' || n_nationkey || '>', '<urn:p:n_name>', '"' || n_name || '"' FROM nation
   UNION SELECT '<urn:region:' || r_regionkey || '>', '<@RDF_' || (r_regionkey + 1) || '>', '"' || r_regionkey || @INT FROM region
-  UNION SELECT '<urn:part:' || p_partkey || '>', @TYPE, '<urn:brand:' || replace(p_brand, ' ', '_') || '>' FROM part WHERE p_partkey <= 60),
+  UNION SELECT '<urn:part:' || p_partkey || '>', @TYPE, '<urn:brand:' || replace(p_brand, ' ', '_') || '>' FROM part),
 g AS (SELECT * FROM o UNION SELECT * FROM n)"""
 
 
 def _ontology(spark, d) -> DataFrame:
     p = read(spark, d, "part")
     kind, brand = T.iri("urn:type:", F.replace(F.col("p_type"), F.lit(" "), F.lit("_"))), T.iri("urn:brand:", F.replace(F.col("p_brand"), F.lit(" "), F.lit("_")))
-    few = p.where("p_partkey <= 60")
     fixed = [
         ("<urn:class:part>", SUBCLASS, "<urn:class:thing>"),
         ("<urn:p:o_custkey>", DOMAIN, "<urn:class:orders>"),
@@ -481,7 +485,7 @@ def _ontology(spark, d) -> DataFrame:
         (f"<{STRING}>", TYPE, f"<{RDFS}Datatype>"),
     ]
     g = graph_of(spark, fixed)
-    g = g.union(p.select(kind, F.lit(SUBCLASS), F.lit("<urn:class:part>"))).union(few.select(brand, F.lit(SUBCLASS), kind)).union(few.select(T.iri("urn:part:", "p_partkey"), F.lit(TYPE), brand))
+    g = g.union(p.select(kind, F.lit(SUBCLASS), F.lit("<urn:class:part>")).distinct()).union(p.select(brand, F.lit(SUBCLASS), kind).distinct()).union(p.select(T.iri("urn:part:", "p_partkey"), F.lit(TYPE), brand))
     data = lift(spark, d, "customer", "nation").where(F.col("p").isin("<urn:p:c_nationkey>", "<urn:p:n_regionkey>", "<urn:p:n_name>"))
     members = read(spark, d, "region").select(T.iri("urn:region:", "r_regionkey"), T.iri(f"{RDF}_", F.col("r_regionkey") + 1), T.integer("r_regionkey"))
     return g.union(data).union(members).distinct()
@@ -510,6 +514,11 @@ _TYPED = {
     "rdfs_cp11": "SELECT DISTINCT p AS s, @TYPE AS p, '<@RDFSContainerMembershipProperty>' AS o FROM g WHERE regexp_matches(p, '^<@RDF_[0-9]*>$')",
     "rdfs_cp21": f"SELECT DISTINCT p AS s, '{DOMAIN}' AS p, '<@RDFSResource>' AS o FROM g WHERE regexp_matches(p, '^<@RDF_[0-9]*>$')",
     "rdfs_cp31": f"SELECT DISTINCT p AS s, '{RANGE}' AS p, '<@RDFSResource>' AS o FROM g WHERE regexp_matches(p, '^<@RDF_[0-9]*>$')",
+    **{
+        f"rdfs_cp{i}{j}": f"SELECT DISTINCT {c} AS s, {p} AS p, {o} AS o FROM g WHERE regexp_matches({c}, '^<@RDF_[0-9]*>$')"
+        for i, p, o in ((1, "@TYPE", "'<@RDFSContainerMembershipProperty>'"), (2, f"'{DOMAIN}'", "'<@RDFSResource>'"), (3, f"'{RANGE}'", "'<@RDFSResource>'"))
+        for j, c in ((2, "g.s"), (3, "g.o"))
+    },
     "extensional_ext1": f"SELECT DISTINCT a.s, '{DOMAIN}' AS p, b.o FROM g a JOIN g b ON a.o = b.s AND a.p = '{DOMAIN}' AND b.p = '{SUBCLASS}'",
     "extensional_ext2": f"SELECT DISTINCT a.s, '{RANGE}' AS p, b.o FROM g a JOIN g b ON a.o = b.s AND a.p = '{RANGE}' AND b.p = '{SUBCLASS}'",
     "extensional_ext3": f"SELECT DISTINCT b.s, '{DOMAIN}' AS p, a.o FROM g a JOIN g b ON a.s = b.o AND a.p = '{DOMAIN}' AND b.p = '{SUBPROPERTY}'",
@@ -522,6 +531,18 @@ for _name, _sql in _TYPED.items():
     query(_name, f"WITH {ONTOLOGY_SQL} {_sql}")(lambda spark, d, r=f"{_set}:{_rule}": R.find_rule(r).forward(_ontology(spark, d)))
 
 
+_TOP = [(TYPE, SUBPROPERTY, "<urn:p:locatedIn>"), (SUBCLASS, SUBPROPERTY, "<urn:p:locatedIn>"), (SUBPROPERTY, SUBPROPERTY, "<urn:p:locatedIn>")]
+for _name, _prop, _what, _end in (("ext5", TYPE, "Resource", DOMAIN), ("ext6", SUBCLASS, "Class", DOMAIN), ("ext7", SUBPROPERTY, "Property", DOMAIN), ("ext8", SUBCLASS, "Class", RANGE), ("ext9", SUBPROPERTY, "Property", RANGE)):
+    query(f"extensional_{_name}", f"WITH {ONTOLOGY_SQL}, t AS (SELECT * FROM g UNION VALUES {', '.join(repr(x) for x in _TOP)}) SELECT DISTINCT '<@RDFS{_what}>' AS s, '{SUBCLASS}' AS p, b.o FROM t a JOIN t b ON a.s = '{_prop}' AND a.p = '{SUBPROPERTY}' AND b.s = a.o AND b.p = '{_end}'")(
+        lambda spark, d, r=f"extensional:{_name}": R.find_rule(r).forward(_ontology(spark, d).union(graph_of(spark, _TOP)))
+    )
+
+
+@query("xsd_string_sl", f"WITH {ONTOLOGY_SQL} SELECT s, p, o FROM g WHERE o LIKE '\"%\"'")
+def _(spark, d):
+    return R.find_rule("xsd_string:sl").forward(R.find_rule("xsd_string:ls").forward(_ontology(spark, d)))
+
+
 def _allocated(spark, d) -> DataFrame:
     g = _ontology(spark, d)
     xml = read(spark, d, "region").select(T.iri("urn:region:", "r_regionkey").alias("s"), F.lit("<urn:p:xml>").alias("p"), T.typed("r_name", XML_LITERAL).alias("o"))
@@ -531,7 +552,6 @@ def _allocated(spark, d) -> DataFrame:
 _ALLOCATED = f"""WITH {ONTOLOGY_SQL}, x AS (SELECT * FROM g UNION SELECT '<urn:region:' || r_regionkey || '>', '<urn:p:xml>', '"' || r_name || '"^^<{XML_LITERAL}>' FROM region),
 l AS (SELECT s, p, {_SK} AS b, o FROM x WHERE o LIKE '\"%')"""
 for _name, _sql in {
-    "rdf_gl": "SELECT s, p, o FROM l",
     "rdf_r2": f"SELECT DISTINCT b AS s, @TYPE AS p, '<{XML_LITERAL}>' AS o FROM l WHERE o LIKE '%^^<{XML_LITERAL}>'",
     "rdfs_r1": "SELECT DISTINCT b AS s, @TYPE AS p, '<@RDFSLiteral>' AS o FROM l WHERE o LIKE '%\"'",
 }.items():
@@ -539,6 +559,12 @@ for _name, _sql in {
     query(_name, f"{_ALLOCATED} {_sql}")(lambda spark, d, r=f"{_set}:{_rule}": R.find_rule(r).forward(_allocated(spark, d)))
 
 
+@query("rdf_gl", f"{_ALLOCATED} SELECT s, p, b AS o FROM l UNION SELECT b, '{ALLOCATED}', b FROM l")
+def _(spark, d):
+    xml = read(spark, d, "region").select(T.iri("urn:region:", "r_regionkey").alias("s"), F.lit("<urn:p:xml>").alias("p"), T.typed("r_name", XML_LITERAL).alias("o"))
+    return R.find_rule("rdf:gl").forward(G.add(_ontology(spark, d).union(xml), _allocated(spark, d)))
+
+
 @query("rdfd_r1", f"{_ALLOCATED} SELECT DISTINCT b AS s, @TYPE AS p, '<{INTEGER}>' AS o FROM l WHERE o LIKE '%' || @INT")
 def _(spark, d):
     types = graph_of(spark, [(f"<{INTEGER}>", TYPE, f"<{RDFS}Datatype>")])
@@ -704,7 +730,7 @@ def _(spark, d):
 
 @query("date_add", "SELECT event_id, strftime(ts + INTERVAL 90 MINUTE, '%Y-%m-%d %H:%M:%S') AS later FROM events")
 def _(spark, d):
-    return read(spark, d, "events").select("event_id", F.date_format(F.timestamp_add("MINUTE", F.lit(90), "ts"), "yyyy-MM-dd HH:mm:ss").alias("later"))
+    return read(spark, d, "events").select("event_id", U.show_time(U.add_minutes("ts", F.lit(90))).alias("later"))
 
 
 @query("date_leap", "SELECT DISTINCT year(o_orderdate)::INTEGER AS y, (year(o_orderdate) % 4 = 0 AND year(o_orderdate) % 100 <> 0) OR year(o_orderdate) % 400 = 0 AS leap, day(last_day(make_date(year(o_orderdate), 2, 1)))::INTEGER AS february FROM orders")
@@ -747,3 +773,175 @@ def _(spark, d):
 @query("top_usage", "SELECT p, count(*) AS n FROM (SELECT unnest(['<urn:p:n_name>', '<urn:p:n_regionkey>', @TYPE]) AS p FROM nation) GROUP BY p")
 def _(spark, d):
     return lift(spark, d, "nation").groupBy("p").agg(F.count("*").alias("n"))
+
+
+# Relations and the restrictions that a graph defines
+
+
+def _pairs_of(spark, d, first: str, second: str) -> DataFrame:
+    """x and y as terms, one of them open, by the key modulo 3."""
+    part = read(spark, d, "part").select("p_partkey", (F.col("p_size") - 25).alias("x"), (F.col("p_partkey") % 9 - 4).alias("y"))
+    k = F.col("p_partkey") % 3
+    return part.select("p_partkey", F.when(k != 1, T.integer(first)).alias("a"), F.when(k != 2, T.integer(second)).alias("b"))
+
+
+SIGNED = "(SELECT p_partkey, (p_size - 25)::BIGINT AS x, (p_partkey % 9 - 4)::BIGINT AS y FROM part)"
+
+
+@query("relation_abs", f"SELECT p_partkey, {_term('abs(x)')} AS a, {_term('x')} AS b FROM {SIGNED} WHERE p_partkey % 3 = 1 UNION ALL SELECT p_partkey, {_term('x')}, {_term('x')} FROM {SIGNED} WHERE p_partkey % 3 <> 1 AND x >= 0 UNION ALL SELECT p_partkey, {_term('x')}, {_term('-x')} FROM {SIGNED} WHERE p_partkey % 3 = 2 AND x > 0")
+def _(spark, d):
+    done = L.INTEGER_RELATIONS["abs"].complete(_pairs_of(spark, d, "x", "x"), ["a", "b"])
+    return done.where("consistent").select("p_partkey", F.explode("tuples").alias("t")).select("p_partkey", F.get("t", F.lit(0)).alias("a"), F.get("t", F.lit(1)).alias("b"))
+
+
+for _name, _op in (("lt", "<"), ("ge", ">=")):
+
+    @query(f"relation_{_name}", f"SELECT p_partkey, NOT (p_partkey % 3 = 0 AND NOT x {_op} y) AS consistent, CASE WHEN p_partkey % 3 = 0 AND x {_op} y THEN 1 WHEN p_partkey % 3 = 0 THEN -1 ELSE 0 END::INTEGER AS n FROM {SIGNED}")
+    def _(spark, d, r=L.INTEGER_RELATIONS[_name]):
+        return r.complete(_pairs_of(spark, d, "x", "y"), ["a", "b"]).select("p_partkey", "consistent", F.coalesce(F.size("tuples"), F.lit(-1)).alias("n"))
+
+
+for _name, _gap, _expr in (("sum", 0, "x + y"), ("sum", 1, "x - y"), ("diff", 2, "y - x"), ("prod", 0, "x * y")):
+
+    @query(f"relation_{_name}_{_gap}", f"SELECT p_partkey, {_term(_expr)} AS v FROM {SIGNED}")
+    def _(spark, d, r=L.INTEGER_RELATIONS[_name], gap=_gap):
+        part = read(spark, d, "part").select("p_partkey", T.integer(F.col("p_size") - 25).alias("x"), T.integer(F.col("p_partkey") % 9 - 4).alias("y"))
+        names = ["x", "y"]
+        names.insert(gap, "gap")
+        # what is asked for stands at the gap; the others are given in order, a difference's from its end
+        done = r.complete(part.withColumn("gap", F.lit(None).cast("string")), names if gap < 2 else ["x", "y", "gap"])
+        return done.select("p_partkey", F.get(F.get("tuples", F.lit(0)), F.lit(gap)).alias("v"))
+
+
+def _instances(spark, d, of_class: str, *members) -> DataFrame:
+    """A node for each part, of a class, with rdf:_i the i-th of ``members`` (None: not given)."""
+    p = read(spark, d, "part")
+    node = F.concat(F.lit("_:n"), "p_partkey")
+    g = p.select(node.alias("s"), F.lit(TYPE).alias("p"), F.lit(of_class).alias("o"))
+    for i, m in enumerate(members, 1):
+        if m is not None:
+            g = g.union(p.select(node, F.lit(f"<{RDF}_{i}>"), m))
+    return g
+
+
+def _built_in(spark, name: str) -> L.Restriction:
+    return next(r for r in L.restrictions_of(L.restriction_graph(spark)) if r.of_class == name)
+
+
+@query("restriction_find", "SELECT count(*) AS classes, sum(n)::BIGINT AS properties, sum(1)::BIGINT AS limits FROM (VALUES (2), (2), (3), (3), (3), (4), (3), (2), (2), (2), (2), (2), (2), (2), (2)) t(n)")
+def _(spark, d):
+    _checkpoints(spark)
+    found = L.find_restrictions(L.restriction_graph(spark))
+    return found.agg(F.count("*").alias("classes"), F.sum(F.size("properties")).alias("properties"), F.sum("most").alias("limits"))
+
+
+_X, _Y = "(p_size - 25)", "(p_partkey % 9 + 1)"
+for _name, _given, _new in (
+    ("Abs", (None, "x"), {1: f"abs({_X})"}),
+    ("Neg", ("x", None), {2: f"-{_X}"}),
+    ("Sum", (None, "x", "y"), {1: f"{_X} + {_Y}"}),
+    ("Diff", ("x", "y", None), {3: f"{_Y} - {_X}"}),
+    ("Prod", (None, "x", "y"), {1: f"{_X} * {_Y}"}),
+    ("DivMod", (None, None, "x", "y"), {1: f"floor({_X} / {_Y})", 2: f"(({_X} % {_Y}) + {_Y}) % {_Y}"}),
+    ("Lt", ("x", "z"), {}),
+):
+    _sql = " UNION ALL ".join(f"SELECT '_:n' || p_partkey AS s, '<@RDF_{i}>' AS p, {_term(e)} AS o FROM part" for i, e in _new.items()) or "SELECT '' AS s, '' AS p, '' AS o WHERE false"
+
+    @query(f"restriction_{_name.lower()}", _sql)
+    def _(spark, d, name=f"<{L.XSD_INTEGER_NS}{_name}>", given=_given):
+        _checkpoints(spark)
+        columns = {"x": T.integer(F.col("p_size") - 25), "y": T.integer(F.col("p_partkey") % 9 + 1), "z": T.integer(F.col("p_size") + 1)}
+        return L.apply_restriction(_instances(spark, d, name, *(columns.get(c) for c in given)), _built_in(spark, name))
+
+
+@query("restriction_max_cardinality", f"SELECT '_:a' AS s, '{L.FALSE}' AS p, '_:b' AS o")
+def _(spark, d):
+    """Two second members make two sums of each node, where one is allowed."""
+    _checkpoints(spark)
+    name = f"<{L.XSD_INTEGER_NS}Sum>"
+    g = _instances(spark, d, name, None, T.integer("p_size"), T.integer("p_partkey"))
+    more = read(spark, d, "part").select(F.concat(F.lit("_:n"), "p_partkey"), F.lit(f"<{RDF}_2>"), T.integer(F.col("p_size") + 1))
+    return L.apply_restriction(g.union(more), _built_in(spark, name))
+
+
+# Backward chaining over frames of goals
+
+
+@query("bwd_alternatives", "SELECT '<urn:orders:' || o_orderkey || '>' AS claim, count(*)::BIGINT AS n, sum(bindings)::BIGINT AS bindings FROM (SELECT o_orderkey, 2 AS bindings FROM orders, (VALUES (1), (2), (3), (4)) t(i)) GROUP BY o_orderkey")
+def _(spark, d):
+    """Two goals an order, each of which two heads fit."""
+    heads = P("?a <urn:p:soldTo> ?c . ?x <urn:p:soldTo> ?y . ?c <urn:p:bought> ?a")
+    o = read(spark, d, "orders").select(T.iri("urn:orders:", "o_orderkey").alias("claim"), T.iri("urn:customer:", "o_custkey").alias("c"))
+    goals = o.select("claim", F.posexplode(F.array("c", F.lit("<urn:any>"))).alias("goal", "o")).select("claim", "goal", F.col("claim").alias("s"), F.lit("<urn:p:soldTo>").alias("p"), "o")
+    rows = C.alternatives(goals, C.unifiers(goals, heads))
+    return rows.groupBy("claim").agg(F.count("*").alias("n"), F.sum(F.size("bindings")).alias("bindings"))
+
+
+@query("bwd_support", "SELECT '<urn:orders:' || o_orderkey || '>' AS claim, 0 AS alternative, '<urn:orders:' || o_orderkey || '>' AS s, '<urn:p:o_custkey>' AS p, '_:sk' || sha256('soldIn|c|o=<urn:orders:' || o_orderkey || '>|r=<urn:region:' || o_custkey % 5 || '>') AS o FROM orders UNION ALL SELECT '<urn:orders:' || o_orderkey || '>', 0, '_:sk' || sha256('soldIn|c|o=<urn:orders:' || o_orderkey || '>|r=<urn:region:' || o_custkey % 5 || '>'), '<urn:p:region>', '<urn:region:' || o_custkey % 5 || '>' FROM orders")
+def _(spark, d):
+    rule = R.Rule("soldIn", P("?o <urn:p:o_custkey> ?c . ?c <urn:p:region> ?r"), P("?o <urn:p:soldIn> ?r"))
+    key = T.iri("urn:orders:", "o_orderkey")
+    goals = read(spark, d, "orders").select(key.alias("claim"), F.lit(0).alias("goal"), key.alias("s"), F.lit("<urn:p:soldIn>").alias("p"), T.iri("urn:region:", F.col("o_custkey") % 5).alias("o"))
+    return C.backward_apply(rule, goals)
+
+
+@query("instance_entails", "SELECT true AS whole, false AS part")
+def _(spark, d):
+    g = read(spark, d, "region").select(T.iri("urn:region:", "r_regionkey").alias("s"), F.lit("<urn:p:name>").alias("p"), T.plain("r_name").alias("o"))
+    names = [r.r_name for r in read(spark, d, "region").orderBy("r_regionkey").collect()]
+    claim = [(f"_:r{i}", "<urn:p:name>", f'"{n}"') for i, n in enumerate(names)]
+    return spark.createDataFrame([(Q.instance_entails(g, claim), Q.instance_entails(g, claim[1:]))], "whole boolean, part boolean")
+
+
+# Named graphs
+
+
+def _quads(spark, d, shift: int) -> DataFrame:
+    n = read(spark, d, "nation")
+    return n.select(T.iri("urn:g:", "n_regionkey").alias("g"), T.iri("urn:nation:", "n_nationkey").alias("s"), F.lit("<urn:p:k>").alias("p"), T.integer(F.when(F.col("n_regionkey") == 2, F.col("n_nationkey") + shift).otherwise(F.col("n_nationkey"))).alias("o"))
+
+
+@query("named_same", "SELECT '<urn:g:' || r_regionkey || '>' AS g, r_regionkey <> 2 AS same FROM region")
+def _(spark, d):
+    return N.same_formulae(_quads(spark, d, 0), _quads(spark, d, 1))
+
+
+@query("named_set", "SELECT '<urn:g:1>' AS g, '<urn:nation:' || n_nationkey || '>' AS s, '<urn:p:k>' AS p, '\"' || n_nationkey || @INT AS o FROM nation WHERE n_regionkey = 3 UNION ALL SELECT '<urn:g:' || n_regionkey || '>', '<urn:nation:' || n_nationkey || '>', '<urn:p:k>', '\"' || n_nationkey || @INT FROM nation WHERE n_regionkey <> 1")
+def _(spark, d):
+    q = _quads(spark, d, 0)
+    return N.with_formula(q, "<urn:g:1>", N.formula(q, "<urn:g:3>"))
+
+
+# Circles of blank nodes
+
+
+@query("partition_circles", "SELECT min('_:n' || n_nationkey) AS term FROM nation GROUP BY n_regionkey")
+def _(spark, d):
+    """The nations of a region refer to each other in a circle."""
+    listed = read(spark, d, "nation").groupBy("n_regionkey").agg(F.sort_array(F.collect_list("n_nationkey")).alias("x"))
+    ring = listed.select("x", F.posexplode("x").alias("i", "k")).select("k", F.get("x", (F.col("i") + 1) % F.size("x")).alias("next"))
+    return E.top_level(ring.select(F.concat(F.lit("_:n"), "k").alias("s"), F.lit("<urn:p:next>").alias("p"), F.concat(F.lit("_:n"), "next").alias("o")))
+
+
+# More of URIs, dates and values
+
+
+@query("uri_relativise", "SELECT page_id, '../../x/' || page_id || '?q' AS up, 'd' || page_id AS beside, '//k/' || page_id AS away, '/z/' || page_id AS root FROM pages")
+def _(spark, d):
+    base, k = F.lit("http://h/a/b/c/d"), F.col("page_id").cast("string")
+    to = lambda *x: U.relativise(base, F.concat(*x))
+    return read(spark, d, "pages").select("page_id", to(F.lit("http://h/a/x/"), k, F.lit("?q")).alias("up"), to(F.lit("http://h/a/b/c/d"), k).alias("beside"), to(F.lit("http://k/"), k).alias("away"), to(F.lit("http://h/z/"), k).alias("root"))
+
+
+@query("date_compare", "SELECT event_id, event_id % 3 <> 0 AS earlier FROM events")
+def _(spark, d):
+    hour = F.lpad((F.col("event_id") % 3).cast("string"), 2, "0")
+    a, b = F.lit("2001-02-03T04:05:06Z"), F.concat(F.lit("2001-02-03T04:05:06-"), hour, F.lit(":00"))
+    return read(spark, d, "events").select("event_id", U.earlier(a, b).alias("earlier"))
+
+
+@query("same_value", "SELECT n_nationkey, true AS number, true AS text, false AS other FROM nation")
+def _(spark, d):
+    n = read(spark, d, "nation")
+    odd = F.concat(F.lit('"+0'), "n_nationkey", F.lit(INT))
+    return n.select("n_nationkey", T.same_value(odd, T.integer("n_nationkey")).alias("number"), T.same_value(T.plain("n_name"), T.string("n_name")).alias("text"), T.same_value(T.plain("n_nationkey"), T.integer("n_nationkey")).alias("other"))

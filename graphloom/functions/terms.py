@@ -71,17 +71,27 @@ def is_member(x) -> Column:
 
 def escape(text) -> Column:
     t = _c(text)
-    for a, b in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r")):
+    for a, b in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
         t = F.replace(t, F.lit(a), F.lit(b))
     return t
 
 
+#: An escape or a run of other characters. Fixed value.
+PIECE = r"(?s)\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\.|[^\\]+|\\"
+
+
 def unescape(text) -> Column:
-    """Of escapes, backslashes first get out of the way of the others."""
-    t = F.replace(_c(text), F.lit("\\\\"), F.lit("\x00"))
-    for a, b in (("\\n", "\n"), ("\\r", "\r"), ('\\"', '"'), ("\x00", "\\")):
-        t = F.replace(t, F.lit(a), F.lit(b))
-    return t
+    """The text that escapes stand for: \\n, \\r, \\t, quotes, backslashes, and characters by their number."""
+    t = _c(text)
+    plain = {"\\n": "\n", "\\r": "\r", "\\t": "\t", '\\"': '"', "\\'": "'", "\\\\": "\\"}
+
+    def piece(x: Column) -> Column:
+        out = F.when(x.rlike(r"\A\\[uU][0-9A-Fa-f]{4}"), F.decode(F.unhex(F.lpad(F.substring(x, 3, 8), 8, "0")), "UTF-32"))
+        for k, v in plain.items():
+            out = out.when(x == k, F.lit(v))
+        return out.otherwise(x)
+
+    return F.when(t.contains("\\"), F.array_join(F.transform(F.regexp_extract_all(t, F.lit(PIECE), F.lit(0)), piece), "")).otherwise(t)
 
 
 def lexical(x) -> Column:
@@ -120,6 +130,22 @@ def as_integer(x) -> Column:
     return F.when(_c(x).endswith(f'"^^<{INTEGER}>') & (lex != ""), lex.try_cast("decimal(38,0)"))
 
 
+def string(text) -> Column:
+    return typed(text, STRING)
+
+
+def same_value(a, b) -> Column:
+    """Literals that stand for one value: of one datatype with one canonical form, or one text as plain and xsd:string."""
+    kind = lambda x: F.when(_c(x).endswith('"'), F.lit(STRING)).otherwise(datatype(x))
+    value = lambda x: F.when(datatype(x) == INTEGER, as_integer(x).cast("string")).otherwise(lexical(x))
+    return F.coalesce(is_literal(a) & is_literal(b) & (kind(a) == kind(b)) & language(a).eqNullSafe(language(b)) & (value(a) == value(b)), F.lit(False))
+
+
+def language_matches(x, tag: str) -> Column:
+    """The literal's language is ``tag`` or one of its subtags, in any case."""
+    return F.coalesce((language(x) == tag.lower()) | language(x).startswith(tag.lower() + "-"), F.lit(False))
+
+
 def canonical(x) -> Column:
     """An xsd:integer or xsd:string literal in canonical form, NULL if its lexical form has no value."""
     return F.when(datatype(x) == INTEGER, integer(as_integer(x))).when(datatype(x) == STRING, _c(x))

@@ -96,3 +96,69 @@ def from_day_number(days) -> Column:
 def to_utc(local, offset_minutes) -> Column:
     """A local time with its zone's offset, on the common scale on which times compare."""
     return F.timestamp_add("MINUTE", -_c(offset_minutes), _c(local))
+
+
+def relativise(base, full) -> Column:
+    """A reference that leads from an absolute base to ``full``; ``full`` itself for another scheme.
+
+    Another authority, or a path that shares no first segment, gives a reference from the root on.
+    """
+    b, f = [part(base, i) for i in range(1, 6)], [part(full, i) for i in range(1, 6)]
+    old, new = F.split(b[2], "/"), F.split(f[2], "/")
+    most = F.least(F.size(old), F.size(new)) - 1
+    places = F.sequence(F.lit(1), F.greatest(most, F.lit(1)))
+    shared = F.aggregate(places, F.lit(0), lambda n, i: F.when((i <= most) & (n == i - 1) & (F.try_element_at(old, i) == F.try_element_at(new, i)), i).otherwise(n))
+    ups = F.size(old) - 1 - shared
+    rest = F.array_join(F.slice(new, shared + 1, F.greatest(F.size(new) - shared, F.lit(0))), "/")
+    short = F.concat(F.repeat(F.lit("../"), ups), rest)
+    short = F.when((ups == 0) & ((rest == "") | (F.substring_index(rest, "/", 1).contains(":"))), F.concat(F.lit("./"), rest)).otherwise(short)
+    path = F.when(shared <= 1, F.when(f[2] == "", F.lit("/")).otherwise(f[2])).otherwise(short)
+    tail = F.concat(F.when(f[3] != "", F.concat(F.lit("?"), f[3])).otherwise(""), F.when(f[4] != "", F.concat(F.lit("#"), f[4])).otherwise(""))
+    away = F.concat(F.lit("//"), f[1], f[2], tail)
+    return F.when(b[0] != f[0], _c(full)).when(b[1] != f[1], away).otherwise(F.concat(path, tail))
+
+
+#: host, then port: a name, an IPv4 address or an IPv6 address in brackets (RFC 2396 and 2732). Fixed value.
+HOST = r"\A(?:[A-Za-z0-9\-_.!~*'();:&=+$,%]*@)?(?:\[[0-9A-Fa-f:.]+\]|(?:[0-9]{1,3}\.){3}[0-9]{1,3}|(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)*[A-Za-z](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.?)(?::[0-9]*)?\z"
+
+
+def has_host(x) -> Column:
+    """The URI's authority is a host with an optional port."""
+    return part(x, 2).rlike(HOST)
+
+
+def zone_minutes(text) -> Column:
+    """Minutes ahead of the common scale that a date-time's text ends with: Z or a signed hh:mm; NULL without one."""
+    t = _c(text)
+    sign, hours, minutes = (F.regexp_extract(t, r"([+-])([0-9]{2}):([0-9]{2})\z", i) for i in (1, 2, 3))
+    value = hours.try_cast("int") * 60 + minutes.try_cast("int")
+    return F.when(t.endswith("Z"), F.lit(0)).when(sign == "-", -value).when(sign == "+", value)
+
+
+def instant(text) -> Column:
+    """The time on the common scale of ``yyyy-mm-ddThh:mm:ss`` with a zone; texts without one are on it already."""
+    local = F.try_to_timestamp(F.regexp_replace(_c(text), r"(Z|[+-][0-9]{2}:[0-9]{2})\z", "").cast("string"), F.lit("yyyy-MM-dd'T'HH:mm:ss"))
+    return to_utc(local, F.coalesce(zone_minutes(text), F.lit(0)))
+
+
+def earlier(a, b) -> Column:
+    return instant(a) < instant(b)
+
+
+def add_minutes(time, minutes) -> Column:
+    return F.timestamp_add("MINUTE", _c(minutes), _c(time))
+
+
+def add_days(date, days) -> Column:
+    return from_day_number(day_number(date) + _c(days))
+
+
+def show_time(time) -> Column:
+    return F.date_format(_c(time), "yyyy-MM-dd HH:mm:ss")
+
+
+def valid_date(year, month, day) -> Column:
+    """The numbers are a day of the calendar."""
+    y, m, d = _c(year), _c(month), _c(day)
+    ok = F.coalesce(m.between(1, 12) & (d >= 1), F.lit(False))
+    return ok & F.coalesce(d <= days_in_month(y, F.when(ok, m)), F.lit(False))

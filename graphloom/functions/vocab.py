@@ -18,3 +18,8 @@ TYPE, FIRST, REST, NIL = (iri(f"rdf:{x}") for x in ("type", "first", "rest", "ni
 SUBCLASS, SUBPROPERTY, DOMAIN, RANGE = (iri(f"rdfs:{x}") for x in ("subClassOf", "subPropertyOf", "domain", "range"))
 ALLOCATED = iri("rdf:_allocatedTo")
 INTEGER, STRING, XML_LITERAL = f"{XSD}integer", f"{XSD}string", f"{RDF}XMLLiteral"
+
+#: Restrictions, and the relations of two datatypes. Fixed values.
+RDFD = "http://id.ninebynine.org/2003/rdfext/rdfd#"
+XSD_INTEGER_NS = "http://id.ninebynine.org/2003/XMLSchema/integer#"
+XSD_STRING_NS = "http://id.ninebynine.org/2003/XMLSchema/string#"

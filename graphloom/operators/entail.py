@@ -6,6 +6,8 @@ import itertools
 from dataclasses import dataclass, field
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -205,6 +207,15 @@ class Proof:
     goal: str
     extra: list[Rule] = field(default_factory=list)
 
+    def axioms_used(self) -> list[tuple[str, str, str]]:
+        return list(dict.fromkeys(t for rs in self.context for t in rs.axioms))
+
+    def show(self) -> str:
+        """The proof as text: what is given, each step with its rule and what it rests on, and the goal."""
+        lines = [f"Given: {', '.join(self.given)}", f"Axioms: {len(self.axioms_used())}"]
+        lines += [f"Step {i}: {s.consequent} by {s.rule} from {', '.join(s.antecedents)}" for i, s in enumerate(self.steps, 1)]
+        return "\n".join([*lines, f"Goal: {self.goal}"])
+
     def explain(self) -> str | None:
         """None for a valid proof, or what is wrong with its first bad step."""
         known = list(self.given)
@@ -221,23 +232,50 @@ class Proof:
             if not rule.check(graph, self.graphs[s.consequent]):
                 return "Invalid step: rule does not deduce consequence from antecedents"
             known.append(s.consequent)
-        return None if any(k == self.goal or isomorphic(self.graphs[k], self.graphs[self.goal]) for k in known) else "Result not demonstrated"
+        # the empty graph is true without proof
+        return None if self.graphs[self.goal].isEmpty() or any(k == self.goal or isomorphic(self.graphs[k], self.graphs[self.goal]) for k in known) else "Result not demonstrated"
 
 
 # Partial orders
 
 
+def _local_maxima(columns: list[str], sign: int):
+    def keep(batches):
+        held = None
+        for pdf in batches:
+            every = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            every = every.sort_values(columns, ascending=sign < 0, ignore_index=True)
+            values = [sign * every[c].to_numpy() for c in columns]
+            kept: list[int] = []
+            for i in range(len(every)):
+                at = np.array(kept, np.int64)
+                over = np.ones(len(at), bool)
+                for v in values:
+                    over &= v[at] >= v[i]
+                # rows are distinct, so one that is nowhere less is somewhere greater
+                if not over.any():
+                    kept.append(i)
+            held = every.iloc[kept]
+        if held is not None:
+            yield held
+
+    return keep
+
+
 def maxima(rows: DataFrame, columns: list[str], least: bool = False) -> DataFrame:
     """Distinct rows that no other row dominates: at least as great in each column and greater in one.
 
     ``least`` turns the order round. Rows with a null in ``columns`` are not comparable and drop out. Each task first
-    keeps the maxima of its own rows by the first column's order, which is all that has to be compared.
+    keeps the maxima of its own rows, then so do tasks that took in the others' by hash; only what is left after that
+    is compared each with each, in the anti join. Columns are whole numbers or floats.
     """
+    kinds = {f.name: f.dataType.typeName() for f in rows.select(*columns).schema}
+    if odd := [c for c in columns if kinds[c] not in ("byte", "short", "integer", "long", "float", "double")]:
+        raise TypeError(f"columns of whole numbers or floats are compared, not {odd}")
     sign = -1 if least else 1
     d = rows.select(*columns).where(reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in columns))).distinct()
-    # of rows equal in all but the last column only the best can be a maximum
-    best = F.min if least else F.max
-    d = d.groupBy(*columns[:-1]).agg(best(columns[-1]).alias(columns[-1])) if len(columns) > 1 else d.agg(best(columns[0]).alias(columns[0]))
+    for _ in range(2):
+        d = d.mapInPandas(_local_maxima(columns, sign), d.schema).repartition(*columns)
     other = d.select(*(F.col(c).alias(f"_{c}") for c in columns))
     ge = [(F.col(f"_{c}") * sign >= F.col(c) * sign) for c in columns]
     gt = [(F.col(f"_{c}") * sign > F.col(c) * sign) for c in columns]
@@ -255,8 +293,36 @@ def references(graph: DataFrame) -> DataFrame:
 
 
 def top_level(graph: DataFrame) -> DataFrame:
-    """Subjects that start a statement of their own: all but blank nodes that are referred to just once."""
-    return references(graph).where(~(T.is_blank("term") & (F.col("n") == 1))).select("term")
+    """Subjects that start a statement of their own: all but blank nodes that are referred to just once.
+
+    Of blank nodes that refer to each other in a circle, and so would all be inside another, the least starts one.
+    """
+    counted = references(graph)
+    inner = T.is_blank("term") & (F.col("n") == 1)
+    once = counted.where(inner).select("term")
+    up = graph.select(F.col("o").alias("term"), F.col("s").alias("up")).join(once, "term", "left_semi")
+    # each inner node has one place that refers to it: ancestors by pointer jumping, with the least of those passed
+    jump = _settle(up.join(once.select(F.col("term").alias("up")), "up", "left_semi").select("term", "up", F.col("up").alias("low")))
+    step, n = 1, jump.count()
+    while n and step < 2 * n:
+        far = jump.select(F.col("term").alias("up"), F.col("up").alias("far"), F.col("low").alias("far_low"))
+        jump = unestimated(_settle(jump.join(far, "up").select("term", F.col("far").alias("up"), F.least("low", "far_low").alias("low"))))
+        step, n = 2 * step, jump.count()
+    # in a circle, a node is its own ancestor
+    return counted.where(~inner).select("term").union(jump.where("term = low").select("term"))
+
+
+def nested(graph: DataFrame) -> DataFrame:
+    """(s, p, o, inside): each triple with whether its object is a statement nested in it, as ``top_level`` decides."""
+    subjects = graph.select(F.col("s").alias("o")).distinct().withColumn("subject", F.lit(True))
+    heads = top_level(graph).select(F.col("term").alias("o")).withColumn("head", F.lit(True))
+    rows = graph.join(subjects, "o", "left").join(heads, "o", "left")
+    return rows.select("s", "p", "o", (F.col("subject").isNotNull() & F.col("head").isNull()).alias("inside"))
+
+
+def collect_runs(rows: DataFrame, key: str, value: str, least: int = 1) -> DataFrame:
+    """(key, values): each key's distinct values sorted, of keys with ``least`` of them at least."""
+    return rows.groupBy(key).agg(F.sort_array(F.collect_set(value)).alias("values")).where(F.size("values") >= least)
 
 
 # Class restrictions

@@ -18,16 +18,41 @@ from ..functions import terms as T
 NUMBER = "decimal(38,0)"
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
+
+
+def _multiple(a: Column, b: Column) -> Column:
+    """floor(a / b) for b > 0 and quotients of up to 31 digits; Spark's own quotient has six decimals and truncates."""
+    return (F.try_subtract(a, F.pmod(a, b)) / b).try_cast(NUMBER)
+
+
+def _quotient(a: Column, size: Column) -> Column:
+    """floor(a / size) for size > 0: at once where it is short, else in two parts."""
+    part = F.lit(f"1{0:019d}").cast(NUMBER)
+
+    def parts(high: Column) -> Column:
+        low = F.try_add(F.try_multiply(F.pmod(high, size), part).try_cast(NUMBER), F.pmod(a, part)).try_cast(NUMBER)
+        return _let(low, lambda x: F.try_add(F.try_multiply(_multiple(high, size), part).try_cast(NUMBER), _multiple(x, size)).try_cast(NUMBER))
+
+    return F.when(size < F.lit(f"1{0:018d}").cast(NUMBER), _let(_multiple(a, part), parts)).otherwise(_multiple(a, size))
+
+
 def div_floor(a: Column, b: Column) -> Column:
-    """Floor division; NULL for a zero divisor. Spark's own division truncates."""
-    safe = F.when(b != 0, b)
-    quotient = (a - F.pmod(a, F.abs(safe))) / F.abs(safe)
-    plain = quotient.cast(NUMBER)
-    return F.when(safe > 0, plain).otherwise(F.when(F.pmod(a, F.abs(safe)) == 0, -plain).otherwise(-plain - 1)).cast(NUMBER)
+    """Floor division of whole numbers of 38 digits; NULL for a zero divisor."""
+
+    def floor(x: Column, y: Column) -> Column:
+        size = F.abs(F.when(y != 0, y)).cast(NUMBER)
+        signed = lambda q: F.when(y > 0, q).when(F.pmod(x, size) == 0, -q).otherwise(-q - 1).try_cast(NUMBER)
+        return _let(size, lambda n: _let(_quotient(x, n), signed))
+
+    return _let(F.struct(a.cast(NUMBER).alias("a"), b.cast(NUMBER).alias("b")), lambda t: floor(t["a"], t["b"]))
 
 
 def mod_floor(a: Column, b: Column) -> Column:
-    return (a - b * div_floor(a, b)).cast(NUMBER)
+    rest = F.pmod(a, F.abs(F.when(b != 0, b)))
+    return F.when((b < 0) & (rest != 0), rest + b).otherwise(rest).try_cast(NUMBER)
 
 
 def exact_quotient(a: Column, b: Column) -> Column:
@@ -90,8 +115,8 @@ INTEGER = {
     for m in (
         Modifier("abs", 2, lambda a, b: a == F.abs(b), (Usage({0: lambda a, b: F.abs(b)}),)),
         Modifier("neg", 2, lambda a, b: a == -b, (Usage({0: lambda a, b: -b}), Usage({1: lambda a, b: -a}))),
-        Modifier("sum", 3, lambda a, b, c: a == b + c, (Usage({0: lambda a, b, c: _n(b + c)}), Usage({1: lambda a, b, c: _n(a - c)}), Usage({2: lambda a, b, c: _n(a - b)}))),
-        Modifier("diff", 3, lambda a, b, c: a == b - c, (Usage({0: lambda a, b, c: _n(b - c)}), Usage({1: lambda a, b, c: _n(a + c)}), Usage({2: lambda a, b, c: _n(b - a)}))),
+        Modifier("sum", 3, lambda a, b, c: a == F.try_add(b, c), (Usage({0: lambda a, b, c: _n(F.try_add(b, c))}), Usage({1: lambda a, b, c: _n(F.try_subtract(a, c))}), Usage({2: lambda a, b, c: _n(F.try_subtract(a, b))}))),
+        Modifier("diff", 3, lambda a, b, c: a == F.try_subtract(b, c), (Usage({0: lambda a, b, c: _n(F.try_subtract(b, c))}), Usage({1: lambda a, b, c: _n(F.try_add(a, c))}), Usage({2: lambda a, b, c: _n(F.try_subtract(b, a))}))),
         Modifier("prod", 3, lambda a, b, c: a == F.try_multiply(b, c), (Usage({0: lambda a, b, c: _n(F.try_multiply(b, c))}), Usage({1: lambda a, b, c: exact_quotient(a, c)}), Usage({2: lambda a, b, c: exact_quotient(a, b)}))),
         Modifier("divmod", 4, lambda q, r, n, d: (q == div_floor(n, d)) & (r == mod_floor(n, d)), (Usage({0: lambda q, r, n, d: div_floor(n, d), 1: lambda q, r, n, d: mod_floor(n, d)}),)),
         Modifier("power", 3, lambda a, b, c: a == power(b, c), (Usage({0: lambda a, b, c: power(b, c)}),)),
@@ -105,21 +130,21 @@ INTEGER = {
 }
 
 
-def _text(v: str) -> Column:
+def text_value(v: str) -> Column:
     from ..functions.vocab import STRING as XSD_STRING
 
     return F.when(T.datatype(v) == XSD_STRING, T.lexical(v))
 
 
 STRING = {
-    "eq": Modifier("eq", 2, lambda a, b: a == b, (), _text),
-    "ne": Modifier("ne", 2, lambda a, b: a != b, (), _text),
+    "eq": Modifier("eq", 2, lambda a, b: a == b, (), text_value),
+    "ne": Modifier("ne", 2, lambda a, b: a != b, (), text_value),
 }
 
 
 def total(bindings: DataFrame, result: str, *variables: str) -> DataFrame:
     """Sum of any number of integer variables, bound to ``result`` or compared with it."""
-    value = _n(reduce(lambda a, b: a + b, map(T.as_integer, variables)))
+    value = reduce(lambda a, b: _n(F.try_add(a, b)), map(T.as_integer, variables))
     if result in bindings.columns:
         return bindings.where(F.coalesce(T.as_integer(result) == value, F.lit(False)))
     return bindings.withColumn(result, T.integer(value)).where(F.col(result).isNotNull())

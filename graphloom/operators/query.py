@@ -50,29 +50,35 @@ def match_one(graph: DataFrame, triple: tuple[str, str, str], is_open=variable)
     return graph.select(*(F.col(c).alias(v) for v, c in seen.items()))
 
 
-def ordered(patterns: Pattern, is_open=variable) -> Pattern:
+def order_of(patterns: Pattern, is_open=variable) -> list[int]:
     """Most constants first, then always one that shares a variable with those before, if there is one."""
-    left, out, bound = list(patterns), [], set()
+    left, out, bound = list(range(len(patterns))), [], set()
     while left:
-        key = lambda t: (not bound or bool(bound & set(names([t], is_open))), sum(not is_open(x) for x in t))
+        key = lambda i: (not bound or bool(bound & set(names([patterns[i]], is_open))), sum(not is_open(x) for x in patterns[i]))
         best = max(left, key=key)
         left.remove(best)
         out.append(best)
-        bound |= set(names([best], is_open))
+        bound |= set(names([patterns[best]], is_open))
     return out
 
 
-def match(graph: DataFrame, patterns: Pattern, is_open=variable) -> DataFrame:
+def ordered(patterns: Pattern, is_open=variable) -> Pattern:
+    return [patterns[i] for i in order_of(patterns, is_open)]
+
+
+def match(graph: DataFrame, patterns: Pattern, is_open=variable, fresh: tuple[int, DataFrame] | None = None) -> DataFrame:
     """All bindings of the patterns together: natural joins on shared variables, a bag of rows.
 
     A pattern without variables only tests that its triple is there; no patterns give one empty binding.
     Patterns that share no variable are independent, and their bindings are combined each with each.
+    ``fresh`` has one pattern, by its number, matched in another graph.
     """
     result = None
-    for t in ordered(patterns, is_open):
-        part = match_one(graph, t, is_open)
+    for i in order_of(patterns, is_open):
+        t, source = patterns[i], fresh[1] if fresh and fresh[0] == i else graph
+        part = match_one(source, t, is_open)
         if not part.columns:
-            part = graph.where(reduce(lambda a, b: a & b, (F.col(c) == x for c, x in zip("spo", t)))).limit(1).select()
+            part = source.where(reduce(lambda a, b: a & b, (F.col(c) == x for c, x in zip("spo", t)))).limit(1).select()
         if result is None:
             result = part
         else:
@@ -91,6 +97,18 @@ def entails(graph: DataFrame, patterns: Pattern) -> bool:
     return not patterns or not instance_match(graph, patterns).limit(1).isEmpty()
 
 
+def instance_entails(graph: DataFrame, patterns: Pattern) -> bool:
+    """Instance entailment: some binding of the blank nodes makes the patterns the whole graph, neither more nor less."""
+    size = graph.select("s", "p", "o").distinct().count()
+    if not patterns:
+        return size == 0
+    bindings = instance_match(graph, patterns)
+    end = lambda t: F.col(column_name(t)) if blank(t) else F.lit(t)
+    made = F.array_distinct(F.array(*(F.struct(*(end(t).alias(c) for c, t in zip("spo", x))) for x in patterns)))
+    # each made triple is in the graph, so as many as it has are all of it
+    return not bindings.where(F.size(made) == size).limit(1).isEmpty()
+
+
 # Filters of bindings: a variable that is not bound makes a test false.
 
 
@@ -136,6 +154,17 @@ def joined(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
     return out
 
 
+def sub_binding(a: DataFrame, variables: list[str]) -> DataFrame:
+    """Bindings cut down to some variables, as a set."""
+    return a.select(*(v for v in variables if v in a.columns)).distinct()
+
+
+def make_bindings(spark, rows: list[dict[str, str]]) -> DataFrame:
+    """Bindings from plain ones: one row each, NULL where a variable is not bound."""
+    columns = list(dict.fromkeys(v for r in rows for v in r))
+    return spark.createDataFrame([tuple(r.get(c) for c in columns) for r in rows], ", ".join(f"`{c}` string" for c in columns))
+
+
 # Construction
 
 

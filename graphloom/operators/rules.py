@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import terms as T
-from ..functions.vocab import SUBCLASS, SUBPROPERTY, TYPE, iri
-from .graph import SPO, add, delete
+from ..functions.vocab import ALLOCATED, SUBCLASS, SUBPROPERTY, TYPE, iri
+from .graph import SPO, add, delete, unestimated
 from .query import Pattern, backward, construct, construct_blank, match, pattern
 
 Change = Callable[[DataFrame], DataFrame]
@@ -30,13 +30,24 @@ class Rule:
         bindings = match(graph, self.antecedent)
         return construct(self.change(bindings) if self.change else bindings, self.consequent)
 
+    def forward_new(self, known: DataFrame, new: DataFrame) -> DataFrame:
+        """The consequents of matches in which some antecedent is among ``new``, which ``known`` holds too."""
+        found = None
+        for i in range(len(self.antecedent)):
+            bindings = match(known, self.antecedent, fresh=(i, new))
+            part = construct(self.change(bindings) if self.change else bindings, self.consequent)
+            found = part if found is None else found.union(part)
+        return self.forward(known) if found is None else found
+
     def backward(self, goals: Pattern, spark: SparkSession) -> DataFrame:
         """How the consequents unify with each goal triple; see ``query.backward``."""
         return backward(goals, self.consequent, spark)
 
     def check(self, graph: DataFrame, claimed: DataFrame) -> bool:
-        """The claimed triples are among the rule's consequents."""
-        return delete(claimed, self.forward(graph)).isEmpty()
+        """The claimed triples are among the rule's consequents, up to the names of blank nodes."""
+        from .entail import simple_entails
+
+        return simple_entails(self.forward(graph), claimed)
 
     def support(self, bindings: DataFrame) -> DataFrame:
         """What must hold for bindings of the consequent: antecedents, with new blanks for variables left open."""
@@ -66,14 +77,31 @@ def _rule(name: str, antecedent: str, consequent: str, *changes: Change) -> Rule
     return Rule(name, pattern(antecedent), pattern(consequent), change if changes else None)
 
 
-def _canonical(b: DataFrame) -> DataFrame:
-    return b.where(F.coalesce(T.has_datatype("s", "d"), F.lit(False))).withColumn("t", T.canonical("s"))
+@dataclass(frozen=True)
+class DatatypeRule(Rule):
+    """A rule on literals of declared datatypes: these meet by the datatype, which each literal names itself.
+
+    As patterns alone, the declarations and the triples would share no variable and be paired each with each.
+    """
+
+    def forward(self, graph: DataFrame) -> DataFrame:
+        declared = graph.where((F.col("p") == TYPE) & (F.col("o") == iri("rdfs:Datatype"))).select(F.col("s").alias("d")).distinct()
+        kind = F.concat(F.lit("<"), T.datatype("o"), F.lit(">")).alias("d")
+        literals = graph.where(T.is_typed("o")).select("s", "p", "o", kind).join(declared, "d")
+        if self.name == "r2":
+            return literals.select("s", "p", T.canonical("o").alias("o")).where("o is not null").distinct()
+        named = literals.where(F.col("p") == ALLOCATED).select(F.col("s").alias("b"), "d")
+        used = graph.select(F.col("o").alias("b")).distinct()
+        return named.join(used, "b", "left_semi").select(F.col("b").alias("s"), F.lit(TYPE).alias("p"), F.col("d").alias("o")).distinct()
+
+    def forward_new(self, known: DataFrame, new: DataFrame) -> DataFrame:
+        return self.forward(known)
 
 
 #: The entailment rules of RDF.
 RDF_RULES = [
     _rule("lg", "?x ?a ?l", "?x ?a ?b . ?b rdf:_allocatedTo ?l", where(lambda: T.is_literal("l")), allocate("b", "l", rule="rdf:lg")),
-    _rule("gl", "?x ?a ?b . ?b rdf:_allocatedTo ?l", "?x ?a ?l"),
+    _rule("gl", "?x ?a ?l . ?b rdf:_allocatedTo ?l", "?x ?a ?b"),
     _rule("r1", "?x ?a ?y", "?a rdf:type rdf:Property"),
     _rule("r2", "?x ?a ?b . ?b rdf:_allocatedTo ?l", "?b rdf:type rdf:XMLLiteral", where(lambda: T.is_xml("l"))),
     _rule("cp1", "?x ?c ?y", "?c rdf:type rdf:Property", where(lambda: T.is_member("c"))),
@@ -116,8 +144,8 @@ EXTENSIONAL_RULES = [
 ]
 #: Datatype rules.
 DATATYPE_RULES = [
-    _rule("r1", "?d rdf:type rdfs:Datatype . ?a ?p ?b . ?b rdf:_allocatedTo ?l", "?b rdf:type ?d", where(lambda: T.has_datatype("l", "d"))),
-    _rule("r2", "?d rdf:type rdfs:Datatype . ?a ?p ?s", "?a ?p ?t", _canonical),
+    DatatypeRule("r1", pattern("?d rdf:type rdfs:Datatype . ?a ?p ?b . ?b rdf:_allocatedTo ?l"), pattern("?b rdf:type ?d")),
+    DatatypeRule("r2", pattern("?d rdf:type rdfs:Datatype . ?a ?p ?s"), pattern("?a ?p ?t")),
 ]
 STRING_RULES = [
     _rule("ls", "?a ?p ?s", "?a ?p ?t", lambda b: b.withColumn("t", T.plain_to_typed("s"))),
@@ -210,7 +238,10 @@ def _settle(df: DataFrame) -> DataFrame:
     if context._jsc.sc().getCheckpointDir().isEmpty():
         import tempfile
 
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphloom-"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="graphloom-"))
     return df.checkpoint()
 
 
@@ -231,17 +262,20 @@ def transitive(pairs: DataFrame, limit: int = 64) -> DataFrame:
 def closure(graph: DataFrame, rules: list[Rule], rounds: int = 50) -> DataFrame:
     """The graph and all that the rules deduce from it, to a fixpoint; rules that allocate nodes may have none.
 
+    After the first round, a rule looks only at matches that hold a triple of the round before.
+
     Raises RuntimeError where ``rounds`` rounds do not reach it.
     """
-    known = _settle(graph.select(*SPO).distinct())
+    known, new = unestimated(_settle(graph.select(*SPO).distinct())), None
     for _ in range(rounds):
-        new = None
+        found = None
         for r in rules:
-            new = r.forward(known) if new is None else new.union(r.forward(known))
-        new = _settle(delete(new.distinct(), known))
+            part = r.forward(known) if new is None else r.forward_new(known, new)
+            found = part if found is None else found.union(part)
+        new = unestimated(_settle(delete(found, known)))
         if new.isEmpty():
             return known
-        known = _settle(add(known, new))
+        known = unestimated(_settle(known.union(new)))
     raise RuntimeError(f"no fixpoint in {rounds} rounds")
 
 

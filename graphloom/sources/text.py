@@ -30,23 +30,28 @@ def _expand(token: Column, prefixes: dict[str, str]) -> Column:
 def read_triples(spark: SparkSession, path: str) -> DataFrame:
     """The triples (s, p, o) of text files, as a set; ``#`` starts a comment line.
 
-    Prefix lines (``@prefix p: <iri> .``) hold for the whole folder: there are few, and the driver reads them first.
-    Names with an unknown prefix, and statements that lack a part, make no triple.
+    A line holds any number of statements, each with its ``.``; one that goes on in the next line, and anything that is
+    no token, raises an error when the lines are read. Prefix lines (``@prefix p: <iri> .``) hold for the whole folder:
+    there are few, and the driver reads them first; other ``@`` lines raise. Names with an unknown prefix make no triple.
     """
     lines = spark.read.text(path).where(~F.col("value").rlike(r"\A\s*(#|\z)"))
-    declared = F.regexp_extract_all("value", F.lit(r"\A\s*@prefix\s+([A-Za-z0-9_-]*):\s*<([^>]*)>"), 0)
-    heads = lines.where(F.col("value").rlike(r"\A\s*@prefix")).select(F.regexp_extract("value", r"@prefix\s+([A-Za-z0-9_-]*):", 1), F.regexp_extract("value", r"<([^>]*)>", 1))
-    prefixes = PREFIXES | {r[0]: r[1] for r in heads.where(F.size(declared) >= 0).distinct().collect()}
+    declared = F.col("value").rlike(r"\A\s*@prefix\s+[A-Za-z0-9_-]*:\s*<[^>]*>\s*\.\s*\z")
+    heads = lines.where(declared).select(F.regexp_extract("value", r"@prefix\s+([A-Za-z0-9_-]*):", 1), F.regexp_extract("value", r"<([^>]*)>", 1))
+    prefixes = PREFIXES | {r[0]: r[1] for r in heads.distinct().collect()}
+    rest = F.regexp_replace("value", TOKEN, " ")
+    tokens = F.regexp_extract_all("value", F.lit(TOKEN), F.lit(0))
+    wrong = F.col("value").rlike(r"\A\s*@") | (F.trim(rest) != "") | (F.element_at(tokens, -1) != ".")
+    told = F.raise_error(F.concat(F.lit("not whole statements: "), F.col("value"))).cast("array<string>")
     # the number goes on before the tokens are laid out, or each token would get its own
-    rows = lines.where(~F.col("value").rlike(r"\A\s*@")).select(F.monotonically_increasing_id().alias("line"), F.regexp_extract_all("value", F.lit(TOKEN), 0).alias("tokens"))
+    rows = lines.where(~declared).select(F.monotonically_increasing_id().alias("line"), F.when(F.coalesce(wrong, F.lit(True)), told).otherwise(tokens).alias("tokens"))
     rows = rows.select("line", F.posexplode("tokens").alias("i", "t"))
     own = W.partitionBy("line").orderBy("i")
-    rows = rows.withColumn("clause", F.sum(F.when(F.col("t").isin(";", "."), 1).otherwise(0)).over(own))
-    subject = F.first("t").over(own)
-    rows = rows.select("line", "i", "clause", "t", subject.alias("s")).where((F.col("i") > 0) & ~F.col("t").isin(";", ".", ","))
-    verb = F.first("t").over(W.partitionBy("line", "clause").orderBy("i"))
-    rank = F.row_number().over(W.partitionBy("line", "clause").orderBy("i"))
-    rows = rows.select("s", verb.alias("p"), F.col("t").alias("o"), rank.alias("k")).where("k > 1")
+    before = lambda mark: F.sum(F.when(F.col("t") == mark, 1).otherwise(0)).over(own)
+    rows = rows.select("line", "i", "t", before(".").alias("statement"), before(";").alias("clause")).where(~F.col("t").isin(";", ".", ","))
+    statement = W.partitionBy("line", "statement").orderBy("i")
+    rows = rows.select("*", F.first("t").over(statement).alias("s"), F.row_number().over(statement).alias("n")).where("n > 1")
+    clause = W.partitionBy("line", "statement", "clause").orderBy("i")
+    rows = rows.select("s", F.first("t").over(clause).alias("p"), F.col("t").alias("o"), F.row_number().over(clause).alias("k")).where("k > 1")
     full = rows.select(*(_expand(F.col(c), prefixes).alias(c) for c in "spo"))
     return full.where("s is not null and p is not null and o is not null").distinct()
 

@@ -23,6 +23,15 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
 
 
+def negative(x: Column) -> Column:
+    """-x to the last digit; Spark's own minus and abs round decimals to 34 digits."""
+    return F.try_subtract(F.lit(0).cast(NUMBER), x).try_cast(NUMBER)
+
+
+def absolute(x: Column) -> Column:
+    return F.when(x < 0, negative(x)).otherwise(x)
+
+
 def _multiple(a: Column, b: Column) -> Column:
     """floor(a / b) for b > 0 and quotients of up to 31 digits; Spark's own quotient has six decimals and truncates."""
     return (F.try_subtract(a, F.pmod(a, b)) / b).try_cast(NUMBER)
@@ -43,15 +52,15 @@ def div_floor(a: Column, b: Column) -> Column:
     """Floor division of whole numbers of 38 digits; NULL for a zero divisor."""
 
     def floor(x: Column, y: Column) -> Column:
-        size = F.abs(F.when(y != 0, y)).cast(NUMBER)
-        signed = lambda q: F.when(y > 0, q).when(F.pmod(x, size) == 0, -q).otherwise(-q - 1).try_cast(NUMBER)
+        size = absolute(F.when(y != 0, y)).cast(NUMBER)
+        signed = lambda q: F.when(y > 0, q).when(F.pmod(x, size) == 0, negative(q)).otherwise(F.try_subtract(negative(q), F.lit(1))).try_cast(NUMBER)
         return _let(size, lambda n: _let(_quotient(x, n), signed))
 
     return _let(F.struct(a.cast(NUMBER).alias("a"), b.cast(NUMBER).alias("b")), lambda t: floor(t["a"], t["b"]))
 
 
 def mod_floor(a: Column, b: Column) -> Column:
-    rest = F.pmod(a, F.abs(F.when(b != 0, b)))
+    rest = F.pmod(a, absolute(F.when(b != 0, b)))
     return F.when((b < 0) & (rest != 0), rest + b).otherwise(rest).try_cast(NUMBER)
 
 
@@ -113,8 +122,8 @@ def _n(c: Column) -> Column:
 INTEGER = {
     m.name: m
     for m in (
-        Modifier("abs", 2, lambda a, b: a == F.abs(b), (Usage({0: lambda a, b: F.abs(b)}),)),
-        Modifier("neg", 2, lambda a, b: a == -b, (Usage({0: lambda a, b: -b}), Usage({1: lambda a, b: -a}))),
+        Modifier("abs", 2, lambda a, b: a == absolute(b), (Usage({0: lambda a, b: absolute(b)}),)),
+        Modifier("neg", 2, lambda a, b: a == negative(b), (Usage({0: lambda a, b: negative(b)}), Usage({1: lambda a, b: negative(a)}))),
         Modifier("sum", 3, lambda a, b, c: a == F.try_add(b, c), (Usage({0: lambda a, b, c: _n(F.try_add(b, c))}), Usage({1: lambda a, b, c: _n(F.try_subtract(a, c))}), Usage({2: lambda a, b, c: _n(F.try_subtract(a, b))}))),
         Modifier("diff", 3, lambda a, b, c: a == F.try_subtract(b, c), (Usage({0: lambda a, b, c: _n(F.try_subtract(b, c))}), Usage({1: lambda a, b, c: _n(F.try_add(a, c))}), Usage({2: lambda a, b, c: _n(F.try_subtract(b, a))}))),
         Modifier("prod", 3, lambda a, b, c: a == F.try_multiply(b, c), (Usage({0: lambda a, b, c: _n(F.try_multiply(b, c))}), Usage({1: lambda a, b, c: exact_quotient(a, c)}), Usage({2: lambda a, b, c: exact_quotient(a, b)}))),

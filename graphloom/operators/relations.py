@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import terms as T
 from ..functions.vocab import FIRST, NIL, RDF, RDFD, REST, TYPE, XSD, XSD_INTEGER_NS, XSD_STRING_NS
 from .graph import delete, list_items
-from .modifiers import NUMBER, div_floor, mod_floor, power, text_value
+from .modifiers import NUMBER, absolute, div_floor, mod_floor, negative, power, text_value
 from .rules import _settle
 
 #: The property of the triple that states an inconsistency.
@@ -96,8 +96,8 @@ def _not_negative(x: Column) -> Column:
 INTEGER_RELATIONS = {
     r.name: r
     for r in (
-        _integer("abs", 2, ((F.abs, (1,)),), ((lambda a: a, (0,)), (lambda a: -a, (0,))), valid=(_not_negative,)),
-        _integer("neg", 2, ((lambda b: -b, (1,)),), ((lambda a: -a, (0,)),)),
+        _integer("abs", 2, ((absolute, (1,)),), ((lambda a: a, (0,)), (negative, (0,))), valid=(_not_negative,)),
+        _integer("neg", 2, ((negative, (1,)),), ((negative, (0,)),)),
         _integer("sum", 3, ((F.try_add, (1, 2)),), ((F.try_subtract, (0, 2)),), ((F.try_subtract, (0, 1)),)),
         _integer("diff", 3, ((F.try_subtract, (1, 2)),), ((F.try_add, (0, 2)),), ((F.try_subtract, (1, 0)),)),
         _integer("prod", 3, ((F.try_multiply, (1, 2)),), ((div_floor, (0, 2)),), ((div_floor, (0, 1)),)),

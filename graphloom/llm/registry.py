@@ -16,6 +16,9 @@ MODULES = {
     "op8_repeated_strings": "suffix_dedup",
     "op9_toxicity": "toxicity",
     "op10_embedding_near_dedup": "embed_dedup",
+    "op11_vector_codes": "vector_codes",
+    "op12_whitening": "whitening",
+    "op13_url_filter": "url_filter",
 }
 
 

@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 
 from ..functions import terms as T
 from ..functions.vocab import RDF, TYPE
-from .graph import SPO, add, contained, delete, equivalent, rename, unestimated
+from .graph import SPO, add, contained, delete, equivalent, rename
 from .modifiers import Modifier
 from .query import Pattern, entails
-from .rules import Rule, Ruleset, _settle
+from .rules import Rule, Ruleset
+from .scratch import settle
 
 
 def rows_of(graph: DataFrame, most: int) -> list[tuple[str, str, str]]:
@@ -81,7 +82,7 @@ def colours(graph: DataFrame, rounds: int) -> DataFrame:
         sides = [known.select(F.col(c).alias("term"), F.xxhash64(F.lit(c), "cs", "cp", "co").alias("h")) for c in SPO]
         sums = reduce(DataFrame.union, sides).groupBy("term").agg(F.sum(F.col("h").cast("decimal(38,0)")).alias("h"))
         # each round reads the last three times: without a cut the plan would grow as 3**rounds
-        found = _settle(found.join(sums, "term").select("term", F.when(blank("term"), F.xxhash64("colour", "h")).otherwise(F.col("colour")).alias("colour")))
+        found = settle(found.join(sums, "term").select("term", F.when(blank("term"), F.xxhash64("colour", "h")).otherwise(F.col("colour")).alias("colour")))
     return found
 
 
@@ -95,7 +96,7 @@ def _recolour(graph: DataFrame, found: DataFrame) -> DataFrame:
     ends = [known.where(_local(c)).select("side", F.col(c).alias("term"), none.alias("colour"), F.xxhash64(F.lit(c), "cs", "cp", "co").alias("h")) for c in SPO]
     sums = reduce(DataFrame.union, ends, found.select("side", "term", "colour", none.alias("h"))).groupBy("side", "term")
     sums = sums.agg(F.max("colour").alias("colour"), F.sum(F.col("h").cast("decimal(38,0)")).alias("h"))
-    return unestimated(_settle(sums.select("side", "term", F.xxhash64("colour", "h").alias("colour"))))
+    return settle(sums.select("side", "term", F.xxhash64("colour", "h").alias("colour")))
 
 
 def _stable(graph: DataFrame, found: DataFrame) -> tuple[DataFrame, bool, bool]:
@@ -120,16 +121,16 @@ def _recoloured(found: DataFrame, chosen: DataFrame) -> DataFrame:
 
 def _split(graph: DataFrame, found: DataFrame) -> DataFrame:
     """A new colour for one node of every component of tied nodes; components alike in colours are paired off in order."""
-    tied = _settle(_tied(found).select("side", "term", "colour"))
+    tied = settle(_tied(found).select("side", "term", "colour"))
     ends = [graph.where(_local(x) & _local(y)).select("side", F.col(x).alias("term"), F.col(y).alias("other")) for x, y in itertools.permutations(SPO, 2)]
     links = reduce(DataFrame.union, ends).where("term <> other").join(tied.select("side", "term"), ["side", "term"], "left_semi")
-    links = _settle(links.join(tied.select("side", F.col("term").alias("other")), ["side", "other"], "left_semi").distinct())
+    links = settle(links.join(tied.select("side", F.col("term").alias("other")), ["side", "other"], "left_semi").distinct())
     part = tied.select("side", "term", F.col("term").alias("part"))
     while True:
         near = links.join(part.select("side", F.col("term").alias("other"), "part"), ["side", "other"]).groupBy("side", "term").agg(F.min("part").alias("near"))
         least = part.join(near, ["side", "term"], "left").select("side", "term", F.least("part", "near").alias("to"), F.col("part").alias("was"))
         jump = part.select("side", F.col("term").alias("to"), "part")
-        now = unestimated(_settle(least.join(jump, ["side", "to"]).select("side", "term", "part", "was")))
+        now = settle(least.join(jump, ["side", "to"]).select("side", "term", "part", "was"))
         part = now.select("side", "term", "part")
         if now.where("part <> was").isEmpty():
             break
@@ -157,21 +158,21 @@ def isomorphic(a: DataFrame, b: DataFrame) -> bool:
     if not equivalent(a.where(~local), b.where(~local)):
         return False
     both = [g.where(local).select(F.lit(i).alias("side"), *SPO).distinct() for i, g in enumerate((a, b))]
-    graph = _settle(both[0].union(both[1]))
+    graph = settle(both[0].union(both[1]))
     sizes = {r.side: r.n for r in graph.groupBy("side").agg(F.count("*").alias("n")).collect()}
     if not sizes or sizes.get(0) != sizes.get(1):
         return not sizes
     nodes = graph.select("side", F.explode(F.array(*SPO)).alias("term")).where(_local("term")).distinct()
-    root = found, even, tied = _stable(graph, _settle(nodes.withColumn("colour", F.lit(1).cast("long"))))
+    root = found, even, tied = _stable(graph, settle(nodes.withColumn("colour", F.lit(1).cast("long"))))
     while even and tied:
-        found, even, tied = _stable(graph, _settle(_split(graph, found)))
+        found, even, tied = _stable(graph, settle(_split(graph, found)))
     if even and _same(graph, found):
         return True
     if not root[1] or not root[2]:
         return False
     todo = [root[0]]
     while todo:
-        found, even, tied = _stable(graph, _settle(todo.pop()))
+        found, even, tied = _stable(graph, settle(todo.pop()))
         if not even or not tied and not _same(graph, found):
             continue
         if not tied:
@@ -206,9 +207,19 @@ class Proof:
     steps: list[Step]
     goal: str
     extra: list[Rule] = field(default_factory=list)
+    #: a step's consequent is all that its rule deduces, or what it would need is an antecedent; else it may be a part
+    exact: bool = False
 
     def axioms_used(self) -> list[tuple[str, str, str]]:
-        return list(dict.fromkeys(t for rs in self.context for t in rs.axioms))
+        """The axioms of the rule sets that are in what the steps cite; as many as there are axioms at most."""
+        axioms = list(dict.fromkeys(t for rs in self.context for t in rs.axioms))
+        cited = list(dict.fromkeys(a for s in self.steps for a in s.antecedents))
+        if not axioms or not cited:
+            return []
+        graphs = reduce(add, (self.graphs[a] for a in cited))
+        known = graphs.sparkSession.createDataFrame(axioms, "s string, p string, o string")
+        found = {tuple(r) for r in known.join(graphs, SPO, "left_semi").select(*SPO).collect()}
+        return [t for t in axioms if t in found]
 
     def show(self) -> str:
         """The proof as text: what is given, each step with its rule and what it rests on, and the goal."""
@@ -216,6 +227,11 @@ class Proof:
         lines += [f"Step {i}: {s.consequent} by {s.rule} from {', '.join(s.antecedents)}" for i, s in enumerate(self.steps, 1)]
         return "\n".join([*lines, f"Goal: {self.goal}"])
 
+    def _backward(self, rule: Rule, step: Step) -> bool:
+        from .chaining import check_backward
+
+        return check_backward(rule, [self.graphs[a] for a in step.antecedents], self.graphs[step.consequent])
+
     def explain(self) -> str | None:
         """None for a valid proof, or what is wrong with its first bad step."""
         known = list(self.given)
@@ -229,7 +245,8 @@ class Proof:
             axioms = [t for rs in self.context for t in rs.axioms]
             if axioms:
                 graph = add(graph, graph.sparkSession.createDataFrame(axioms, "s string, p string, o string"))
-            if not rule.check(graph, self.graphs[s.consequent]):
+            consequent = self.graphs[s.consequent]
+            if not (rule.check_whole(graph, consequent) or self._backward(rule, s) if self.exact else rule.check(graph, consequent)):
                 return "Invalid step: rule does not deduce consequence from antecedents"
             known.append(s.consequent)
         # the empty graph is true without proof
@@ -302,11 +319,11 @@ def top_level(graph: DataFrame) -> DataFrame:
     once = counted.where(inner).select("term")
     up = graph.select(F.col("o").alias("term"), F.col("s").alias("up")).join(once, "term", "left_semi")
     # each inner node has one place that refers to it: ancestors by pointer jumping, with the least of those passed
-    jump = _settle(up.join(once.select(F.col("term").alias("up")), "up", "left_semi").select("term", "up", F.col("up").alias("low")))
+    jump = settle(up.join(once.select(F.col("term").alias("up")), "up", "left_semi").select("term", "up", F.col("up").alias("low")))
     step, n = 1, jump.count()
     while n and step < 2 * n:
         far = jump.select(F.col("term").alias("up"), F.col("up").alias("far"), F.col("low").alias("far_low"))
-        jump = unestimated(_settle(jump.join(far, "up").select("term", F.col("far").alias("up"), F.least("low", "far_low").alias("low"))))
+        jump = settle(jump.join(far, "up").select("term", F.col("far").alias("up"), F.least("low", "far_low").alias("low")))
         step, n = 2 * step, jump.count()
     # in a circle, a node is its own ancestor
     return counted.where(~inner).select("term").union(jump.where("term = low").select("term"))

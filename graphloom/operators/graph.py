@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import terms as T
 from ..functions.vocab import FIRST, NIL, REST
+from .scratch import settle
 
 SPO = ["s", "p", "o"]
 
@@ -86,12 +87,6 @@ def merge(a: DataFrame, b: DataFrame, suffix: str = "m") -> DataFrame:
     return add(a, rename(b, clash))
 
 
-def unestimated(df: DataFrame) -> DataFrame:
-    """A checkpointed frame without its estimated size, a whole number whose digits multiply with every round of joins."""
-    session = df.sparkSession
-    return DataFrame(session._jsparkSession.createDataFrame(df._jdf.javaRDD(), df._jdf.schema()), session)
-
-
 def list_items(graph: DataFrame, heads: DataFrame) -> DataFrame:
     """(head, position, item) of the rdf lists that start at ``heads(head)``.
 
@@ -110,7 +105,7 @@ def list_items(graph: DataFrame, heads: DataFrame) -> DataFrame:
         if step > 8:
             # each cell at its first position: once a round finds no new cell there is none further on
             found = found.groupBy("head", "cell").agg(F.min("position").alias("position"))
-            found, jump = (unestimated(x.checkpoint()) for x in (found, jump.distinct()))
+            found, jump = settle(found), settle(jump.distinct())
             before, n = n, found.count()
             if n == before or jump.isEmpty():
                 break

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import terms as T
+from .canon import certificates
 from .entail import isomorphic
 from .graph import SPO
+from .scratch import settle
 
 
 def formula(quads: DataFrame, name: str) -> DataFrame:
@@ -34,23 +35,19 @@ def all_labels(quads: DataFrame) -> DataFrame:
 
 
 def same_formulae(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(g, same) of every name of either side: whether its ground triples are equal as sets; a missing graph is empty.
+    """(g, same) of every name of either side: whether its graphs are equal up to the names of blank nodes and variables.
 
-    Names whose graphs hold blank nodes or variables are given too, by their ground part and the number of other triples;
-    ``equal_formulae`` compares those up to renaming.
+    A missing graph is empty. All names are compared together, by ``canon.certificates``.
     """
-    local = T.is_blank("s") | T.is_blank("p") | T.is_blank("o") | T.is_variable("s") | T.is_variable("p") | T.is_variable("o")
-
-    def summed(q: DataFrame, side: str) -> DataFrame:
-        own = q.where("g is not null").select("g", *SPO).distinct()
-        ground = F.sum(F.when(~local, F.xxhash64(*SPO).cast("decimal(38,0)"))).alias(f"h{side}")
-        return own.groupBy("g").agg(ground, F.count("*").alias(f"n{side}"), F.count_if(local).alias(f"l{side}"))
-
-    both = summed(a, "a").join(summed(b, "b"), "g", "full")
-    same = F.col("ha").eqNullSafe(F.col("hb")) & F.col("na").eqNullSafe(F.col("nb")) & F.col("la").eqNullSafe(F.col("lb"))
-    return both.select("g", same.alias("same"))
+    side = lambda q, s: q.where("g is not null").select(F.to_json(F.struct(F.lit(s).alias("side"), "g")).alias("key"), "g", *SPO)
+    both = settle(side(a, 0).union(side(b, 1)))
+    marks = certificates(both.select(F.col("key").alias("g"), *SPO)).withColumnRenamed("g", "key")
+    keys = both.select("key", "g").distinct().join(marks, "key")
+    # a name has one certificate a side, and so one or two rows
+    each = keys.groupBy("g").agg(F.count("*").alias("n"), F.countDistinct("certificate").alias("kinds"))
+    return each.select("g", ((F.col("n") == 2) & (F.col("kinds") == 1)).alias("same"))
 
 
 def equal_formulae(a: DataFrame, b: DataFrame, name: str) -> bool:
-    """The named graphs of both sides are equal up to the names of blank nodes and variables."""
+    """The named graphs of both sides are equal up to the names of blank nodes and variables, of any size."""
     return isomorphic(formula(a, name), formula(b, name))

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from ..functions import terms as T
 from ..functions.vocab import FIRST, NIL, RDF, RDFD, REST, TYPE, XSD, XSD_INTEGER_NS, XSD_STRING_NS
 from .graph import delete, list_items
-from .modifiers import NUMBER, absolute, div_floor, mod_floor, negative, power, text_value
-from .rules import _settle
+from .modifiers import NUMBER, absolute, div_floor, exact_quotient, mod_floor, negative, power, text_value
+from .scratch import settle
 
 #: The property of the triple that states an inconsistency.
 FALSE = f"<{RDFD}false>"
@@ -35,6 +35,8 @@ class Relation:
     test: Callable[..., Column] | None = None
     valid: tuple[Callable[[Column], Column] | None, ...] = ()
     kind: str = NUMBER
+    #: of all members, null where unknown: whether those known rule out any full tuple
+    broken: Callable[..., Column] | None = None
     values: Callable[[str], Column] = T.as_integer
     back: Callable[[Column], Column] = T.integer
 
@@ -63,6 +65,8 @@ class Relation:
             bad = bad | (value[i].isNotNull() & (~valid(value[i]) | ((F.size(found) > 0) & ~F.array_contains(found, value[i]))))
             choices = F.when(value[i].isNotNull(), F.array(value[i])).otherwise(F.array_distinct(found))
             tuples = _product(tuples, choices)
+        if self.broken is not None:
+            bad = bad | F.coalesce(self.broken(*value), F.lit(False))
         if self.test is not None:
             bad = bad | F.exists(tuples, lambda t: ~self.test(*(F.get(t, F.lit(i)) for i in range(self.size))))
         ok = ~F.coalesce(bad, F.lit(True))
@@ -84,15 +88,21 @@ def _two(test) -> Callable[..., Column]:
     return lambda a, b: test(a, b)
 
 
-def _integer(name: str, size: int, *functions: tuple[Function, ...], test=None, valid=()) -> Relation:
-    return Relation(name, size, functions, test, valid)
+def _integer(name: str, size: int, *functions: tuple[Function, ...], test=None, valid=(), broken=None) -> Relation:
+    return Relation(name, size, functions, test, valid, broken=broken)
+
+
+def _no_factor(a: Column, b: Column, c: Column) -> Column:
+    """a = b * c can't hold, as one factor is known and does not divide a."""
+    fails = lambda x: F.when(x == 0, a != 0).otherwise(mod_floor(a, x) != 0)
+    return (b.isNotNull() & fails(b)) | (c.isNotNull() & fails(c))
 
 
 def _not_negative(x: Column) -> Column:
     return x >= 0
 
 
-#: The relations of whole numbers, in which ``sum a b c`` is a = b + c. Quotients are rounded down and need no exactness.
+#: The relations of whole numbers, in which ``sum a b c`` is a = b + c. A product's factors are exact; quotients of divmod are rounded down.
 INTEGER_RELATIONS = {
     r.name: r
     for r in (
@@ -100,13 +110,13 @@ INTEGER_RELATIONS = {
         _integer("neg", 2, ((negative, (1,)),), ((negative, (0,)),)),
         _integer("sum", 3, ((F.try_add, (1, 2)),), ((F.try_subtract, (0, 2)),), ((F.try_subtract, (0, 1)),)),
         _integer("diff", 3, ((F.try_subtract, (1, 2)),), ((F.try_add, (0, 2)),), ((F.try_subtract, (1, 0)),)),
-        _integer("prod", 3, ((F.try_multiply, (1, 2)),), ((div_floor, (0, 2)),), ((div_floor, (0, 1)),)),
+        _integer("prod", 3, ((F.try_multiply, (1, 2)),), ((exact_quotient, (0, 2)),), ((exact_quotient, (0, 1)),), broken=_no_factor),
         _integer("divmod", 4, ((div_floor, (2, 3)),), ((mod_floor, (2, 3)),), (), ()),
         _integer("power", 3, ((power, (1, 2)),), (), (), valid=(None, None, _not_negative)),
         *(Relation(name, 2, (), _two(test)) for name, test in (("eq", lambda a, b: a == b), ("ne", lambda a, b: a != b), ("lt", lambda a, b: a < b), ("le", lambda a, b: a <= b), ("gt", lambda a, b: a > b), ("ge", lambda a, b: a >= b))),
     )
 }
-STRING_RELATIONS = {name: Relation(name, 2, (), _two(test), (), "string", text_value, T.string) for name, test in (("eq", lambda a, b: a == b), ("ne", lambda a, b: a != b))}
+STRING_RELATIONS = {name: Relation(name, 2, (), _two(test), (), "string", None, text_value, T.string) for name, test in (("eq", lambda a, b: a == b), ("ne", lambda a, b: a != b))}
 
 
 def relation_of(name: str) -> Relation | None:
@@ -183,7 +193,7 @@ def candidates(graph: DataFrame, restriction: Restriction) -> tuple[DataFrame, D
     done = restriction.relation.complete(combined, columns).where("consistent")
     one = F.size("tuples") == 1
     done = done.select("s", *(F.when(one, F.get(F.get("tuples", F.lit(0)), F.lit(i))).otherwise(F.col(c)).alias(c) for i, c in enumerate(columns))).distinct()
-    done = _settle(done)
+    done = settle(done)
     other = done.select("s", *(F.col(c).alias(f"_{c}") for c in columns))
     holds = reduce(lambda a, b: a & b, (F.col(c).isNull() | F.col(c).eqNullSafe(F.col(f"_{c}")) for c in columns))
     more = reduce(lambda a, b: a | b, (~F.col(c).eqNullSafe(F.col(f"_{c}")) for c in columns))

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import terms as T
 from ..functions.vocab import ALLOCATED, SUBCLASS, SUBPROPERTY, TYPE, iri
-from .graph import SPO, add, delete, unestimated
+from .graph import SPO, add, delete
 from .query import Pattern, backward, construct, construct_blank, match, pattern
+from .scratch import settle
 
 Change = Callable[[DataFrame], DataFrame]
 
@@ -49,6 +50,12 @@ class Rule:
 
         return simple_entails(self.forward(graph), claimed)
 
+    def check_whole(self, graph: DataFrame, claimed: DataFrame) -> bool:
+        """The claimed triples are all of the rule's consequents, up to the names of blank nodes."""
+        from .entail import isomorphic
+
+        return isomorphic(self.forward(graph), claimed)
+
     def support(self, bindings: DataFrame) -> DataFrame:
         """What must hold for bindings of the consequent: antecedents, with new blanks for variables left open."""
         return construct_blank(bindings, self.antecedent, self.name)
@@ -232,26 +239,13 @@ def find_rule(name: str, rulesets=RULESETS) -> Rule | None:
     return rulesets[ns].rule(local) if ns in rulesets else None
 
 
-def _settle(df: DataFrame) -> DataFrame:
-    """Cut the plan at a reliable checkpoint in the folder that driver and executors share."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not shared and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="graphloom-"))
-    return df.checkpoint()
-
-
 def transitive(pairs: DataFrame, limit: int = 64) -> DataFrame:
     """Transitive closure of (s, o) by path doubling: log2 of the longest path in rounds; cycles end."""
-    known = _settle(pairs.select("s", "o").distinct())
+    known = settle(pairs.select("s", "o").distinct())
     n = known.count()
     for _ in range(limit):
         step = known.select(F.col("s").alias("o"), F.col("o").alias("far"))
-        known = _settle(known.union(known.join(step, "o").select("s", F.col("far").alias("o"))).distinct())
+        known = settle(known.union(known.join(step, "o").select("s", F.col("far").alias("o"))).distinct())
         now = known.count()
         if now == n:
             break
@@ -266,16 +260,16 @@ def closure(graph: DataFrame, rules: list[Rule], rounds: int = 50) -> DataFrame:
 
     Raises RuntimeError where ``rounds`` rounds do not reach it.
     """
-    known, new = unestimated(_settle(graph.select(*SPO).distinct())), None
+    known, new = settle(graph.select(*SPO).distinct()), None
     for _ in range(rounds):
         found = None
         for r in rules:
             part = r.forward(known) if new is None else r.forward_new(known, new)
             found = part if found is None else found.union(part)
-        new = unestimated(_settle(delete(found, known)))
+        new = settle(delete(found, known))
         if new.isEmpty():
             return known
-        known = unestimated(_settle(known.union(new)))
+        known = settle(known.union(new))
     raise RuntimeError(f"no fixpoint in {rounds} rounds")
 
 
@@ -288,11 +282,11 @@ def rdfs_closure(graph: DataFrame) -> DataFrame:
     g = graph.select(*SPO)
     sub = transitive(g.where(F.col("p") == SUBPROPERTY))
     g = add(g, sub.select("s", F.lit(SUBPROPERTY).alias("p"), "o"))
-    g = _settle(add(g, by["r7"].forward(g)))
-    g = _settle(add(add(g, by["r2"].forward(g)), by["r3"].forward(g)))
+    g = settle(add(g, by["r7"].forward(g)))
+    g = settle(add(add(g, by["r2"].forward(g)), by["r3"].forward(g)))
     classes = transitive(g.where(F.col("p") == SUBCLASS))
     g = add(g, classes.select("s", F.lit(SUBCLASS).alias("p"), "o"))
-    g = _settle(add(g, by["r9"].forward(g)))
+    g = settle(add(g, by["r9"].forward(g)))
     return closure(g, [by[k] for k in ("r2", "r3", "r5", "r7", "r9", "r11")])
 
 

@@ -197,7 +197,6 @@ def test_restrictions(spark):
 
 def test_lists(spark):
     made = G.make_lists(spark.createDataFrame([(1, list("abcdefghijk")), (2, ["z"])], "k int, x array<string>"), "k", "x")
-    R._settle(spark.range(1))
     heads = spark.createDataFrame([("_:l-1-0",), ("_:l-2-0",), (NIL,)], "head string")
     got = {}
     for r in G.list_items(made, heads).orderBy("position").collect():
@@ -206,7 +205,6 @@ def test_lists(spark):
 
 
 def test_lists_of_any_length_and_circular_ones(spark):
-    R._settle(spark.range(1))
     made = G.make_lists(spark.createDataFrame([(1, [str(i) for i in range(3000)])], "k int, x array<string>"), "k", "x")
     ring = [(f"_:c{i}", p, o) for i in range(3) for p, o in ((G.FIRST, f"r{i}"), (G.REST, f"_:c{(i + 1) % 3}"))]
     got = G.list_items(made.union(graph_of(spark, ring)), spark.createDataFrame([("_:l-1-0",), ("_:c1",)], "head string"))

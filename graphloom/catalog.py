@@ -820,7 +820,7 @@ def _instances(spark, d, of_class: str, *members) -> DataFrame:
 
 
 def _built_in(spark, name: str) -> L.Restriction:
-    return next(r for r in L.restrictions_of(L.restriction_graph(spark)) if r.of_class == name)
+    return next(r for r in L.built_in_classes() if r.of_class == name)
 
 
 @query("restriction_find", "SELECT count(*) AS classes, sum(n)::BIGINT AS properties, sum(1)::BIGINT AS limits FROM (VALUES (2), (2), (3), (3), (3), (4), (3), (2), (2), (2), (2), (2), (2), (2), (2)) t(n)")

@@ -7,12 +7,18 @@ from pyspark.sql import functions as F
 
 from .catalog import SIGNED, P, _term, query, read
 from .functions import terms as T
+from .functions.vocab import FIRST, NIL, REST, TYPE
 from .operators import chaining as C
+from .operators import entail as E
 from .operators import named as N
+from .operators import orders as O
 from .operators import relations as L
 from .operators import rules as R
-from .operators import trees
+from .operators import claims, trees
 from .operators.modifiers import INTEGER
+from .operators.scratch import settle
+from .sources.mapping import graph_of, lift
+from .sources.text import largest_blank_number, lines_of, renumbered
 
 # Nested statements
 
@@ -24,7 +30,7 @@ ITEMS = """items AS (SELECT l_orderkey AS k, l_partkey AS part, l_suppkey AS sup
 def _items(spark, d) -> DataFrame:
     keys = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
     rows = read(spark, d, "lineitem").groupBy(*keys).agg(F.max("l_quantity").cast("long").alias("q"), F.min("l_returnflag").alias("flag"))
-    return rows.withColumn("id", F.concat_ws("-", *keys))
+    return settle(rows.withColumn("id", F.concat_ws("-", *keys)))
 
 
 def _order_trees(items: DataFrame, orders: DataFrame, name) -> DataFrame:
@@ -152,3 +158,110 @@ for _gap, _known in ((1, "c"), (2, "b")):
         gap_name = "b" if known == "c" else "c"
         done = L.INTEGER_RELATIONS["prod"].complete(part.withColumn(gap_name, F.lit(None).cast("string")), ["a", "b", "c"])
         return done.select("p_partkey", "consistent", F.get(F.get("tuples", F.lit(0)), F.lit(gap)).alias("v"))
+
+
+# Claims with blank nodes
+
+
+@query("claims_entailed", "SELECT '_:a' || a.o_orderkey AS component, count(DISTINCT x.o_orderkey) > 0 AS entailed FROM (SELECT DISTINCT o_orderkey, o_custkey, o_orderstatus FROM orders) a LEFT JOIN (SELECT o_orderkey, o_custkey AS c, o_orderstatus AS status, c_nationkey AS n FROM orders JOIN customer ON o_custkey = c_custkey) x ON c = a.o_custkey AND status = 'P' AND n = a.o_orderkey % 25 GROUP BY a.o_orderkey")
+def _(spark, d):
+    """For each order: is there one of its customer that is in state P, and does the customer live in a certain nation?"""
+    g = lift(spark, d, "orders", "customer")
+    o = read(spark, d, "orders").select("o_orderkey", "o_custkey").distinct()
+    blank = lambda stem: F.concat(F.lit(f"_:{stem}"), "o_orderkey")
+    arc = lambda s, p, x: F.struct(s.alias("s"), F.lit(f"<urn:p:{p}>").alias("p"), x.alias("o"))
+    named = o.join(read(spark, d, "customer").select("c_custkey", "c_name"), F.col("o_custkey") == F.col("c_custkey"), "left")
+    claim = named.select(F.inline(F.array(arc(blank("a"), "o_custkey", blank("b")), arc(blank("a"), "o_orderstatus", T.plain(F.lit("P"))), arc(blank("b"), "c_name", F.coalesce(T.plain("c_name"), F.lit('"?"'))), arc(blank("b"), "c_nationkey", T.iri("urn:nation:", F.col("o_orderkey") % 25)))))
+    return claims.components_entailed(g, claim)
+
+
+# Numbers for blank nodes
+
+
+@query("text_renumbered", "WITH c AS (SELECT o_custkey AS c, '_:o-' || o_orderkey AS b, min(o_orderstatus) AS status FROM orders GROUP BY ALL), n AS (SELECT *, '_:' || row_number() OVER (ORDER BY b) AS name FROM c) SELECT '<urn:customer:' || c || '> <urn:p:order> ' || string_agg(name, ' , ' ORDER BY name) || ' .' AS value FROM n GROUP BY c UNION ALL SELECT name || ' <urn:p:status> \"' || status || '\" .' FROM n")
+def _(spark, d):
+    o = read(spark, d, "orders").groupBy("o_orderkey", "o_custkey").agg(F.min("o_orderstatus").alias("status"))
+    blank = F.concat(F.lit("_:o-"), "o_orderkey")
+    g = o.select(T.iri("urn:customer:", "o_custkey").alias("s"), F.lit("<urn:p:order>").alias("p"), blank.alias("o")).union(o.select(blank, F.lit("<urn:p:status>"), T.plain("status")))
+    return lines_of(renumbered(settle(g)))
+
+
+@query("blank_numbers", "SELECT (SELECT max(o_orderkey) FROM orders)::BIGINT AS largest, count(*) AS n, max(k)::BIGINT AS top FROM (SELECT row_number() OVER (ORDER BY o_custkey::VARCHAR) + (SELECT max(o_orderkey) FROM orders) AS k FROM (SELECT DISTINCT o_custkey FROM orders))")
+def _(spark, d):
+    """Orders keep their numbers as names, and customers are numbered on from the largest of them."""
+    g = settle(read(spark, d, "orders").select(F.concat(F.lit("_:"), "o_orderkey").alias("s"), F.lit("<urn:p:c>").alias("p"), F.concat(F.lit("_:c"), "o_custkey").alias("o")))
+    done = renumbered(g, F.col("term").startswith("_:c"))
+    return done.select("o").distinct().agg(F.lit(largest_blank_number(g)).alias("largest"), F.count("*").alias("n"), F.max(F.substring("o", 3, 18).cast("long")).alias("top"))
+
+
+# Partial orders
+
+
+@query("maximal_sets", "WITH s AS (SELECT l_orderkey AS k, list(DISTINCT l_suppkey ORDER BY l_suppkey) AS x FROM lineitem GROUP BY ALL), d AS (SELECT x, row_number() OVER () AS id FROM (SELECT DISTINCT x FROM s)), e AS (SELECT id, len(x) AS n, unnest(x) AS i FROM d), c AS (SELECT a.id FROM e a JOIN e b ON a.i = b.i AND a.id <> b.id GROUP BY a.id, b.id, a.n HAVING count(*) = a.n) SELECT array_to_string(x, ',') AS items FROM d WHERE id NOT IN (SELECT id FROM c)")
+def _(spark, d):
+    """Sets of suppliers of an order that are in no other order's set."""
+    sets = read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_suppkey").alias("items"))
+    return O.maximal_sets(sets, "items").select(F.array_join("items", ",").alias("items"))
+
+
+@query("skyline_three", "SELECT DISTINCT p_size, p_retailprice, k FROM (SELECT p_size, p_retailprice, p_partkey % 97 AS k FROM part) a WHERE NOT EXISTS (SELECT 1 FROM (SELECT p_size, p_retailprice, p_partkey % 97 AS k FROM part) b WHERE b.p_size >= a.p_size AND b.p_retailprice >= a.p_retailprice AND b.k >= a.k AND (b.p_size > a.p_size OR b.p_retailprice > a.p_retailprice OR b.k > a.k))")
+def _(spark, d):
+    return O.maxima(read(spark, d, "part").withColumn("k", F.col("p_partkey") % 97), ["p_size", "p_retailprice", "k"])
+
+
+@query("skyline_dates", "WITH o AS (SELECT DISTINCT o_orderdate::DATE AS day, o_totalprice AS price FROM orders) SELECT strftime(day, '%Y-%m-%d') AS day, price FROM o a WHERE NOT EXISTS (SELECT 1 FROM o b WHERE b.day <= a.day AND b.price <= a.price AND (b.day < a.day OR b.price < a.price))")
+def _(spark, d):
+    """Orders that none before them or on their day undercuts."""
+    o = read(spark, d, "orders").select(F.col("o_orderdate").cast("date").alias("day"), F.col("o_totalprice").alias("price"))
+    return O.maxima(o, ["day", "price"], least=True).select(F.col("day").cast("string").alias("day"), "price")
+
+
+@query("most_complete", "WITH l AS (SELECT DISTINCT l_orderkey AS k, CASE WHEN l_linenumber % 3 <> 0 THEN l_returnflag END AS a, CASE WHEN l_linenumber % 2 = 0 THEN l_linenumber::VARCHAR END AS b, CASE WHEN l_quantity > 25 THEN (l_linenumber % 2)::VARCHAR END AS c FROM lineitem) SELECT * FROM l x WHERE NOT EXISTS (SELECT 1 FROM l y WHERE x.k = y.k AND (x.a IS NULL OR x.a = y.a) AND (x.b IS NULL OR x.b = y.b) AND (x.c IS NULL OR x.c = y.c) AND (x.a IS DISTINCT FROM y.a OR x.b IS DISTINCT FROM y.b OR x.c IS DISTINCT FROM y.c))")
+def _(spark, d):
+    when = lambda c, x: F.when(F.expr(c), F.expr(x))
+    rows = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), when("l_linenumber % 3 <> 0", "l_returnflag").alias("a"), when("l_linenumber % 2 = 0", "string(l_linenumber)").alias("b"), when("l_quantity > 25", "string(l_linenumber % 2)").alias("c"))
+    return O.most_complete(rows, ["k"], ["a", "b", "c"])
+
+
+# Restrictions that a graph made from tables defines
+
+
+def _nation_classes(spark, d) -> DataFrame:
+    """A class for each nation: sums or differences of three properties, for as many tuples as its region's number, if any."""
+    n = read(spark, d, "nation")
+    of, cell = T.iri("urn:class:", "n_nationkey"), lambda i: F.concat(F.lit(f"_:c{i}-"), "n_nationkey")
+    arc = lambda s, p, o: F.struct(s.alias("s"), F.lit(p).alias("p"), o.alias("o"))
+    rule = F.when(F.col("n_nationkey") % 2 == 0, F.lit(f"<{L.XSD_INTEGER_NS}sum>")).otherwise(F.lit(f"<{L.XSD_INTEGER_NS}diff>"))
+    about = [arc(of, TYPE, F.lit(f"<{L.RDFD}GeneralRestriction>")), arc(of, f"<{L.RDFD}onProperties>", cell(0)), arc(of, f"<{L.RDFD}constraint>", rule), arc(of, f"<{L.RDFD}maxCardinality>", T.integer("n_regionkey"))]
+    for i, p in enumerate(("total", "first", "second")):
+        about += [arc(cell(i), FIRST, T.iri(f"urn:p:{p}", F.lit(""))), arc(cell(i), REST, cell(i + 1) if i < 2 else F.lit(NIL))]
+    return n.select(F.inline(F.array(*about)))
+
+
+@query("restriction_from_tables", f"SELECT '<urn:class:' || n_nationkey || '>' AS class, '<{L.XSD_INTEGER_NS}' || CASE WHEN n_nationkey % 2 = 0 THEN 'sum' ELSE 'diff' END || '>' AS constraint, '<urn:p:total> <urn:p:first> <urn:p:second>' AS properties, CASE WHEN n_regionkey > 0 THEN n_regionkey::VARCHAR ELSE 'any' END AS most FROM nation")
+def _(spark, d):
+    found = L.find_restrictions(settle(_nation_classes(spark, d)))
+    return found.select("class", "constraint", F.array_join("properties", " ").alias("properties"), F.coalesce(F.col("most").cast("string"), F.lit("any")).alias("most"))
+
+
+# Proofs over the tables
+
+
+@query("proof_exact", "SELECT 'whole' AS proof, 'valid' AS verdict, 0 AS axioms UNION ALL SELECT 'part', CASE WHEN (SELECT count(*) FROM customer) > 1 THEN 'Invalid step: rule does not deduce consequence from antecedents' ELSE 'valid' END, 0 UNION ALL SELECT 'backward', 'valid', 0 UNION ALL SELECT 'cited', 'valid', 1")
+def _(spark, d):
+    """A step's consequent is all that its rule deduces, or needs just what is an antecedent; axioms count where they are cited."""
+    rule = R.Rule("region", P("?c <urn:p:c_nationkey> ?n . ?n <urn:p:n_regionkey> ?r"), P("?c <urn:p:region> ?r"))
+    back = R.Rule("back", P("?c <urn:p:lives> ?n"), P("?n <urn:p:homeOf> ?c"))
+    data = settle(lift(spark, d, "customer", "nation"))
+    whole = settle(rule.forward(data))
+    first = whole.groupBy().agg(F.min("s").alias("s")).join(whole, "s").select("s", "p", "o")
+    home = lift(spark, d, "customer").where("p = '<urn:p:c_nationkey>'").select("s", F.lit("<urn:p:lives>").alias("p"), "o")
+    axiom = R.RULESETS["xsd_integer"].axioms
+    graphs = {"data": data, "whole": whole, "part": first, "home": home, "homes": home.select(F.col("o").alias("s"), F.lit("<urn:p:homeOf>").alias("p"), F.col("s").alias("o")), "cited": data.union(graph_of(spark, axiom))}
+
+    def row(name: str, given: str, rule_name: str, goal: str, context=()) -> tuple[str, str, int]:
+        proof = E.Proof(graphs, list(context), [given], [E.Step(rule_name, [given], goal)], goal, [rule, back], exact=True)
+        return name, proof.explain() or "valid", len(proof.axioms_used())
+
+    rows = [row("whole", "data", "region", "whole"), row("part", "data", "region", "part"), row("backward", "home", "back", "homes"), row("cited", "cited", "region", "whole", [R.RULESETS["xsd_integer"]])]
+    return spark.createDataFrame(rows, "proof string, verdict string, axioms int")

@@ -1,4 +1,4 @@
-"""Entailment, isomorphism, proofs, partial orders, partitions and class restrictions."""
+"""Entailment, isomorphism, proofs, partitions and class restrictions."""
 
 from __future__ import annotations
 
@@ -6,8 +6,6 @@ import itertools
 from dataclasses import dataclass, field
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +13,7 @@ from ..functions import terms as T
 from ..functions.vocab import RDF, TYPE
 from .graph import SPO, add, contained, delete, equivalent, rename
 from .modifiers import Modifier
-from .query import Pattern, entails
+from .orders import maxima  # noqa: F401  part of this module's interface
 from .rules import Rule, Ruleset
 from .scratch import settle
 
@@ -31,22 +29,16 @@ def rows_of(graph: DataFrame, most: int) -> list[tuple[str, str, str]]:
 def simple_entails(graph: DataFrame, claimed: DataFrame) -> bool:
     """The claimed graph's blank nodes can be bound so that all its triples are in ``graph``.
 
-    Triples without blank nodes are looked up on Spark; of the others, those that hang together by blank nodes make
-    one query, so that independent ones never multiply.
+    Triples without blank nodes are looked up; the others are decided by ``claims.components_entailed``, all components
+    that hang together by blank nodes at once.
     """
+    from .claims import components_entailed
+
     claimed = claimed.select(*SPO).distinct()
     local = reduce(lambda x, y: x | y, (T.is_blank(c) for c in SPO))
     if not contained(claimed.where(~local), graph):
         return False
-    group: dict[str, list[tuple[str, str, str]]] = {}
-    for row in claimed.where(local).toLocalIterator():
-        blanks = {t for t in row if t.startswith("_:")}
-        # each blank node points to the list of its group; the longest list takes in the others
-        lists = sorted({id(x): x for x in (group[t] for t in blanks if t in group)}.values(), key=len)
-        into = lists.pop() if lists else []
-        into += [tuple(row), *itertools.chain(*lists)]
-        group |= {t: into for x in [[tuple(row)], *lists] for triple in x for t in triple if t.startswith("_:")}
-    return all(entails(graph, x) for x in {id(x): x for x in group.values()}.values())
+    return claimed.where(local).isEmpty() or components_entailed(graph, claimed).where("not entailed").isEmpty()
 
 
 def subgraph_entails(graph: DataFrame, claimed: DataFrame) -> bool:
@@ -253,52 +245,6 @@ class Proof:
         return None if self.graphs[self.goal].isEmpty() or any(k == self.goal or isomorphic(self.graphs[k], self.graphs[self.goal]) for k in known) else "Result not demonstrated"
 
 
-# Partial orders
-
-
-def _local_maxima(columns: list[str], sign: int):
-    def keep(batches):
-        held = None
-        for pdf in batches:
-            every = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            every = every.sort_values(columns, ascending=sign < 0, ignore_index=True)
-            values = [sign * every[c].to_numpy() for c in columns]
-            kept: list[int] = []
-            for i in range(len(every)):
-                at = np.array(kept, np.int64)
-                over = np.ones(len(at), bool)
-                for v in values:
-                    over &= v[at] >= v[i]
-                # rows are distinct, so one that is nowhere less is somewhere greater
-                if not over.any():
-                    kept.append(i)
-            held = every.iloc[kept]
-        if held is not None:
-            yield held
-
-    return keep
-
-
-def maxima(rows: DataFrame, columns: list[str], least: bool = False) -> DataFrame:
-    """Distinct rows that no other row dominates: at least as great in each column and greater in one.
-
-    ``least`` turns the order round. Rows with a null in ``columns`` are not comparable and drop out. Each task first
-    keeps the maxima of its own rows, then so do tasks that took in the others' by hash; only what is left after that
-    is compared each with each, in the anti join. Columns are whole numbers or floats.
-    """
-    kinds = {f.name: f.dataType.typeName() for f in rows.select(*columns).schema}
-    if odd := [c for c in columns if kinds[c] not in ("byte", "short", "integer", "long", "float", "double")]:
-        raise TypeError(f"columns of whole numbers or floats are compared, not {odd}")
-    sign = -1 if least else 1
-    d = rows.select(*columns).where(reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in columns))).distinct()
-    for _ in range(2):
-        d = d.mapInPandas(_local_maxima(columns, sign), d.schema).repartition(*columns)
-    other = d.select(*(F.col(c).alias(f"_{c}") for c in columns))
-    ge = [(F.col(f"_{c}") * sign >= F.col(c) * sign) for c in columns]
-    gt = [(F.col(f"_{c}") * sign > F.col(c) * sign) for c in columns]
-    return d.join(other, reduce(lambda a, b: a & b, ge) & reduce(lambda a, b: a | b, gt), "left_anti")
-
-
 # Partitions
 
 

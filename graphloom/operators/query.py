@@ -37,8 +37,18 @@ def names(patterns: Pattern, is_open=variable) -> list[str]:
     return list(dict.fromkeys(column_name(t) for triple in patterns for t in triple if is_open(t)))
 
 
+def branch(graph: DataFrame, triple: tuple[str, str, str], is_open=variable) -> DataFrame:
+    """The part of a lifted graph that holds a constant property's triples; the graph itself where it has no parts."""
+    branches = getattr(graph, "branches", None)
+    if branches is None or is_open(triple[1]):
+        return graph
+    # a property that it lacks leaves any branch empty
+    return branches.get(triple[1], next(iter(branches.values())))
+
+
 def match_one(graph: DataFrame, triple: tuple[str, str, str], is_open=variable) -> DataFrame:
     """Bindings of one pattern; a variable that stands twice must match equal terms."""
+    graph = branch(graph, triple, is_open)
     seen: dict[str, str] = {}
     for c, t in zip("spo", triple):
         if not is_open(t):
@@ -78,7 +88,7 @@ def match(graph: DataFrame, patterns: Pattern, is_open=variable, fresh: tuple[in
         t, source = patterns[i], fresh[1] if fresh and fresh[0] == i else graph
         part = match_one(source, t, is_open)
         if not part.columns:
-            part = source.where(reduce(lambda a, b: a & b, (F.col(c) == x for c, x in zip("spo", t)))).limit(1).select()
+            part = branch(source, t, is_open).where(reduce(lambda a, b: a & b, (F.col(c) == x for c, x in zip("spo", t)))).limit(1).select()
         if result is None:
             result = part
         else:

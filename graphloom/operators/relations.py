@@ -17,6 +17,7 @@ from ..functions import terms as T
 from ..functions.vocab import FIRST, NIL, RDF, RDFD, REST, TYPE, XSD, XSD_INTEGER_NS, XSD_STRING_NS
 from .graph import delete, list_items
 from .modifiers import NUMBER, absolute, div_floor, exact_quotient, mod_floor, negative, power, text_value
+from .orders import most_complete
 from .scratch import settle
 
 #: The property of the triple that states an inconsistency.
@@ -140,16 +141,22 @@ class Restriction:
     most: int | None = None
 
 
+def built_in_classes() -> list[Restriction]:
+    """A class for each relation: its members are rdf:_1 and so on, one tuple an instance."""
+    names = {"divmod": "DivMod"}
+    members = lambda r: tuple(f"<{RDF}_{i + 1}>" for i in range(r.size))
+    return [Restriction(f"<{prefix}{names.get(r.name, r.name.title())}>", members(r), r, 1) for prefix, relations in ((XSD_INTEGER_NS, INTEGER_RELATIONS), (XSD_STRING_NS, STRING_RELATIONS)) for r in relations.values()]
+
+
 def built_in_restrictions() -> list[tuple[str, str, str]]:
-    """The triples that define a class for each relation: its members are rdf:_1 and so on, one tuple an instance."""
+    """The triples that define the built-in classes."""
     out: list[tuple[str, str, str]] = []
-    names = {"divmod": "DivMod"}
-    for prefix, relations in ((XSD_INTEGER_NS, INTEGER_RELATIONS), (XSD_STRING_NS, STRING_RELATIONS)):
-        for r in relations.values():
-            c, cells = f"<{prefix}{names.get(r.name, r.name.title())}>", [f"_:{prefix.rsplit('/', 1)[-1].strip('#')}-{r.name}-{i}" for i in range(r.size)]
-            out += [(c, TYPE, f"<{RDFD}GeneralRestriction>"), (c, f"<{RDFD}onProperties>", cells[0]), (c, f"<{RDFD}constraint>", f"<{prefix}{r.name}>"), (c, f"<{RDFD}maxCardinality>", f'"1"^^<{XSD}nonNegativeInteger>')]
-            for i, cell in enumerate(cells):
-                out += [(cell, FIRST, f"<{RDF}_{i + 1}>"), (cell, REST, cells[i + 1] if i + 1 < r.size else NIL)]
+    for k in built_in_classes():
+        prefix = XSD_STRING_NS if k.of_class.startswith(f"<{XSD_STRING_NS}") else XSD_INTEGER_NS
+        c, cells = k.of_class, [f"_:{prefix.rsplit('/', 1)[-1].strip('#')}-{k.relation.name}-{i}" for i in range(k.relation.size)]
+        out += [(c, TYPE, f"<{RDFD}GeneralRestriction>"), (c, f"<{RDFD}onProperties>", cells[0]), (c, f"<{RDFD}constraint>", f"<{prefix}{k.relation.name}>"), (c, f"<{RDFD}maxCardinality>", f'"{k.most}"^^<{XSD}nonNegativeInteger>')]
+        for i, cell in enumerate(cells):
+            out += [(cell, FIRST, k.properties[i]), (cell, REST, cells[i + 1] if i + 1 < len(cells) else NIL)]
     return out
 
 
@@ -179,26 +186,20 @@ def candidates(graph: DataFrame, restriction: Restriction) -> tuple[DataFrame, D
     """
     columns = [f"v{i}" for i in range(len(restriction.properties))]
     rows = graph.where((F.col("p") == TYPE) & (F.col("o") == restriction.of_class)).select("s").distinct()
-    values = None
+    parts = []
+    combined = rows
     for i, p in enumerate(restriction.properties):
         canonical = F.coalesce(T.canonical("o"), F.col("o"))
         own = graph.where(F.col("p") == p).select("s", canonical.alias("v")).distinct().join(rows, "s", "left_semi")
-        own = own.select("s", F.lit(i).alias("i"), "v")
-        values = own if values is None else values.union(own)
-    listed = values.groupBy("s").pivot("i", list(range(len(columns)))).agg(F.collect_set("v"))
-    combined = rows.join(listed, "s", "left")
-    for i, c in enumerate(columns):
-        choices = F.concat(F.array(F.lit(None).cast("string")), F.coalesce(F.col(str(i)), F.array().cast("array<string>")))
-        combined = combined.withColumn(c, F.explode(choices)).drop(str(i))
+        parts.append(own.select("s", F.lit(i).alias("i"), "v"))
+        # each instance's values and one that is open, so that combinations are rows of joins
+        choices = own.select("s", F.col("v").alias(columns[i])).union(rows.select("s", F.lit(None).cast("string")))
+        combined = combined.join(choices, "s")
+    values = reduce(DataFrame.union, parts)
     done = restriction.relation.complete(combined, columns).where("consistent")
     one = F.size("tuples") == 1
-    done = done.select("s", *(F.when(one, F.get(F.get("tuples", F.lit(0)), F.lit(i))).otherwise(F.col(c)).alias(c) for i, c in enumerate(columns))).distinct()
-    done = settle(done)
-    other = done.select("s", *(F.col(c).alias(f"_{c}") for c in columns))
-    holds = reduce(lambda a, b: a & b, (F.col(c).isNull() | F.col(c).eqNullSafe(F.col(f"_{c}")) for c in columns))
-    more = reduce(lambda a, b: a | b, (~F.col(c).eqNullSafe(F.col(f"_{c}")) for c in columns))
-    best = done.alias("d").join(other.withColumnRenamed("s", "_s").alias("x"), (F.col("s") == F.col("_s")) & holds & more, "left_anti")
-    return values, best, columns
+    done = done.select("s", *(F.when(one, F.get(F.get("tuples", F.lit(0)), F.lit(i))).otherwise(F.col(c)).alias(c) for i, c in enumerate(columns)))
+    return values, most_complete(settle(done.distinct()), ["s"], columns), columns
 
 
 def inconsistent(values: DataFrame, best: DataFrame, columns: list[str], most: int | None) -> DataFrame:

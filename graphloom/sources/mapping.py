@@ -42,15 +42,23 @@ def term(kind: str, column: str) -> Column:
 
 
 def lift(spark: SparkSession, sf_dir: str, *tables: str) -> DataFrame:
-    """The triples (s, p, o) of whole tables. Null values make no triple; rows that repeat a key repeat theirs."""
-    parts = []
+    """The triples (s, p, o) of whole tables. Null values make no triple; rows that repeat a key repeat theirs.
+
+    The frame also has ``branches``, its triples by property: a pattern with a constant property starts from its branch, and
+    Spark never plans the others.
+    """
+    branches: dict[str, DataFrame] = {}
     for t in tables:
         keys, columns = TABLES[t]
         rows = spark.read.parquet(f"{sf_dir}/{t}.parquet")
         subject = entity(t, *keys)
-        parts.append(rows.select(subject.alias("s"), F.lit(TYPE).alias("p"), F.lit(f"<urn:class:{t}>").alias("o")))
-        parts += [rows.where(F.col(c).isNotNull()).select(subject.alias("s"), F.lit(predicate(c)).alias("p"), term(kind, c).alias("o")) for c, kind in columns.items()]
-    return reduce(DataFrame.unionByName, parts)
+        parts = [(TYPE, rows.select(subject.alias("s"), F.lit(TYPE).alias("p"), F.lit(f"<urn:class:{t}>").alias("o")))]
+        parts += [(predicate(c), rows.where(F.col(c).isNotNull()).select(subject.alias("s"), F.lit(predicate(c)).alias("p"), term(kind, c).alias("o"))) for c, kind in columns.items()]
+        for p, part in parts:
+            branches[p] = branches[p].unionByName(part) if p in branches else part
+    out = reduce(DataFrame.unionByName, branches.values())
+    out.branches = branches
+    return out
 
 
 def graph_of(spark: SparkSession, triples: list[tuple[str, str, str]]) -> DataFrame:

@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import terms as T
 from ..functions.vocab import OWL, PREFIXES, TYPE
-from ..operators.graph import by_subject
+from ..operators.graph import by_subject, labels, rename
+from ..operators.numbers import numbered
 
 #: IRI, blank node, variable, literal with tag or datatype, prefixed name, separators. Fixed value.
 TOKEN = r"""<[^>]*>|_:[A-Za-z0-9_.-]*[A-Za-z0-9_-]|\?[A-Za-z0-9_]+|"(?:[^"\\]|\\.)*"(?:@[A-Za-z0-9-]+|\^\^(?:<[^>]*>|[A-Za-z0-9_-]*:[A-Za-z0-9_-]+))?|[A-Za-z0-9_-]*:[A-Za-z0-9_-]*|=|\ba\b|[;,.]"""
@@ -68,6 +70,24 @@ def lines_of(graph: DataFrame, prefixes: dict[str, str] | None = None) -> DataFr
     return each.select(F.concat(short(F.col("s")), F.lit(" "), F.array_join("po", " ; "), F.lit(" .")).alias("value"))
 
 
+def largest_blank_number(graph: DataFrame) -> int:
+    """The largest whole number that is a blank node's name, 0 if there is none."""
+    names = labels(graph).where(F.col("term").rlike(r"\A_:[0-9]{1,18}\z"))
+    return names.agg(F.max(F.substring("term", 3, 18).cast("long"))).first()[0] or 0
+
+
+def renumbered(graph: DataFrame, which: Column | None = None) -> DataFrame:
+    """The graph with its blank nodes named by whole numbers, in the order of their names.
+
+    ``which``, a test of ``term``, picks those to rename; they are then numbered on from the largest number in use. Numbers
+    are dense and come from counts of ranges of names, so that names never meet in one place.
+    """
+    blank = labels(graph).where(T.is_blank("term"))
+    start = 1 if which is None else largest_blank_number(graph) + 1
+    named = numbered(blank if which is None else blank.where(which), ["term"])
+    return rename(graph, named.select("term", F.concat(F.lit("_:"), (F.col("number") + start).cast("string")).alias("to")))
+
+
 def write_triples(graph: DataFrame, path: str, prefixes: dict[str, str] | None = None) -> None:
     head = graph.sparkSession.createDataFrame([(f"@prefix {p}: <{i}> .",) for p, i in (prefixes or {}).items()], "value string")
     head.union(lines_of(graph, prefixes)).write.mode("overwrite").text(path)

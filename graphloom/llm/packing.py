@@ -48,56 +48,111 @@ def cut_points(n: int, size: int) -> list[tuple[int, int]]:
     return [(0, min(first, n))] + [(at, size) for at in range(first, n, size)]
 
 
-def full_patterns(counts: dict[int, int], size: int, most: int = 6000) -> list[tuple[int, ...]]:
-    """Patterns of one to three lengths that fill a sequence exactly: all of one and two, about ``most`` of three.
-
-    Those of three are built from the commonest lengths on, and thinned evenly once there are more than ``most``.
-    """
-    lengths = sorted(counts)
-    have = set(lengths)
-    patterns = [(a, size - a) for a in lengths if a <= size - a and size - a in have]
-    common = sorted(lengths, key=lambda x: (-counts[x], x))
-    triples = set()
-    for a in common:
-        for b in common:
-            c = size - a - b
-            if c in have and a <= b <= c:
-                triples.add((a, b, c))
-        if len(triples) >= most:
-            break
-    patterns += sorted(triples)[:: max(1, len(triples) // most)]
-    return patterns + ([(size,)] if size in have else [])
+def exact_patterns(counts: dict[int, int], size: int) -> list[tuple[int, ...]]:
+    """Patterns of one and two lengths that fill a sequence exactly."""
+    return [(a, size - a) for a in sorted(counts) if a <= size - a and size - a in counts] + ([(size,)] if size in counts else [])
 
 
-def fit_patterns(counts: dict[int, int], patterns: list[tuple[int, ...]], sweeps: int = 40) -> dict[tuple[int, ...], int]:
-    """How often each of ``patterns`` is used.
+def filling_patterns(counts: dict[int, int], size: int, above: float, each: tuple[int, ...] = (6, 3, 1), kept: int = 4) -> list[tuple[int, ...]]:
+    """Patterns around each length over ``above``, as the largest: those of one, two and three more that leave least of the sequence.
 
-    Repeat counts solve min |A n - h| over n >= 0 by coordinate descent (h: the histogram, A: uses of each
-    length by each pattern), are rounded down and held to what the histogram has left.
+    ``each`` says how many of each kind; sums of two and three lengths are looked up, with ``kept`` ways to each sum.
     """
     lengths = sorted(counts)
-    uses = [Counter(p) for p in patterns]
-    left = dict.fromkeys(lengths, 0.0) | {k: float(v) for k, v in counts.items()}
+    sums: list[dict[int, list[tuple[int, ...]]]] = [{x: [(x,)] for x in lengths}]
+    for _ in range(len(each) - 1):
+        found: dict[int, list[tuple[int, ...]]] = {}
+        for x in lengths:
+            for total, ways in sums[-1].items():
+                if total + x <= size:
+                    own = found.setdefault(total + x, [])
+                    own += [(*w, x) for w in ways if x >= w[-1]][: kept - len(own)]
+        sums.append(found)
+    out = set()
+    for largest in (x for x in lengths if x > above):
+        for ways, most in zip(sums, each):
+            got = 0
+            for total in range(size - largest, 0, -1):
+                for w in ways.get(total, ()):
+                    p = tuple(sorted((*w, largest)))
+                    if got < most and all(p.count(x) <= counts[x] for x in p):
+                        out.add(p)
+                        got += 1
+                if got >= most:
+                    break
+    return sorted(out)
+
+
+def fit_patterns(counts: dict[int, int], patterns: list[tuple[int, ...]], size: int, sweeps: int = 40, waste: float = 0.0, parts: float = 0.0) -> list[float]:
+    """Repeat counts n >= 0 of ``patterns`` by non-negative least squares: min |A n - h|**2 / 2 + c n, by coordinate descent.
+
+    h is the histogram, A the uses of each length by each pattern, and c what a pattern costs: ``waste`` times the share of
+    the sequence that it leaves, and ``parts`` for each length beyond two, as small ones are wanted elsewhere.
+    """
+    at = {x: i for i, x in enumerate(sorted(counts))}
+    left = np.array([float(counts[x]) for x in at])
+    uses = [(np.array([at[x] for x in u]), np.array(list(u.values()), float)) for u in map(Counter, patterns)]
+    norm = [float(w @ w) for _, w in uses]
+    cost = [waste * (size - sum(p)) / size + parts * (len(p) - 2) for p in patterns]
     n = [0.0] * len(patterns)
     for _ in range(sweeps):
         moved = 0.0
-        for i, u in enumerate(uses):
-            new = max(0.0, n[i] + sum(k * left[x] for x, k in u.items()) / sum(k * k for k in u.values()))
+        for i, (x, w) in enumerate(uses):
+            new = max(0.0, n[i] + (float(w @ left[x]) - cost[i]) / norm[i])
             if d := new - n[i]:
                 n[i] = new
                 moved += abs(d)
-                for x, k in u.items():
-                    left[x] -= k * d
+                left[x] -= w * d
         if moved < 0.5:
             break
-    spare, out = dict(counts), {}
-    for i in sorted(range(len(patterns)), key=lambda i: (-n[i], patterns[i])):
-        k = min([int(n[i] + 1e-9), *(spare[x] // m for x, m in uses[i].items())])
+    return n
+
+
+def _take(plan: Counter, spare: Counter, patterns: list[tuple[int, ...]], wanted: list[int], order: list[int]) -> int:
+    """Move what ``spare`` has of the ``wanted`` counts to ``plan``, in ``order``; how many that is."""
+    taken = 0
+    for i in order:
+        u = Counter(patterns[i])
+        k = min([wanted[i], *(spare[x] // m for x, m in u.items())])
         if k > 0:
-            out[patterns[i]] = k
-            for x, m in uses[i].items():
+            plan[patterns[i]] += k
+            taken += k
+            for x, m in u.items():
                 spare[x] -= k * m
-    return out
+    return taken
+
+
+def fitted_plan(counts: dict[int, int], size: int, stages: tuple[float, ...], back: float = 0.05) -> tuple[Counter, Counter]:
+    """(patterns with their counts, the histogram they leave).
+
+    The first fit is over patterns that fill a sequence exactly, rounded down. Then, for each of ``stages``, patterns are
+    made anew for what is left, around lengths over that share of a sequence; their fitted counts are rounded down, and then
+    up by largest remainders as far as the histogram goes, until a fit takes nothing more. Rounding up leaves some sequences
+    poorly filled: of those of several pieces the least full, a share ``back`` of them, go back.
+    """
+    plan, spare = Counter(), Counter(counts)
+    exact = exact_patterns(counts, size)
+    n = fit_patterns(counts, exact, size)
+    _take(plan, spare, exact, [int(x + 1e-9) for x in n], sorted(range(len(n)), key=lambda i: (-n[i], exact[i])))
+    for share in stages:
+        while True:
+            spare = +spare
+            patterns = filling_patterns(spare, size, share * size)
+            n = fit_patterns(spare, patterns, size, waste=2.0, parts=0.2)
+            rank = lambda v, patterns=patterns: sorted(range(len(v)), key=lambda i: (-v[i], size - sum(patterns[i]), patterns[i]))
+            rest = [x % 1 for x in n]
+            taken = _take(plan, spare, patterns, [int(x + 1e-9) for x in n], rank(n))
+            taken += _take(plan, spare, patterns, [int(x >= 0.02) for x in rest], rank(rest))
+            if not taken:
+                break
+    few = int(back * sum(k for p, k in plan.items() if len(p) > 1))
+    for p in sorted((p for p in plan if len(p) > 1), key=lambda p: (sum(p), -len(p), p)):
+        k = min(plan[p], few)
+        plan[p] -= k
+        few -= k
+        for x in p:
+            spare[x] += k
+    return +plan, +spare
 
 
 def best_fit(counts: dict[int, int], size: int) -> dict[tuple[int, ...], int]:
@@ -125,41 +180,21 @@ def best_fit(counts: dict[int, int], size: int) -> dict[tuple[int, ...], int]:
     return dict(sum(room.values(), Counter()))
 
 
-def repacked(patterns: dict[tuple[int, ...], int], size: int, shares: tuple[int, ...] = (8, 4, 2)) -> dict[tuple[int, ...], int]:
-    """The plan with its least full sequences, one in 8, then one in 4, then half, dissolved and packed anew by best fit."""
-    for share in shares:
-        few, taken = sum(patterns.values()) // share, Counter()
-        for p in sorted(patterns, key=lambda p: (sum(p), -len(p), p)):
-            if k := min(patterns[p], few - taken.total()):
-                taken[p] = k
-        pieces: Counter = Counter()
-        for p, k in taken.items():
-            for x in p:
-                pieces[x] += k
-        again = Counter(best_fit(pieces, size))
-        if again.total() <= taken.total():
-            patterns = dict(Counter(patterns) - taken + again)
-    return patterns
-
-
-def plan(counts: dict[int, int], size: int, most: int = 6000) -> dict[tuple[int, ...], int]:
+#: Least shares of a sequence that the largest length of patterns has, one stage after the other. Plentiful lengths pack best
+#: if only large ones are matched and the small ones are left to fill gaps, scarce ones if all are matched, in few or many bands.
+SCHEDULES = ((0.5,), (0.75, 0.5, 0.0), (*(i / 20 for i in range(19, 9, -1)), 0.3, 0.0))
+
+
+def plan(counts: dict[int, int], size: int) -> dict[tuple[int, ...], int]:
     """Patterns and repeat counts that use up the histogram: fitted patterns, and best fit of what they leave.
 
-    Fitted twice, over the patterns that fill a sequence exactly and over these with the fillings that best fit makes
-    of the histogram beside them; then the least full sequences are packed anew, and the better plan is taken.
+    Made once with each of SCHEDULES, of which the one with fewer sequences is taken. Best fit gets the residual alone: what the fits left, and what their rounding gave back.
     """
-    full = full_patterns(counts, size, most)
-    wider = sorted({*full, *(tuple(sorted(p)) for p in best_fit(counts, size))})
-    plans = []
-    for patterns in (full, wider):
-        fitted = Counter(fit_patterns(counts, patterns))
-        spare = Counter(counts)
-        for p, k in fitted.items():
-            for x in p:
-                spare[x] -= k
-        fitted.update(best_fit(+spare, size))
-        plans.append(repacked(dict(fitted), size))
-    return min(plans, key=lambda p: sum(p.values()))
+    made = []
+    for stages in SCHEDULES:
+        fitted, rest = fitted_plan(counts, size, stages)
+        made.append(fitted + Counter(best_fit(rest, size)))
+    return dict(min(made, key=lambda p: p.total()))
 
 
 def slots(patterns: dict[tuple[int, ...], int]) -> pd.DataFrame:
@@ -198,17 +233,19 @@ def pack_documents(docs: DataFrame, size: int = 1024, end: int = 2) -> DataFrame
                 yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     text = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    made = cut(text.mapInPandas(pieces, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long"), "pieces")
-    buckets = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(max(64, made.count() // 50_000)))
+    made = text.mapInPandas(pieces, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    # repeated rows differ in their row number alone, which is written with them
+    made = cut(made.withColumn("row", F.monotonically_increasing_id()), "pieces")
+    buckets = F.pmod(F.xxhash64("row"), F.lit(max(64, made.count() // 50_000)))
     dealt = made.withColumn("bucket", buckets)
     held = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     counts = {r.length: r.n for r in held.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     place = slots(plan(counts, size)) if counts else slots({})
     before = F.coalesce(F.sum("n").over(W.partitionBy("length").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     held = held.select("length", "bucket", before.alias("before"))
-    within = F.row_number().over(W.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")) - 1
+    within = F.row_number().over(W.partitionBy("length", "bucket").orderBy("row")) - 1
     numbered = dealt.withColumn("within", within).join(held, ["length", "bucket"])
-    numbered = numbered.select(*made.columns, (F.col("within") + F.col("before")).alias("rank"))
+    numbered = numbered.select(*(c for c in made.columns if c != "row"), (F.col("within") + F.col("before")).alias("rank"))
     wide = 1 << 40
     starts, columns = (place.length * wide + place["first"]).to_numpy(), place[["first", "sequence", "offset"]].to_numpy()
 

@@ -72,7 +72,7 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str, limit: int = 2048)
     driver and executors share. Contents are normalised (runs of ASCII white space become one blank, none at
     the ends) and digested; digests are joined to the counts stored for this vocabulary and library version (a folder
     of the cache named by their digest, which is the version part of the key: other folders are never read),
-    one document of each unknown digest is encoded, and its count is appended to the cache.
+    one row of each unknown digest is encoded, and its count is appended to the cache.
 
     Null texts count as empty: 0 tokens. Repeated rows, repeated or null doc_ids and other columns are fine: there is
     one row out for each row in. No rows give an empty result. Texts of any length are counted whole.
@@ -87,15 +87,19 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str, limit: int = 2048)
     keys = cut(whole.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "content"), "token-keys")
     known = spark.read.schema(schema).parquet(stored) if _exists(spark, stored) else spark.createDataFrame([], schema)
     # aggregates are written before they are joined, or the join would keep their partitions and could not split a hot digest
-    misses = cut(keys.groupBy("content").agg(F.min("doc_id").alias("doc_id")).join(known, "content", "left_anti"), "token-misses")
-    todo = whole.alias("w").join(misses.alias("m"), F.col("w.content").eqNullSafe(F.col("m.content")) & F.col("w.doc_id").eqNullSafe(F.col("m.doc_id")))
+    # of each unknown content the doc_id that has it in the fewest rows, one where there is such a doc_id
+    rows = keys.groupBy("content", "doc_id").agg(F.count("*").alias("rows")).groupBy("content").agg(F.min(F.struct("rows", "doc_id")).alias("least"))
+    misses = cut(rows.select("content", "least.doc_id", "least.rows").join(known, "content", "left_anti"), "token-misses")
+    todo = whole.alias("w").join(misses.alias("m"), F.col("w.content").eqNullSafe(F.col("m.content")) & F.col("w.doc_id").eqNullSafe(F.col("m.doc_id"))).select("w.content", "w.text", "m.rows")
+    # only rows that repeat a doc_id with its text have to be told apart, and only their texts are shuffled for it
+    todo = todo.where("rows = 1").union(todo.where("rows > 1").dropDuplicates(["content"])).drop("rows")
 
     def encode(batches):
         for pdf in batches:
             for s in slices(pdf.text):
                 yield pd.DataFrame({"content": pdf.content[s], "n_tokens": count_tokens(pdf.text[s].tolist(), tokenizer)})
 
-    fresh = todo.select("w.content", "w.text").mapInPandas(encode, schema).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
+    fresh = todo.mapInPandas(encode, schema)
     fresh.write.mode("append").parquet(stored)
     drop(misses)
     counts = cut(spark.read.schema(schema).parquet(stored).groupBy("content").agg(F.max("n_tokens").alias("n_tokens")), "token-counts")

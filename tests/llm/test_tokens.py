@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -117,6 +118,30 @@ def test_plans_use_up_the_histogram(seed):
     assert used == counts and sum(plan.values()) <= sum(packing.best_fit(counts, 1024).values())
 
 
+@pytest.mark.parametrize("scale", ["sf0.001", "sf0.01", "sf0.1"])
+def test_fitted_patterns_decide(spark, scale):
+    """Nine in ten sequences of several pieces are fitted counts, and there are no more sequences than by plain best fit."""
+    docs = spark.read.parquet(f"/root/testdata/{scale}/documents.parquet").select(F.lit(1).alias("doc_id"), "text")
+    rows = docs.mapInPandas(lambda batches: (pd.DataFrame({"n": [n for t in b.text for _, n in packing.cut_points(len(packing.encode_text(t, 2)) // 4, 1024)]}) for b in batches), "n long")
+    counts = {r.n: r["count"] for r in rows.groupBy("n").count().collect()}
+    plan = packing.plan(counts, 1024)
+    several = lambda p: sum(k for x, k in p.items() if len(x) > 1)
+    fitted = [packing.fitted_plan(counts, 1024, stages) for stages in packing.SCHEDULES]
+    own, rest = min(fitted, key=lambda f: f[0].total() + sum(packing.best_fit(f[1], 1024).values()))
+    assert all(plan[p] >= k for p, k in own.items())
+    assert several(own) >= 0.9 * several(plan) and sum(plan.values()) <= sum(packing.best_fit(counts, 1024).values())
+
+
+def test_one_encoding_a_content(spark, tmp_path):
+    """Rows that repeat a doc_id with its text, and rows without one, are encoded once a content."""
+    rows = [(7, "some words")] * 500 + [(None, "more  words")] * 300 + [(8, "some words"), (9, "other")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert token_counts(docs, WORDS, str(tmp_path)).count() == 802
+    stored = spark.read.parquet(str(tmp_path) + "/*")
+    assert stored.count() == stored.select("content").distinct().count() == 3
+    assert token_counts(docs, WORDS, str(tmp_path)).count() == 802 and spark.read.parquet(str(tmp_path) + "/*").count() == 3
+
+
 def test_empty_tables(spark, no_docs):
     assert token_counts(no_docs, WORDS, f"{shared_dir(spark)}/none").count() == 0
     assert bpe.encode_documents(no_docs, RANKS).count() == 0

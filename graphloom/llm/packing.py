@@ -48,23 +48,37 @@ def cut_points(n: int, size: int) -> list[tuple[int, int]]:
     return [(0, min(first, n))] + [(at, size) for at in range(first, n, size)]
 
 
-def exact_patterns(counts: dict[int, int], size: int) -> list[tuple[int, ...]]:
-    """Patterns of one and two lengths that fill a sequence exactly."""
-    return [(a, size - a) for a in sorted(counts) if a <= size - a and size - a in counts] + ([(size,)] if size in counts else [])
+def exact_patterns(counts: dict[int, int], size: int, parts: int, most: int = 6000) -> list[tuple[int, ...]]:
+    """Patterns of up to ``parts`` (two or three) lengths that fill a sequence exactly: all of one and two, about ``most`` of three.
+
+    Those of three are built from the commonest lengths on, and thinned evenly once there are more than ``most``.
+    """
+    found = [(size,)] if size in counts else []
+    found += [(a, size - a) for a in sorted(counts) if a <= size - a and size - a in counts]
+    if parts < 3:
+        return found
+    common = sorted(counts, key=lambda x: (-counts[x], x))
+    triples: set[tuple[int, ...]] = set()
+    for a in common:
+        triples |= {(a, b, size - a - b) for b in common if a <= b <= size - a - b and size - a - b in counts}
+        if len(triples) >= most:
+            break
+    return found + sorted(triples)[:: max(1, len(triples) // most)]
 
 
-def filling_patterns(counts: dict[int, int], size: int, above: float, each: tuple[int, ...] = (6, 3, 1), kept: int = 4) -> list[tuple[int, ...]]:
-    """Patterns around each length over ``above``, as the largest: those of one, two and three more that leave least of the sequence.
+def filling_patterns(counts: dict[int, int], size: int, above: float, each: tuple[int, ...] = (6, 3), kept: int = 3) -> list[tuple[int, ...]]:
+    """Patterns around each length over ``above``, as the largest: those of one and two more that leave least of the sequence.
 
-    ``each`` says how many of each kind; sums of two and three lengths are looked up, with ``kept`` ways to each sum.
+    ``each`` says how many of each kind; sums of two lengths are looked up, with ``kept`` ways to each.
     """
     lengths = sorted(counts)
+    room = size - min((x for x in lengths if x > above), default=size)
     sums: list[dict[int, list[tuple[int, ...]]]] = [{x: [(x,)] for x in lengths}]
     for _ in range(len(each) - 1):
         found: dict[int, list[tuple[int, ...]]] = {}
         for x in lengths:
             for total, ways in sums[-1].items():
-                if total + x <= size:
+                if total + x <= room:
                     own = found.setdefault(total + x, [])
                     own += [(*w, x) for w in ways if x >= w[-1]][: kept - len(own)]
         sums.append(found)
@@ -83,7 +97,7 @@ def filling_patterns(counts: dict[int, int], size: int, above: float, each: tupl
     return sorted(out)
 
 
-def fit_patterns(counts: dict[int, int], patterns: list[tuple[int, ...]], size: int, sweeps: int = 40, waste: float = 0.0, parts: float = 0.0) -> list[float]:
+def fit_patterns(counts: dict[int, int], patterns: list[tuple[int, ...]], size: int, sweeps: int = 20, waste: float = 0.0, parts: float = 0.0) -> list[float]:
     """Repeat counts n >= 0 of ``patterns`` by non-negative least squares: min |A n - h|**2 / 2 + c n, by coordinate descent.
 
     h is the histogram, A the uses of each length by each pattern, and c what a pattern costs: ``waste`` times the share of
@@ -122,16 +136,16 @@ def _take(plan: Counter, spare: Counter, patterns: list[tuple[int, ...]], wanted
     return taken
 
 
-def fitted_plan(counts: dict[int, int], size: int, stages: tuple[float, ...], back: float = 0.05) -> tuple[Counter, Counter]:
+def fitted_plan(counts: dict[int, int], size: int, parts: int, stages: tuple[float, ...], back: float = 0.05) -> tuple[Counter, Counter]:
     """(patterns with their counts, the histogram they leave).
 
-    The first fit is over patterns that fill a sequence exactly, rounded down. Then, for each of ``stages``, patterns are
+    The first fit is over patterns of up to ``parts`` lengths that fill a sequence exactly, rounded down. Then, for each of ``stages``, patterns are
     made anew for what is left, around lengths over that share of a sequence; their fitted counts are rounded down, and then
     up by largest remainders as far as the histogram goes, until a fit takes nothing more. Rounding up leaves some sequences
     poorly filled: of those of several pieces the least full, a share ``back`` of them, go back.
     """
     plan, spare = Counter(), Counter(counts)
-    exact = exact_patterns(counts, size)
+    exact = exact_patterns(counts, size, parts)
     n = fit_patterns(counts, exact, size)
     _take(plan, spare, exact, [int(x + 1e-9) for x in n], sorted(range(len(n)), key=lambda i: (-n[i], exact[i])))
     for share in stages:
@@ -180,21 +194,23 @@ def best_fit(counts: dict[int, int], size: int) -> dict[tuple[int, ...], int]:
     return dict(sum(room.values(), Counter()))
 
 
-#: Least shares of a sequence that the largest length of patterns has, one stage after the other. Plentiful lengths pack best
-#: if only large ones are matched and the small ones are left to fill gaps, scarce ones if all are matched, in few or many bands.
-SCHEDULES = ((0.5,), (0.75, 0.5, 0.0), (*(i / 20 for i in range(19, 9, -1)), 0.3, 0.0))
+#: Parts of the exact patterns, and the least shares of a sequence that the largest length of later patterns has, one stage after
+#: the other, and the share that goes back. Plentiful lengths pack best if only large ones are matched, scarce ones if all are,
+#: in few or many bands.
+SCHEDULES = ((3, (0.5,), 0.02), (2, (0.75, 0.5, 0.0), 0.05), (2, (*(i / 20 for i in range(19, 9, -1)), 0.3, 0.0), 0.05))
 
 
 def plan(counts: dict[int, int], size: int) -> dict[tuple[int, ...], int]:
     """Patterns and repeat counts that use up the histogram: fitted patterns, and best fit of what they leave.
 
-    Made once with each of SCHEDULES, of which the one with fewer sequences is taken. Best fit gets the residual alone: what the fits left, and what their rounding gave back.
+    Made once with each of SCHEDULES, of which the one with fewest sequences is taken, among equals that with most fitted.
+    Best fit gets the residual alone: what the fits left, and what their rounding gave back.
     """
     made = []
-    for stages in SCHEDULES:
-        fitted, rest = fitted_plan(counts, size, stages)
-        made.append(fitted + Counter(best_fit(rest, size)))
-    return dict(min(made, key=lambda p: p.total()))
+    for schedule in SCHEDULES:
+        fitted, rest = fitted_plan(counts, size, *schedule)
+        made.append((fitted + Counter(best_fit(rest, size)), fitted.total()))
+    return dict(min(made, key=lambda m: (m[0].total(), -m[1]))[0])
 
 
 def slots(patterns: dict[tuple[int, ...], int]) -> pd.DataFrame:

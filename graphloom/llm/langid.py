@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import held_out, slices, table
-from .normal import bounded, ridge
+from .normal import ridge_weights
 
 #: Hashed features, n-gram lengths in bytes, bits of a code word, ridge penalty (as a share of the rows).
 DIM, GRAMS, BITS, PENALTY = 1024, (1, 2, 3, 4), 15, 1e-5
@@ -82,28 +82,30 @@ class LanguageModel:
 def fit_languages(docs: DataFrame, most: int = 12_000) -> LanguageModel:
     """Learns from the text and non-null lang of rows of ``docs(doc_id, text, lang)`` that are not held out.
 
-    Fits on a sample of about ``most`` rows, spread evenly over the languages (all rows of a rare one). Bits are
+    Fits on a sample of about ``most`` doc_ids, spread evenly over the languages (all of a rare one), one text of each. Bits are
     weighted by how well they tell their sides apart on the sample. No labelled rows give a model that answers ``und``.
     """
     rows = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    # doc_ids, not rows, are counted and chosen, so that one that many rows repeat is one row of the sample
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.approx_count_distinct("doc_id", 0.01).alias("n")).collect()}
     langs = sorted(counts)
     if not langs:
         return LanguageModel([], np.zeros((0, BITS)), np.zeros((DIM + 1, BITS)), np.ones(BITS))
-    share, keep = max(1, most // len(langs)), F.lit(False)
-    for la in langs:
-        keep = keep | (F.col("lang") == la) & (F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) < int(min(1.0, share / counts[la]) * (1 << 30)))
+    share = max(1, most // len(langs))
+    bounds = rows.sparkSession.createDataFrame([(la, int(min(1.0, share / max(1, counts[la])) * (1 << 30))) for la in langs], "lang string, bound long")
+    chosen = rows.join(F.broadcast(bounds), "lang").where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) < F.col("bound"))
+    sample = chosen.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
     book = code_words(len(langs))
     code = dict(zip(langs, book))
 
     def features(pdf: pd.DataFrame):
         return np.stack([n_gram_features(t) for t in pdf.text]), np.stack([code[x] for x in pdf.lang])
 
-    gram, cross, n = ridge(rows.where(keep).select("text", "lang"), features, book.shape[1])
-    weights = np.linalg.solve(gram + PENALTY * n * np.eye(len(gram)), cross)
-    # |y - Zw|^2 of each bit from the sums alone: the share that a bit explains is its weight
-    error = (n - 2 * (weights * cross).sum(axis=0) + (weights * (gram @ weights)).sum(axis=0)) / n
-    trust = np.clip(1 - error, 0.05, None)
+    weights, explained, n = ridge_weights(sample.select("text", "lang"), features, book.shape[1], PENALTY)
+    if not n:
+        return LanguageModel([], np.zeros((0, BITS)), np.zeros((DIM + 1, BITS)), np.ones(BITS))
+    # |y|^2 - |y - Zw|^2 of each bit, whose |y|^2 is n: the share that a bit explains is its weight
+    trust = np.clip(explained / n, 0.05, None)
     return LanguageModel(langs, book, weights, trust / trust.sum())
 
 

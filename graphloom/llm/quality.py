@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import held_out, slices, table
-from .normal import bounded, ridge
+from .normal import bounded, ridge_weights
 
 #: Random features, and the ridge penalty as a share of the rows.
 FEATURES, PENALTY = 384, 1e-4
@@ -117,13 +117,19 @@ def fit_quality(docs: DataFrame, labels: DataFrame, most: int = 20_000, seed: in
     spread = np.array([max(m[f"s{i}"] or 0.0, 1e-3) for i in range(dim)])
     model = QualityModel(mean, spread, rng.normal(0, width, (dim, FEATURES)), rng.uniform(0, 2 * np.pi, FEATURES), np.zeros(FEATURES + 1), np.array([0.0]), np.array([0.5]))
     fit = sample.where("not calibrate")
-    gram, cross, n = ridge(fit.select("x", "y"), lambda pdf: (model.kernel(np.stack(pdf.x)), pdf.y.to_numpy()[:, None]), 1)
+    weights, _, n = ridge_weights(fit.select("x", "y"), lambda pdf: (model.kernel(np.stack(pdf.x)), pdf.y.to_numpy()[:, None]), 1, PENALTY)
     if not n:
         return model
-    model.weights = np.linalg.solve(gram + PENALTY * n * np.eye(len(gram)), cross)[:, 0]
-    rest = sample.where("calibrate").select("x", "y").toPandas()
+    model.weights = weights[:, 0]
+
+    def raw(batches):
+        for pdf in batches:
+            if len(pdf):
+                yield pd.DataFrame({"x": model.kernel(np.stack(pdf.x)) @ model.weights, "y": pdf.y})
+
+    rest = sample.where("calibrate").select("x", "y").mapInPandas(raw, "x double, y double").toPandas()
     if len(rest):
-        model.knots, model.values = isotonic(model.kernel(np.stack(rest.x)) @ model.weights, rest.y.to_numpy())
+        model.knots, model.values = isotonic(rest.x.to_numpy(), rest.y.to_numpy())
     else:
         model.knots, model.values = np.array([0.0, 1.0]), np.array([0.0, 1.0])
     return model

@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from graphloom.llm import langid, quality, registry, toxicity
-from graphloom.llm.normal import ridge
+from graphloom.llm.normal import ridge, ridge_weights
 from graphloom.llm.suffix_dedup import remove_repeats
 
 from .conftest import ODD, SCHEMA, make_docs
@@ -194,6 +194,19 @@ def test_ridge_sums_equal_numpy(spark):
     frame = spark.createDataFrame([(a.tolist(), b.tolist()) for a, b in zip(z, y)], "z array<double>, y array<double>")
     gram, cross, n = ridge(frame, lambda pdf: (np.stack(pdf.z), np.stack(pdf.y)), 3)
     assert n == 500 and np.allclose(gram, z.T @ z) and np.allclose(cross, z.T @ y)
+    weights, fall, n = ridge_weights(frame, lambda pdf: (np.stack(pdf.z), np.stack(pdf.y)), 3, 0.01)
+    want = np.linalg.solve(z.T @ z + 0.01 * n * np.eye(150), z.T @ y)
+    assert n == 500 and np.allclose(weights, want) and np.allclose(fall, (y * y).sum(axis=0) - ((y - z @ want) ** 2).sum(axis=0))
+    assert ridge_weights(frame.where("false"), lambda pdf: (np.stack(pdf.z), np.stack(pdf.y)), 3, 0.01)[2] == 0
+
+
+def test_languages_learn_each_doc_id_once(spark):
+    """A doc_id that half of the rows repeat weighs as one document, and the bound holds for doc_ids."""
+    rows = [(i, ("the cat and the hat " if i % 2 else "der hund und die katze ") * (1 + i % 5), "en" if i % 2 else "de") for i in range(40)]
+    once = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    often = once.union(once.where("doc_id = 3").crossJoin(spark.range(40)).select("doc_id", "text", "lang"))
+    a, b = langid.fit_languages(once), langid.fit_languages(often)
+    assert a.langs == b.langs == ["de", "en"] and np.allclose(a.weights, b.weights) and np.allclose(a.losses, b.losses)
 
 
 def test_texts_longer_than_a_block(spark):

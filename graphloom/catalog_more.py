@@ -244,6 +244,39 @@ def _(spark, d):
     return found.select("class", "constraint", F.array_join("properties", " ").alias("properties"), F.coalesce(F.col("most").cast("string"), F.lit("any")).alias("most"))
 
 
+#: Wanted values of each part (0 total, 1 first, 2 second), the full tuples that pairs of them lead to, the least parts of those.
+_WANTED = """p AS (SELECT p_partkey AS k, max(p_size)::BIGINT AS x FROM part GROUP BY ALL),
+w AS (SELECT *, (1 << (row_number() OVER (PARTITION BY k ORDER BY i, v) - 1)::INT)::INT AS bit FROM (SELECT k, 0 AS i, x + k % 9 AS v FROM p UNION SELECT k, 1, x FROM p
+  UNION SELECT k, 0, x + k % 9 + 7 FROM p WHERE k % 4 = 1 UNION SELECT k, 1, x + 3 FROM p WHERE k % 4 = 0 UNION SELECT k, 2, k % 9 + 1 FROM p WHERE k % 4 = 2)),
+f AS (SELECT a.k, a.v AS a, b.v AS b, a.v - b.v AS c FROM w a JOIN w b ON a.k = b.k AND a.i = 0 AND b.i = 1 UNION SELECT a.k, a.v, a.v - c.v, c.v FROM w a JOIN w c ON a.k = c.k AND a.i = 0 AND c.i = 2
+  UNION SELECT b.k, b.v + c.v, b.v, c.v FROM w b JOIN w c ON b.k = c.k AND b.i = 1 AND c.i = 2),
+d AS (SELECT *, (row_number() OVER (PARTITION BY k ORDER BY a, b, c, mask) - 1)::INT AS id FROM f, (VALUES (3), (5), (6)) m(mask)),
+e AS (SELECT d.k, id, sum(bit)::INT AS cov, coalesce(sum(bit) FILTER ((mask >> i) & 1 = 1), 0)::INT AS held FROM d JOIN w ON d.k = w.k AND w.v = CASE i WHEN 0 THEN a WHEN 1 THEN b ELSE c END GROUP BY ALL)"""
+
+
+@query(
+    "restriction_backward",
+    f"""WITH {_WANTED}, s AS (SELECT k, unnest(generate_series(1, (1 << n) - 1)) AS sub FROM (SELECT k, count(*)::INT AS n FROM e GROUP BY k)),
+j AS (SELECT s.k, sub, cov, held, count(*) FILTER (cov & 1 > 0) OVER q AS c1, count(*) FILTER (cov & 2 > 0) OVER q AS c2, count(*) FILTER (cov & 4 > 0) OVER q AS c4 FROM s JOIN e ON s.k = e.k AND (sub >> id) & 1 = 1 WINDOW q AS (PARTITION BY s.k, sub)),
+g AS (SELECT k, sub, bit_or(cov) AS cov, bit_or(held) AS held FROM j GROUP BY ALL HAVING bool_and((cov & 1 > 0 AND c1 = 1) OR (cov & 2 > 0 AND c2 = 1) OR (cov & 4 > 0 AND c4 = 1))),
+ok AS (SELECT g.k, sub FROM g JOIN (SELECT k, sum(bit) AS whole FROM w GROUP BY k) USING (k) WHERE cov = whole AND held <> whole),
+arcs AS (SELECT ok.k, sub, unnest([CASE WHEN mask & 1 > 0 THEN '<urn:p:total> ' || {_term("a")} END, CASE WHEN mask & 2 > 0 THEN '<urn:p:first> ' || {_term("b")} END, CASE WHEN mask & 4 > 0 THEN '<urn:p:second> ' || {_term("c")} END]) AS arc FROM ok JOIN d ON ok.k = d.k AND (sub >> id) & 1 = 1)
+SELECT '<urn:part:' || k || '>' AS subject, string_agg(DISTINCT arc, ' ; ' ORDER BY arc) AS needs FROM arcs WHERE arc IS NOT NULL GROUP BY k, sub""",
+)
+def _(spark, d):
+    """What each part's sums follow from: two totals or two firsts for some parts, and for some a second that does not fit both."""
+    part = read(spark, d, "part").groupBy("p_partkey").agg(F.max("p_size").cast("long").alias("x"))
+    k, total = F.col("p_partkey"), F.col("x") + F.col("p_partkey") % 9
+    arc = lambda name, v: F.struct(F.lit(f"<urn:p:{name}>").alias("p"), T.integer(v).alias("o"))
+    only = lambda i, a: F.when(k % 4 == i, F.array(a)).otherwise(F.array().cast("array<struct<p: string, o: string>>"))
+    arcs = F.concat(F.array(F.struct(F.lit(TYPE).alias("p"), F.lit("<urn:class:Sum>").alias("o")), arc("total", total), arc("first", F.col("x"))), only(1, arc("total", total + 7)), only(0, arc("first", F.col("x") + 3)), only(2, arc("second", k % 9 + 1)))
+    claim = settle(part.select(T.iri("urn:part:", "p_partkey").alias("s"), F.inline(arcs)))
+    sums = L.Restriction("<urn:class:Sum>", tuple(f"<urn:p:{x}>" for x in ("total", "first", "second")), L.INTEGER_RELATIONS["sum"])
+    needed = L.backward_restriction(claim, sums).where(F.col("p") != TYPE)
+    text = F.array_join(F.sort_array(F.collect_set(F.concat_ws(" ", "p", "o"))), " ; ")
+    return needed.groupBy("s", "alternative").agg(text.alias("needs")).select(F.col("s").alias("subject"), "needs")
+
+
 # Proofs over the tables
 
 

@@ -178,12 +178,8 @@ def restrictions_of(graph: DataFrame) -> list[Restriction]:
     return [Restriction(r["class"], tuple(r.properties), relation, r.most) for r in rows if (relation := relation_of(r.constraint)) is not None]
 
 
-def candidates(graph: DataFrame, restriction: Restriction) -> tuple[DataFrame, DataFrame, list[str]]:
-    """(values, tuples, columns): each instance's values of each property, and what every combination of them leads to.
-
-    A combination leaves any properties open. One that contradicts the relation drops out; where just one full tuple
-    follows it is that tuple, else it stays as it is. Of each instance's tuples those that hold less than another go.
-    """
+def _combinations(graph: DataFrame, restriction: Restriction) -> tuple[DataFrame, DataFrame, list[str]]:
+    """(values, combinations, columns): each instance's values of each property, and every choice of them, any left open."""
     columns = [f"v{i}" for i in range(len(restriction.properties))]
     rows = graph.where((F.col("p") == TYPE) & (F.col("o") == restriction.of_class)).select("s").distinct()
     parts = []
@@ -195,11 +191,24 @@ def candidates(graph: DataFrame, restriction: Restriction) -> tuple[DataFrame, D
         # each instance's values and one that is open, so that combinations are rows of joins
         choices = own.select("s", F.col("v").alias(columns[i])).union(rows.select("s", F.lit(None).cast("string")))
         combined = combined.join(choices, "s")
-    values = reduce(DataFrame.union, parts)
-    done = restriction.relation.complete(combined, columns).where("consistent")
+    return reduce(DataFrame.union, parts), combined, columns
+
+
+def _where_one(done: DataFrame, columns: list[str]) -> DataFrame:
+    """Each combination's one full tuple, where just one follows, else the combination."""
     one = F.size("tuples") == 1
-    done = done.select("s", *(F.when(one, F.get(F.get("tuples", F.lit(0)), F.lit(i))).otherwise(F.col(c)).alias(c) for i, c in enumerate(columns)))
-    return values, most_complete(settle(done.distinct()), ["s"], columns), columns
+    return done.select("s", *(F.when(one, F.get(F.get("tuples", F.lit(0)), F.lit(i))).otherwise(F.col(c)).alias(c) for i, c in enumerate(columns)))
+
+
+def candidates(graph: DataFrame, restriction: Restriction) -> tuple[DataFrame, DataFrame, list[str]]:
+    """(values, tuples, columns): each instance's values of each property, and what every combination of them leads to.
+
+    A combination leaves any properties open. One that contradicts the relation drops out; where just one full tuple
+    follows it is that tuple, else it stays as it is. Of each instance's tuples those that hold less than another go.
+    """
+    values, combined, columns = _combinations(graph, restriction)
+    done = restriction.relation.complete(combined, columns).where("consistent")
+    return values, most_complete(settle(_where_one(done, columns).distinct()), ["s"], columns), columns
 
 
 def inconsistent(values: DataFrame, best: DataFrame, columns: list[str], most: int | None) -> DataFrame:
@@ -222,5 +231,110 @@ def apply_restriction(graph: DataFrame, restriction: Restriction) -> DataFrame:
     return delete(arcs, graph).join(any_, F.lit(True), "left_anti").union(bad)
 
 
+# Restrictions backward
+
+
+def _derivations(tuples: DataFrame, relation: Relation) -> DataFrame:
+    """(s, t, masks): of each full tuple t the least sets of members from which it alone follows, as bit masks.
+
+    A tuple is tried with each of its members left out, 2 to the number of members times.
+    """
+    size = relation.size
+    columns = [f"v{i}" for i in range(size)]
+    tried = tuples.select("s", "t", F.explode(F.sequence(F.lit(0), F.lit(2**size - 1))).alias("mask"))
+    part = tried.select("s", "t", "mask", *(F.when(F.col("mask").bitwiseAND(1 << i) > 0, F.get("t", F.lit(i))).alias(c) for i, c in enumerate(columns)))
+    found = relation.complete(part, columns).where(F.col("consistent") & (F.size("tuples") == 1) & (F.get("tuples", F.lit(0)) == F.col("t")))
+    masks = found.groupBy("s", "t").agg(F.sort_array(F.collect_set("mask")).alias("masks"))
+    least = F.filter("masks", lambda m: ~F.exists("masks", lambda x: (x != m) & (x.bitwiseAND(m) == x)))
+    return masks.select("s", "t", least.alias("masks"))
+
+
+def _covers(holds: DataFrame, lone: DataFrame) -> DataFrame:
+    """(s, chosen): every least choice of tuples that holds all values but those that the tuples ``lone`` hold.
+
+    Instances grow all of their choices at once, a round of joins for each tuple of the longest: the first value that is
+    still open is held by one of its tuples in turn. A choice of which some tuple has no value of its own goes at once, since
+    no longer one could be least. Each round is a written table. A choice is one row: it is as long as the values of an
+    instance that more than one tuple holds, and their number is what alternatives are exponential in.
+    """
+    rest = holds.join(holds.join(lone, ["s", "t"], "left_semi").select("s", "i", "v").distinct(), ["s", "i", "v"], "left_anti")
+    holds = settle(rest.groupBy("s", "t").agg(F.sort_array(F.collect_set(F.struct("i", "v"))).alias("c")))
+    each = settle(holds.select("s", "t", "c", F.inline("c")))
+    kind = holds.select(F.array(F.struct("t", "c")).alias("x")).schema["x"].dataType
+    state = settle(each.groupBy("s").agg(F.sort_array(F.collect_set(F.struct("i", "v"))).alias("open")).select("s", F.array().cast(kind).alias("chosen"), "open"))
+    done = None
+    while True:
+        full = state.where(F.size("open") == 0).select("s", F.transform("chosen", lambda x: x["t"]).alias("chosen"))
+        done = full if done is None else done.union(full)
+        state = state.where(F.size("open") > 0).select("s", "chosen", "open", F.get("open", F.lit(0)).alias("next"))
+        if state.isEmpty():
+            return done
+        state = state.select("s", "chosen", "open", F.col("next.i").alias("i"), F.col("next.v").alias("v")).join(each, ["s", "i", "v"])
+        state = state.select("s", F.array_sort(F.concat("chosen", F.array(F.struct("t", "c")))).alias("chosen"), F.array_except("open", "c").alias("open"))
+        others = lambda x: F.flatten(F.transform(F.filter("chosen", lambda y: y["t"] != x["t"]), lambda y: y["c"]))
+        state = settle(state.where(F.forall("chosen", lambda x: F.size(F.array_except(x["c"], others(x))) > 0)).distinct())
+
+
+def backward_options(graph: DataFrame, restriction: Restriction) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(options, values, inconsistent): what proves the values that a claimed ``graph`` gives the instances of a class.
+
+    ``options(s, cover, t, masks)``: for each instance and each least choice of full tuples that hold all of its values
+    (``cover``, a name), the tuples t and the least sets of their members (bit masks) from which each follows. Any one mask
+    of every tuple of one cover is an alternative; they are not multiplied out here, so rows grow with the tuples, but for
+    values that several tuples hold (see ``_covers``). Tuples that alone hold a value are in every cover. Instances with a value that
+    no full tuple holds have no rows, nor do those without values. ``values(s, i, v)`` is what is to be proved,
+    ``inconsistent(s)`` are instances whose values contradict the restriction.
+    """
+    values, combined, columns = _combinations(graph, restriction)
+    values = settle(values)
+    done = settle(restriction.relation.complete(combined, columns).where("consistent"))
+    best = most_complete(settle(_where_one(done, columns).distinct()), ["s"], columns)
+    wrong = inconsistent(values, best, columns, restriction.most)
+    found = settle(_derivations(done.select("s", F.explode("tuples").alias("t")).distinct(), restriction.relation))
+    members = found.select("s", "t", F.posexplode("t").alias("i", "v"))
+    holds = settle(members.join(values, ["s", "i", "v"]))
+    # provable: no value is without a tuple
+    lost = values.join(holds, ["s", "i", "v"], "left_anti").select("s").distinct()
+    holds = settle(holds.join(lost, "s", "left_anti"))
+    lone = settle(holds.groupBy("s", "i", "v").agg(F.count("*").alias("n"), F.min("t").alias("t")).where("n = 1").select("s", "t").distinct())
+    covers = _covers(holds, lone).select("s", "chosen", F.sha2(F.to_json("chosen"), 256).alias("cover"))
+    covers = settle(covers.union(lone.join(covers, "s", "left_anti").select("s", F.array().cast("array<array<string>>"), F.lit("")).distinct()))
+    chosen = covers.select("s", "cover", F.explode("chosen").alias("t")).union(covers.join(lone, "s").select("s", "cover", "t"))
+    return settle(chosen.join(found, ["s", "t"]).select("s", "cover", "t", "masks")), values, settle(wrong)
+
+
+def backward_restriction(graph: DataFrame, restriction: Restriction) -> DataFrame:
+    """(s, alternative, p, o): for each instance of the claim, every least set of triples from which its values follow.
+
+    All of one instance's alternatives are alternatives; a claim of several instances needs one of each. An alternative holds
+    the instance's type. One that gives all the values themselves is left out, as is an instance that nothing proves: it
+    has no rows. If the values of any instance contradict the restriction there is just the one triple that is false.
+    Alternatives are products of ``backward_options``; each is a row of its own until it is written as triples.
+    """
+    options, values, wrong = backward_options(graph, restriction)
+    wanted = values.groupBy("s").agg(F.count("*").alias("_n"))
+    # of each tuple the members that are values themselves, as a mask
+    named = options.select("s", "t").distinct().select("s", "t", F.posexplode("t").alias("i", "v")).join(values, ["s", "i", "v"])
+    given = named.groupBy("s", "t").agg(F.sum(F.expr("shiftleft(1, i)")).cast("int").alias("given"))
+    whole = options.join(given, ["s", "t"]).groupBy("s", "cover").agg(F.array_sort(F.collect_list(F.struct("t", "given", "masks"))).alias("x"))
+    # alternatives of a cover are numbered, and the number's digits, in as many bases as there are tuples, say which masks
+    bases = F.aggregate("x", F.array(F.lit(1).cast("long")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) * F.size(x["masks"]))))
+    whole = whole.withColumn("bases", bases).select("s", "cover", "x", "bases", F.explode(F.expr("sequence(0L, element_at(bases, -1) - 1)")).alias("k"))
+    digit = lambda x, j: F.get(x["masks"], (F.floor(F.col("k") / F.get("bases", j)) % F.size(x["masks"])).cast("int"))
+    picked = whole.select("s", F.transform("x", lambda x, j: F.struct(x["t"].alias("t"), x["given"].alias("given"), digit(x, j).alias("mask"))).alias("x"))
+    bits = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(1 << i).alias("bit"), F.lit(p).alias("p")) for i, p in enumerate(restriction.properties)))
+    arcs = lambda x, mask: F.transform(F.filter(bits, lambda b: b["bit"].bitwiseAND(mask) > 0), lambda b: F.struct(b["p"].alias("p"), F.get(x["t"], b["i"]).alias("o")))
+    restated = F.array_distinct(F.flatten(F.transform("x", lambda x: arcs(x, x["given"].bitwiseAND(x["mask"])))))
+    needed = F.array_distinct(F.flatten(F.transform("x", lambda x: arcs(x, x["mask"]))))
+    name = F.sha2(F.to_json(F.transform("x", lambda x: F.struct(x["t"], x["mask"]))), 256)
+    rows = picked.join(wanted, "s").where(F.size(restated) < F.col("_n")).select("s", name.alias("alternative"), needed.alias("needed"))
+    own = F.array(F.struct(F.lit(TYPE).alias("p"), F.lit(restriction.of_class).alias("o")))
+    rows = rows.select("s", "alternative", F.inline(F.concat(own, "needed")))
+    bad = wrong.limit(1).select(F.lit("_:a").alias("s"), F.lit("").alias("alternative"), F.lit(FALSE).alias("p"), F.lit("_:b").alias("o"))
+    # one row at most: whether anything is inconsistent
+    any_ = F.broadcast(bad.select(F.lit(True).alias("bad")))
+    return rows.join(any_, F.lit(True), "left_anti").union(bad)
+
+
 def restriction_graph(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(built_in_restrictions(), "s string, p string, o string")

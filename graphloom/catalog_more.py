@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .catalog import SIGNED, P, _term, query, read
 from .functions import terms as T
+from .functions import uri as U
 from .functions.vocab import FIRST, NIL, REST, TYPE
 from .operators import chaining as C
 from .operators import entail as E
@@ -298,3 +299,80 @@ def _(spark, d):
 
     rows = [row("whole", "data", "region", "whole"), row("part", "data", "region", "part"), row("backward", "home", "back", "homes"), row("cited", "cited", "region", "whole", [R.RULESETS["xsd_integer"]])]
     return spark.createDataFrame(rows, "proof string, verdict string, axioms int")
+
+
+# Parts of dates, hosts, language tags, labels
+
+
+_ZONE = "((event_id % 29 - 14) * 30)"
+
+
+@query(
+    "date_accessors",
+    f"""SELECT event_id, year(ts)::INTEGER AS year, month(ts)::INTEGER AS month, day(ts)::INTEGER AS day, hour(ts)::INTEGER AS hour, minute(ts)::INTEGER AS minute, floor(second(ts))::INTEGER AS second,
+(event_id % 1000)::INTEGER AS millisecs, {_ZONE}::INTEGER AS timezone, strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN event_id % 1000 <> 0 THEN '.' || lpad((event_id % 1000)::VARCHAR, 3, '0') ELSE '' END
+|| CASE WHEN {_ZONE} = 0 THEN 'Z' ELSE CASE WHEN {_ZONE} < 0 THEN '-' ELSE '+' END || lpad((abs({_ZONE}) // 60)::VARCHAR, 2, '0') || ':' || lpad((abs({_ZONE}) % 60)::VARCHAR, 2, '0') END AS shown FROM events""",
+)
+def _(spark, d):
+    """Texts with thousandths and zones of every half hour, taken apart and shown again; +00:00 becomes Z."""
+    e, zone = read(spark, d, "events"), F.expr(_ZONE)
+    hours = F.concat(F.lpad(F.floor(F.abs(zone) / 60).cast("string"), 2, "0"), F.lit(":"), F.lpad((F.abs(zone) % 60).cast("string"), 2, "0"))
+    text = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("."), F.lpad((F.col("event_id") % 1000).cast("string"), 3, "0"), F.when(zone < 0, "-").otherwise("+"), hours)
+    rows = e.select("event_id", U.accessors(text).alias("x"))
+    return rows.select("event_id", "x.*", U.show_date_time("x").alias("shown"))
+
+
+@query("date_valid", "SELECT o_orderkey, day(o_orderdate) + o_orderkey % 5 <= day(last_day(o_orderdate::DATE)) AS valid, month(o_orderdate) + o_orderkey % 3 <= 12 AS first FROM orders")
+def _(spark, d):
+    """Is there a day so many days on in the month, and a first of a month so many months on in the year?"""
+    o, day = read(spark, d, "orders"), F.col("o_orderdate").cast("date")
+    later = lambda part, n: (part + F.col("o_orderkey") % n).cast("int")
+    return o.select("o_orderkey", U.valid_date(F.year(day), F.month(day), later(F.dayofmonth(day), 5)).alias("valid"), U.valid_date(F.year(day), later(F.month(day), 3), F.lit(1)).alias("first"))
+
+
+_AUTHORITY = "CASE page_id % 4 WHEN 0 THEN '' WHEN 1 THEN ':80' WHEN 2 THEN ':x' ELSE '..' END"
+
+
+@query("uri_host", f"""SELECT page_id, regexp_matches(regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1), '^([A-Za-z0-9]([A-Za-z0-9-]*[A-Za-z0-9])?\\.)*[A-Za-z]([A-Za-z0-9-]*[A-Za-z0-9])?$') AND page_id % 4 < 2 AS host FROM pages""")
+def _(spark, d):
+    """Hosts of pages as they are, with a port, with one that is no number, and with empty labels."""
+    changed = F.regexp_replace("url", r"\A([^:/?#]+://[^/?#]*)", F.concat(F.lit("$1"), F.expr(_AUTHORITY)))
+    return read(spark, d, "pages").select("page_id", F.coalesce(U.has_host(changed), F.lit(False)).alias("host"))
+
+
+@query("language_matches", "SELECT c_custkey, c_custkey % 5 IN (0, 1, 2) AS english FROM customer")
+def _(spark, d):
+    """Names tagged en, en-gb, EN-US, enx and without a tag."""
+    tags = F.get(F.array(*map(F.lit, ("en", "en-gb", "EN-US", "enx"))), (F.col("c_custkey") % 5).cast("int"))
+    name = F.when(tags.isNull(), T.plain("c_name")).otherwise(T.tagged("c_name", tags))
+    return read(spark, d, "customer").select("c_custkey", T.language_matches(name, "EN").alias("english"))
+
+
+@query("collect_runs", "SELECT o_custkey, string_agg(k, ',' ORDER BY k) AS orders FROM (SELECT DISTINCT o_custkey, o_orderkey AS k FROM orders) GROUP BY o_custkey HAVING count(*) >= 3")
+def _(spark, d):
+    found = E.collect_runs(read(spark, d, "orders"), "o_custkey", "o_orderkey", 3)
+    return found.select("o_custkey", F.array_join("values", ",").alias("orders"))
+
+
+_QUADS = """q AS (SELECT NULL AS g, '<urn:region:' || n_regionkey || '>' AS s, '<urn:p:says>' AS p, '<urn:nation:' || n_nationkey || '>' AS o FROM nation WHERE n_regionkey % 2 = 1
+UNION ALL SELECT '<urn:nation:' || c_nationkey || '>', '<urn:me>', '<urn:p:knows>', '<urn:customer:' || c_custkey || '>' FROM customer
+UNION ALL SELECT '<urn:customer:' || o_custkey || '>', '<urn:orders:' || o_orderkey || '>', '<urn:p:status>', '"' || o_orderstatus || '"' FROM orders)"""
+
+
+def _quads(spark, d) -> DataFrame:
+    """The outer graph mentions some nations, whose graphs mention customers, whose graphs mention orders."""
+    arc = lambda rows, g, s, p, o: rows.select(g.alias("g"), s.alias("s"), F.lit(f"<urn:p:{p}>").alias("p"), o.alias("o"))
+    nation, customer, orders = (read(spark, d, x) for x in ("nation", "customer", "orders"))
+    q = arc(nation.where("n_regionkey % 2 = 1"), F.lit(None).cast("string"), T.iri("urn:region:", "n_regionkey"), "says", T.iri("urn:nation:", "n_nationkey"))
+    q = q.union(arc(customer, T.iri("urn:nation:", "c_nationkey"), F.lit("<urn:me>"), "knows", T.iri("urn:customer:", "c_custkey")))
+    return q.union(arc(orders, T.iri("urn:customer:", "o_custkey"), T.iri("urn:orders:", "o_orderkey"), "status", T.plain("o_orderstatus")))
+
+
+@query("named_labels", f"WITH {_QUADS} SELECT DISTINCT unnest([g, s, p, o]) AS term FROM q WHERE g IS NOT NULL UNION SELECT unnest([s, p, o]) FROM q WHERE g IS NULL")
+def _(spark, d):
+    return N.all_labels(_quads(spark, d))
+
+
+@query("named_labels_reachable", f"WITH RECURSIVE {_QUADS}, r AS (SELECT unnest([s, p, o]) AS term FROM q WHERE g IS NULL UNION SELECT unnest([q.s, q.p, q.o]) FROM r JOIN q ON q.g = r.term) SELECT term FROM r")
+def _(spark, d):
+    return N.reachable_labels(_quads(spark, d))

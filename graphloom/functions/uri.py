@@ -162,3 +162,35 @@ def valid_date(year, month, day) -> Column:
     y, m, d = _c(year), _c(month), _c(day)
     ok = F.coalesce(m.between(1, 12) & (d >= 1), F.lit(False))
     return ok & F.coalesce(d <= days_in_month(y, F.when(ok, m)), F.lit(False))
+
+
+#: A date-time text: date, time, optional thousandths of a second, optional zone.
+DATE_TIME = r"\A([0-9]{4,})-([0-9]{2})-([0-9]{2})T([0-9]{2}):([0-9]{2}):([0-9]{2})(?:\.([0-9]{1,3}))?(Z|[+-][0-9]{2}:[0-9]{2})?\z"
+
+
+def accessors(text) -> Column:
+    """Struct of year, month, day, hour, minute, second, millisecs and timezone (minutes) as a date-time is written.
+
+    Without a zone or thousandths these are 0. NULL for other texts, and for days and times that there are not.
+    """
+    at = lambda i: F.regexp_extract(_c(text), DATE_TIME, i)
+    number = lambda i: at(i).try_cast("int")
+    names = ("year", "month", "day", "hour", "minute", "second")
+    fields = [number(i + 1).alias(n) for i, n in enumerate(names)]
+    millisecs = F.coalesce(F.rpad(at(7), 3, "0").try_cast("int"), F.lit(0)).alias("millisecs")
+    fine = _c(text).rlike(DATE_TIME) & valid_date(number(1), number(2), number(3)) & (number(4) < 24) & (number(5) < 60) & (number(6) < 60)
+    return F.when(fine, F.struct(*fields, millisecs, F.coalesce(zone_minutes(text), F.lit(0)).alias("timezone")))
+
+
+def show_date_time(parts) -> Column:
+    """The text of what ``accessors`` gives: thousandths if there are any, and Z for the zone of the common scale."""
+    x = _c(parts)
+    pad = lambda v, n=2: F.lpad(v.cast("string"), n, "0")
+    # years of more than four digits keep them
+    year = F.when(x["year"] < 10_000, pad(x["year"], 4)).otherwise(x["year"].cast("string"))
+    day = F.concat_ws("-", year, pad(x["month"]), pad(x["day"]))
+    time = F.concat_ws(":", pad(x["hour"]), pad(x["minute"]), pad(x["second"]))
+    thousandths = F.when(x["millisecs"] != 0, F.concat(F.lit("."), pad(x["millisecs"], 3))).otherwise("")
+    ahead = F.abs(x["timezone"])
+    zone = F.when(x["timezone"] == 0, "Z").otherwise(F.concat(F.when(x["timezone"] < 0, "-").otherwise("+"), pad(F.floor(ahead / 60)), F.lit(":"), pad(ahead % 60)))
+    return F.when(x.isNotNull(), F.concat(day, F.lit("T"), time, thousandths, zone))

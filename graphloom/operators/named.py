@@ -34,6 +34,23 @@ def all_labels(quads: DataFrame) -> DataFrame:
     return quads.select(F.explode(F.array("g", *SPO)).alias("term")).where("term is not null").distinct()
 
 
+def reachable_labels(quads: DataFrame) -> DataFrame:
+    """Distinct terms of the outer graph and of the named graphs that it mentions, those that these mention, and so on.
+
+    A round of joins for each step of mentions; a graph is read in the round in which it is first mentioned, so circles of
+    mentions end.
+    """
+    named = settle(quads.where("g is not null").select("g", F.explode(F.array(*SPO)).alias("term")).distinct())
+    names = named.select(F.col("g").alias("term")).distinct()
+    found = new = settle(outer(quads).select(F.explode(F.array(*SPO)).alias("term")).distinct())
+    while True:
+        inner = new.join(names, "term", "left_semi").withColumnRenamed("term", "g")
+        new = settle(named.join(inner, "g", "left_semi").select("term").distinct().join(found, "term", "left_anti"))
+        if new.isEmpty():
+            return found
+        found = settle(found.union(new))
+
+
 def same_formulae(a: DataFrame, b: DataFrame) -> DataFrame:
     """(g, same) of every name of either side: whether its graphs are equal up to the names of blank nodes and variables.
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .catalog import SIGNED, P, _term, query, read
+from .catalog import ONTOLOGY_SQL, SIGNED, P, _ontology, _term, query, read
 from .functions import terms as T
 from .functions import uri as U
-from .functions.vocab import FIRST, NIL, REST, TYPE
+from .functions.vocab import ALLOCATED, DOMAIN, FIRST, NIL, RANGE, REST, SUBCLASS, SUBPROPERTY, TYPE
 from .operators import chaining as C
 from .operators import entail as E
 from .operators import named as N
@@ -376,3 +376,40 @@ def _(spark, d):
 @query("named_labels_reachable", f"WITH RECURSIVE {_QUADS}, r AS (SELECT unnest([s, p, o]) AS term FROM q WHERE g IS NULL UNION SELECT unnest([q.s, q.p, q.o]) FROM r JOIN q ON q.g = r.term) SELECT term FROM r")
 def _(spark, d):
     return N.reachable_labels(_quads(spark, d))
+
+
+# All rules at once
+
+
+def _round_sql(x: str) -> str:
+    """What one round of all RDFS rules makes of the triples ``x``, with those; members are properties, wherever they stand."""
+    terms = f"(SELECT s AS m FROM {x} UNION SELECT p FROM {x} UNION SELECT o FROM {x})"
+    typed = lambda c: f"SELECT s FROM {x} WHERE p = @TYPE AND o = '<@RDF{c}>'"
+    of = lambda p: f"(SELECT s AS a, o AS z FROM {x} WHERE p = '{p}')"
+    member = r"regexp_matches(m, '^<@RDF_[0-9]*>$')"
+    return f"""SELECT * FROM {x} UNION SELECT p, @TYPE, '<@RDFProperty>' FROM {x}
+UNION SELECT m, @TYPE, '<@RDFProperty>' FROM {terms} WHERE {member} UNION SELECT m, @TYPE, '<@RDFSContainerMembershipProperty>' FROM {terms} WHERE {member}
+UNION SELECT m, '{DOMAIN}', '<@RDFSResource>' FROM {terms} WHERE {member} UNION SELECT m, '{RANGE}', '<@RDFSResource>' FROM {terms} WHERE {member}
+UNION SELECT b.s, @TYPE, '<@RDFSLiteral>' FROM {x} b JOIN {x} t ON t.o = b.s WHERE b.p = '{ALLOCATED}' AND b.o LIKE '"%' AND b.o NOT LIKE '%"^^<%'
+UNION SELECT s, @TYPE, z FROM {x} JOIN {of(DOMAIN)} ON p = a UNION SELECT o, @TYPE, z FROM {x} JOIN {of(RANGE)} ON p = a WHERE o NOT LIKE '"%'
+UNION SELECT s, @TYPE, '<@RDFSResource>' FROM {x} UNION SELECT o, @TYPE, '<@RDFSResource>' FROM {x} WHERE o NOT LIKE '"%'
+UNION SELECT x.a, '{SUBPROPERTY}', y.z FROM {of(SUBPROPERTY)} x JOIN {of(SUBPROPERTY)} y ON x.z = y.a UNION SELECT s, '{SUBPROPERTY}', s FROM ({typed("Property")})
+UNION SELECT s, z, o FROM {x} JOIN {of(SUBPROPERTY)} ON p = a
+UNION SELECT s, '{SUBCLASS}', '<@RDFSResource>' FROM ({typed("SClass")}) UNION SELECT s, '{SUBCLASS}', s FROM ({typed("SClass")})
+UNION SELECT s, @TYPE, z FROM {x} JOIN {of(SUBCLASS)} ON o = a WHERE p = @TYPE UNION SELECT x.a, '{SUBCLASS}', y.z FROM {of(SUBCLASS)} x JOIN {of(SUBCLASS)} y ON x.z = y.a
+UNION SELECT s, '{SUBPROPERTY}', '<@RDFSmember>' FROM ({typed("SContainerMembershipProperty")}) UNION SELECT s, '{SUBCLASS}', '<@RDFSLiteral>' FROM ({typed("SDatatype")})"""
+
+
+#: More rounds than the closure needs; those after the fixpoint add nothing.
+_ROUNDS = 12
+
+
+@query(
+    "rdfs_all_closure",
+    f"WITH {ONTOLOGY_SQL}, c0 AS MATERIALIZED (SELECT * FROM g UNION VALUES {', '.join(repr(x) for x in R.RDF_AXIOMS + R.RDFS_AXIOMS)}), "
+    + ", ".join(f"c{i + 1} AS MATERIALIZED ({_round_sql(f'c{i}')})" for i in range(_ROUNDS))
+    + f" SELECT * FROM c{_ROUNDS}",
+)
+def _(spark, d):
+    """Every rule of RDFS, with its axioms and those of RDF, to the fixpoint."""
+    return R.rdfs_all_closure(_ontology(spark, d))

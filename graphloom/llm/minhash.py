@@ -16,6 +16,8 @@ from .common import Memo, connected_components, cut, drop, slices, table
 
 #: Pairs of one class that meet in a task.
 HUB = 256
+#: Counters that tell frequent shingles from rare ones: a bound on what every task is sent, whatever the data.
+COUNTERS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -136,8 +138,8 @@ def near_duplicate_rows(docs: DataFrame, size: int, percent: int, sketch: Sketch
     Equal word sequences fold into classes. A class's bands are looked up in buckets; each member is compared
     with its bucket's first class by likelihood of the registers, then on the full sets. Then buckets that are still
     in several components take another class as pivot, ``pivots`` times, which costs as many rows as they have members
-    and joins most of what belongs together. What is left is compared in full, by blocks of about ``block`` classes:
-    blocks of one component are not paired with each other, a pair meets in the first band it shares, passes the
+    and joins most of what belongs together. What is left is compared in full where two classes share a rare shingle
+    (``rooms_of``, which loses no pair), by blocks of about ``block`` classes: blocks of one component are not paired with each other, a pair meets in the first band it shares, passes the
     registers, and is counted on 64-bit hashes of its full sets; only links that join components leave the task, to be
     confirmed on the texts. So no bucket is ever capped or held in one task, and ``block`` and ``pivots`` change costs alone.
     A pair at the limit is missed with probability (1 - (percent/100)**rows)**bands.
@@ -340,35 +342,90 @@ def joining_links(cid, root, sets, a, b, percent: int) -> list[tuple[int, int]]:
     return out
 
 
+def rooms_of(sets: DataFrame, percent: int) -> DataFrame:
+    """(node, root): the classes of ``sets(cid, root, set)`` that may link with another component, and a room for each.
+
+    Sets of n <= m shingles whose similarity is t or more share t (n + m) / (1 + t) of them, which is 2 t n / (1 + t) and t m at
+    least. So in any order that all sets have in common, one of the first n - ceil(2 t n / (1 + t)) + 1 of the smaller set, its
+    head, is among the first m - ceil(t m) + 1 of the larger. Here rare shingles come first: counters, of a fixed number
+    whatever the data, say how frequent. Classes of several components that share a shingle there, in a head of one of them, are in
+    one room, and so are those that a chain of these joins; a class without one is in none. So classes that are alike in frequent shingles alone
+    (pages of one form) meet no more, and rows grow with the sizes of the sets.
+    """
+
+    def count(batches):
+        total = np.zeros(COUNTERS, np.int64)
+        for pdf in batches:
+            s = np.frombuffer(b"".join(pdf.set), np.uint64)
+            total += np.bincount((s % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        at = np.flatnonzero(total)
+        if len(at):
+            yield pd.DataFrame({"at": at, "n": total[at]})
+
+    held = sets.select("set").mapInPandas(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(COUNTERS, np.int64)
+    counts[held["at"].to_numpy()] = held["n"].to_numpy()
+    counts = sets.sparkSession.sparkContext.broadcast(counts)
+
+    def rarest(batches):
+        for pdf in batches:
+            firsts, heads = [], []
+            for raw in pdf.set:
+                s = np.frombuffer(raw, np.uint64)
+                few = len(s) + 1 - -(-percent * len(s) // 100)
+                firsts.append(s[np.lexsort((s, counts.value[(s % np.uint64(COUNTERS)).astype(np.int64)]))[:few]])
+                heads.append(np.arange(few) < len(s) + 1 - -(-2 * percent * len(s) // (100 + percent)))
+            if firsts:
+                own = np.repeat(np.arange(len(pdf)), [len(f) for f in firsts])
+                yield pd.DataFrame({"g": np.concatenate(firsts).view(np.int64), "head": np.concatenate(heads), "cid": pdf.cid.to_numpy()[own], "root": pdf.root.to_numpy()[own]})
+
+    rare = cut(sets.select("cid", "root", "set").mapInPandas(rarest, "g long, head boolean, cid long, root long"), "rare")
+    met = rare.groupBy("g").agg(F.min("cid").alias("least"), F.max("head").alias("head"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("head and lo <> hi")
+    # written first, so that the join can split a frequent shingle
+    met = cut(met.select("g", "least"), "rare-met")
+    rooms = connected_components(rare.join(met.hint("merge"), "g").select(F.col("cid").alias("u"), F.col("least").alias("v")), "rooms")
+    drop(rare, met)
+    counts.unpersist()
+    return rooms
+
+
 def remaining(shared: DataFrame, roots: DataFrame, classes: DataFrame, texts: DataFrame, size: int, percent: int, sketch: Sketch, block: int) -> DataFrame:
-    """Links (a, b, members) between components of classes that share a bucket, as a written table.
+    """Links (a, b, members) between components of classes that share a bucket and a room, as a written table.
 
-    A bucket's members are dealt into blocks: those of a component of ``block`` members and more have blocks of
+    A room's members in a bucket are dealt into blocks: those of a component of ``block`` members and more have blocks of
     their own, the others pool. Every two blocks meet in a group of their own, but for two of the same component.
     """
-    member = members_of(shared, roots)
-    held = member.groupBy("key", "root").agg(F.count("*").alias("n"))
-    open_ = held.groupBy("key").agg(F.count("*").alias("roots"), F.coalesce(F.sum(F.when(F.col("n") < block, F.col("n"))), F.lit(0)).alias("pooled")).where("roots > 1")
-    held = cut(held.join(open_.hint("merge"), "key"), "open-roots")
+    every = members_of(shared, roots)
+    several = every.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    open_members = cut(every.join(several.hint("merge"), "key"), "open-members")
+    drop(every)
+
+    @F.pandas_udf("binary")
+    def full_set(text: pd.Series) -> pd.Series:
+        return pd.Series([shingle_hashes(words_of(t), size).tobytes() for t in text])
+
+    wanted = open_members.select("cid", "root").distinct()
+    sets = cut(texts.join(wanted.hint("merge"), "cid").select("cid", "root", full_set("text").alias("set")), "near-sets")
+    rooms = rooms_of(sets, percent)
+    member = cut(open_members.join(rooms.select(F.col("node").alias("cid"), F.col("root").alias("room")).hint("merge"), "cid"), "in-rooms")
+    drop(open_members, rooms)
+    spot = ["key", "room"]
+    held = member.groupBy(*spot, "root").agg(F.count("*").alias("n"))
+    open_ = held.groupBy(*spot).agg(F.count("*").alias("roots"), F.coalesce(F.sum(F.when(F.col("n") < block, F.col("n"))), F.lit(0)).alias("pooled")).where("roots > 1")
+    held = cut(held.join(open_.hint("merge"), spot), "open-roots")
     # the component that a block belongs to, or -1 for pooled ones, and how many blocks there are of it
     own = F.when(F.col("n") >= block, F.col("root")).otherwise(F.lit(-1)).alias("own")
     parts = F.expr(f"(if(n >= {block}, n, pooled) + {block} - 1) div {block}").alias("parts")
-    blocks = cut(held.select("key", own, parts).distinct().select("key", F.col("own").alias("other"), F.explode(F.expr("sequence(0L, parts - 1)")).alias("other_part")), "blocks")
-    placed = cut(member.join(held.select("key", "root", own, parts).hint("merge"), ["key", "root"]), "placed")
+    blocks = cut(held.select(*spot, own, parts).distinct().select(*spot, F.col("own").alias("other"), F.explode(F.expr("sequence(0L, parts - 1)")).alias("other_part")), "blocks")
+    placed = cut(member.join(held.select(*spot, "root", own, parts).hint("merge"), [*spot, "root"]), "placed")
     part = F.pmod(F.xxhash64(F.when(F.col("own") < 0, F.col("root")).otherwise(F.col("cid"))), "parts").alias("part")
-    rows = placed.select("key", "band", "cid", "first", "root", "own", part).join(blocks.hint("merge"), "key").where("own <> other or own = -1")
+    rows = placed.select(*spot, "band", "cid", "first", "root", "own", part).join(blocks.hint("merge"), spot).where("own <> other or own = -1")
     ours, others = F.struct(F.col("own").alias("of"), F.col("part")), F.struct(F.col("other").alias("of"), F.col("other_part").alias("part"))
     i, j = F.least(ours, others), F.greatest(ours, others)
-    rows = rows.select("key", "band", "cid", "first", "root", (ours == i).alias("left"), i.of.alias("iof"), i.part.alias("ipart"), j.of.alias("jof"), j.part.alias("jpart"))
-
-    @F.pandas_udf("binary")
-    def full_set(text: pd.Series) -> pd.Series:
-        return pd.Series([shingle_hashes(words_of(t), size).tobytes() for t in text])
-
-    wanted = placed.select("cid").distinct()
-    sets = cut(texts.join(wanted, "cid", "left_semi").select("cid", full_set("text").alias("set")).join(classes.select("cid", "n", "regs"), "cid"), "near-sets")
-    by = ["key", "iof", "ipart", "jof", "jpart"]
-    dealt = rows.join(sets.hint("merge"), "cid").repartition(*by).sortWithinPartitions(*by)
+    rows = rows.select(*spot, "band", "cid", "first", "root", (ours == i).alias("left"), i.of.alias("iof"), i.part.alias("ipart"), j.of.alias("jof"), j.part.alias("jpart"))
+    described = sets.select("cid", "set").join(classes.select("cid", "n", "regs"), "cid")
+    by = [*spot, "iof", "ipart", "jof", "jpart"]
+    dealt = rows.join(described.hint("merge"), "cid").repartition(*by).sortWithinPartitions(*by)
 
     def compare(batches):
         for g in groups_of(batches, by):

@@ -66,6 +66,46 @@ def test_near_duplicates(spark, block, pivots):
     assert all(r.kept == (r.doc_id == r.component_id) for r in kept if r.doc_id is not None)
 
 
+def template_pages(n, seed=9, own=12, form=80, twins=20):
+    """Pages of one form, alike at 73 %, each with words of its own; the first few have a near copy."""
+    rng = random.Random(seed)
+    frame = [f"form{i}" for i in range(form)]
+    pages = [(i, " ".join([*frame[: form // 2], *(f"own{i}x{rng.randint(0, 10**9)}" for _ in range(own)), *frame[form // 2 :]])) for i in range(n)]
+    return pages + [(n + i, t + " more") for i, t in pages[:twins]]
+
+
+def test_rooms_hold_every_link(spark):
+    """Two sets that meet the limit are in one room, whatever else is there; pages of one form are in none."""
+    rng = np.random.default_rng(8)
+    pool = rng.integers(0, 2**63, 400, np.uint64)
+    sets = [rng.choice(pool[: rng.integers(40, 400)], rng.integers(1, 40), replace=False) for _ in range(150)]
+    for base in sets[:60]:
+        sets.append(np.concatenate([base[rng.random(len(base)) < 0.95], rng.integers(0, 2**63, 1, np.uint64)]))
+    sets = [np.unique(s) for s in sets]
+    rows = spark.createDataFrame([(i, i % 170, s.tobytes()) for i, s in enumerate(sets)], "cid long, root long, set binary").repartition(5)
+    for percent in (50, 80, 85, 100):
+        room = {r.node: r.root for r in minhash.rooms_of(rows, percent).collect()}
+        for i in range(len(sets)):
+            for j in range(i):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if i % 170 != j % 170 and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                    assert room[i] == room[j]
+    form = rng.integers(0, 2**63, 80, np.uint64)
+    pages = [np.unique(np.concatenate([form, rng.integers(0, 2**63, 20, np.uint64)])) for _ in range(500)]
+    rows = spark.createDataFrame([(i, i, s.tobytes()) for i, s in enumerate(pages)], "cid long, root long, set binary")
+    assert minhash.rooms_of(rows, 80).isEmpty()
+    assert minhash.rooms_of(rows.limit(0), 80).isEmpty()
+
+
+@pytest.mark.parametrize("block, pivots", [(256, 3), (16, 0)])
+def test_pages_of_one_form(spark, block, pivots):
+    """The form does not link pages, their own words do; SetSketch buckets hold most pages at once."""
+    docs = template_pages(600)
+    got = minhash.near_duplicate_rows(spark.createDataFrame(docs, "doc_id long, text string"), 3, 85, block=block, pivots=pivots).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(docs, 3, 85)
+    assert sum(r.component_id != r.doc_id for r in got) == 20
+
+
 def test_registers_estimate_similarity():
     rng = np.random.default_rng(4)
     pool = rng.integers(0, 2**63, 3000, np.uint64)

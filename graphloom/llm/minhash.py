@@ -17,7 +17,7 @@ from .common import Memo, connected_components, cut, drop, slices, table
 #: Pairs of one class that meet in a task.
 HUB = 256
 #: Counters that tell frequent shingles from rare ones: a bound on what every task is sent, whatever the data.
-COUNTERS = 1 << 20
+COUNTERS = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -131,7 +131,7 @@ def shared_shingles(a: list[bytes], b: list[bytes], size: int) -> tuple[int, int
     return len(x & y), len(x | y)
 
 
-def near_duplicate_rows(docs: DataFrame, size: int, percent: int, sketch: Sketch = Sketch(), block: int = 256, pivots: int = 3) -> DataFrame:
+def near_duplicate_rows(docs: DataFrame, size: int, percent: int, sketch: Sketch = Sketch(), block: int = 256, pivots: int = 2) -> DataFrame:
     """The rows of ``docs(doc_id, text, ...)`` with n_shingles, component_id and first, in place of columns so named.
 
     Links texts with 100 * intersection >= ``percent`` * union of their sets of ``size``-word shingles.
@@ -385,7 +385,7 @@ def rooms_of(sets: DataFrame, percent: int) -> DataFrame:
     met = cut(met.select("g", "least"), "rare-met")
     rooms = connected_components(rare.join(met.hint("merge"), "g").select(F.col("cid").alias("u"), F.col("least").alias("v")), "rooms")
     drop(rare, met)
-    counts.unpersist()
+    counts.destroy()
     return rooms
 
 

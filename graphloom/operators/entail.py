@@ -304,11 +304,12 @@ def restrict(graph: DataFrame, of_class: str, relation: Modifier, properties: li
     properties = properties or [f"<{RDF}_{i + 1}>" for i in range(relation.size)]
     names = [f"v{i}" for i in range(relation.size)]
     rows = graph.where((F.col("p") == TYPE) & (F.col("o") == of_class)).select("s").distinct()
+    # values are as many as instances: left to Spark, which sizes them by their files, each would be sent whole to the driver
     for v, p in zip(names, properties):
-        rows = rows.join(graph.where(F.col("p") == p).select("s", F.col("o").alias(v)), "s", "left")
+        rows = rows.join(graph.where(F.col("p") == p).select("s", F.col("o").alias(v)).hint("merge"), "s", "left")
+    rows = settle(rows)
     full = reduce(lambda a, b: a & b, (F.col(v).isNotNull() for v in names))
-    tuples = rows.where(full)
-    broken = tuples.subtract(relation.apply(tuples, *names)).limit(1)
+    broken = rows.where(full & ~relation.holds(*names)).limit(1)
     found = None
     for usage in relation.usages:
         missing = [names[i] for i in usage.binds]

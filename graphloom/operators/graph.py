@@ -60,7 +60,9 @@ def add(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def delete(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.select(*SPO).subtract(b.select(*SPO))
+    # both sides grow with the tables: neither goes through the driver, as small files might have it
+    other = b.select(*(F.col(c).alias(f"_{c}") for c in SPO)).hint("merge")
+    return a.select(*SPO).distinct().join(other, all_of(F.col(c).eqNullSafe(F.col(f"_{c}")) for c in SPO), "left_anti")
 
 
 def contained(a: DataFrame, b: DataFrame) -> bool:

@@ -98,14 +98,20 @@ class Modifier:
         missing = set(range(self.size)) - bound
         return next((u for u in self.usages if set(u.binds) == missing), None)
 
+    def holds(self, *variables: str) -> Column:
+        """All variables have values of the right kind, and these pass the test; never null."""
+        value = [self.values(v) for v in variables]
+        present = reduce(lambda a, b: a & b, (v.isNotNull() for v in value))
+        return present & F.coalesce(self.test(*value), F.lit(False))
+
     def apply(self, bindings: DataFrame, *variables: str) -> DataFrame:
         if len(variables) != self.size:
             raise ValueError(f"{self.name} takes {self.size} variables")
         bound = {i for i, v in enumerate(variables) if v in bindings.columns}
+        if len(bound) == self.size:
+            return bindings.where(self.holds(*variables))
         value = [self.values(v) if i in bound else None for i, v in enumerate(variables)]
         present = reduce(lambda a, b: a & b, (value[i].isNotNull() for i in bound), F.lit(True))
-        if len(bound) == self.size:
-            return bindings.where(present & F.coalesce(self.test(*value), F.lit(False)))
         usage = self.usage_for(bound)
         if usage is None:
             raise ValueError(f"{self.name} has no usage for bound variables {[variables[i] for i in sorted(bound)]}")

@@ -195,6 +195,17 @@ def test_restrictions(spark):
     assert E.restrict(part, "<urn:Abs>", M.INTEGER["abs"]).isEmpty()
 
 
+def test_restrictions_send_no_table_through_the_driver(spark, tmp_path):
+    member = lambda i: f"<{R.iri(f'rdf:_{i}')[1:-1]}>"
+    node = F.concat(F.lit("_:n"), "id")
+    arc = lambda p, o: F.struct(node.alias("s"), F.lit(p).alias("p"), o.alias("o"))
+    about = [arc(TYPE, F.lit("<urn:Sum>")), arc(member(2), T.integer("id")), arc(member(3), T.integer(F.col("id") + 1))]
+    spark.range(500).select(F.inline(F.array(*about))).write.parquet(f"{tmp_path}/g")
+    done = E.restrict(spark.read.parquet(f"{tmp_path}/g"), "<urn:Sum>", M.INTEGER["sum"])
+    assert "BroadcastHashJoin" not in done._jdf.queryExecution().executedPlan().toString()
+    assert done.count() == 500 and done.where(F.col("s") == "_:n7").first().o.startswith('"15"')
+
+
 def test_lists(spark):
     made = G.make_lists(spark.createDataFrame([(1, list("abcdefghijk")), (2, ["z"])], "k int, x array<string>"), "k", "x")
     heads = spark.createDataFrame([("_:l-1-0",), ("_:l-2-0",), (NIL,)], "head string")

@@ -206,6 +206,16 @@ def test_restrictions_send_no_table_through_the_driver(spark, tmp_path):
     assert done.count() == 500 and done.where(F.col("s") == "_:n7").first().o.startswith('"15"')
 
 
+def test_a_false_graph_sends_no_table_through_the_driver(spark, tmp_path):
+    node, members = F.concat(F.lit("_:n"), "id"), [f"<{R.iri(f'rdf:_{i}')[1:-1]}>" for i in (1, 2)]
+    about = [(TYPE, F.lit("<urn:Neg>")), (members[0], T.integer("id")), (members[1], T.integer(F.when(F.col("id") == 7, 1).otherwise(-F.col("id"))))]
+    arcs = F.array(*(F.struct(node.alias("s"), F.lit(p).alias("p"), o.alias("o")) for p, o in about))
+    spark.range(500).select(F.inline(arcs)).write.parquet(f"{tmp_path}/g")
+    done = E.restrict(spark.read.parquet(f"{tmp_path}/g"), "<urn:Neg>", M.INTEGER["neg"])
+    assert "BroadcastHashJoin" not in done._jdf.queryExecution().executedPlan().toString()
+    assert rows(done) == [("_:a", E.FALSE, "_:b")]
+
+
 def test_lists(spark):
     made = G.make_lists(spark.createDataFrame([(1, list("abcdefghijk")), (2, ["z"])], "k int, x array<string>"), "k", "x")
     heads = spark.createDataFrame([("_:l-1-0",), ("_:l-2-0",), (NIL,)], "head string")

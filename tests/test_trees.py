@@ -44,6 +44,18 @@ def difference(spark, a, b):
     return {tuple(r) for r in trees.tree_difference(graph_of(spark, a), graph_of(spark, b)).collect()}
 
 
+def test_statements_by_level_are_those_of_the_walk(spark, monkeypatch):
+    """Few levels need no walk; nested statements, shared and circling ones and repeated properties come out alike."""
+    arcs = TREE + [("_:c1", "<p>", "_:c2"), ("_:c2", "<p>", "_:c1"), ("<h>", "<p>", "_:k1"), ("<h>", "<p>", "_:k2"), ("_:k2", "<a>", '"x"'), ("_:k2", "<p>", "_:k3"), ("_:k3", "<p>", '"y"'), ("_:k1", "<p>", "_:gone"), ("<h>", "<o>", "_:k0")]
+    g = graph_of(spark, arcs)
+    walked = {line: sorted(tuple(r) for r in trees._walked(g, line).collect()) for line in (None, "\n")}
+    monkeypatch.setattr(trees, "toured", None)
+    for line, want in walked.items():
+        assert sorted(tuple(r) for r in trees.statements(g, line).collect()) == want
+    depths = sorted(tuple(r) for r in trees.depths(trees.forest(g)).collect())
+    assert sorted(tuple(r) for r in trees.subject_depths(g.union(g)).collect()) == depths and max(r[2] for r in depths) > 1
+
+
 def test_tree_difference(spark):
     other = [("<s>", "<p>", "_:A"), ("_:A", "<q>", "_:B"), ("_:A", "<r>", "<x>"), ("_:B", "<q>", '"2"'), ("<s>", "<z>", "<y>"), ("_:C", "<p>", "_:D"), ("_:D", "<p>", "_:C"), ("_:E", "<p>", "<w>"), ("<n>", "<p>", "_:u")]
     assert difference(spark, TREE, other) == {("<n>", "", None, "<n>"), ("<y>", "", "<y>", None), ("_:e", "<p>", "<y>", "<w>"), ("<s>", "<p> <q> <q>", '"1"', '"2"')}

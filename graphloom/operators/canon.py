@@ -11,6 +11,7 @@ from __future__ import annotations
 import itertools
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -103,16 +104,92 @@ def _units(arcs: DataFrame, nodes: DataFrame) -> DataFrame:
     return settle(both.select("unit", mark("h1", "h2", "n", F.coalesce(F.col("p1").cast("string"), F.lit("")), F.coalesce(F.col("p2").cast("string"), F.lit("")), "parts").alias("certificate")))
 
 
+#: Graphs of up to so many triples are one row each. Fixed value.
+SMALL = 64
+
+
+def _small_certificate():
+    """A function from a graph's triples to its certificate, by the steps of ``_units``; colours are ranks, so nothing collides."""
+    import hashlib
+    from collections import Counter, defaultdict
+
+    def ranked(keys: dict) -> dict:
+        places = {k: i for i, k in enumerate(sorted(set(keys.values())))}
+        return {t: places[k] for t, k in keys.items()}
+
+    def unit(triples: list, first: dict):
+        colour = ranked({t: (c,) for t, c in first.items()})
+        while True:
+            # terms that aren't nodes stand for themselves, and none is mistaken for a colour
+            arcs = [tuple((0, "", colour[t]) if t in colour else (1, t, 0) for t in x) for x in triples]
+            near = defaultdict(list)
+            for x, seen in zip(triples, arcs):
+                for i, t in enumerate(x):
+                    if t in colour:
+                        near[t].append((i, seen))
+            finer = ranked({t: (c, tuple(sorted(near[t]))) for t, c in colour.items()})
+            if len(set(finer.values())) == len(set(colour.values())):
+                break
+            colour = finer
+        whole = (sorted(arcs), sorted((colour[t], first[t]) for t in first))
+        sizes = Counter(colour.values())
+        tied = {t for t, c in colour.items() if sizes[c] > 1}
+        held = [x for x in triples if len({t for t in x if t in tied}) > 1]
+        part = {t: t for t in tied}
+
+        def find(t):
+            while part[t] != t:
+                part[t] = t = part[part[t]]
+            return t
+
+        for x in held:
+            ends = [t for t in x if t in tied]
+            for t in ends[1:]:
+                part[find(t)] = find(ends[0])
+        members, inside = defaultdict(list), defaultdict(list)
+        for t in tied:
+            members[find(t)].append(t)
+        for x in held:
+            own = tuple(t if t in tied else f"={colour[t]}" if t in colour else f"+{t}" for t in x)
+            inside[find(next(t for t in x if t in tied))].append(own)
+        below = []
+        for root, nodes in members.items():
+            if len(nodes) == 1:
+                below.append(repr(colour[root]))
+                continue
+            least = min((sizes[colour[t]], colour[t]) for t in nodes)[1]
+            chosen = [t for t in nodes if colour[t] == least]
+            below.append(min(unit(inside[root], {t: 2 * colour[t] + (t == c) for t in nodes}) for c in chosen))
+        return hashlib.sha256(repr((whole, sorted(below))).encode("utf-8", "surrogatepass")).hexdigest()
+
+    def certificate(graphs: pd.Series) -> pd.Series:
+        out = []
+        for graph in graphs:
+            triples = [tuple(x) for x in graph]
+            out.append(unit(triples, {t: 0 for x in triples for t in x if t.startswith(("_:", "?"))}))
+        return pd.Series(out, dtype=object)
+
+    return certificate
+
+
 def certificates(quads: DataFrame) -> DataFrame:
     """(g, certificate) of every named graph of ``quads(g, s, p, o)``: equal for graphs equal up to the names of blank nodes and variables.
 
-    Graphs are sets of triples. The number of jobs follows the deepest tie of any graph, not their number. A part of m tied
+    Graphs are sets of triples. One of ``SMALL`` triples at most is a row, and is told within it; equal graphs are of one size.
+    The others are told together: the number of jobs follows the deepest tie of any of them, not their number. A part of m tied
     nodes costs m times the size of its smallest class, so this is for many small graphs; ``entail.isomorphic`` compares two
-    large ones. Colours are hashes of 64 bits, sums of them of 128.
+    large ones. Colours of the larger ones are hashes of 64 bits, sums of them of 128.
     """
     arcs = settle(quads.where("g is not null").select(F.col("g").alias("unit"), *SPO).distinct())
+    large = settle(arcs.groupBy("unit").agg(F.count("*").alias("n")).where(F.col("n") > SMALL).select("unit"))
+    # of no size that could go through the driver, on either side
+    rows = arcs.join(large.hint("merge"), "unit", "left_anti").groupBy("unit").agg(F.collect_list(F.array(*SPO)).alias("triples"))
+    small = rows.select(F.col("unit").alias("g"), F.pandas_udf(_small_certificate(), "string")("triples").alias("certificate"))
+    if large.isEmpty():
+        return small
+    arcs = settle(arcs.join(large.hint("merge"), "unit", "left_semi"))
     nodes = arcs.select("unit", F.explode(F.array(*SPO)).alias("term")).where(_local("term")).distinct()
-    return _units(arcs, settle(nodes.withColumn("colour", F.lit(1).cast("long")))).withColumnRenamed("unit", "g")
+    return small.union(_units(arcs, settle(nodes.withColumn("colour", F.lit(1).cast("long")))).select("unit", "certificate"))
 
 
 def duplicates_folded(rows: DataFrame, keys: list[str], number: str) -> DataFrame:

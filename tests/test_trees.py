@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions import terms as T
+from graphloom.operators import canon
 from graphloom.operators import chaining as C
 from graphloom.operators import entail as E
 from graphloom.operators import orders as O
@@ -97,6 +98,32 @@ def test_certificates(spark):
         assert (found[i] == found[j]) == isomorphic(gs[i], gs[j]), (gs[i], gs[j])
 
 
+def test_small_certificates_take_no_rounds_and_agree_with_those_of_large_graphs(spark, monkeypatch):
+    rng = random.Random(5)
+    quads = []
+    for g in range(60):
+        nodes = [f"_:n{i}" for i in range(rng.choice((2, 3, 4)))] + ["<x>"]
+        arcs = {(rng.choice(nodes), rng.choice(("<p>", "_:n0")), rng.choice(nodes)) for _ in range(rng.choice((1, 2, 3, 5)))}
+        names = dict(zip(nodes[:-1], rng.sample([f"_:m{i}" for i in range(9)], len(nodes) - 1)))
+        quads += [(f"a{g}", *x) for x in arcs] + [(f"b{g}", *(names.get(t, t) for t in x)) for x in arcs]
+    # two rings of three are no ring of six
+    quads += [(f"r{k}", f"_:{i}", "<p>", f"_:{i - i % k + (i + 1) % k}") for k in (3, 6) for i in range(6)]
+    df = spark.createDataFrame(quads, "g string, s string, p string, o string")
+
+    def groups():
+        found = {}
+        for r in certificates(df).collect():
+            found.setdefault(r.certificate, []).append(r.g)
+        return sorted(sorted(x) for x in found.values())
+
+    monkeypatch.setattr(canon, "SMALL", 0)
+    large = groups()
+    monkeypatch.setattr(canon, "SMALL", 64)
+    monkeypatch.setattr(canon, "_units", None)
+    small = groups()
+    assert small == large and ["r3"] in small and all(any(f"a{g}" in x and f"b{g}" in x for x in small) for g in range(60))
+
+
 def test_components_of_claims(spark):
     rng = random.Random(7)
     terms, properties = ["<a>", "<b>", "<c>", "_:g"], ["<p>", "<q>", "<r>"]

@@ -247,6 +247,15 @@ def test_numbers(spark):
     assert {tuple(r) for r in renumbered(g, ~F.col("term").rlike("[0-9]")).collect()} == {("_:9", "<p>", "_:7"), ("_:8", "<p>", "_:9"), ("_:3", "<p>", "<x>")}
 
 
+def test_folding_sends_no_table_through_the_driver(spark, tmp_path):
+    blank = F.concat(F.lit("_:b"), "id", F.lit("-"), "n")
+    rows = spark.range(300).select("id", F.explode(F.array(F.lit(0), F.lit(1))).alias("n"))
+    rows.select("id", "n", blank.alias("s"), F.lit("<p>").alias("p"), F.lit("<o>").alias("o")).write.parquet(f"{tmp_path}/g")
+    done = duplicates_folded(spark.read.parquet(f"{tmp_path}/g"), ["id"], "n")
+    assert "BroadcastHashJoin" not in done._jdf.queryExecution().executedPlan().toString()
+    assert done.count() == 300 and done.where("n > 0").isEmpty()
+
+
 def test_folding_keeps_the_first(spark):
     rows = [("k", 0, "<a>", "<p>", "_:x"), ("k", 1, "<a>", "<p>", "_:y"), ("k", 2, "<b>", "<p>", "_:y"), ("l", 5, "<a>", "<p>", "_:y")]
     got = duplicates_folded(spark.createDataFrame(rows, "k string, n int, s string, p string, o string"), ["k"], "n")

@@ -14,6 +14,7 @@ from graphloom.operators import orders as O
 from graphloom.operators import relations as L
 from graphloom.operators import rules as R
 from graphloom.operators import trees
+from graphloom.operators import canon, claims
 from graphloom.operators.canon import certificates, duplicates_folded
 from graphloom.operators.claims import components_entailed
 from graphloom.operators.numbers import numbered, ranked
@@ -260,3 +261,24 @@ def test_folding_keeps_the_first(spark):
     rows = [("k", 0, "<a>", "<p>", "_:x"), ("k", 1, "<a>", "<p>", "_:y"), ("k", 2, "<b>", "<p>", "_:y"), ("l", 5, "<a>", "<p>", "_:y")]
     got = duplicates_folded(spark.createDataFrame(rows, "k string, n int, s string, p string, o string"), ["k"], "n")
     assert {(r.k, r.n) for r in got.collect()} == {("k", 0), ("k", 2), ("l", 5)}
+
+
+def test_only_claims_of_one_outline_get_certificates(spark, monkeypatch):
+    seen = []
+    real = claims.certificates
+    monkeypatch.setattr(claims, "certificates", lambda quads: seen.extend(r.g for r in quads.select("g").distinct().collect()) or real(quads))
+    graph = [("<a>", "<p>", "<b>"), ("<a>", "<q>", "<c>")]
+    asked = [("_:a", "<p>", "<b>"), ("_:b", "<p>", "<c>"), ("_:c", "<p>", "<b>"), ("_:d", "<p>", "_:e"), ("_:e", "<q>", "<c>"), ("_:f", "<q>", "_:f")]
+    got = {r.component: r.entailed for r in components_entailed(graph_of(spark, graph), graph_of(spark, asked)).collect()}
+    assert got == {"_:a": True, "_:b": False, "_:c": True, "_:d": False, "_:f": False}
+    assert sorted(seen) == ["_:a", "_:c"]
+
+
+def test_graphs_unlike_all_others_of_their_key_are_kept_without_certificates(spark, monkeypatch):
+    def none(quads):
+        raise AssertionError("no certificate is needed")
+
+    monkeypatch.setattr(canon, "certificates", none)
+    rows = [("k", 0, "_:a", "<p>", "<b>"), ("k", 1, "_:a", "<p>", "<c>"), ("k", 2, "_:a", "<p>", "_:a"), ("k", 2, "_:b", "<p>", "_:c"), ("l", 0, "_:a", "<p>", "<b>")]
+    df = spark.createDataFrame(rows, "k string, n int, s string, p string, o string")
+    assert sorted(map(tuple, duplicates_folded(df, ["k"], "n").select("k", "n", "s", "p", "o").collect())) == sorted(rows)

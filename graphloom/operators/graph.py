@@ -95,22 +95,22 @@ def list_items(graph: DataFrame, heads: DataFrame) -> DataFrame:
     Cells are linked by pointer jumping: after k rounds each cell knows the one 2**k places on, so a list of n cells
     takes log2(n) joins, whatever n is. A circular list ends where it would meet a cell again.
     """
-    cells = graph.where(F.col("p") == FIRST).select(F.col("s").alias("cell"), F.col("o").alias("item"))
-    rest = graph.where(F.col("p") == REST).select(F.col("s").alias("cell"), F.col("o").alias("next"))
-    found = heads.select("head", F.col("head").alias("cell"), F.lit(0).cast("long").alias("position"))
-    step, jump, n = 1, rest.where(F.col("next") != NIL), -1
-    while True:
-        far = found.join(jump, "cell").select("head", F.col("next").alias("cell"), (F.col("position") + step).alias("position"))
-        found = found.union(far)
-        jump = jump.join(jump.select(F.col("cell").alias("next"), F.col("next").alias("far")), "next").select("cell", F.col("far").alias("next"))
+    # the graph's own plan is run once, and no round's plan holds those before it twice
+    links = settle(graph.where(F.col("p").isin(FIRST, REST)))
+    cells = links.where(F.col("p") == FIRST).select(F.col("s").alias("cell"), F.col("o").alias("item"))
+    jump = settle(links.where((F.col("p") == REST) & (F.col("o") != NIL)).select(F.col("s").alias("cell"), F.col("o").alias("next")).distinct())
+    found = settle(heads.select("head", F.col("head").alias("cell"), F.lit(0).cast("long").alias("position")).distinct())
+    step, n = 1, found.count()
+    while not jump.isEmpty():
+        far = found.join(jump.hint("merge"), "cell").select("head", F.col("next").alias("cell"), (F.col("position") + step).alias("position"))
+        # each cell at its first position: once a round finds no new cell there is none further on
+        found = settle(found.union(far).groupBy("head", "cell").agg(F.min("position").alias("position")))
+        before, n = n, found.count()
+        if n == before:
+            break
+        further = jump.select(F.col("cell").alias("next"), F.col("next").alias("far")).hint("merge")
+        jump = settle(jump.join(further, "next").select("cell", F.col("far").alias("next")).distinct())
         step *= 2
-        if step > 8:
-            # each cell at its first position: once a round finds no new cell there is none further on
-            found = found.groupBy("head", "cell").agg(F.min("position").alias("position"))
-            found, jump = settle(found), settle(jump.distinct())
-            before, n = n, found.count()
-            if n == before or jump.isEmpty():
-                break
     return found.join(cells, "cell").select("head", "position", "item")
 
 

@@ -244,3 +244,11 @@ def test_text_round_trip(spark, tmp_path):
 @pytest.mark.parametrize("ref, full", [("g", "http://a/b/c/g"), ("./g", "http://a/b/c/g"), ("/g", "http://a/g"), ("../g", "http://a/b/g"), ("../../g", "http://a/g"), ("g/", "http://a/b/c/g/"), ("#s", "http://a/b/c/d;p?q#s"), ("g;x=1/../y", "http://a/b/c/y"), ("..", "http://a/b/"), ("http:g", "http:g")])
 def test_resolve(spark, ref, full):
     assert spark.range(1).select(U.resolve(F.lit("http://a/b/c/d;p?q"), F.lit(ref))).first()[0] == full
+
+
+def test_list_items_run_the_graph_s_plan_once(spark):
+    rows = spark.range(3).select("id", F.array(F.lit("<a>"), F.lit("<b>"), F.lit("<c>")).alias("x"))
+    made = G.make_lists(rows, "id", "x")
+    done = G.list_items(made, rows.select(F.concat(F.lit("_:l-"), "id", F.lit("-0")).alias("head")))
+    assert "Range (" not in done._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.head, r.position, r.item) for r in done.collect()) == [(f"_:l-{k}-0", i, f"<{c}>") for k in range(3) for i, c in enumerate("abc")]

@@ -99,7 +99,7 @@ def changed(rows: DataFrame, condition: Column) -> DataFrame:
 
 
 def _antecedents(rows: DataFrame, rule: Rule) -> DataFrame:
-    """(claim, alternative, at, s, p, o): the antecedents that each binding of each alternative needs."""
+    """(claim, alternative, at, s, p, o): the antecedents that each binding of each alternative needs, each once."""
     each = rows.select("claim", "alternative", F.posexplode("bindings").alias("at", "entries")).withColumn("b", F.map_from_entries("entries"))
     key = F.array_join(F.transform(F.array_sort("entries"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "|")
 
@@ -109,7 +109,8 @@ def _antecedents(rows: DataFrame, rule: Rule) -> DataFrame:
         return F.coalesce(F.try_element_at("b", F.lit(column_name(t))), T.skolem(f"{rule.name}|{column_name(t)}", key))
 
     triples = F.array(*(F.struct(*(fill(t).alias(c) for c, t in zip("spo", x))) for x in rule.antecedent))
-    return each.select("claim", "alternative", "at", F.inline(triples))
+    # a binding is one row, so that its antecedents are a set without a shuffle
+    return each.select("claim", "alternative", "at", F.inline(F.array_distinct(triples)))
 
 
 def support(rows: DataFrame, rule: Rule) -> DataFrame:
@@ -126,7 +127,7 @@ def folded_support(rows: DataFrame, rule: Rule) -> DataFrame:
     Of the antecedents that an alternative's bindings need, those equal up to such names are needed once; and of a claim's
     alternatives that then need the same, the first stays. Both are told by ``canon.certificates``, for all claims together.
     """
-    each = settle(_antecedents(rows, rule).distinct())
+    each = settle(_antecedents(rows, rule))
     each = duplicates_folded(each, ["claim", "alternative"], "at").drop("at").distinct()
     return duplicates_folded(settle(each), ["claim"], "alternative")
 

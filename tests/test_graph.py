@@ -252,3 +252,14 @@ def test_list_items_run_the_graph_s_plan_once(spark):
     done = G.list_items(made, rows.select(F.concat(F.lit("_:l-"), "id", F.lit("-0")).alias("head")))
     assert "Range (" not in done._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.head, r.position, r.item) for r in done.collect()) == [(f"_:l-{k}-0", i, f"<{c}>") for k in range(3) for i, c in enumerate("abc")]
+
+
+def test_the_whole_closure_runs_each_seeding_rule_twice_on_all_triples(spark, monkeypatch):
+    calls = []
+    real = R.Rule.forward
+    monkeypatch.setattr(R.Rule, "forward", lambda self, graph: calls.append(self.name) or real(self, graph))
+    graph = [("<c>", "<http://www.w3.org/2000/01/rdf-schema#subClassOf>", "<d>"), ("<x>", TYPE, "<c>")]
+    done = {tuple(r) for r in R.rdfs_all_closure(graph_of(spark, graph)).collect()}
+    assert ("<x>", TYPE, "<d>") in done and ("<d>", TYPE, "<http://www.w3.org/2000/01/rdf-schema#Resource>") in done
+    # once as a seed, once in the first round of all rules
+    assert calls.count("r7") == calls.count("r9") == calls.count("r3") == 2

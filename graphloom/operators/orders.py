@@ -109,17 +109,15 @@ def most_complete(rows: DataFrame, keys: list[str], columns: list[str]) -> DataF
     """Distinct tuples of ``columns`` that no other of the same ``keys`` completes: equal where known, and known in more.
 
     A tuple is completed by another if it is what remains of that when some of its known members are left out. So each
-    tuple is once reduced in every such way, and one join on equality tells which are among these: work is rows times
+    tuple is once reduced in every such way, and one grouping tells which are among these: work is rows times
     2 to the number of columns, however many rows a key has.
     """
-    d = rows.select(*keys, *columns).distinct()
     known = [F.col(c).isNotNull() for c in columns]
-    masks = [m for m in itertools.product((True, False), repeat=len(columns)) if not all(m)]
-    fields = [f"_{c}" for c in columns]
-    reduced = F.array(*(F.struct(reduce(lambda a, b: a | b, (k & F.lit(not keep) for k, keep in zip(known, m))).alias("_less"), *(F.when(F.lit(keep), F.col(c)).alias(f) for c, f, keep in zip(columns, fields, m))) for m in masks))
-    reduced = d.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.inline(reduced)).where("_less").drop("_less").distinct()
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col(c).eqNullSafe(F.col(f)) for c, f in zip(columns, fields)])
-    return d.join(reduced, same, "left_anti")
+    masks = itertools.product((True, False), repeat=len(columns))
+    kept = lambda m: reduce(lambda a, b: a & b, (k for k, keep in zip(known, m) if not keep), F.lit(True))
+    ways = F.array(*(F.when(kept(m), F.struct(F.lit(not all(m)).alias("_less"), *(F.when(F.lit(keep), F.col(c)).alias(c) for c, keep in zip(columns, m)))) for m in masks))
+    every = rows.select(*keys, F.inline(F.array_compact(ways)))
+    return every.groupBy(*keys, *columns).agg(F.bool_or("_less").alias("_less")).where("not _less").select(*keys, *columns)
 
 
 def maximal_sets(rows: DataFrame, items: str) -> DataFrame:

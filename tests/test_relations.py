@@ -7,6 +7,7 @@ from graphloom.functions import terms as T
 from graphloom.functions import uri as U
 from graphloom.operators import entail as E
 from graphloom.operators import modifiers as M
+from graphloom.operators import orders as O
 from graphloom.operators import relations as L
 from graphloom.sources.mapping import graph_of
 from graphloom.sources.text import read_triples
@@ -78,3 +79,10 @@ def test_relative_references(spark):
     cases = {("http://h/a/b", "http://h/a/c"): "c", ("http://h/a/b", "http://h/a/"): "./", ("http://h/a/b/", "http://h/a/c"): "../c", ("http://h/a", "ftp://h/a"): "ftp://h/a", ("http://h/a/b", "http://h/a/c:d"): "./c:d"}
     got = spark.createDataFrame(list(cases), "b string, f string").select("b", "f", U.relativise("b", "f").alias("r")).collect()
     assert {(r.b, r.f): r.r for r in got} == cases
+
+
+def test_most_complete_takes_one_shuffle(spark):
+    rows = spark.createDataFrame([(k, a, b) for k in (1, None) for a, b in ((1, None), (1, 2), (None, None), (None, 3), (None, 3))], "k int, a int, b int")
+    done = O.most_complete(rows, ["k"], ["a", "b"])
+    assert sorted(map(tuple, done.collect()), key=str) == sorted([(k, a, b) for k in (1, None) for a, b in ((1, 2), (None, 3))], key=str)
+    assert done._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange") == 1

@@ -121,13 +121,15 @@ def typed(text, dtype: str) -> Column:
 
 
 def integer(value) -> Column:
-    return typed(_c(value).cast("decimal(38,0)"), INTEGER)
+    # digits need no escapes
+    return F.concat(F.lit('"'), _c(value).cast("decimal(38,0)").cast("string"), F.lit(f'"^^<{INTEGER}>'))
 
 
 def as_integer(x) -> Column:
     """The value of an xsd:integer literal as DECIMAL(38,0); NULL for other terms and lexical forms."""
+    # what does not match is '', which has no value
     lex = F.regexp_extract(_c(x), rf'\A"([+-]?[0-9]+)"\^\^<{INTEGER}>\z', 1)
-    return F.when(_c(x).endswith(f'"^^<{INTEGER}>') & (lex != ""), lex.try_cast("decimal(38,0)"))
+    return F.when(_c(x).endswith(f'"^^<{INTEGER}>'), lex.try_cast("decimal(38,0)"))
 
 
 def string(text) -> Column:
@@ -148,7 +150,7 @@ def language_matches(x, tag: str) -> Column:
 
 def canonical(x) -> Column:
     """An xsd:integer or xsd:string literal in canonical form, NULL if its lexical form has no value."""
-    return F.when(datatype(x) == INTEGER, integer(as_integer(x))).when(datatype(x) == STRING, _c(x))
+    return F.when(_c(x).endswith(f'"^^<{INTEGER}>'), integer(as_integer(x))).when(_c(x).endswith(f'"^^<{STRING}>') & (datatype(x) == STRING), _c(x))
 
 
 def plain_to_typed(x) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import terms as T
+from .columns import computed
 
 NUMBER = "decimal(38,0)"
 
@@ -108,17 +109,18 @@ class Modifier:
         if len(variables) != self.size:
             raise ValueError(f"{self.name} takes {self.size} variables")
         bound = {i for i, v in enumerate(variables) if v in bindings.columns}
-        if len(bound) == self.size:
-            return bindings.where(self.holds(*variables))
-        value = [self.values(v) if i in bound else None for i, v in enumerate(variables)]
-        present = reduce(lambda a, b: a & b, (value[i].isNotNull() for i in bound), F.lit(True))
-        usage = self.usage_for(bound)
-        if usage is None:
+        usage = None if len(bound) == self.size else self.usage_for(bound)
+        if usage is None and len(bound) < self.size:
             raise ValueError(f"{self.name} has no usage for bound variables {[variables[i] for i in sorted(bound)]}")
-        out = bindings.where(present)
-        for i, f in usage.binds.items():
-            out = out.withColumn(variables[i], self.back(f(*value)))
-        return out.where(reduce(lambda a, b: a & b, (F.col(variables[i]).isNotNull() for i in usage.binds)))
+        # values in columns of their own, or each use of them would parse their terms again
+        given, own = bindings.columns, {i: f"_value{i}" for i in sorted(bound)}
+        rows = computed(bindings, {own[i]: self.values(variables[i]) for i in own}) if own else bindings
+        rows = rows.where(reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in own.values()), F.lit(True)))
+        value = [F.col(own[i]) if i in own else None for i in range(self.size)]
+        if usage is None:
+            return rows.where(F.coalesce(self.test(*value), F.lit(False))).select(*given)
+        new = {variables[i]: self.back(f(*value)) for i, f in usage.binds.items()}
+        return computed(rows, new).select(*given, *new).where(reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in new)))
 
 
 def _n(c: Column) -> Column:

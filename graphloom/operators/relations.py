@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import terms as T
 from ..functions.vocab import FIRST, NIL, RDF, RDFD, REST, TYPE, XSD, XSD_INTEGER_NS, XSD_STRING_NS
+from .columns import computed
 from .graph import delete, list_items
 from .modifiers import NUMBER, absolute, div_floor, exact_quotient, mod_floor, negative, power, text_value
 from .orders import most_complete
@@ -50,28 +51,33 @@ class Relation:
         known = [F.col(c).isNotNull() for c in columns]
         # values in columns of their own: written into every expression below, they would be computed each time
         given, own = rows.columns, [f"_value{i}" for i in range(self.size)]
-        rows = rows.withColumns({v: self.values(c).cast(self.kind) for v, c in zip(own, columns)})
+        rows = computed(rows, {v: self.values(c).cast(self.kind) for v, c in zip(own, columns)})
         value = [F.col(v) for v in own]
         none = F.array().cast(f"array<{self.kind}>")
         bad = reduce(lambda a, b: a | b, (k & v.isNull() for k, v in zip(known, value)))
-        tuples = F.array(none)
+        found = []
         for i in range(self.size):
             parts = []
             for f, needs in self.functions[i] if i < len(self.functions) else ():
                 present = reduce(lambda a, b: a & b, (value[n].isNotNull() for n in needs))
                 parts.append(F.when(present, F.array(f(*(value[n] for n in needs)).cast(self.kind))).otherwise(none))
-            found = F.filter(F.concat(*parts), lambda x: x.isNotNull()) if parts else none
-            valid = self.valid[i] if i < len(self.valid) and self.valid[i] else lambda x: F.lit(True)
-            bad = bad | (F.size(F.filter(found, _not(valid))) > 0)
-            bad = bad | (value[i].isNotNull() & (~valid(value[i]) | ((F.size(found) > 0) & ~F.array_contains(found, value[i]))))
+            found.append(F.filter(F.concat(*parts), lambda x: x.isNotNull()) if parts else none)
+        rows = computed(rows, {f"_found{i}": x for i, x in enumerate(found)})
+        tuples = F.array(none)
+        for i in range(self.size):
+            found = F.col(f"_found{i}")
+            valid = self.valid[i] if i < len(self.valid) and self.valid[i] else None
+            if valid is not None:
+                bad = bad | F.exists(found, _not(valid)) | (value[i].isNotNull() & ~valid(value[i]))
+            bad = bad | (value[i].isNotNull() & (F.size(found) > 0) & ~F.array_contains(found, value[i]))
             choices = F.when(value[i].isNotNull(), F.array(value[i])).otherwise(F.array_distinct(found))
             tuples = _product(tuples, choices)
         if self.broken is not None:
             bad = bad | F.coalesce(self.broken(*value), F.lit(False))
         if self.test is not None:
             bad = bad | F.exists(tuples, lambda t: ~self.test(*(F.get(t, F.lit(i)) for i in range(self.size))))
-        ok = ~F.coalesce(bad, F.lit(True))
-        done = rows.select(*given, ok.alias("consistent"), tuples.alias("_tuples"))
+        # likewise: a filter on one would have all of this done twice
+        done = computed(rows, {"_bad": F.coalesce(bad, F.lit(True)), "_tuples": tuples}).select(*given, (~F.col("_bad")).alias("consistent"), "_tuples")
         terms = F.transform("_tuples", lambda t: F.transform(t, lambda v: self.back(v)))
         return done.select(*given, "consistent", F.when(F.col("consistent"), terms).alias("tuples"))
 
@@ -181,17 +187,18 @@ def restrictions_of(graph: DataFrame) -> list[Restriction]:
 def _combinations(graph: DataFrame, restriction: Restriction) -> tuple[DataFrame, DataFrame, list[str]]:
     """(values, combinations, columns): each instance's values of each property, and every choice of them, any left open."""
     columns = [f"v{i}" for i in range(len(restriction.properties))]
-    rows = graph.where((F.col("p") == TYPE) & (F.col("o") == restriction.of_class)).select("s").distinct()
-    parts = []
+    # both are read for every property, and the graph's own plan may be long
+    rows = settle(graph.where((F.col("p") == TYPE) & (F.col("o") == restriction.of_class)).select("s").distinct())
+    places = F.array_compact(F.array(*(F.when(F.col("p") == p, F.lit(i)) for i, p in enumerate(restriction.properties))))
+    given = graph.where(F.col("p").isin(*restriction.properties)).select("s", "o", F.explode(places).alias("i")).distinct()
+    given = given.join(rows.hint("merge"), "s", "left_semi")
+    values = settle(given.select("s", "i", F.coalesce(T.canonical("o"), F.col("o")).alias("v")).distinct())
     combined = rows
-    for i, p in enumerate(restriction.properties):
-        canonical = F.coalesce(T.canonical("o"), F.col("o"))
-        own = graph.where(F.col("p") == p).select("s", canonical.alias("v")).distinct().join(rows, "s", "left_semi")
-        parts.append(own.select("s", F.lit(i).alias("i"), "v"))
+    for i, c in enumerate(columns):
         # each instance's values and one that is open, so that combinations are rows of joins
-        choices = own.select("s", F.col("v").alias(columns[i])).union(rows.select("s", F.lit(None).cast("string")))
-        combined = combined.join(choices, "s")
-    return reduce(DataFrame.union, parts), combined, columns
+        choices = values.where(F.col("i") == i).select("s", F.col("v").alias(c)).union(rows.select("s", F.lit(None).cast("string")))
+        combined = combined.join(choices.hint("merge"), "s")
+    return values, combined, columns
 
 
 def _where_one(done: DataFrame, columns: list[str]) -> DataFrame:
@@ -208,13 +215,13 @@ def candidates(graph: DataFrame, restriction: Restriction) -> tuple[DataFrame, D
     """
     values, combined, columns = _combinations(graph, restriction)
     done = restriction.relation.complete(combined, columns).where("consistent")
-    return values, most_complete(settle(_where_one(done, columns).distinct()), ["s"], columns), columns
+    return values, settle(most_complete(_where_one(done, columns), ["s"], columns)), columns
 
 
 def inconsistent(values: DataFrame, best: DataFrame, columns: list[str], most: int | None) -> DataFrame:
     """Instances (s) with a value that no consistent tuple holds, or with more tuples than ``most``."""
     held = best.select("s", F.posexplode(F.array(*columns)).alias("i", "v")).where("v is not null")
-    open_ = values.join(held, ["s", "i", "v"], "left_anti").select("s")
+    open_ = values.join(held.hint("merge"), ["s", "i", "v"], "left_anti").select("s")
     if most is not None:
         open_ = open_.union(best.groupBy("s").agg(F.count("*").alias("n")).where(F.col("n") > most).select("s"))
     return open_.distinct()
@@ -228,7 +235,8 @@ def apply_restriction(graph: DataFrame, restriction: Restriction) -> DataFrame:
     arcs = full.select("s", F.inline(F.array(*(F.struct(F.lit(p).alias("p"), F.col(c).alias("o")) for c, p in zip(columns, restriction.properties)))))
     # one row at most: whether anything is inconsistent
     any_ = F.broadcast(bad.select(F.lit(True).alias("bad")))
-    return delete(arcs, graph).join(any_, F.lit(True), "left_anti").union(bad)
+    given = graph.where(F.col("p").isin(*restriction.properties))
+    return delete(arcs, given).join(any_, F.lit(True), "left_anti").union(bad)
 
 
 # Restrictions backward
@@ -288,7 +296,7 @@ def backward_options(graph: DataFrame, restriction: Restriction) -> tuple[DataFr
     values, combined, columns = _combinations(graph, restriction)
     values = settle(values)
     done = settle(restriction.relation.complete(combined, columns).where("consistent"))
-    best = most_complete(settle(_where_one(done, columns).distinct()), ["s"], columns)
+    best = settle(most_complete(_where_one(done, columns), ["s"], columns))
     wrong = inconsistent(values, best, columns, restriction.most)
     found = settle(_derivations(done.select("s", F.explode("tuples").alias("t")).distinct(), restriction.relation))
     members = found.select("s", "t", F.posexplode("t").alias("i", "v"))

@@ -81,6 +81,21 @@ def test_relative_references(spark):
     assert {(r.b, r.f): r.r for r in got} == cases
 
 
+def _optimized(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_terms_are_parsed_once_a_row(spark):
+    """A filter on what was computed does not compute it again, and none is moved below a distinct."""
+    rows = spark.createDataFrame([('"3"^^<http://www.w3.org/2001/XMLSchema#integer>', None)], "a string, b string").distinct()
+    done = L.INTEGER_RELATIONS["abs"].complete(rows, ["a", "b"]).where("consistent")
+    assert _optimized(done).count("regexp_extract") == 2
+    steps = [M.Step(M.INTEGER["sum"], ("c", "a", "b")), M.Step(M.INTEGER["gt"], ("c", "a"))]
+    plan = _optimized(M.compose(*steps)(rows))
+    assert plan.count("regexp_extract") == 4
+    assert plan.index("regexp_extract") < plan.index("Aggregate")
+
+
 def test_most_complete_takes_one_shuffle(spark):
     rows = spark.createDataFrame([(k, a, b) for k in (1, None) for a, b in ((1, None), (1, 2), (None, None), (None, 3), (None, 3))], "k int, a int, b int")
     done = O.most_complete(rows, ["k"], ["a", "b"])

@@ -282,3 +282,15 @@ def test_graphs_unlike_all_others_of_their_key_are_kept_without_certificates(spa
     rows = [("k", 0, "_:a", "<p>", "<b>"), ("k", 1, "_:a", "<p>", "<c>"), ("k", 2, "_:a", "<p>", "_:a"), ("k", 2, "_:b", "<p>", "_:c"), ("l", 0, "_:a", "<p>", "<b>")]
     df = spark.createDataFrame(rows, "k string, n int, s string, p string, o string")
     assert sorted(map(tuple, duplicates_folded(df, ["k"], "n").select("k", "n", "s", "p", "o").collect())) == sorted(rows)
+
+
+def test_large_and_small_pairs_are_met_alike(spark, monkeypatch):
+    """Rows of a pair meet in one row or by numbers, with the same result; arcs are written once, without what they hold."""
+    a = [("<s>", "<p>", f"_:a{i}") for i in range(6)] + [(f"_:a{i}", "<q>", f'"{i % 3}"') for i in range(6)] + [(f"_:a{i}", "<r>", f"_:b{i}") for i in range(6)] + [(f"_:b{i}", "<v>", f'"{i}"') for i in range(6)]
+    b = [("<s>", "<p>", f"_:c{i}") for i in range(5)] + [(f"_:c{i}", "<q>", f'"{i % 3}"') for i in range(5)] + [(f"_:c{i}", "<r>", f"_:d{i}") for i in range(5)] + [(f"_:d{i}", "<v>", f'"{i + i % 2}"') for i in range(5)]
+    arcs, nodes = trees.digested(graph_of(spark, a), graph_of(spark, b))
+    assert arcs.columns == ["side", "s", "p", "o"] and nodes.count() == 13 + 11
+    small = difference(spark, a, b)
+    assert ("<s>", "<p> <r> <v>", '"1"', '"2"') in small and any(left and right is None for _, _, left, right in small)
+    monkeypatch.setattr(trees, "TOGETHER", 0)
+    assert difference(spark, a, b) == small

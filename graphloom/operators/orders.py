@@ -127,11 +127,13 @@ def maximal_sets(rows: DataFrame, items: str) -> DataFrame:
     under its rarest, and the few found there that are larger are compared with it in full.
     """
     sets = rows.select(F.array_sort(F.array_distinct(items)).alias(items)).where(F.size(items) > 0).distinct()
-    sets = settle(sets.withColumn("_id", F.sha2(F.to_json(items), 256)))
+    # short ids: they are moved with every item, and stand once they are written
+    sets = settle(sets.withColumn("_id", F.monotonically_increasing_id()))
     each = sets.select("_id", F.explode(items).alias("_item"))
     often = each.groupBy("_item").agg(F.count("*").alias("_n"))
     rare = each.join(often, "_item").groupBy("_id").agg(F.min(F.struct("_n", "_item")).alias("_r")).select("_id", F.col("_r._item").alias("_item"))
     small = sets.join(rare, "_id").select(F.col("_id").alias("_small"), F.col(items).alias("_set"), "_item")
-    large = sets.select(F.col(items).alias("_other"), F.explode(items).alias("_item"))
+    # a set of one item holds no other
+    large = sets.where(F.size(items) > 1).select(F.col(items).alias("_other"), F.explode(items).alias("_item"))
     inside = small.join(large, "_item").where((F.size("_other") > F.size("_set")) & (F.size(F.array_except("_set", "_other")) == 0))
     return sets.join(inside.select(F.col("_small").alias("_id")), "_id", "left_anti").select(items)

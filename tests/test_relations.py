@@ -1,5 +1,7 @@
 """Relations, long numbers, escapes, text reading and circles of blank nodes against results worked out by hand."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,3 +103,12 @@ def test_most_complete_takes_one_shuffle(spark):
     done = O.most_complete(rows, ["k"], ["a", "b"])
     assert sorted(map(tuple, done.collect()), key=str) == sorted([(k, a, b) for k in (1, None) for a, b in ((1, 2), (None, 3))], key=str)
     assert done._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange") == 1
+
+
+def test_sets_are_moved_under_short_ids(spark):
+    """Ids are numbers, not digests as long as the sets; sets of one item are no one's larger set."""
+    sets = spark.createDataFrame([([1, 2],), ([2, 1, 2],), ([2],), ([3],), ([1, 2, 4],), ([4, 5],), ([],)], "x array<int>")
+    done = O.maximal_sets(sets, "x")
+    assert sorted(r.x for r in done.collect()) == [[1, 2, 4], [3], [4, 5]]
+    ids = re.findall(r"_id#\d+(L?)", _optimized(done))
+    assert ids and all(x == "L" for x in ids)

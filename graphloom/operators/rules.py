@@ -261,11 +261,17 @@ def closure(graph: DataFrame, rules: list[Rule], rounds: int = 50) -> DataFrame:
 
     Raises RuntimeError where ``rounds`` rounds do not reach it.
     """
-    known, new = settle(graph.select(*SPO).distinct()), None
+    return _to_fixpoint(settle(graph.select(*SPO).distinct()), rules, {}, rounds)
+
+
+def _to_fixpoint(known: DataFrame, rules: list[Rule], since: dict[str, DataFrame], rounds: int = 50) -> DataFrame:
+    """``closure`` of the written set ``known``; ``since`` has, for rules applied before, what may be new to them."""
+    new = None
     for _ in range(rounds):
         found = None
         for r in rules:
-            part = r.forward(known) if new is None else r.forward_new(known, new)
+            recent = since.get(r.name) if new is None else new
+            part = r.forward(known) if recent is None else r.forward_new(known, recent)
             found = part if found is None else found.union(part)
         new = settle(delete(found, known))
         if new.isEmpty():
@@ -274,26 +280,32 @@ def closure(graph: DataFrame, rules: list[Rule], rounds: int = 50) -> DataFrame:
     raise RuntimeError(f"no fixpoint in {rounds} rounds")
 
 
-def _grown(graph: DataFrame, rules: list[Rule]) -> DataFrame:
-    """The graph and what the rules deduce from it in one step."""
-    return settle(add(graph, reduce(DataFrame.union, (r.forward(graph) for r in rules)))) if rules else graph
+def _deduced(graph: DataFrame, rules: list[Rule]) -> DataFrame:
+    return settle(reduce(DataFrame.union, (r.forward(graph) for r in rules)).select(*SPO))
 
 
-def _seeded(graph: DataFrame, first: list[Rule], then: list[Rule]) -> DataFrame:
+def _seeded(graph: DataFrame, first: list[Rule], then: list[Rule]) -> tuple[DataFrame, dict[str, DataFrame]]:
     """Each of r2, r3, r5, r7, r9 and r11 once, in the order that leaves fewest rounds to a closure: schema first, then data.
 
-    ``first`` are applied once before all of these, ``then`` once before the classes.
+    ``graph`` is a written set. ``first`` are applied once before all of these, ``then`` once before the classes. Also returns, for each
+    of the six, what has been added since it was applied: all other matches are in the graph.
     """
     by = {r.name: r for r in RDFS_RULES}
-    g = _grown(graph.select(*SPO), first)
+    g = settle(add(graph, _deduced(graph, first))) if first else graph
     sub = transitive(g.where(F.col("p") == SUBPROPERTY))
-    g = add(g, sub.select("s", F.lit(SUBPROPERTY).alias("p"), "o"))
-    g = add(g, by["r7"].forward(g))
-    g = _grown(settle(g), [by["r2"], by["r3"]])
-    g = _grown(g, then)
-    classes = transitive(g.where(F.col("p") == SUBCLASS))
-    g = add(g, classes.select("s", F.lit(SUBCLASS).alias("p"), "o"))
-    return settle(add(g, by["r9"].forward(g)))
+    g = settle(add(g, sub.select("s", F.lit(SUBPROPERTY).alias("p"), "o")))
+    more = [_deduced(g, [by["r7"]])]
+    g = settle(add(g, more[-1]))
+    more.append(_deduced(g, [by["r2"], by["r3"]]))
+    g = settle(add(g, more[-1]))
+    if then:
+        more.append(_deduced(g, then))
+        g = settle(add(g, more[-1]))
+    classes = transitive(g.where(F.col("p") == SUBCLASS)).select("s", F.lit(SUBCLASS).alias("p"), "o")
+    more += [classes, _deduced(g.union(classes), [by["r9"]])]
+    since = lambda i: reduce(DataFrame.union, more[i:])
+    known = settle(reduce(DataFrame.union, (g, *more[-2:])).distinct())
+    return known, {"r5": since(0), "r7": since(0), "r2": since(1), "r3": since(1), "r11": more[-1], "r9": more[-1]}
 
 
 def rdfs_closure(graph: DataFrame) -> DataFrame:
@@ -302,7 +314,8 @@ def rdfs_closure(graph: DataFrame) -> DataFrame:
     ``rdfs_all_closure`` has the other rules and the axioms.
     """
     by = {r.name: r for r in RDFS_RULES}
-    return closure(_seeded(graph, [], []), [by[k] for k in ("r2", "r3", "r5", "r7", "r9", "r11")])
+    known, since = _seeded(settle(graph.select(*SPO).distinct()), [], [])
+    return _to_fixpoint(known, [by[k] for k in ("r2", "r3", "r5", "r7", "r9", "r11")], since)
 
 
 def rdfs_all_closure(graph: DataFrame) -> DataFrame:
@@ -314,7 +327,8 @@ def rdfs_all_closure(graph: DataFrame) -> DataFrame:
     rdf = [r for r in RDF_RULES if r.name not in ("lg", "gl", "r2")]
     named = lambda *names: [r for r in RDFS_RULES if r.name in names]
     first = rdf + [r for r in RDFS_RULES if r.name.startswith("cp")] + named("r12")
-    return closure(_seeded(settle(add(graph, axioms)), first, named("r1", "r4a", "r4b", "r6", "r8", "r10", "r13")), rdf + RDFS_RULES)
+    known, since = _seeded(settle(add(graph, axioms)), first, named("r1", "r4a", "r4b", "r6", "r8", "r10", "r13"))
+    return _to_fixpoint(known, rdf + RDFS_RULES, since)
 
 
 def types_of(graph: DataFrame) -> DataFrame:

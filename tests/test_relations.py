@@ -112,3 +112,17 @@ def test_sets_are_moved_under_short_ids(spark):
     assert sorted(r.x for r in done.collect()) == [[1, 2, 4], [3], [4, 5]]
     ids = re.findall(r"_id#\d+(L?)", _optimized(done))
     assert ids and all(x == "L" for x in ids)
+
+
+def test_a_seeded_closure_applies_no_rule_to_all_triples_again(spark, monkeypatch):
+    """Rules are run over the whole graph once; then they look only at what has been added since."""
+    from graphloom.operators import rules as R
+
+    whole, forward = [], R.Rule.forward
+    monkeypatch.setattr(R.Rule, "forward", lambda self, graph: (whole.append(self.name), forward(self, graph))[1])
+    sub, dom, cls = ("<http://www.w3.org/2000/01/rdf-schema#" + x + ">" for x in ("subPropertyOf", "domain", "subClassOf"))
+    g = graph_of(spark, [("<p>", sub, "<q>"), ("<q>", sub, sub), ("<q>", dom, "<A>"), ("<A>", cls, "<B>"), ("<B>", cls, "<C>"), ("<x>", "<p>", "<y>"), ("<y>", "<q>", "<z>")])
+    seeded = {tuple(r) for r in R.rdfs_closure(g).collect()}
+    assert sorted(whole) == ["r2", "r3", "r7", "r9"]
+    six = [R.find_rule(f"rdfs:{r}") for r in ("r2", "r3", "r5", "r7", "r9", "r11")]
+    assert seeded == {tuple(r) for r in R.closure(g, six).collect()} and ("<x>", sub, "<z>") in seeded

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 from functools import lru_cache
@@ -20,6 +21,7 @@ from .common import cut, slices, table
 VOCABULARY = ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken", (("<|endoftext|>", 50256),))
 #: The last code point of which both libraries are known to make the same ids (see tests/llm/test_tokens.py).
 SAME_UP_TO = "ɏ"
+BEYOND = re.compile(f"[^\\0-{SAME_UP_TO}]")
 
 
 @lru_cache(maxsize=2)
@@ -32,14 +34,25 @@ def _library(path: str):
     return Tokenizer.from_file(path)
 
 
-def encode_text(text: str, end: int) -> bytes:
-    """Ids of one text and the end id, as ``tokenizers`` gives them without added special tokens."""
+def encode_texts(texts: list[str], end: int) -> list[bytes]:
+    """Ids of each text and the end id, as ``tokenizers`` gives them without added special tokens."""
     json, ranks, special = VOCABULARY
-    if not text or text.isascii() or max(text) <= SAME_UP_TO:
-        ids = rank_encoder(public_tokenizers.path(ranks), special).encode(text)
-    else:
-        ids = np.array(_library(public_tokenizers.path(json)).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-    return ids + np.array([end], "<u4").tobytes()
+    out: list[bytes | None] = [None] * len(texts)
+    same = []
+    for i, text in enumerate(texts):
+        if text.isascii() or not BEYOND.search(text):
+            same.append(i)
+        else:
+            out[i] = np.array(_library(public_tokenizers.path(json)).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    for i, ids in zip(same, rank_encoder(public_tokenizers.path(ranks), special).encode_all([texts[i] for i in same])):
+        out[i] = ids
+    last = np.array([end], "<u4").tobytes()
+    return [ids + last for ids in out]
+
+
+def encode_text(text: str, end: int) -> bytes:
+    """``encode_texts`` of one text."""
+    return encode_texts([text], end)[0]
 
 
 def cut_points(n: int, size: int) -> list[tuple[int, int]]:
@@ -243,8 +256,7 @@ def pack_documents(docs: DataFrame, size: int = 1024, end: int = 2) -> DataFrame
         for pdf in batches:
             for s in slices(pdf.text):
                 out = []
-                for doc, text in zip(pdf.doc_id[s], pdf.text[s]):
-                    ids = encode_text(text, end)
+                for doc, ids in zip(pdf.doc_id[s], encode_texts(pdf.text[s].tolist(), end)):
                     out += [(doc, i, a, n, zlib.crc32(memoryview(ids)[4 * a : 4 * (a + n)])) for i, (a, n) in enumerate(cut_points(len(ids) // 4, size))]
                 yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 

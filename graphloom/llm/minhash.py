@@ -137,7 +137,7 @@ def near_duplicate_rows(docs: DataFrame, size: int, percent: int, sketch: Sketch
     Links texts with 100 * intersection >= ``percent`` * union of their sets of ``size``-word shingles.
     Equal word sequences fold into classes. A class's bands are looked up in buckets; each member is compared
     with its bucket's first class by likelihood of the registers, then on the full sets. Then buckets that are still
-    in several components take another class as pivot, ``pivots`` times, which costs as many rows as they have members
+    in several components take ``pivots`` more classes as pivots, which costs that many times as many rows as they have members
     and joins most of what belongs together. What is left is compared in full where two classes share a rare shingle
     (``rooms_of``, which loses no pair), by blocks of about ``block`` classes: blocks of one component are not paired with each other, a pair meets in the first band it shares, passes the
     registers, and is counted on 64-bit hashes of its full sets; only links that join components leave the task, to be
@@ -189,15 +189,13 @@ def near_duplicate_rows(docs: DataFrame, size: int, percent: int, sketch: Sketch
     stars = shared.where("cid <> first").select(F.col("first").alias("a"), F.col("cid").alias("b"), "members")
     links = [verified(likely(stars, classes, percent, sketch), texts, size, percent)]
     roots = contracted(links)
-    for turn in range(pivots):
+    if pivots:
         member = members_of(shared, roots)
-        pairs = pivot_pairs(member, turn)
-        links.append(verified(likely(pairs, classes, percent, sketch), texts, size, percent))
+        links.append(verified(likely(pivot_pairs(member, pivots), classes, percent, sketch), texts, size, percent))
         drop(member)
-        if links[-1].isEmpty():
-            break
-        drop(roots)
-        roots = contracted(links)
+        if not links[-1].isEmpty():
+            drop(roots)
+            roots = contracted(links)
     links.append(verified(remaining(shared, roots, classes, texts, size, percent, sketch, block), texts, size, percent))
     if not links[-1].isEmpty():
         drop(roots)
@@ -298,13 +296,14 @@ def members_of(shared: DataFrame, roots: DataFrame) -> DataFrame:
     return cut(rows.select("key", "band", "cid", "first", "members", F.coalesce("root", "cid").alias("root")), "members")
 
 
-def pivot_pairs(member: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a, b, members) of a class of each open bucket, another one each ``turn``, and members outside its component."""
-    order = F.xxhash64(F.col("cid"), F.lit(turn))
-    pivot = F.min(F.struct(order.alias("order"), "cid", "root")).alias("pivot")
-    chosen = member.groupBy("key").agg(pivot, F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-    chosen = chosen.select("key", F.col("pivot.cid").alias("a"), F.col("pivot.root").alias("of"))
-    return member.join(chosen.hint("merge"), "key").where("root <> of").select("a", F.col("cid").alias("b"), "members")
+def pivot_pairs(member: DataFrame, pivots: int) -> DataFrame:
+    """Pairs (a, b, members) of up to ``pivots`` classes of each open bucket and members outside their components."""
+    orders = [F.xxhash64(F.col("cid"), F.lit(turn)).alias("order") for turn in range(pivots)]
+    least = [F.min(F.struct(order, "cid", "root")) for order in orders]
+    # one pass for all: a round of its own for each would cost more than the pairs that it saves
+    named = F.array_distinct(F.transform(F.array(*least), lambda x: F.struct(x["cid"].alias("a"), x["root"].alias("of"))))
+    chosen = member.groupBy("key").agg(named.alias("pivots"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    return member.join(chosen.select("key", F.inline("pivots")).hint("merge"), "key").where("root <> of").select("a", F.col("cid").alias("b"), "members")
 
 
 def groups_of(batches: Iterator[pd.DataFrame], by: list[str]) -> Iterator[pd.DataFrame]:
@@ -448,7 +447,9 @@ def remaining(shared: DataFrame, roots: DataFrame, classes: DataFrame, texts: Da
             for s in range(0, len(a), 20_000):
                 x, y = a[s : s + 20_000], b[s : s + 20_000]
                 met = (before[x] == before[y]).all(axis=2).any(axis=1)
-                ok[s : s + 20_000] = ~met & _likely_pairs(regs[x], regs[y], n[x], n[y], percent, sketch)
+                new = np.flatnonzero(~met)
+                x, y = x[new], y[new]
+                ok[s + new] = _likely_pairs(regs[x], regs[y], n[x], n[y], percent, sketch)
             links = joining_links(cid, root, hashes, a[ok], b[ok], percent)
             if links:
                 yield pd.DataFrame(links, columns=["a", "b"])

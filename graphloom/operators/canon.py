@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import terms as T
 from .graph import SPO
-from .scratch import settle
+from .scratch import drop, freed, settle, settle_in_slices, slices_of, tidy
 
 
 def _local(c: str) -> Column:
@@ -33,10 +33,14 @@ def _coloured(arcs: DataFrame, nodes: DataFrame) -> DataFrame:
     return known
 
 
+@tidy
 def _refined(arcs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The colours of ``nodes(unit, term, colour)`` refined until no class of any unit splits."""
-    classes = lambda n: n.select("unit", "colour").distinct().count()
-    before = classes(nodes)
+    def classes(n: DataFrame) -> int:
+        with freed(n.sparkSession):
+            return n.select("unit", "colour").distinct().count()
+
+    before, first = classes(nodes), nodes
     total = nodes.count()
     none = F.lit(None).cast("long")
     while before < total:
@@ -44,7 +48,9 @@ def _refined(arcs: DataFrame, nodes: DataFrame) -> DataFrame:
         ends = [known.where(_local(c)).select("unit", F.col(c).alias("term"), none.alias("colour"), F.xxhash64(F.lit(c), "cs", "cp", "co").alias("h")) for c in SPO]
         sums = reduce(DataFrame.union, ends, nodes.select("unit", "term", "colour", none.alias("h"))).groupBy("unit", "term")
         sums = sums.agg(F.max("colour").alias("colour"), F.sum(F.col("h").cast("decimal(38,0)")).alias("h"))
-        nodes = settle(sums.select("unit", "term", F.xxhash64("colour", "h").alias("colour")))
+        last, nodes = nodes, settle(sums.select("unit", "term", F.xxhash64("colour", "h").alias("colour")))
+        if last is not first:
+            drop(last)
         now = classes(nodes)
         if now == before:
             break
@@ -52,19 +58,23 @@ def _refined(arcs: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes
 
 
+@tidy
 def _parts(links: DataFrame, tied: DataFrame) -> DataFrame:
     """(unit, term, part) of tied nodes: those that hang together by ``links(unit, term, other)`` have one part."""
-    part = tied.select("unit", "term", F.col("term").alias("part"))
+    part, last = tied.select("unit", "term", F.col("term").alias("part")), tied.limit(0)
     while True:
         near = links.join(part.select("unit", F.col("term").alias("other"), "part"), ["unit", "other"]).groupBy("unit", "term").agg(F.min("part").alias("near"))
         least = part.join(near, ["unit", "term"], "left").select("unit", "term", F.least("part", "near").alias("to"), F.col("part").alias("was"))
         jump = part.select("unit", F.col("term").alias("to"), "part")
         now = settle(least.join(jump, ["unit", "to"]).select("unit", "term", "part", "was"))
         part = now.select("unit", "term", "part")
+        drop(last)
+        last = now
         if now.where("part <> was").isEmpty():
             return part
 
 
+@tidy
 def _units(arcs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(unit, certificate) for ``arcs(unit, s, p, o)`` whose blank nodes and variables have colours in ``nodes``."""
     nodes = _refined(arcs, nodes)
@@ -172,6 +182,7 @@ def _small_certificate():
     return certificate
 
 
+@tidy
 def certificates(quads: DataFrame) -> DataFrame:
     """(g, certificate) of every named graph of ``quads(g, s, p, o)``: equal for graphs equal up to the names of blank nodes and variables.
 
@@ -199,6 +210,7 @@ def outlines(rows: DataFrame, graph: list[str]) -> DataFrame:
     return rows.groupBy(*graph).agg(F.count("*").alias("_n"), F.bit_xor(h).alias("_x"), F.sum(low).alias("_y"))
 
 
+@tidy
 def twins(rows: DataFrame, graph: list[str], within: list[str]) -> DataFrame:
     """(graph) of those in ``rows(graph, s, p, o)`` that may equal another with the same ``within``, by outlines; the others equal none."""
     found = settle(outlines(rows, graph))
@@ -207,6 +219,7 @@ def twins(rows: DataFrame, graph: list[str], within: list[str]) -> DataFrame:
     return settle(found.join(several.hint("merge"), same).select(*graph))
 
 
+@tidy
 def duplicates_folded(rows: DataFrame, keys: list[str], number: str) -> DataFrame:
     """``rows(keys, number, s, p, o)``, graphs (sets) numbered within their keys, without those equal to one of a lesser number up to blank names.
 
@@ -222,3 +235,58 @@ def duplicates_folded(rows: DataFrame, keys: list[str], number: str) -> DataFram
     again = marks.join(first.hint("merge"), [*keys, "certificate"]).where(F.col(number) != F.col("_first"))
     # as many rows as graphs, on all sides: none is sent through the driver
     return rows.join(again.select(*graph).hint("merge"), graph, "left_anti")
+
+
+def _plain_triples(graph) -> Column:
+    return F.transform(graph, lambda x: F.array(*(x[c] for c in SPO)))
+
+
+def _outline(graph) -> Column:
+    """A hash of a graph in one row, an array of triples: equal for graphs equal up to blank names, and seldom for others."""
+    mask = lambda c: F.when(c.startswith("_:") | c.startswith("?"), F.lit("_:")).otherwise(c)
+    return F.xxhash64(F.array_sort(F.transform(graph, lambda x: F.xxhash64(*(mask(x[c]) for c in SPO)))))
+
+
+def firsts_kept(rows: DataFrame, graphs: str) -> DataFrame:
+    """``rows`` whose arrays of graphs, of up to ``SMALL`` triples each, are left with those not equal to one before them up to blank names."""
+    import json
+
+    one = _small_certificate()
+
+    def each(rows: pd.Series) -> pd.Series:
+        return pd.Series([list(one([json.loads(g) for g in r])) for r in rows], dtype=object)
+
+    # only a row in which two look alike needs certificates; Arrow crashed on deeper arrays than this, so graphs travel as text
+    outlines = F.transform(graphs, _outline)
+    alike = F.size(F.array_distinct(outlines)) < F.size(outlines)
+    text = F.transform(graphs, lambda g: F.to_json(_plain_triples(g)))
+    marked = rows.withColumn("_marks", F.pandas_udf(each, "array<string>")(F.when(alike, text).otherwise(F.array().cast("array<string>"))))
+    first = F.filter(graphs, lambda _, i: F.array_position("_marks", F.get("_marks", i)) == i + 1)
+    return marked.withColumn(graphs, F.when(F.size("_marks") == 0, F.col(graphs)).otherwise(first)).drop("_marks")
+
+
+@tidy
+def rows_folded(rows: DataFrame, keys: list[str], number: str) -> DataFrame:
+    """``duplicates_folded`` for ``rows(keys, number, graph)``, a written table with a graph in each row, an array of distinct triples.
+
+    So what tells two graphs apart is found within their rows, and graphs are moved whole; those of more than ``SMALL`` triples
+    get the certificates of triples in rows of their own.
+    """
+    graph = [*keys, number]
+    outline = rows.select(*graph, F.size("graph").alias("_n"), _outline(F.col("graph")).alias("_x"))
+    alike = outline.groupBy(*keys, "_n", "_x").agg(F.collect_list(number).alias("_numbers")).where(F.size("_numbers") > 1)
+    alike = settle(alike.select(*keys, F.explode("_numbers").alias(number)))
+    if alike.isEmpty():
+        return rows
+    slices = slices_of(rows)
+    small = F.size("graph") <= SMALL
+    of_row = F.pandas_udf(_small_certificate(), "string")(_plain_triples("graph")).alias("certificate")
+    own = lambda part: part(rows.where(small), *keys).join(part(alike, *keys).hint("merge"), graph, "left_semi")
+    marks = settle_in_slices(slices, lambda part: own(part).select(*graph, of_row))
+    large = settle(rows.where(~small).join(alike.hint("merge"), graph, "left_semi").withColumn("g", F.to_json(F.struct(*graph))))
+    if not large.isEmpty():
+        told = certificates(large.select("g", F.inline("graph")))
+        marks = marks.union(large.join(told.hint("merge"), "g").select(*graph, "certificate"))
+    same = marks.groupBy(*keys, "certificate").agg(F.collect_list(number).alias("_numbers")).where(F.size("_numbers") > 1)
+    again = settle(same.select(*keys, F.explode(F.filter("_numbers", lambda n: n > F.array_min("_numbers"))).alias(number)))
+    return settle_in_slices(slices, lambda part: part(rows, *keys).join(part(again, *keys).hint("merge"), graph, "left_anti"))

@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import terms as T
-from .canon import certificates, duplicates_folded
+from .canon import SMALL, certificates, duplicates_folded, firsts_kept, rows_folded
+from .columns import computed
 from .graph import SPO
 from .numbers import numbered
 from .query import Pattern, column_name, names, variable
 from .rules import Change, Rule
-from .scratch import settle
+from .scratch import drop, settle, tidy
 
 BINDING = "map<string,string>"
 
@@ -98,19 +99,27 @@ def changed(rows: DataFrame, condition: Column) -> DataFrame:
     return rows.join(ok.select("claim", "alternative"), ["claim", "alternative"], "left_semi")
 
 
-def _antecedents(rows: DataFrame, rule: Rule) -> DataFrame:
-    """(claim, alternative, at, s, p, o): the antecedents that each binding of each alternative needs, each once."""
-    each = rows.select("claim", "alternative", F.posexplode("bindings").alias("at", "entries")).withColumn("b", F.map_from_entries("entries"))
-    key = F.array_join(F.transform(F.array_sort("entries"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "|")
+def _graphs(rule: Rule) -> Column:
+    """For each of ``bindings`` the antecedents that it needs, a set: an array of arrays of triples."""
+
+    def graph(entries: Column) -> Column:
+        key = F.array_join(F.transform(F.array_sort(entries), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "|")
+
+        def fill(t: str) -> Column:
+            if not variable(t):
+                return F.lit(t)
+            return F.coalesce(F.try_element_at(F.map_from_entries(entries), F.lit(column_name(t))), T.skolem(f"{rule.name}|{column_name(t)}", key))
 
-    def fill(t: str) -> Column:
-        if not variable(t):
-            return F.lit(t)
-        return F.coalesce(F.try_element_at("b", F.lit(column_name(t))), T.skolem(f"{rule.name}|{column_name(t)}", key))
+        return F.array_distinct(F.array(*(F.struct(*(fill(t).alias(c) for c, t in zip("spo", x))) for x in rule.antecedent)))
 
-    triples = F.array(*(F.struct(*(fill(t).alias(c) for c, t in zip("spo", x))) for x in rule.antecedent))
+    return F.transform("bindings", graph)
+
+
+def _antecedents(rows: DataFrame, rule: Rule) -> DataFrame:
+    """(claim, alternative, at, s, p, o): the antecedents that each binding of each alternative needs, each once."""
     # a binding is one row, so that its antecedents are a set without a shuffle
-    return each.select("claim", "alternative", "at", F.inline(F.array_distinct(triples)))
+    each = rows.select("claim", "alternative", F.posexplode(_graphs(rule)).alias("at", "graph"))
+    return each.select("claim", "alternative", "at", F.inline("graph"))
 
 
 def support(rows: DataFrame, rule: Rule) -> DataFrame:
@@ -121,15 +130,22 @@ def support(rows: DataFrame, rule: Rule) -> DataFrame:
     return _antecedents(rows, rule).drop("at").distinct()
 
 
+@tidy
 def folded_support(rows: DataFrame, rule: Rule) -> DataFrame:
     """``support`` without what differs in the names of blank nodes only.
 
     Of the antecedents that an alternative's bindings need, those equal up to such names are needed once; and of a claim's
     alternatives that then need the same, the first stays. Both are told by ``canon.certificates``, for all claims together.
     """
-    each = settle(_antecedents(rows, rule))
-    each = duplicates_folded(each, ["claim", "alternative"], "at").drop("at").distinct()
-    return duplicates_folded(settle(each), ["claim"], "alternative")
+    if len(rule.antecedent) > SMALL:
+        each = settle(_antecedents(rows, rule))
+        once = settle(duplicates_folded(each, ["claim", "alternative"], "at").drop("at").distinct())
+        drop(each)
+        return duplicates_folded(once, ["claim"], "alternative")
+    # an alternative is a row: the graphs of its bindings are told within it
+    graphs = computed(rows.select("claim", "alternative", "bindings"), {"_graphs": _graphs(rule)})
+    each = settle(firsts_kept(graphs, "_graphs").select("claim", "alternative", F.array_distinct(F.flatten("_graphs")).alias("graph")))
+    return rows_folded(each, ["claim"], "alternative").select("claim", "alternative", F.inline("graph"))
 
 
 def backward_apply(rule: Rule, goals: DataFrame, condition: Column | None = None, fold: bool = True) -> DataFrame:

@@ -5,7 +5,10 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators import scratch, trees
+from graphloom.operators import canon, scratch, trees
+from graphloom.operators import chaining as C
+from graphloom.operators import rules as R
+from graphloom.operators.query import pattern
 from graphloom.sources.mapping import graph_of
 
 TREE = [("<s>", "<p>", f"_:a{i}") for i in range(9)] + [(f"_:a{i}", "<q>", f"_:b{i}") for i in range(9)] + [(f"_:b{i}", "<q>", f'"{i}"') for i in range(9)]
@@ -69,3 +72,23 @@ def test_only_tables_of_the_result_are_left_and_slices_change_nothing(spark, mon
     cut = what(spark)
     assert written(spark) - before == reads(cut)
     assert sorted(map(str, cut.collect())) == rows
+
+
+def test_folding_moves_no_triples_and_takes_tables_back(spark, monkeypatch):
+    """Bindings are folded within an alternative's row, alternatives within their claim, graphs of any size; goals without options drop their claim."""
+    rule = R.Rule("paid", pattern("?o <urn:by> ?c . ?c <urn:paid> ?z"), pattern("?o <urn:to> ?c . ?o <urn:to> ?who . ?o <urn:to> ?else"))
+    rows = [("k", 0, "<o>", "<urn:to>", "<c>"), ("k", 1, "<o>", "<urn:to>", "<any>"), ("l", 0, "<p>", "<urn:to>", "<c>"), ("m", 0, "<q>", "<urn:to>", "<c>"), ("m", 1, "<q>", "<urn:from>", "<c>")]
+    goals = spark.createDataFrame(rows, "claim string, goal int, s string, p string, o string")
+    plain = C.backward_apply(rule, goals, fold=False)
+    old = canon.duplicates_folded(canon.duplicates_folded(C._antecedents(C.alternatives(goals, C.unifiers(goals, rule.consequent)), rule), ["claim", "alternative"], "at").drop("at").distinct(), ["claim"], "alternative")
+    want = sorted(map(tuple, old.collect()))
+    monkeypatch.setattr(C, "_antecedents", None)
+    before = written(spark)
+    got = C.backward_apply(rule, goals)
+    assert written(spark) - before == reads(got)
+    assert sorted(map(tuple, got.collect())) == want and 0 < len(want) < plain.count() and {r[0] for r in want} == {"k", "l"}
+    # alternatives too large for a row's certificate
+    monkeypatch.setattr(canon, "SMALL", 3)
+    monkeypatch.setattr(scratch, "SLICE_BYTES", 1000)
+    again = C.backward_apply(rule, goals)
+    assert sorted(map(tuple, again.collect())) == want

@@ -6,8 +6,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
-from .common import array_matrix, connected_components, cut, local_forest, table
+from .common import array_matrix, connected_components, cut, drop, local_forest, table
+
+#: Rows of a tile of a product, on its two sides; and rows shuffled at once, as a multiple of the vectors. Fixed values.
+TILE, ROUND = (2048, 4096), 4
 
 
 def unit(m: np.ndarray) -> np.ndarray:
@@ -57,15 +61,20 @@ def embedding_near_dedup(vectors: DataFrame, threshold: float = 0.9, cell_rows:
 
     Equal vectors are folded into classes first. Centres are fitted on at most ``sample_rows`` classes, chosen by
     hash; every class then gets a home cell and visits each cell that could hold a partner (see ``reachable``:
-    no link is lost). A cell is cut into blocks of about ``cell_rows`` residents and ``seen_rows`` visitors; a task
-    compares one pair of blocks and returns counts and a spanning forest, never pairs.
+    no link is lost). Neighbouring cells are put together, and large ones cut, into blocks of up to ``8 * cell_rows``
+    residents; a visitor goes to a block once, however many of its cells it visits, and a block's visitors come in blocks of
+    up to ``2 * seen_rows``. A task compares one pair of blocks, tile by tile, and returns counts and a spanning forest, never
+    pairs. Pairs of blocks are taken in rounds that shuffle about ``ROUND`` rows a vector each, so that the work may grow
+    with the square of the rows, but not the disk that it takes.
 
     Vectors that are null, empty, zero, or hold null or non-finite components, and rows without vec_id, link with
     nothing: n_links 0, component_id the own id. Vectors of different length are not compared. Rows repeated with
     one vec_id link with each other (as other rows). No rows give an empty result; other columns are ignored.
     Returns vec_id, n_links long, component_id long, kept boolean.
     """
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
+    # floats are moved as such; what is computed of them is the same
+    kind = "array<float>" if isinstance(vectors.schema["embedding"].dataType.elementType, FloatType) else "array<double>"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("v"))
     valid = F.coalesce((F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False)) & F.col("vec_id").isNotNull()
     keyed = rows.withColumn("key", F.when(valid, F.sha2(F.concat_ws(",", F.transform("v", lambda x: (x + F.lit(0.0)).cast("string"))), 256)))
     classes = cut(keyed.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("cid"), F.count("*").alias("n"), F.any_value("v").alias("v")), "vec-classes")
@@ -94,42 +103,111 @@ def _one_dim(part: DataFrame, dim: int, n: int, threshold: float, cell_rows: int
                 cells = [np.flatnonzero(x) for x in ok]
                 yield pa.RecordBatch.from_arrays([b["cid"], b["n"], b["v"], pa.array(home.astype(np.int64)), pa.array(cells, pa.list_(pa.int64()))], names=["cid", "n", "v", "home", "cells"])
 
-    placed = cut(part.select("cid", "n", "v").mapInArrow(assign, "cid long, n long, v array<double>, home long, cells array<long>"), "vec-cells")
-    homes = placed.groupBy(F.col("home").alias("cell")).agg(F.count("*").alias("h"))
-    seen = placed.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("s"))
+    kind = part.schema["v"].dataType.simpleString()
+    placed = cut(part.select("cid", "n", "v").mapInArrow(assign, f"cid long, n long, v {kind}, home long, cells array<long>"), "vec-cells")
     # one row a cell, max_cells at most
-    blocks = {r.cell: (-(-r.h // cell_rows), -(-r.s // seen_rows)) for r in homes.join(seen, "cell").collect()}
-    grid = placed.sparkSession.createDataFrame([(c, *x) for c, x in blocks.items()] or [(0, 1, 1)], "cell long, hb long, sb long")
-    h = F.xxhash64("cid")
-    left = placed.select("cid", "v", F.col("home").alias("cell"), h.alias("x")).join(F.broadcast(grid), "cell")
-    left = left.select("cid", "v", "cell", F.expr("pmod(x, hb)").alias("i"), F.explode(F.expr("sequence(0, sb - 1)")).alias("j"))
-    right = placed.select("cid", "n", "v", F.explode("cells").alias("cell"), h.alias("x")).join(F.broadcast(grid), "cell")
-    right = right.select("cid", "n", "v", "cell", F.explode(F.expr("sequence(0, hb - 1)")).alias("i"), F.expr("pmod(shiftright(x, 20), sb)").alias("j")).toDF("c_id", "c_n", "c_v", "c_cell", "c_i", "c_j")
+    homes = {r.home: r.h for r in placed.groupBy("home").agg(F.count("*").alias("h")).collect()}
+    own_rows, seen_block = (min(most, max(cell_rows, n // 8)) for most in (8 * cell_rows, 2 * seen_rows))
+    blocks = _blocks([homes.get(c, 0) for c in range(len(centres))], own_rows)
+    first, wide = (np.array(x, dtype=np.int64) for x in zip(*blocks))
+
+    def visit(batches):
+        for b in batches:
+            if b.num_rows:
+                seen = [np.unique(np.concatenate([np.arange(first[c], first[c] + wide[c]) for c in cells])) for cells in b["cells"].to_pylist()]
+                yield pa.RecordBatch.from_arrays([b["cid"], b["n"], b["v"], b["home"], pa.array(seen, pa.list_(pa.int64()))], names=["cid", "n", "v", "home", "blocks"])
+
+    spread = cut(placed.mapInArrow(visit, f"cid long, n long, v {kind}, home long, blocks array<long>"), "vec-blocks")
+    drop(placed)
+    seen = {r.block: r.s for r in spread.select(F.explode("blocks").alias("block")).groupBy("block").agg(F.count("*").alias("s")).collect()}
+    cut_in = {g: -(-s // seen_block) for g, s in seen.items()}
+    # blocks of residents, each of which has visitors, as all are their own
+    where = spread.sparkSession.createDataFrame([(c, int(first[c]), int(wide[c])) for c in homes] or [(0, 0, 1)], "home long, first long, wide long")
+    times = spread.sparkSession.createDataFrame([(g, k) for g, k in cut_in.items()] or [(0, 1)], "block long, times long")
+    x = F.xxhash64("cid")
+    left = spread.select("cid", "v", "home", x.alias("x")).join(F.broadcast(where), "home").withColumn("block", F.expr("first + pmod(x, wide)"))
+    left = left.join(F.broadcast(times), "block")
+    right = spread.select("cid", "n", "v", "home", x.alias("x"), F.explode("blocks").alias("block")).join(F.broadcast(times), "block")
 
     def compare(a: pa.Table, b: pa.Table) -> pa.Table:
-        node = other = links = np.zeros(0, np.int64)
+        forest, links = [np.zeros((2, 0), np.int64)], np.zeros(a.num_rows, np.int64)
+        ia = a["cid"].to_numpy() if a.num_rows else np.zeros(0, np.int64)
         if a.num_rows and b.num_rows:
-            ia, ib, nb = a["cid"].to_numpy(), b["c_id"].to_numpy(), b["c_n"].to_numpy()
-            x, y = linked(unit(array_matrix(a["v"])), unit(array_matrix(b["c_v"])), threshold)
-            keep = ia[x] != ib[y]
-            x, y = x[keep], y[keep]
-            count = np.bincount(x, weights=nb[y], minlength=len(ia)).astype(np.int64)
-            if len(x):
-                node, other = local_forest(ia[x], ib[y])
-                links = np.zeros(len(node), np.int64)
-                order = np.argsort(ia)
-                at = np.minimum(np.searchsorted(ia, node, sorter=order), len(ia) - 1)
-                own = ia[order[at]] == node
-                links[own] = count[order[at[own]]]
+            ib, nb, va, vb = b["c_id"].to_numpy(), b["c_n"].to_numpy(), unit(array_matrix(a["v"])), unit(array_matrix(b["c_v"]))
+            cell, own = a["home"].to_numpy(), centres[b["c_home"].to_numpy()]
+            at_home = np.einsum("ij,ij->i", vb, own)
+            for c in np.unique(cell):
+                # as in ``reachable``, for the cells of this block
+                gap = np.sqrt(np.maximum(0, 2 - 2 * np.clip(own @ centres[c], -1, 1)))
+                here, come = np.flatnonzero(cell == c), np.flatnonzero((at_home - vb @ centres[c] <= np.sqrt(max(0.0, 1 - threshold**2)) * gap + 1e-9) | (b["c_home"].to_numpy() == c))
+                for i in range(0, len(here), TILE[0]):
+                    for j in range(0, len(come), TILE[1]):
+                        s, t = here[i : i + TILE[0]], come[j : j + TILE[1]]
+                        x, y = linked(va[s], vb[t], threshold)
+                        keep = ia[s[x]] != ib[t[y]]
+                        x, y = s[x[keep]], t[y[keep]]
+                        if len(x):
+                            links += np.bincount(x, weights=nb[y], minlength=len(ia)).astype(np.int64)
+                            forest.append(np.stack(local_forest(ia[x], ib[y])))
+        node, other = np.concatenate(forest, axis=1)
+        if len(node):
+            node, other = local_forest(node, other)
+            count = np.zeros(len(node), np.int64)
+            order = np.argsort(ia)
+            at = np.minimum(np.searchsorted(ia, node, sorter=order), len(ia) - 1)
+            here = ia[order[at]] == node
+            count[here] = links[order[at[here]]]
+            links = count
+        else:
+            links = np.zeros(0, np.int64)
         return pa.table({"node": node, "root": other, "links": links})
 
-    visitors = right.groupBy("c_cell", "c_i", "c_j")
-    found = cut(left.groupBy("cell", "i", "j").cogroup(visitors).applyInArrow(compare, "node long, root long, links long"), "vec-links")
+    residents = {}
+    for c, h in homes.items():
+        for g in range(first[c], first[c] + wide[c]):
+            residents[g] = residents.get(g, 0) + -(-h // int(wide[c]))
+    found = None
+    for some in _rounds([(g, residents.get(g, 0) * cut_in[g] + s) for g, s in sorted(seen.items())], ROUND * n):
+        here = F.col("block").isin(some)
+        own = left.where(here).select("cid", "v", "home", "block", F.explode(F.expr("sequence(0, times - 1)")).alias("j"))
+        visitors = right.where(here).select(F.col("cid").alias("c_id"), F.col("n").alias("c_n"), F.col("v").alias("c_v"), F.col("home").alias("c_home"), F.col("block").alias("c_block"), F.expr("pmod(shiftright(x, 20), times)").alias("c_j"))
+        part_found = cut(own.groupBy("block", "j").cogroup(visitors.groupBy("c_block", "c_j")).applyInArrow(compare, "node long, root long, links long"), "vec-links")
+        if found is None:
+            found = part_found
+        else:
+            before, found = found, cut(found.union(part_found).groupBy("node", "root").agg(F.sum("links").alias("links")), "vec-links")
+            drop(before, part_found)
+    drop(spread)
     links = found.groupBy(F.col("node").alias("cid")).agg(F.sum("links").alias("links"))
     roots = connected_components(found.select(F.col("node").alias("u"), F.col("root").alias("v")), "vec-roots")
     return links.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "links", "root")
 
 
+def _blocks(homes: list[int], rows: int) -> list[tuple[int, int]]:
+    """For each cell of ``homes`` residents the first of its blocks and how many it is cut into; cells that fit share a block of up to ``rows``."""
+    out, block, held = [], 0, 0
+    for h in homes:
+        wide = max(1, -(-h // rows))
+        if held and (wide > 1 or held + h > rows):
+            block, held = block + 1, 0
+        out.append((block, wide))
+        block, held = (block + wide, 0) if wide > 1 else (block, held + h)
+    return out
+
+
+def _rounds(costs: list[tuple[int, int]], most: int) -> list[list[int]]:
+    """Blocks dealt into rounds, in order, of a cost of up to ``most`` together or one block each."""
+    out, held = [], 0
+    for block, cost in costs:
+        if out and held + cost <= most:
+            out[-1].append(block)
+            held += cost
+        else:
+            out.append([block])
+            held = cost
+    return out
+
+
 def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_near_dedup(table(spark, sf_dir, "embeddings"))
 

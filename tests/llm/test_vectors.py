@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.llm import common
+from graphloom.llm import common, embed_dedup
 from graphloom.llm.common import connected_components
 from graphloom.llm.embed_dedup import embedding_near_dedup
 from graphloom.llm.topk import exact_top_k
@@ -101,3 +101,14 @@ def test_components_by_shuffles_and_in_one_task(spark, monkeypatch, edges_a_task
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "u long, v long").repartition(5), "t").collect()}
     assert got == {i: i // 20 * 20 for i in range(60)} | {100: 100, 101: 100}
     assert not edges_a_task or len(tables) == 2
+
+
+def test_rounds_bound_what_is_shuffled_and_change_nothing(spark, monkeypatch):
+    df, _ = vectors(spark)
+    want = sorted(map(str, embedding_near_dedup(df).collect()))
+    costs = [(g, 3) for g in range(7)] + [(7, 50), (8, 1)]
+    assert embed_dedup._rounds(costs, 6) == [[0, 1], [2, 3], [4, 5], [6], [7], [8]]
+    assert embed_dedup._blocks([4, 0, 5, 25, 3, 8], 10) == [(0, 1), (0, 1), (0, 1), (1, 3), (4, 1), (5, 1)]
+    monkeypatch.setattr(embed_dedup, "ROUND", 1)
+    monkeypatch.setattr(embed_dedup, "TILE", (7, 5))
+    assert sorted(map(str, embedding_near_dedup(df, cell_rows=4, seen_rows=16).collect())) == want

@@ -81,19 +81,25 @@ def match(graph: DataFrame, patterns: Pattern, is_open=variable, fresh: tuple[in
 
     A pattern without variables only tests that its triple is there; no patterns give one empty binding.
     Patterns that share no variable are independent, and their bindings are combined each with each.
-    ``fresh`` has one pattern, by its number, matched in another graph.
+    ``fresh`` has one pattern, by its number, matched in another graph. Of a graph with ``few``, those patterns (variables
+    as ``?``) are sent to all tasks, and nothing else is, whatever the size of its files.
     """
-    result = None
+    result, small, counted = None, False, "few" in vars(graph)
     for i in order_of(patterns, is_open):
         t, source = patterns[i], fresh[1] if fresh and fresh[0] == i else graph
         part = match_one(source, t, is_open)
         if not part.columns:
             part = branch(source, t, is_open).where(reduce(lambda a, b: a & b, (F.col(c) == x for c, x in zip("spo", t)))).limit(1).select()
+        few = tuple("?" if is_open(x) else x for x in t) in vars(source).get("few", ())
         if result is None:
-            result = part
+            result, small = part, few
         else:
             shared = [c for c in part.columns if c in result.columns]
+            if counted and part.columns:
+                part = F.broadcast(part) if few else part
+                result = F.broadcast(result) if small and not few else result if few or not shared else result.hint("merge")
             result = result.join(part, shared) if shared else result.crossJoin(part)
+            small = False
     return graph.sparkSession.range(1).select() if result is None else result
 
 

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from ..functions import terms as T
 from ..functions.vocab import ALLOCATED, SUBCLASS, SUBPROPERTY, TYPE, iri
 from .graph import SPO, add, delete
-from .query import Pattern, backward, construct, construct_blank, match, pattern
-from .scratch import settle
+from .query import Pattern, backward, construct, construct_blank, match, pattern, variable
+from .scratch import drop, settle, tidy
 
 Change = Callable[[DataFrame], DataFrame]
 
@@ -100,7 +100,7 @@ class DatatypeRule(Rule):
             return literals.select("s", "p", T.canonical("o").alias("o")).where("o is not null").distinct()
         named = literals.where(F.col("p") == ALLOCATED).select(F.col("s").alias("b"), "d")
         used = graph.select(F.col("o").alias("b")).distinct()
-        return named.join(used, "b", "left_semi").select(F.col("b").alias("s"), F.lit(TYPE).alias("p"), F.col("d").alias("o")).distinct()
+        return named.join(used.hint("merge"), "b", "left_semi").select(F.col("b").alias("s"), F.lit(TYPE).alias("p"), F.col("d").alias("o")).distinct()
 
     def forward_new(self, known: DataFrame, new: DataFrame) -> DataFrame:
         return self.forward(known)
@@ -240,6 +240,7 @@ def find_rule(name: str, rulesets=RULESETS) -> Rule | None:
     return rulesets[ns].rule(local) if ns in rulesets else None
 
 
+@tidy
 def transitive(pairs: DataFrame, limit: int = 64) -> DataFrame:
     """Transitive closure of (s, o) by path doubling: log2 of the longest path in rounds; cycles end."""
     known = settle(pairs.select("s", "o").distinct())
@@ -254,6 +255,7 @@ def transitive(pairs: DataFrame, limit: int = 64) -> DataFrame:
     return known
 
 
+@tidy
 def closure(graph: DataFrame, rules: list[Rule], rounds: int = 50) -> DataFrame:
     """The graph and all that the rules deduce from it, to a fixpoint; rules that allocate nodes may have none.
 
@@ -264,26 +266,50 @@ def closure(graph: DataFrame, rules: list[Rule], rounds: int = 50) -> DataFrame:
     return _to_fixpoint(settle(graph.select(*SPO).distinct()), rules, {}, rounds)
 
 
+#: Matches of a pattern that are sent to all tasks at most. Fixed value.
+FEW = 50_000
+
+
+def _counted(graph: DataFrame, rules: list[Rule]) -> DataFrame:
+    """``graph``, with the patterns of ``rules`` that match few of its triples in its attribute ``few``.
+
+    Left to Spark, which sizes a written table by its files, many repeated terms in small files would be sent to every executor.
+    """
+    asked = sorted({tuple("?" if variable(x) else x for x in t) for r in rules for t in r.antecedent} - {("?", "?", "?")})
+    fits = [reduce(lambda a, b: a & b, (F.col(c) == x for c, x in zip("spo", t) if x != "?")) for t in asked]
+    counts = graph.agg(F.count("*"), *(F.count_if(fit) for fit in fits)).first()
+    graph.few = {t for t, n in zip([("?", "?", "?"), *asked], counts) if n <= FEW}
+    return graph
+
+
 def _to_fixpoint(known: DataFrame, rules: list[Rule], since: dict[str, DataFrame], rounds: int = 50) -> DataFrame:
     """``closure`` of the written set ``known``; ``since`` has, for rules applied before, what may be new to them."""
-    new = None
+    new, since = None, {name: _counted(recent, rules) for name, recent in since.items()}
     for _ in range(rounds):
         found = None
+        known = _counted(known, rules)
+        if new is not None:
+            new = _counted(new, rules)
         for r in rules:
             recent = since.get(r.name) if new is None else new
             part = r.forward(known) if recent is None else r.forward_new(known, recent)
             found = part if found is None else found.union(part)
-        new = settle(delete(found, known))
+        before, new = new, settle(delete(found, known))
+        if before is not None:
+            drop(before)
         if new.isEmpty():
             return known
-        known = settle(known.union(new))
+        last, known = known, settle(known.union(new))
+        drop(last)
     raise RuntimeError(f"no fixpoint in {rounds} rounds")
 
 
 def _deduced(graph: DataFrame, rules: list[Rule]) -> DataFrame:
+    graph = _counted(graph, rules)
     return settle(reduce(DataFrame.union, (r.forward(graph) for r in rules)).select(*SPO))
 
 
+@tidy
 def _seeded(graph: DataFrame, first: list[Rule], then: list[Rule]) -> tuple[DataFrame, dict[str, DataFrame]]:
     """Each of r2, r3, r5, r7, r9 and r11 once, in the order that leaves fewest rounds to a closure: schema first, then data.
 
@@ -308,6 +334,7 @@ def _seeded(graph: DataFrame, first: list[Rule], then: list[Rule]) -> tuple[Data
     return known, {"r5": since(0), "r7": since(0), "r2": since(1), "r3": since(1), "r11": more[-1], "r9": more[-1]}
 
 
+@tidy
 def rdfs_closure(graph: DataFrame) -> DataFrame:
     """Closure under r2, r3, r5, r7, r9 and r11: schema first, each data rule once, then to the end.
 
@@ -318,6 +345,7 @@ def rdfs_closure(graph: DataFrame) -> DataFrame:
     return _to_fixpoint(known, [by[k] for k in ("r2", "r3", "r5", "r7", "r9", "r11")], since)
 
 
+@tidy
 def rdfs_all_closure(graph: DataFrame) -> DataFrame:
     """The closure under every rule of RDFS and its axioms, with those of RDF that RDFS rests on (r1, its container rules, its axioms).
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.operators import canon, scratch, trees
 from graphloom.operators import chaining as C
 from graphloom.operators import rules as R
+from graphloom.operators.claims import components_entailed
 from graphloom.operators.query import pattern
 from graphloom.sources.mapping import graph_of
 
@@ -92,3 +93,31 @@ def test_folding_moves_no_triples_and_takes_tables_back(spark, monkeypatch):
     monkeypatch.setattr(scratch, "SLICE_BYTES", 1000)
     again = C.backward_apply(rule, goals)
     assert sorted(map(tuple, again.collect())) == want
+
+
+def test_claims_leave_no_tables_but_those_of_the_result(spark):
+    graph = graph_of(spark, [("<a>", "<p>", "<b>"), ("<b>", "<q>", "<c>")])
+    claims = graph_of(spark, [("_:a", "<p>", "_:b"), ("_:b", "<q>", "<c>"), ("_:d", "<p>", "_:e"), ("_:e", "<q>", "<d>"), ("_:f", "<p>", "_:g"), ("_:g", "<q>", "<c>")])
+    before = written(spark)
+    found = components_entailed(graph, claims)
+    assert written(spark) - before == reads(found)
+    assert {r.component: r.entailed for r in found.collect()} == {"_:a": True, "_:d": False, "_:f": True}
+
+
+def test_closures_send_counted_patterns_only(spark, monkeypatch):
+    """What is sent to all tasks is told by counts of matches, not by the size of files."""
+    graph = [("<c>", R.SUBCLASS, "<d>"), ("<d>", R.SUBCLASS, "<e>"), *((f"<x{i}>", R.TYPE, "<c>") for i in range(20))]
+    rules = [r for r in R.RDFS_RULES if r.name in ("r9", "r11")]
+    monkeypatch.setattr(R, "FEW", 3)
+    known = R._counted(scratch.settle(graph_of(spark, graph)), rules)
+    assert known.few == {("?", R.SUBCLASS, "?")}
+    plan = rules[0].forward(known)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=broadcast") == 1 and "Hint=(strategy=broadcast)" in plan.replace("leftHint", "Hint").replace("rightHint", "Hint")
+    before = written(spark)
+    some = R.closure(graph_of(spark, graph), rules)
+    assert written(spark) - before == reads(some)
+    monkeypatch.setattr(R, "FEW", -1)
+    none = R._counted(scratch.settle(graph_of(spark, graph)), rules)
+    assert "Broadcast" not in rules[0].forward(none)._jdf.queryExecution().executedPlan().toString()
+    got = sorted(map(tuple, some.collect()))
+    assert sorted(map(tuple, R.closure(graph_of(spark, graph), rules).collect())) == got and len(got) == 23 + 40
